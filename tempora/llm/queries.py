@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from tempora.llm import exact_dedup, language, mixing, packing
+from tempora.llm import chat, exact_dedup, html_text, language, mixing, packing, topk, warc
 
 QUERIES = {
+    "op1_host_suffix_array": html_text.op1_host_suffix_array,
     "op3_viterbi": language.op3_viterbi,
     "op4_cost_balanced": packing.op4_cost_balanced,
+    "op5_event_sourced": chat.op5_event_sourced,
     "op6_content_sort": exact_dedup.op6_content_sort,
+    "op7_salvage": warc.op7_salvage,
     "op8_pareto_mix": mixing.op8_pareto_mix,
+    "op9_pivot_distance": topk.op9_pivot_distance,
 }
 
 ORACLE_SQL = {
+    "op5_event_sourced": chat.OP5_SQL,
     "op6_content_sort": exact_dedup.OP6_SQL,
+    "op9_pivot_distance": topk.OP9_SQL,
 }
