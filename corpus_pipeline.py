@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.llm import exact_dedup, language, mixing, packing
+from tempora.llm import exact_dedup, language, mixing, ngram_join, packing
 from tempora.llm.common import spool
+from tempora.shipping import shipped
 
 #: A document that isn't `und` stays if one language labels at least this share of its letters.
 LEAST_SHARE = 0.5
 
 
+@shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a dominant language; a missing `lang` gets the prediction."""
     found = language.identify(docs, language.learn(docs)).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
@@ -23,23 +25,25 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select(*docs.columns)
 
 
+@shipped
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
     return exact_dedup.drop_copies(docs)
 
 
+@shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group that links of five-word shingles at similarity 0.8 connect."""
-    from tempora.llm import ngram_join
-
     return ngram_join.drop_near_copies(docs, words=5, percent=80)
 
 
+@shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that each source gives its target of words."""
     return mixing.repeat_by_mix(docs)
 
 
+@shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the mixed documents, packed."""
     import public_tokenizers

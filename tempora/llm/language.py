@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tempora.shipping import shipped
+
 #: Rows to learn from for each language (about so many, by a hash of their id), and code points taken of each: the model's sample is bounded by these.
 TRAIN_ROWS, TRAIN_CHARS = 1500, 2000
 #: Languages that a model may have.
@@ -228,10 +230,10 @@ def _applied(docs: DataFrame, model: Model, id_col: str, text_col: str, spans: b
             for part in np.array_split(np.arange(len(batch)), max(1, int(batch["text"].str.len().sum() // 2_000_000) + 1)):
                 if not len(part):
                     continue
-                ids, texts = batch["doc_id"].iloc[part], [x or "" for x in batch["text"].iloc[part]]
+                ids, no_id, texts = batch["doc_id"].to_numpy()[part], batch["no_id"].to_numpy()[part], [x or "" for x in batch["text"].iloc[part]]
                 if not known.languages:
                     if not spans:
-                        yield pd.DataFrame({"doc_id": ids, "lang_pred": UNDETERMINED, "score": 0.0})
+                        yield pd.DataFrame({"doc_id": ids, "lang_pred": UNDETERMINED, "score": 0.0, "no_id": no_id})
                     continue
                 words, labels, letters = label_batch(known, texts)
                 if not spans:
@@ -239,15 +241,18 @@ def _applied(docs: DataFrame, model: Model, id_col: str, text_col: str, spans: b
                     top = letters.argmax(axis=1)
                     share = letters[np.arange(len(texts)), top] / np.maximum(total, 1)
                     names = np.where(total > 0, np.array(known.languages, dtype=object)[top], UNDETERMINED)
-                    yield pd.DataFrame({"doc_id": ids.to_numpy(), "lang_pred": names, "score": share})
+                    yield pd.DataFrame({"doc_id": ids, "lang_pred": names, "score": share, "no_id": no_id})
                 elif len(labels):
                     new = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (words.text_of[1:] != words.text_of[:-1]))))
                     last = np.concatenate((new[1:], [len(labels)])) - 1
                     base = np.concatenate(([1], 1 + np.cumsum([len(x.lower()) + 1 for x in texts])))[words.text_of[new]]
-                    yield pd.DataFrame({"doc_id": ids.to_numpy()[words.text_of[new]], "start": words.starts[new] - base, "end": words.starts[last] + words.lengths[last] - base, "lang": np.array(known.languages, dtype=object)[labels[new]]})
+                    yield pd.DataFrame({"doc_id": ids[words.text_of[new]], "no_id": no_id[words.text_of[new]], "start": words.starts[new] - base, "end": words.starts[last] + words.lengths[last] - base, "lang": np.array(known.languages, dtype=object)[labels[new]]})
 
     schema = "doc_id long, start long, end long, lang string" if spans else "doc_id long, lang_pred string, score double"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+    # a null id travels as a mark: pandas would turn a column with nulls into floats
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
+    found = rows.mapInPandas(run, f"{schema}, no_id boolean")
+    return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def held_out(id_col: str = "doc_id"):
@@ -255,6 +260,7 @@ def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
+@shipped
 def op3_viterbi(spark, sf_dir: str) -> DataFrame:
     """The language of all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import spool
+from tempora.shipping import shipped
 
 #: The weights that sources get in turn.
 WEIGHTS = (5, 2, 1)
@@ -118,6 +119,7 @@ def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
+@shipped
 def op8_pareto_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")

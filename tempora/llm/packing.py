@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.common import planned_bytes, shuffle_partitions
+from tempora.shipping import shipped
 
 CAPACITY = 2048
 END_ID = 1
@@ -148,7 +149,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     memory of a task is bounded by a group's remainders, at most `capacity` ids for each of its documents. Other columns
     are ignored; an empty table gives an empty result. Input in the same partitions or not, a rerun gives the same rows.
     """
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    # a null id travels as a mark: pandas would turn a column with nulls into floats
+    chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
     groups = max(shuffle_partitions(docs.sparkSession), math.ceil(planned_bytes(chosen) / group_bytes))
     # groups by a hash of text and id: a third of all rows under one id still spreads if their texts differ
     keyed = chosen.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
@@ -157,23 +159,22 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
         encode, end = encoder(tokenizer, ranks), np.array([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            for group, doc_id, text in zip(batch["group"], batch["doc_id"], batch["text"]):
+            for group, doc_id, no_id, text in zip(batch["group"], batch["doc_id"], batch["no_id"], batch["text"]):
                 ids = encode(text or "") + end
                 n, step = len(ids) // 4, capacity * 4
                 for at in range(0, len(ids) - step + 1, step):
-                    rows.append((group, doc_id, n, at // 4, capacity, zlib.crc32(ids[at : at + step]), None))
+                    rows.append((group, doc_id, no_id, n, at // 4, capacity, zlib.crc32(ids[at : at + step]), None))
                 if n % capacity:
                     rest = ids[n // capacity * step :]
-                    rows.append((group, doc_id, n, n // capacity * capacity, n % capacity, zlib.crc32(rest), rest))
-            made = pd.DataFrame(rows, columns=["group", "doc_id", "doc_tokens", "start", "length", "ids_crc32", "ids"])
-            yield made.astype({"doc_id": "Int64"})
+                    rows.append((group, doc_id, no_id, n, n // capacity * capacity, n % capacity, zlib.crc32(rest), rest))
+            yield pd.DataFrame(rows, columns=["group", "doc_id", "no_id", "doc_tokens", "start", "length", "ids_crc32", "ids"])
 
     def fill(key, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        part = part.sort_values(["length", "doc_id", "no_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
         base, out, number = int(key[0]) << 32, [], 0
         full = part["ids"].isna()
         for x in part[full].itertuples(index=False):
-            out.append((x.doc_id, x.start, x.length, x.ids_crc32, x.doc_tokens, base + number, 0))
+            out.append((None if x.no_id else x.doc_id, x.start, x.length, x.ids_crc32, x.doc_tokens, base + number, 0))
             number += 1
         rest = part[~full].reset_index(drop=True)
         rows = list(rest.itertuples(index=False))
@@ -182,16 +183,17 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
             for item, start, length in sequence:
                 x = rows[item]
                 crc = x.ids_crc32 if length == x.length else zlib.crc32(x.ids[start * 4 : (start + length) * 4])
-                out.append((x.doc_id, x.start + start, length, crc, x.doc_tokens, base + number, at))
+                out.append((None if x.no_id else x.doc_id, x.start + start, length, crc, x.doc_tokens, base + number, at))
                 at += length
             number += 1
-        made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        return made.astype({"doc_id": "Int64"})
+        made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], dtype=object)
+        return made.astype({"doc_id": "Int64"} | {c: "int64" for c in made.columns[1:]})
 
-    pieces = keyed.select("group", "doc_id", "text").mapInPandas(cut, "group long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, ids binary")
+    pieces = keyed.select("group", "doc_id", "no_id", "text").mapInPandas(cut, "group long, doc_id long, no_id boolean, doc_tokens long, start long, length long, ids_crc32 long, ids binary")
     return pieces.groupBy("group").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
+@shipped
 def op4_cost_balanced(spark, sf_dir: str) -> DataFrame:
     """All documents, packed."""
     import public_tokenizers

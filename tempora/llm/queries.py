@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, exact_dedup, html_text, language, mixing, packing, topk, warc
+from tempora.llm import chat, exact_dedup, html_text, language, mixing, ngram_join, packing, topk, warc
 
 QUERIES = {
     "op1_host_suffix_array": html_text.op1_host_suffix_array,
+    "op10_grouped_prefix": ngram_join.op10_grouped_prefix,
     "op3_viterbi": language.op3_viterbi,
     "op4_cost_balanced": packing.op4_cost_balanced,
     "op5_event_sourced": chat.op5_event_sourced,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op10_grouped_prefix": ngram_join.OP10_SQL,
     "op5_event_sourced": chat.OP5_SQL,
     "op6_content_sort": exact_dedup.OP6_SQL,
     "op9_pivot_distance": topk.OP9_SQL,

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import planned_bytes, shuffle_partitions, spool
+from tempora.shipping import shipped
 
 SCALE = 64
 #: Pivots for each length of vector; the rows that they are chosen from (a bounded sample); both index every row.
@@ -220,6 +221,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
     return searched(pairs, second_blocks).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+@shipped
 def op9_pivot_distance(spark, sf_dir: str) -> DataFrame:
     """The 20 highest scores of every twentieth vector."""
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 20, "vec_id % 20 = 0")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.common import spool
+from tempora.shipping import shipped
 
 #: Bytes of an archive segment; a record isn't divided, so a longer one makes a longer segment.
 SEGMENT_BYTES = 512 << 10
@@ -201,6 +202,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive", F.col("part").cast("long"), "bytes").mapInArrow(run, "archive string, part long, kind string, start long, end long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
+@shipped
 def op7_salvage(spark, sf_dir: str) -> DataFrame:
     """All pages, written as archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
