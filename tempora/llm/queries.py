@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tempora.llm import chat, exact_dedup, html_text, language, mixing, ngram_join, packing, topk, warc
+from tempora.llm import chat, exact_dedup, html_text, language, mixing, ngram_join, packing, substrings, topk, warc
 
 QUERIES = {
     "op1_host_suffix_array": html_text.op1_host_suffix_array,
-    "op10_grouped_prefix": ngram_join.op10_grouped_prefix,
+    "op2_blockwise_suffixes": substrings.op2_blockwise_suffixes,
     "op3_viterbi": language.op3_viterbi,
     "op4_cost_balanced": packing.op4_cost_balanced,
     "op5_event_sourced": chat.op5_event_sourced,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_salvage": warc.op7_salvage,
     "op8_pareto_mix": mixing.op8_pareto_mix,
     "op9_pivot_distance": topk.op9_pivot_distance,
+    "op10_grouped_prefix": ngram_join.op10_grouped_prefix,
 }
 
 ORACLE_SQL = {
