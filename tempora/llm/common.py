@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The six ASCII white-space characters \x20 and \x09-\x0D.
-ASCII_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
+from tempora.tables import shared_dir, spool
+
+__all__ = ["planned_bytes", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -23,28 +21,6 @@ def planned_bytes(df: DataFrame) -> int:
     return min(int(str(size)), 1 << 62)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (in tests, where it is unset) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tempora-checkpoint-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        named = kept
-    return named.rstrip("/")
-
-
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tempora-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def without_ascii_space(text: Column) -> Column:
-    """`text` without the ASCII white space; chained byte replacement stays in generated code."""
-    for mark in ASCII_SPACE:
-        text = F.replace(text, F.lit(mark), F.lit(""))
-    return text
+    """`text` without the ASCII white space: blanks, the most of it, by byte replacement, the others by a pattern."""
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), r"[\x09-\x0D]+", "")

@@ -5,9 +5,13 @@ normalised texts into ranges, each range is sorted externally so that equal text
 neighbouring rows are compared in full to form the groups (the window operator compares the whole key of each row
 with the one before).
 
+The splitters are of the first characters and a hash of the normalised text, so that sampling sends no whole texts to
+the driver and texts that only begin alike spread.
+
 A text with very many copies would fill one range. Texts that more than 1/(8 * partitions) of all rows share are found
-first by counting digests (combined on the map side); there are fewer than 8 * partitions of them, so their list and
-their results may be broadcast. Their copies are aggregated on the map side and never enter the sort.
+first by counting hashes (combined on the map side); there are fewer than 8 * partitions of them, so their list and
+their results may be broadcast. Their copies never enter the sort: they are told apart by SHA-256 of the whole
+normalised text and aggregated, combined on the map side.
 """
 
 from __future__ import annotations
@@ -16,9 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import shuffle_partitions, spool, without_ascii_space
+from tempora.shipping import shipped
 
 #: A text is hot if it has more than total / (HOT_PARTS * partitions) copies.
 HOT_PARTS = 8
+#: Characters of the normalised text that the sort's ranges are made by.
+HEAD_CHARS = 24
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
@@ -29,41 +36,38 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     `kept` is true for exactly one row of a group. Other columns are ignored whatever their names. An empty table
     gives an empty result. Texts of any length are compared whole.
     """
-    spark = docs.sparkSession
-    n = partitions or shuffle_partitions(spark)
+    n = partitions or shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("chars"), without_ascii_space(text).alias("norm"))
+    keyed = keyed.withColumn("head", F.substring("norm", 1, HEAD_CHARS)).withColumn("hash", F.xxhash64("norm"))
     digest = F.sha2(F.col("norm").cast("binary"), 256)
-    total = docs.count()
-    limit = max(1, total // (HOT_PARTS * n))
-    hot = spool(keyed.groupBy(digest.alias("text_sha256")).count().where(F.col("count") > limit).select("text_sha256"), "hot-texts")
-    digested = keyed.withColumn("text_sha256", digest)
-
-    order = [F.col("chars").desc(), F.col("doc_id").asc_nulls_last()]
-    group = Window.partitionBy("norm").orderBy(*order)
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    limit = max(1, docs.count() // (HOT_PARTS * n))
+    hot = F.broadcast(spool(keyed.groupBy("hash").count().where(F.col("count") > limit).select("hash"), "hot-texts"))
+
+    def groups(key: list[str]):
+        ordered = Window.partitionBy(*key).orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last())
+        return ordered, ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+    # equal texts have equal heads and hashes, so the ranges of these keep them together; their texts are then compared in full
+    ordered, whole = groups(["head", "hash", "norm"])
     cold = (
-        digested.join(F.broadcast(hot), "text_sha256", "left_anti")
-        .select("doc_id", "chars", "norm")
-        .repartitionByRange(n, "norm")
+        keyed.join(hot, "hash", "left_anti")
+        .repartitionByRange(n, "head", "hash")
         .select(
             "doc_id",
             F.first("doc_id").over(whole).alias("keep_id"),
             F.count(F.lit(1)).over(whole).alias("group_size"),
-            (F.row_number().over(group) == 1).alias("kept"),
+            (F.row_number().over(ordered) == 1).alias("kept"),
             digest.alias("text_sha256"),
         )
     )
 
-    copies = digested.join(F.broadcast(hot), "text_sha256", "left_semi")
+    copies = spool(keyed.join(hot, "hash", "left_semi").select("doc_id", "chars", digest.alias("text_sha256")), "hot-copies")
     rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
-    best = (
-        copies.groupBy("norm")
-        .agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        .select(digest.alias("text_sha256"), F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
-    )
-    copied = copies.select("doc_id", "chars", "text_sha256").join(F.broadcast(spool(best, "hot-groups")), "text_sha256")
-    stays = copied["doc_id"].eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
+    best = copies.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    best = best.select("text_sha256", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
+    copied = copies.join(F.broadcast(spool(best, "hot-groups")), "text_sha256")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     # rows that repeat the id of the row that stays: only one of them is kept
     again = Window.partitionBy("text_sha256", "doc_id", "chars").orderBy("doc_id")
     first_of = copied.where(stays).select("doc_id", "keep_id", "group_size", (F.row_number().over(again) == 1).alias("kept"), "text_sha256")
@@ -77,6 +81,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.join(kept, id_col, "left_semi").select(*docs.columns)
 
 
+@shipped
 def op6_content_sort(spark, sf_dir: str) -> DataFrame:
     """Exact groups of all documents."""
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
