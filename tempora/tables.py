@@ -20,8 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back."""
+def spool(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write `df` as Parquet to the shared folder and read it back; numbers that don't compress are best written with codec "none"."""
     path = f"{shared_dir(df.sparkSession)}/tempora-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
