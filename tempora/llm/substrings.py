@@ -13,7 +13,6 @@ bounded by its bucket. Between the phases only packed arrays are shuffled.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import math
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import planned_bytes, shuffle_partitions, spool
+from tempora.llm.common import planned_bytes, release, shuffle_partitions, spool
 from tempora.llm.shingles import mix, text_chunks
 from tempora.shipping import shipped
 
@@ -32,7 +31,7 @@ WIDTH = 50
 #: Bytes of a sample.
 SAMPLE = 18
 #: Bytes that are hashed at a time, and how many runs a task gathers before it deals them out.
-CHUNK_BYTES, FLUSH = 2 << 20, 1_500_000
+CHUNK_BYTES, FLUSH = 1 << 20, 800_000
 #: Input bytes that a bucket stands for, about.
 BUCKET_BYTES = 8 << 20
 
@@ -164,12 +163,6 @@ def removed_spans(data: bytes, starts: np.ndarray, stops: np.ndarray) -> list[tu
     return list(zip(starts[at].tolist(), stops[np.concatenate((at[1:] - 1, [len(stops) - 1]))].tolist()))
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of finished phases."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, int]:
     """(texts with their part, spans packed by part, number of parts): which spans of which document an earlier one repeats."""
     spark = docs.sparkSession
