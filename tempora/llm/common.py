@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.tables import shared_dir, spool
 
-__all__ = ["planned_bytes", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
+__all__ = ["planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
+
+#: Estimates above this are taken for unknown.
+MOST_PLANNED = 1 << 50
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -16,9 +21,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of `df`, for a number of groups; no job runs."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 62)
+    """Catalyst's estimate of the size of `df`, for a number of groups; where it has none (or a product of joins), the bytes of its columns are summed up."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size <= MOST_PLANNED:
+        return size
+    width = sum((F.octet_length(c) if t in ("string", "binary") else F.lit(8) for c, t in df.dtypes), F.lit(0))
+    return df.agg(F.coalesce(F.sum(F.coalesce(width, F.lit(8)).cast("long")), F.lit(0))).first()[0]
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished phases, which it does when the driver's JVM has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def without_ascii_space(text: Column) -> Column:

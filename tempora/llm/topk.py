@@ -97,7 +97,8 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
     pivots, most = {}, {}
     for x in per_dim:
         dim = x["dim"]
-        own = np.array([s["q"] for s in sample if s["dim"] == dim], dtype=np.float64).reshape(-1, dim)
+        own = [s["q"] for s in sample if s["dim"] == dim]
+        own = np.array(own, dtype=np.float64).reshape(len(own), dim)
         own = own[np.lexsort(own.T)] if len(own) and dim else np.zeros((1, dim))
         most[dim] = float(x["most"] or 0.0)
         pivots[dim] = choose_pivots(own, most[dim])
