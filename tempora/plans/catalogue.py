@@ -336,7 +336,7 @@ def evidence_casefold(spark, d):
 
 
 @query("""WITH x AS (SELECT doc_id, item_id, regexp_replace(trim(d.text), '[ \\t\\n\\r]+', ' ', 'g') AS b, regexp_replace(trim(bm.text), '[ \\t\\n\\r]+', ' ', 'g') AS q FROM documents d JOIN benchmark bm
-ON contains(regexp_replace(d.text, '[ \\t\\n\\r]+', ' ', 'g'), regexp_replace(trim(bm.text), '[ \\t\\n\\r]+', ' ', 'g'))), y AS (SELECT *, strpos(lower(b), lower(q)) AS p FROM x)
+ON contains(regexp_replace(d.text, '[ \\t\\n\\r]+', ' ', 'g'), regexp_replace(trim(bm.text), '[ \\t\\n\\r]+', ' ', 'g'))), y AS (SELECT *, strpos(replace(lower(b), 'ß', 'ss'), replace(lower(q), 'ß', 'ss')) AS p FROM x)
 SELECT doc_id, item_id, trim(substr(b, greatest(p - 40, 1), p + length(q) + 40 - greatest(p - 40, 1))) AS context FROM y""".replace("\\\\", "\\"))
 def nearby_context(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", text.norm_space("text").alias("body"))
