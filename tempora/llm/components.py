@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     nodes = edges.where("a IS NOT NULL AND b IS NOT NULL")
     alone = nodes.where("a = b").select(F.col("a").alias("node"))
-    current = spool(nodes.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    current = spool(nodes.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", "none")
     before = None
     for _ in range(MOST_STEPS):
         # large star: every neighbour above a node links to the node's smallest neighbour (or itself)
@@ -29,7 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours link to the smallest of these
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = spool(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        current = spool(small.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges", "none")
         state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -7,7 +7,8 @@ meet, and pairs of groups whose sizes allow the similarity are expanded to their
 
 Texts with equal sets are one class, and classes stand for their texts. What is asked for is which classes links
 connect, so pairs are verified in rounds: first each class with one class that it shares most prefix shingles with;
-then, after joining the connected, only pairs across what isn't connected yet, all of them in the last round. No link
+then, after joining the connected, only pairs across what isn't connected yet, all of them in the last round. A pair
+is one only if a shared shingle stands so early in both prefixes that enough others can follow. No link
 between different components can be missed, and a cluster of many near copies doesn't become all its pairs.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import planned_bytes, shuffle_partitions, spool
+from tempora.llm.common import planned_bytes, release, shuffle_partitions, spool
 from tempora.llm.components import components
 from tempora.llm.shingles import sets_of, shingles_of, text_chunks, word_hashes
 from tempora.shipping import shipped
@@ -31,13 +32,15 @@ from tempora.shipping import shipped
 #: log2 of the size of the table of shingle counts that the order of shingles is made by.
 TABLE_BITS = 20
 #: Input bytes whose prefix shingles one bucket holds, about; shingles that a task gathers before it deals them out.
-BUCKET_BYTES, FLUSH = 16 << 20, 1_000_000
+BUCKET_BYTES, FLUSH = 8 << 20, 600_000
 #: A shingle with so many sets in one task's part is dealt by set, not by shingle, so that no bucket holds all of them.
 LONG_RUN = 256
+#: Places in a prefix beyond this count as this one, which only lets more pairs through.
+MOST_PLACE = 65_535
 #: Up to so many ids are broadcast to pick their texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rounds in which each class meets one partner, before the round of all pairs.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 
 _OUT = "kind int, doc_id long, n int, grp long, sig binary, token long"
 
@@ -83,14 +86,14 @@ def _hash64(*parts: bytes) -> int:
 
 
 def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows of kind 0, one for each text (doc_id, n, grp, sig), and of kind 1 (token, grp, n): groups that share a prefix shingle with another."""
+    """Rows of kind 0, one for each text (doc_id, n, grp, sig), and of kind 1 (token, grp, and as n its place in the prefix): groups that share a prefix shingle with another."""
     bits = TABLE_BITS
     levels = np.log2(shingle_counts(texts, k, bits).astype(np.float64) + 1).astype(np.uint8)
     level_of = texts.sparkSession.sparkContext.broadcast(levels)  # 2 ** TABLE_BITS bytes
     buckets = max(shuffle_partitions(texts.sparkSession), math.ceil(planned_bytes(texts) / BUCKET_BYTES))
-    schema = "bucket int, kind int, doc_id long, n int, grp long, sig binary, tokens binary, groups binary, sizes binary"
+    schema = "bucket int, kind int, doc_id long, n int, grp long, sig binary, tokens binary, groups binary, sizes binary, places binary"
     names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
@@ -105,8 +108,9 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
             tokens = np.concatenate([g[0] for g in gathered])
             groups = np.repeat(np.array([g[1] for g in gathered], dtype=np.int64), [len(g[0]) for g in gathered])
             sizes = np.repeat(np.array([g[2] for g in gathered], dtype=np.int32), [len(g[0]) for g in gathered])
+            places = np.concatenate([np.minimum(np.arange(len(g[0])), MOST_PLACE) for g in gathered]).astype("<u2")
             order = np.argsort(tokens, kind="stable")
-            tokens, groups, sizes = tokens[order], groups[order], sizes[order]
+            tokens, groups, sizes, places = tokens[order], groups[order], sizes[order], places[order]
             run = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
             long = np.repeat(np.diff(run) >= LONG_RUN, np.diff(run))
             marks = tokens[run[:-1]][np.diff(run) >= LONG_RUN]
@@ -114,9 +118,10 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
                 where = (groups[long] % buckets).astype(np.int64)
                 for b in np.unique(where):
                     at = np.flatnonzero(long)[where == b]
-                    yield batch_of([(int(b), 2, 0, 0, 0, None, tokens[at].tobytes(), groups[at].tobytes(), sizes[at].tobytes())])
+                    yield batch_of([(int(b), 2, 0, 0, 0, None, tokens[at].tobytes(), groups[at].tobytes(), sizes[at].tobytes(), places[at].tobytes())])
             tokens = np.concatenate((tokens[~long], marks))
             groups = np.concatenate((groups[~long], np.zeros(len(marks), np.int64)))
+            places = np.concatenate((places[~long], np.zeros(len(marks), "<u2")))
             sizes = np.concatenate((sizes[~long], np.full(len(marks), -1, np.int32)))  # a mark: this shingle is dealt by set elsewhere
             where = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(where, kind="stable")
@@ -124,7 +129,7 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
             for b in range(buckets):
                 at = order[cuts[b] : cuts[b + 1]]
                 if len(at):
-                    yield batch_of([(b, 1, 0, 0, 0, None, tokens[at].tobytes(), groups[at].tobytes(), sizes[at].tobytes())])
+                    yield batch_of([(b, 1, 0, 0, 0, None, tokens[at].tobytes(), groups[at].tobytes(), sizes[at].tobytes(), places[at].tobytes())])
 
         for batch in batches:
             rows = []
@@ -132,12 +137,12 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
             for row, found in sets_of(batch.column(1), k):
                 n = len(found)
                 if not n:
-                    rows.append(((ids[row] or 0) % buckets, 3 if ids[row] is None else 0, ids[row] or 0, 0, 0, None, None, None, None))
+                    rows.append(((ids[row] or 0) % buckets, 3 if ids[row] is None else 0, ids[row] or 0, 0, 0, None, None, None, None, None))
                     continue
                 key = (level[(found >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6))
                 prefix = found[np.argsort(key, kind="stable")[: prefix_length(n, percent)]]
                 group = _hash64(n.to_bytes(8, "little"), prefix.tobytes())
-                rows.append((group % buckets, 3 if ids[row] is None else 0, ids[row] or 0, n, group, hashlib.blake2b(found.tobytes(), digest_size=16).digest(), None, None, None))
+                rows.append((group % buckets, 3 if ids[row] is None else 0, ids[row] or 0, n, group, hashlib.blake2b(found.tobytes(), digest_size=16).digest(), None, None, None, None))
                 if group not in known:
                     known.add(group)
                     gathered.append((prefix, group, n))
@@ -160,17 +165,17 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
             rows = part[part["kind"] == kind]
             if not len(rows):
                 continue
-            tokens, groups, sizes = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]]) for c, t in (("tokens", "<u8"), ("groups", "<i8"), ("sizes", "<i4")))
+            tokens, groups, sizes, places = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]]) for c, t in (("tokens", "<u8"), ("groups", "<i8"), ("sizes", "<i4"), ("places", "<u2")))
             order = np.lexsort((groups, tokens))
-            tokens, groups, sizes = tokens[order], groups[order], sizes[order]
+            tokens, groups, sizes, places = tokens[order], groups[order], sizes[order], places[order]
             new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1]) | (sizes[1:] != sizes[:-1])))
-            tokens, groups, sizes = tokens[new], groups[new], sizes[new]
+            tokens, groups, sizes, places = tokens[new], groups[new], sizes[new], places[new]
             if kind == 1:  # shingles of one group only go
                 run = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
                 keep = np.repeat(np.diff(run) > 1, np.diff(run)) & (sizes > 0)
-                tokens, groups, sizes = tokens[keep], groups[keep], sizes[keep]
+                tokens, groups, places = tokens[keep], groups[keep], places[keep]
             n = len(tokens)
-            out.append(pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * n, "Int64"), "n": pd.array(sizes, "Int64"), "grp": pd.array(groups, "Int64"), "sig": [None] * n, "token": pd.array(_signed(tokens), "Int64")}))
+            out.append(pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * n, "Int64"), "n": pd.array(places, "Int64"), "grp": pd.array(groups, "Int64"), "sig": [None] * n, "token": pd.array(_signed(tokens), "Int64")}))
         return pd.concat(out, ignore_index=True)
 
     dealt = texts.select("doc_id", "text").mapInArrow(scan, schema)
@@ -178,28 +183,23 @@ def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar enough."""
-    spark = texts.sparkSession
-    ids = spool(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-    few = ids.count() <= BROADCAST_IDS
-    picked = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id"), "left_semi").select("doc_id", "text")
+    """The pairs (a, b) of class ids whose sets are similar enough. Sets of b travel once for each pair, sets of a once."""
+    few = pairs.count() <= BROADCAST_IDS
+    small = F.broadcast if few else lambda x: x
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(row, found.tobytes()) for row, found in sets_of(batch.column(1), k)]
+            made = [(row, found.tobytes()) for row, found in sets_of(batch.column(batch.num_columns - 1), k)]
             if made:
                 rows = pa.array([m[0] for m in made])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), pa.array([m[1] for m in made], pa.binary())], names=["id", "shingles"])
-
-    sets = picked.mapInArrow(hashed, "id long, shingles binary")
+                columns = [batch.column(c).take(rows) for c in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([m[1] for m in made], pa.binary())], names=[str(c) for c in range(batch.num_columns)])
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            last, left = None, None
             for row, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-                x, y = x.as_buffer(), y.as_buffer()
-                a, b = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                a, b = np.frombuffer(x.as_buffer(), dtype="<u8"), np.frombuffer(y.as_buffer(), dtype="<u8")
                 both = np.concatenate((a, b))
                 both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
@@ -209,10 +209,9 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
-    return joined.mapInArrow(similar, "a long, b long")
+    left = texts.join(small(pairs.select("a").distinct()), F.col("doc_id") == F.col("a")).select("a", "text").mapInArrow(hashed, "a long, x binary")
+    right = texts.join(small(pairs), F.col("doc_id") == F.col("b")).select("a", "b", "text").mapInArrow(hashed, "a long, b long, y binary")
+    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
 def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
@@ -223,46 +222,53 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shingle of all of them. Rows that repeat an id are expected to repeat its text. Ids that are null get a null
     component unless their text has an equal. Other columns are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = spool(prefixes(texts, words, percent), "prefixes")
+    found = spool(prefixes(texts, words, percent), "prefixes", "none")
     rows = found.where("kind = 0").select("doc_id", "n", "grp", "sig")
     filled = rows.where("n > 0")
-    classes = spool(filled.groupBy("grp", "sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes")
+    classes = spool(filled.groupBy("grp", "sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes", "none")
 
     # groups expanded to their classes; the classes of a group meet under the group's own hash
-    runs = found.where("kind = 1").select("token", "grp")
-    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("grp")
+    shared = found.where("kind = 1").select("token", "grp", F.col("n").alias("place"))
+    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("place"))
     member = classes.where("class_id IS NOT NULL").select("grp", F.col("class_id").alias("id"), "n")
-    runs = runs.unionByName(several.select(F.col("grp").alias("token"), "grp"))
-    runs = spool(runs.join(member, "grp").select("token", "id", "n"), "runs")
+    runs = spool(shared.unionByName(several).join(member, "grp").select("token", "id", "n", "place"), "runs", "none")
 
-    fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m)")
-    edges, place, tested = None, None, None
+    # sets of n and m need this overlap; the first shingle that they share has to leave room for it in both
+    need = lambda n, m: f"(({percent}L * ({n} + {m}) + {100 + percent - 1}) div {100 + percent})"
+    fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND place + {need('n', 'm')} <= n AND other_place + {need('n', 'm')} <= m")
+    place, tested = None, None
     for turn in range(STAR_ROUNDS + 1):
-        if place is None:
-            open_runs = runs.withColumn("at", F.col("id"))
-        else:
-            open_runs = runs.join(place, F.col("id") == F.col("node"), "left").withColumn("at", F.coalesce("component", F.col("id"))).select("token", "id", "n", "at")
+        open_runs = runs.withColumn("at", F.col("id"))
+        if place is not None:
+            open_runs = runs.join(place, F.col("id") == F.col("node"), "left").select("token", "id", "n", "place", F.coalesce("component", "id").alias("at"))
             mixed = open_runs.groupBy("token").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("token")
             open_runs = open_runs.join(mixed, "token")
         if turn < STAR_ROUNDS:
-            # a shingle's hub; another one in each round
-            rank = F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("at").alias("hub_at"))
+            # a shingle's hub, rather one that has it early in its prefix; another one in each round
+            rank = F.struct(F.expr(f"place + {need('n', 'n')} > n").alias("late"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("at").alias("hub_at"))
             hubs = open_runs.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.*")
             met = open_runs.join(hubs, "token").where((F.col("at") != F.col("hub_at")) & fits).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
-            best = met.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("x")).select("id", F.col("x.hub").alias("hub"))
-            pairs = best.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+            pairs = met.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("id").alias("b"))
         else:
-            other = open_runs.select(F.col("token"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("at").alias("other_at"))
+            other = open_runs.select(F.col("token"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("at").alias("other_at"))
             pairs = open_runs.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("at") != F.col("other_at")) & fits).select(F.col("id").alias("a"), "b").distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = spool(pairs, "pairs")
+        if tested is not None:
+            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            pairs = pairs.join(both, ["a", "b"], "left_anti")
+        pairs = spool(pairs, "pairs", "none")
+        if not pairs.head(1):
+            continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = spool(_verified(texts, pairs, words, percent), "links")
-        edges = links if edges is None else edges.unionByName(links)
-        place = spool(components(edges), "components")
-
+        links = spool(_verified(texts, pairs, words, percent), "links", "none")
+        if links.head(1):  # what was connected before counts as edges to its component
+            before = links if place is None else links.unionByName(place.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            place = spool(components(before), "components", "none")
+        release(spark)
+
+    if place is None:
+        place = spark.createDataFrame([], "node long, component long")
     named = filled.join(classes.select(F.col("grp").alias("g"), F.col("sig").alias("s"), "class_id"), (F.col("grp") == F.col("g")) & (F.col("sig") == F.col("s")))
     named = named.join(place, F.col("class_id") == F.col("node"), "left")
     linked = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
