@@ -246,8 +246,9 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
             mixed = open_runs.groupBy("token").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("token")
             open_runs = open_runs.join(mixed, "token")
         if turn < STAR_ROUNDS:
-            # a shingle's hub, rather one that has it early in its prefix; another one in each round
-            rank = F.struct(F.expr(f"place + {need('n', 'n')} > n").alias("late"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("at").alias("hub_at"))
+            # a shingle's hub: the class with fewest rarer shingles, which is nearest to what a cluster shares; in odd rounds any
+            first = F.expr(f"place + {need('n', 'n')} > n").cast("int") if turn % 2 else F.col("place")
+            rank = F.struct(first.alias("first"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("at").alias("hub_at"))
             hubs = open_runs.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.*")
             met = open_runs.join(hubs, "token").where((F.col("at") != F.col("hub_at")) & fits).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
             pairs = met.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("id").alias("b"))
