@@ -108,6 +108,15 @@ def test_host_suffix_array(spark):
     assert html_text.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_groups_of_a_host_do_not_decide(spark):
+    """Three of 60 pages share a block; groups of five pages seldom hold more than one of them."""
+    notice = "<div>all rights are kept by the owners of this site</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{notice if i % 20 == 0 else ''}<p>{' '.join(f'w{i}x{k}' for k in range(12))}</p></body>") for i in range(60)]
+    want = {i: " ".join(f"w{i}x{k}" for k in range(12)) for i in range(60)}
+    for size in (5, 1000):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows), size).collect()} == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     import numpy as np
