@@ -117,6 +117,24 @@ def test_groups_of_a_host_do_not_decide(spark):
         assert {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows), size).collect()} == want
 
 
+def test_near_copies_and_quotes_keep_their_text(spark):
+    """Near copies of an article are whole; a quoted sentence stays in blocks of other words; a shared block goes."""
+    article = [f"a{k}" for k in range(300)]
+    dated = [" ".join([*article[:150], f"day{i}", *article[150:]]) for i in range(4)]
+    quote, notice = " ".join(f"q{k}" for k in range(10)), "all rights are kept by the owners of this site"
+    quoting = [" ".join(f"p{i}x{k}" for k in range(40)) + f" {quote} " + " ".join(f"p{i}y{k}" for k in range(40)) for i in range(5)]
+    rows = [(i, f"http://h.example/{i}", f"<body><p>{t}</p></body>") for i, t in enumerate(dated)]
+    rows += [(10 + i, f"http://h.example/{10 + i}", f"<body><p>{t}</p><div>{notice}</div></body>") for i, t in enumerate(quoting)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows), 4).collect()}
+    assert got == dict(enumerate(dated)) | {10 + i: t for i, t in enumerate(quoting)}
+
+
+def test_long_shared_runs_leave_a_block(spark):
+    notice = " ".join(f"n{k}" for k in range(40))
+    rows = [(i, f"http://h.example/{i}", f"<body>{' '.join(f'w{i}x{k}' for k in range(60))} {notice}</body>") for i in range(4)]
+    assert {r["text"] for r in html_text.extract(pages(spark, rows)).collect()} == {" ".join(f"w{i}x{k}" for k in range(60)) for i in range(4)}
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_suffix_array(seed):
     import numpy as np
