@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import exact_dedup, language, mixing, ngram_join, packing
-from tempora.llm.common import spool
+from tempora.llm.common import ROW, numbered, spool
 from tempora.shipping import shipped
 
 #: A document that isn't `und` stays if one language labels at least this share of its letters.
@@ -18,28 +18,28 @@ LEAST_SHARE = 0.5
 
 @shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a dominant language; a missing `lang` gets the prediction."""
-    found = language.identify(docs, language.learn(docs)).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    found = found.groupBy("doc_id").agg(F.first("lang_pred").alias("lang_pred"))
-    kept = docs.join(found, "doc_id").withColumn("lang", F.coalesce("lang", "lang_pred"))
+    """Keeps documents with a dominant language, each row by its own text; a missing `lang` gets the prediction."""
+    rows = numbered(docs, "language-rows")
+    found = language.identify(rows, language.learn(rows), id_col=ROW).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    kept = rows.join(found.select(F.col("doc_id").alias(ROW), "lang_pred"), ROW).withColumn("lang", F.coalesce("lang", "lang_pred"))
     return kept.select(*docs.columns)
 
 
 @shipped
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
+    """Keeps one row of each group of equal texts; null and repeated ids are rows as others."""
     return exact_dedup.drop_copies(docs)
 
 
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group that links of five-word shingles at similarity 0.8 connect."""
+    """Keeps one row, of the smallest id, null ids last, of each group that links of five-word shingles at similarity 0.8 connect."""
     return ngram_join.drop_near_copies(docs, words=5, percent=80)
 
 
 @shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that each source gives its target of words."""
+    """Repeats or drops rows so that each source gives its target of words."""
     return mixing.repeat_by_mix(docs)
 
 

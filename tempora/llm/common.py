@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from tempora.tables import shared_dir, spool
 
-__all__ = ["planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
+__all__ = ["ROW", "numbered", "planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
 
+#: The column of row numbers.
+ROW = "_tempora_row"
 #: Estimates above this are taken for unknown.
 MOST_PLANNED = 1 << 50
 
@@ -20,6 +22,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs`, kept in the shared folder, with a column ROW that tells rows apart whatever their ids."""
+    return spool(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of `df`, for a number of groups; where it has none (or a product of joins), the bytes of its columns are summed up."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

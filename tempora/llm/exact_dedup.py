@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import shuffle_partitions, spool, without_ascii_space
+from tempora.llm.common import ROW, numbered, shuffle_partitions, spool, without_ascii_space
 from tempora.shipping import shipped
 
 #: A text is hot if it has more than total / (HOT_PARTS * partitions) copies.
@@ -28,24 +28,26 @@ HOT_PARTS = 8
 HEAD_CHARS = 24
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, row_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`.
 
     Of equal normalised texts the row with the most code points in its original text stays, then the smallest id
     (null ids last). A null text counts as empty; all empty texts are equal. Rows that repeat an id are separate rows:
     `kept` is true for exactly one row of a group. Other columns are ignored whatever their names. An empty table
-    gives an empty result. Texts of any length are compared whole.
+    gives an empty result. Texts of any length are compared whole. With `row_col`, a column that is unique, the result
+    has it as `row`, and of rows of one text and id the one with the smallest stays.
     """
     n = partitions or shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).cast("long").alias("chars"), without_ascii_space(text).alias("norm"))
+    row = ["row"] if row_col else []
+    keyed = docs.select(F.col(id_col).alias("doc_id"), *[F.col(row_col).alias(c) for c in row], F.char_length(text).cast("long").alias("chars"), without_ascii_space(text).alias("norm"))
     keyed = keyed.withColumn("head", F.substring("norm", 1, HEAD_CHARS)).withColumn("hash", F.xxhash64("norm"))
     digest = F.sha2(F.col("norm").cast("binary"), 256)
     limit = max(1, docs.count() // (HOT_PARTS * n))
     hot = F.broadcast(spool(keyed.groupBy("hash").count().where(F.col("count") > limit).select("hash"), "hot-texts"))
 
     def groups(key: list[str]):
-        ordered = Window.partitionBy(*key).orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last())
+        ordered = Window.partitionBy(*key).orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last(), *row)
         return ordered, ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     # equal texts have equal heads and hashes, so the ranges of these keep them together; their texts are then compared in full
@@ -59,14 +61,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.count(F.lit(1)).over(whole).alias("group_size"),
             (F.row_number().over(ordered) == 1).alias("kept"),
             digest.alias("text_sha256"),
+            *row,
         )
     )
 
-    copies = spool(keyed.join(hot, "hash", "left_semi").select("doc_id", "chars", digest.alias("text_sha256")), "hot-copies")
-    rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"))
+    copies = spool(keyed.join(hot, "hash", "left_semi").select("doc_id", *row, "chars", digest.alias("text_sha256")), "hot-copies")
+    rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), *row)
     best = copies.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    best = best.select("text_sha256", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "group_size")
+    best = best.select("text_sha256", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), *[F.col("best.row").alias("keep_row") for _ in row], "group_size")
     copied = copies.join(F.broadcast(spool(best, "hot-groups")), "text_sha256")
+    if row_col:
+        return cold.unionByName(copied.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row"))
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
     # rows that repeat the id of the row that stays: only one of them is kept
     again = Window.partitionBy("text_sha256", "doc_id", "chars").orderBy("doc_id")
@@ -76,9 +81,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_groups keeps, with all their columns; ids must be unique for the rows to be told apart."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """The rows of `docs` that exact_groups keeps, one of each group, with all their columns; null and repeated ids are rows as others."""
+    rows = numbered(docs, "exact-rows")
+    kept = exact_groups(rows, id_col, text_col, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 @shipped

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import spool
+from tempora.llm.common import ROW, numbered, spool
 from tempora.shipping import shipped
 
 #: The weights that sources get in turn.
@@ -52,7 +52,7 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> D
     return filled.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "n_docs", "source_rank", "weight", "target")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES, row_col: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies for every row of `docs`.
 
     Null texts and texts without words have size 0 and take 0 words. A null source is a source of its own, the last in
@@ -61,9 +61,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Inclusion odds within a source are equal, since all its documents should be taken equally often; they differ
     between sources. A document that is too large for what is left is passed over and the ranking is followed further,
-    so a source misses its target by less than its boundary bucket's smallest document that isn't taken.
+    so a source misses its target by less than its boundary bucket's smallest document that isn't taken. With `row_col`, a
+    column of unique longs, the result has it as `row`.
     """
-    sized = spool(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    key = ["row"] if row_col else []
+    sized = spool(docs.select(F.col(id_col).alias("doc_id"), *[F.col(row_col).cast("long").alias(c) for c in key], F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     sources = spool(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, most), "sources")
     few = sources.count() <= BROADCAST_SOURCES
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -85,37 +87,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(begin < F.col("rest"), F.lit(2)).otherwise(F.lit(0))
     places = spool(sums.select("source_rank", "bucket", place.alias("place"), (F.col("rest") - begin).alias("room")), "rank-buckets")
     placed = drawn.join(places, ["source_rank", "bucket"])
-    out = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    out = ["doc_id", "source", "size", "source_size", "target", "whole", "extra", *key]
     simple = placed.where("place <> 2").withColumn("extra", F.col("place").cast("long")).select(*out)
 
-    row = F.struct("rank_key", "doc_id", "size")
+    row = F.struct("rank_key", "doc_id", "size", *key)
     walked = placed.where("place = 2").groupBy("source_rank").agg(
         F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.first("whole").alias("whole"), F.first("room").alias("room"), F.sort_array(F.collect_list(row)).alias("docs"),
     )
-    empty = F.array().cast("array<struct<doc_id:bigint,size:bigint,extra:bigint>>")
+    empty = F.array().cast("array<struct<doc_id:bigint,size:bigint,extra:bigint" + (",row:bigint>>" if key else ">>"))
 
     def step(acc, x):
         fits = x["size"] <= acc["room"]
-        item = F.struct(x["doc_id"].cast("long").alias("doc_id"), x["size"].alias("size"), fits.cast("long").alias("extra"))
+        item = F.struct(x["doc_id"].cast("long").alias("doc_id"), x["size"].alias("size"), fits.cast("long").alias("extra"), *[x[c].alias(c) for c in key])
         return F.struct((acc["room"] - F.when(fits, x["size"]).otherwise(F.lit(0))).cast("double").alias("room"), F.concat(acc["picks"], F.array(item)).alias("picks"))
 
     walked = walked.withColumn("walk", F.aggregate("docs", F.struct(F.col("room").cast("double").alias("room"), empty.alias("picks")), step))
     # one more document if it overshoots by less than what else would be missing
     spare = F.array_min(F.transform(F.filter(F.col("walk.picks"), lambda x: (x["extra"] == 0) & (x["size"] < 2 * F.col("walk.room"))), lambda x: F.struct(x["size"], x["doc_id"])))
     walked = walked.withColumn("spare", spare)
-    picks = F.transform("walk.picks", lambda x, i: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["extra"].alias("extra"), i.alias("i")))
+    picks = F.transform("walk.picks", lambda x, i: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["extra"].alias("extra"), i.alias("i"), *[x[c].alias(c) for c in key]))
     chosen = F.array_min(F.transform(F.filter(picks, lambda x: (x["extra"] == 0) & (x["size"] == F.col("spare.size")) & x["doc_id"].eqNullSafe(F.col("spare.doc_id"))), lambda x: x["i"]))
     walked = walked.select("source", "source_size", "target", "whole", chosen.alias("chosen"), F.explode(picks).alias("x"))
-    edge = walked.select(F.col("x.doc_id").alias("doc_id"), "source", F.col("x.size").alias("size"), "source_size", "target", "whole", (F.col("x.extra") + F.coalesce((F.col("x.i") == F.col("chosen")).cast("long"), F.lit(0))).alias("extra"))
+    edge = walked.select(F.col("x.doc_id").alias("doc_id"), "source", F.col("x.size").alias("size"), "source_size", "target", "whole", (F.col("x.extra") + F.coalesce((F.col("x.i") == F.col("chosen")).cast("long"), F.lit(0))).alias("extra"), *[F.col(f"x.{c}").alias(c) for c in key])
     mixed = simple.unionByName(edge.select(*out)).withColumn("copies", F.col("whole") + F.col("extra"))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"), *key)
 
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """`docs` with each row as often as the mix takes it (not at all, or up to `most` times); ids are to be unique."""
-    copies = mix(docs, id_col, text_col, source_col, **params).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies.where("_copies > 0").withColumnRenamed("doc_id", "_of"), F.col(id_col) == F.col("_of"))
+    """`docs` with each row as often as the mix takes it (not at all, or up to `most` times); null and repeated ids are rows as others."""
+    rows = numbered(docs, "mix-rows")
+    copies = mix(rows, id_col, text_col, source_col, row_col=ROW, **params).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").cast("int").alias("_copies"))
+    taken = rows.join(copies, ROW)
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 

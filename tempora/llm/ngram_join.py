@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import planned_bytes, release, shuffle_partitions, spool
+from tempora.llm.common import ROW, numbered, planned_bytes, release, shuffle_partitions, spool
 from tempora.llm.components import components
 from tempora.llm.shingles import sets_of, shingles_of, text_chunks, word_hashes
 from tempora.shipping import shipped
@@ -278,9 +278,15 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The row of `docs` with the smallest id of each component, with all its columns."""
-    kept = classes_and_components(docs, id_col, text_col, words, percent).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """One row of each component of `docs`, with all its columns: the one with the smallest id, null ids last.
+
+    Rows are compared as rows, so that null ids are compared too and rows of one id and different texts stay apart.
+    """
+    rows = numbered(docs, "near-rows")
+    found = classes_and_components(rows, ROW, text_col, words, percent).select(F.col("doc_id").alias(ROW), "component_id")
+    rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(ROW).alias(ROW))
+    kept = rows.select(ROW, id_col).join(found, ROW).groupBy("component_id").agg(F.min(rank).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
 
 
 @shipped

@@ -285,3 +285,27 @@ def test_language(spark):
         assert worth(labels.tolist()) == pytest.approx(max(worth(p) for p in itertools.product(range(k), repeat=n)), abs=1e-4)
     both = language.viterbi(np.vstack([s, s]), np.array([len(s), 0, len(s)]), 0.7)
     assert both[: len(s)].tolist() == both[len(s) :].tolist()
+
+
+def test_stages_tell_rows_apart(spark):
+    """Null and repeated ids in every stage: rows are lost or kept by their texts only."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    one, two, three = (" ".join(words(k, 60)) for k in (11, 12, 13))
+    data = [(1, one, "a"), (1, one, "a"), (1, two, "a"), (None, three, "a"), (None, three + " end", "a"), (2, one + " ", "a"), (3, "12 34", "a"), (3, two + " x", "a")]
+    docs = table(spark, data)
+    seen = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    assert seen(stages["language"](spark, docs, "")) == sorted((i or 0, t) for i, t, _ in data if t != "12 34")
+    assert seen(stages["exact dedup"](spark, docs, "")) == sorted([(2, one + " "), (1, two), (0, three), (0, three + " end"), (3, "12 34"), (3, two + " x")])
+    near = stages["near dedup"](spark, docs, "")
+    assert near.columns == docs.columns and [i for i, _ in seen(near)] == [0, 1, 1, 3] and (3, "12 34") in seen(near)
+    again = exact_dedup.drop_copies(table(spark, [(None, "same text", "a")] * 50 + [(7, "same text", "a")] * 3 + [(8, f"t{k}", "a") for k in range(9)]))
+    assert len(seen(again)) == 10 and seen(again)[0] == (7, "same text")
+    mixed = stages["mix"](spark, table(spark, [(None, f"{k} a b", "a") for k in range(20)] + [(5, f"{k} " * (k + 1), "b") for k in range(20)]), "")
+    taken = {}
+    for r in mixed.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + len(r["text"].split())
+    want = plain_fill({"a": 60, "b": 210})
+    assert all(abs(taken[s] - want[s]) <= 20 for s in want)
+    assert stages["pack"](spark, docs, "").agg(F.sum("length")).first()[0] == sum(len(packing.Encoder(TOKENIZER.path("byte_bpe_50k.json"))(t)) // 4 + 1 for _, t, _ in data)
