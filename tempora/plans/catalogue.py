@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tempora import schemas
 from tempora.functions import arrays, coords, dates, text
+from tempora.llm.common import ROW, numbered, spool
 from tempora.operators import adjudicate, candidates, clean, errors, geocode, graph, matching, relations, scoring, views
 from tempora.shipping import shipped
 
@@ -310,37 +311,64 @@ def page_ingest(spark, d):
     return table(spark, d, "pages").select("page_id", pages.language("html").alias("language"), F.size(F.split(F.trim("html"), r"[ \t\n\r]+")).cast("long").alias("word_count"))
 
 
-#: Benchmark passages are few by nature; more of them are matched in blocks by the corpus operators.
-MOST_PASSAGES = 20_000
+#: Words of the shingle by which a passage finds the texts that may hold it.
+PASSAGE_WORDS = 5
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
-    """The benchmark's passages, to be compared with every document; their number is checked, and they are broadcast."""
-    rows = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
-    if rows.count() > MOST_PASSAGES:
-        raise ValueError(f"more than {MOST_PASSAGES} passages")
-    return F.broadcast(rows)
+    """The benchmark's passages; null ones are in no text."""
+    return table(spark, d, "benchmark").where("text IS NOT NULL").select("item_id", F.col("text").alias("passage"))
+
+
+def quoting(docs: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Rows of `docs` with each row of `quotes` whose `quote` is in their `body`, for any number of quotes.
+
+    Where a text holds a quote, all words of the quote but the first and the last are words of the text. A quote is found
+    by a hash of its first PASSAGE_WORDS inner words, or of its longest if there are fewer, and then looked up in the text;
+    quotes of one or two words have no inner word and are compared with every text.
+    """
+    docs, quotes = numbered(docs, "texts").withColumnRenamed(ROW, "doc_row"), numbered(quotes, "quotes").withColumnRenamed(ROW, "quote_row")
+    n = F.size("words")
+    inner = F.slice("words", 2, F.greatest(n - 2, F.lit(0)))
+    kind = F.when(n >= PASSAGE_WORDS + 2, PASSAGE_WORDS).when(n >= 3, 1).otherwise(0)
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    shingle = F.when(n >= PASSAGE_WORDS + 2, F.array_join(F.slice("words", 2, PASSAGE_WORDS), " ")).otherwise(longest)
+    split = quotes.withColumn("words", F.split("quote", " "))
+    keyed = spool(split.select("quote_row", kind.alias("kind"), F.xxhash64(kind, shingle).alias("key")), "quote-keys")
+    kinds = {r["kind"] for r in keyed.select("kind").distinct().collect()}  # three at most
+
+    words = docs.select("doc_row", F.split("body", " ").alias("words"))
+    found = {
+        PASSAGE_WORDS: F.transform(F.sequence(F.lit(1), n - PASSAGE_WORDS + 1), lambda i: F.xxhash64(F.lit(PASSAGE_WORDS), F.array_join(F.slice("words", i, PASSAGE_WORDS), " "))),
+        1: F.transform("words", lambda x: F.xxhash64(F.lit(1), x)),
+    }
+    rows = docs.join(quotes.join(keyed.where("kind = 0"), "quote_row", "left_semi"), F.contains("body", "quote"))
+    for k in sorted(kinds - {0}):
+        keys = words.where(n >= k).select("doc_row", F.explode(F.array_distinct(found[k])).alias("key"))
+        pairs = keys.join(keyed.where(F.col("kind") == k), "key").select("doc_row", "quote_row")
+        rows = rows.unionByName(docs.join(pairs, "doc_row").join(quotes, "quote_row").where(F.contains("body", "quote")).select(*rows.columns))
+    return rows.drop("doc_row", "quote_row")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(regexp_replace(d.text, '[ \\t\\n\\r]+', ' ', 'g'), regexp_replace(trim(b.text), '[ \\t\\n\\r]+', ' ', 'g'))".replace("\\\\", "\\"))
 def evidence_exact(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.norm_space("text").alias("body"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.norm_space("text").alias("body"))
     quotes = passages(spark, d).withColumn("quote", text.norm_space("passage"))
-    return docs.join(quotes, F.contains("body", "quote")).select("doc_id", "item_id")
+    return quoting(docs, quotes).select("doc_id", "item_id")
 
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(regexp_replace(d.text, '[ \\t\\n\\r]+', ' ', 'g')), lower(regexp_replace(trim(b.text), '[ \\t\\n\\r]+', ' ', 'g')))".replace("\\\\", "\\"))
 def evidence_casefold(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", text.norm("text").alias("body"))
-    return docs.join(passages(spark, d).withColumn("quote", text.norm("passage")), F.contains("body", "quote")).select("doc_id", "item_id")
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.norm("text").alias("body"))
+    return quoting(docs, passages(spark, d).withColumn("quote", text.norm("passage"))).select("doc_id", "item_id")
 
 
 @query("""WITH x AS (SELECT doc_id, item_id, regexp_replace(trim(d.text), '[ \\t\\n\\r]+', ' ', 'g') AS b, regexp_replace(trim(bm.text), '[ \\t\\n\\r]+', ' ', 'g') AS q FROM documents d JOIN benchmark bm
 ON contains(regexp_replace(d.text, '[ \\t\\n\\r]+', ' ', 'g'), regexp_replace(trim(bm.text), '[ \\t\\n\\r]+', ' ', 'g'))), y AS (SELECT *, strpos(replace(lower(b), 'ß', 'ss'), replace(lower(q), 'ß', 'ss')) AS p FROM x)
 SELECT doc_id, item_id, trim(substr(b, greatest(p - 40, 1), p + length(q) + 40 - greatest(p - 40, 1))) AS context FROM y""".replace("\\\\", "\\"))
 def nearby_context(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", text.norm_space("text").alias("body"))
-    found = docs.join(passages(spark, d).withColumn("quote", text.norm_space("passage")), F.contains("body", "quote"))
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text", text.norm_space("text").alias("body"))
+    found = quoting(docs, passages(spark, d).withColumn("quote", text.norm_space("passage")))
     return found.select("doc_id", "item_id", text.nearby("text", "passage", 40).alias("context"))
 
 
