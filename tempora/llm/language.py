@@ -21,7 +21,7 @@ from tempora.shipping import shipped
 
 #: Rows to learn from for each language (about so many, by a hash of their id), and code points taken of each: the model's sample is bounded by these.
 TRAIN_ROWS, TRAIN_CHARS = 1500, 2000
-#: Languages that a model may have.
+#: Languages that a model may have: its table and the scores of a batch grow with them.
 MOST_LANGUAGES = 400
 #: log2 of the number of hashed trigrams; nats that a change of language costs; most nats that one word may tell.
 TABLE_BITS, SWITCH_PENALTY, WORD_LIMIT = 16, 12.0, 6.0
@@ -125,9 +125,14 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """A model of about `rows` rows of each language with a non-null label, the first by a hash of their id, `chars` code points of each."""
+    """A model of about `rows` rows of each language with a non-null label, the first by a hash of their id, `chars` code points of each.
+
+    More than MOST_LANGUAGES labels are an error; no label is left out.
+    """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not counts:
         return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, rows / r["count"]))])
@@ -140,8 +145,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The label of each word: texts of `sizes` words one behind another, a change of label inside a text costs `penalty`.
 
-    A text in which no other label gains more than the penalty over any run of words keeps its best single label; the
-    others are walked together, word by word.
+    A text in which no other label gains more than half the penalty over any run of words keeps its best single label: n
+    runs of other labels cost n - 1 penalties at least, and one run is the whole text or costs one. The other texts are
+    walked together, word by word.
     """
     n, languages = scores.shape
     labels = np.zeros(n, dtype=np.int32)
@@ -162,7 +168,7 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENAL
     before = np.vstack([np.zeros((1, languages)), sums[:-1]]) - fall
     most = (lowered - np.minimum.accumulate(before, axis=0)).max(axis=1)
     unsure = np.zeros(len(sizes), dtype=bool)
-    unsure[some] = np.maximum.reduceat(most, starts[some]) > penalty - 1e-6
+    unsure[some] = np.maximum.reduceat(most, starts[some]) > penalty / 2 - 1e-6
     todo = np.flatnonzero(unsure)
     todo = todo[np.argsort(-sizes[todo], kind="stable")]
     at = 0

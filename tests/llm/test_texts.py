@@ -309,3 +309,19 @@ def test_stages_tell_rows_apart(spark):
     want = plain_fill({"a": 60, "b": 210})
     assert all(abs(taken[s] - want[s]) <= 20 for s in want)
     assert stages["pack"](spark, docs, "").agg(F.sum("length")).first()[0] == sum(len(packing.Encoder(TOKENIZER.path("byte_bpe_50k.json"))(t)) // 4 + 1 for _, t, _ in data)
+
+
+def test_viterbi_of_two_halves():
+    """Two neighbouring runs of other languages pay one change; a third language isn't taken for both."""
+    import numpy as np
+
+    scores = np.array([[0, -6, -2.5]] * 4 + [[-6, 0, -2.5]] * 4, dtype=np.float32)
+    assert language.viterbi(scores, np.array([8]), 12.0).tolist() == [0] * 4 + [1] * 4
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    df = spark.createDataFrame([(k, "some text", f"l{k}", "s", 0) for k in range(3)], SCHEMA)
+    with pytest.raises(ValueError):
+        language.learn(df)
+    assert len(language.learn(df.where("doc_id < 2")).languages) == 2
