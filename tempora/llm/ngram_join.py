@@ -1,15 +1,23 @@
 """N-gram Jaccard join by grouped prefixes.
 
-A text's set is its distinct word shingles, as 64-bit hashes. All sets are sorted in one order, rare shingles first (by
-a table of counts of fixed size, over all texts), and a set's prefix is so long that two sets similar enough share a
-shingle of their prefixes. Texts with the same prefix and the same size form a group; groups that share a prefix shingle
-meet, and pairs of groups whose sizes allow the similarity are expanded to their members and verified on whole sets.
-
-Texts with equal sets are one class, and classes stand for their texts. What is asked for is which classes links
-connect, so pairs are verified in rounds: first each class with one class that it shares most prefix shingles with;
-then, after joining the connected, only pairs across what isn't connected yet, all of them in the last round. A pair
-is one only if a shared shingle stands so early in both prefixes that enough others can follow. No link
-between different components can be missed, and a cluster of many near copies doesn't become all its pairs.
+A text's set is its distinct word shingles, as 64-bit hashes; texts with equal sets are one class. All sets are sorted in
+one order, rare shingles first, and a set's prefix is so long that two sets similar enough share a shingle of their
+prefixes.
+
+Most sets share too few shingles with any other to have a link at all. These go first: each set sends the shingles of
+smallest hash, somewhat more than a prefix in hash order, and stays open only if enough of them are in another set. Only
+of the open sets every shingle is counted, exactly, and their prefixes are in order of these counts. Shingles that no
+other open set has take places in the prefix but aren't sent on.
+
+Sets with the same prefix (of shingles that others have, too) and the same size form a group. Groups that share a prefix
+shingle meet, and pairs of groups are filtered by size and by the places of the shared shingle: it has to stand so early
+in both that enough others can follow. Only pairs of groups that pass are expanded to their members, which are verified
+on whole sets.
+
+What is asked for is which classes links connect, so pairs are verified in rounds: first a group's members with one of
+them, then each group with the group that it shares most prefix shingles with; then, after joining the connected, only
+pairs across what isn't connected yet, all of them in the last round. No link between different components can be
+missed, and a cluster of many near copies doesn't become all its pairs.
 """
 
 from __future__ import annotations
@@ -21,179 +29,244 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.common import ROW, numbered, planned_bytes, release, shuffle_partitions, spool
 from tempora.llm.components import components
-from tempora.llm.shingles import sets_of, shingles_of, text_chunks, word_hashes
+from tempora.llm.shingles import sets_of
 from tempora.shipping import shipped
 
-#: log2 of the size of the table of shingle counts that the order of shingles is made by.
-TABLE_BITS = 20
-#: Input bytes whose prefix shingles one bucket holds, about; shingles that a task gathers before it deals them out.
-BUCKET_BYTES, FLUSH = 8 << 20, 600_000
-#: A shingle with so many sets in one task's part is dealt by set, not by shingle, so that no bucket holds all of them.
-LONG_RUN = 256
-#: Places in a prefix beyond this count as this one, which only lets more pairs through.
-MOST_PLACE = 65_535
+#: Input bytes whose sent shingles one bucket holds, about.
+BUCKET_BYTES = 16 << 20
+#: Shingles that a task gathers before it deals them out: in the first pass, and of open sets.
+FLUSH, OPEN_FLUSH = 1_000_000, 400_000
 #: Up to so many ids are broadcast to pick their texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds in which each class meets one partner, before the round of all pairs.
-STAR_ROUNDS = 3
+#: Rounds in which each group meets one partner, before the round of all pairs.
+STAR_ROUNDS = 4
+#: Stands for any class where a shingle is known to be in several sets.
+SEVERAL = -1
 
-_OUT = "kind int, doc_id long, n int, grp long, sig binary, token long"
+_SCANNED = "kind int, bucket int, doc_id long, text_key long, n int, cls long, data binary"
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Shingles of a set of n of which sets with the similarity share one."""
-    return n - -(-percent * n // 100) + 1
-
+def least_shared(n: int, percent: int) -> int:
+    """Shingles of a set of n that a set with the similarity shares at least."""
+    return -(-percent * n // 100)
 
-def shingle_counts(texts: DataFrame, k: int, bits: int = TABLE_BITS) -> np.ndarray:
-    """Counts of all shingles of the column `text`, by the first bits of their hashes; 2 ** bits numbers whatever the input."""
-    slices = 16
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+def prefix_length(n: int, percent: int) -> int:
+    """Shingles of a set of n of which sets with the similarity share one."""
+    return n - least_shared(n, percent) + 1
+
+
+def depth(n: int, percent: int) -> int:
+    """So many shared shingles the first pass asks for: the prefix is longer by as many."""
+    return max(1, (n - least_shared(n, percent)) // 2)
+
+
+def _least_depth(n: str, percent: int) -> Column:
+    """The depth of the smallest set that may be similar to one of n: of the shared shingles of smallest hash at least so many are in both prefixes."""
+    return F.expr(f"greatest(1, (({percent}L * {n} + 99) div 100 - ({percent}L * (({percent}L * {n} + 99) div 100) + 99) div 100) div 2)")
+
+
+def class_of(found: np.ndarray) -> int:
+    """The class of a set, by 64 bits of a hash of all its shingles."""
+    cls = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+    return cls if cls != SEVERAL else cls - 1
+
+
+def _dealt(where: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, rows, columns one behind another as bytes), rows by `where`."""
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[b] : cuts[b + 1]]
+        yield b, len(at), b"".join(np.ascontiguousarray(c[at]).tobytes() for c in columns)
+
+
+def _undealt(pieces: pd.Series, *types: str) -> list[np.ndarray]:
+    width = sum(np.dtype(t).itemsize for t in types)
+    out: list[list[np.ndarray]] = [[] for _ in types]
+    for data in pieces:
+        n, at = len(data) // width, 0
+        for k, t in enumerate(types):
+            size = n * np.dtype(t).itemsize
+            out[k].append(np.frombuffer(data[at : at + size], dtype=t))
+            at += size
+    return [np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in zip(out, types)]
+
+
+def _begins(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where one of the keys changes."""
+    new = np.ones(len(sorted_keys[0]), dtype=bool)
+    if len(new):
+        new[1:] = False
+        for key in sorted_keys:
+            new[1:] |= key[1:] != key[:-1]
+    return new
+
+
+def _part(classes: np.ndarray, buckets: int) -> np.ndarray:
+    return np.mod(classes, buckets).astype(np.int64)
+
+
+def _scanned(texts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """Rows of kind 0, one for each text; of kind 1, sent shingles (32 bits of them, class) by bucket; of kind 2, shared shingles counted by class."""
+    schema = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("cls", pa.int64()), ("data", pa.binary())])
+
+    def packed(kind: int, pieces: Iterator[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        rows = [(kind, b, None, None, n, None, data) for b, n, data in pieces]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+    def deal(prefixes: list[np.ndarray], classes: list[int]) -> Iterator[pa.RecordBatch]:
+        names = np.array(classes, dtype=np.int64)
+        tokens = np.concatenate(prefixes)
+        of = np.repeat(np.arange(len(names)), [len(x) for x in prefixes])
+        order = np.argsort(tokens, kind="stable")
+        tokens, of = tokens[order], of[order]
+        new = _begins(tokens)
+        sizes = np.diff(np.concatenate((np.flatnonzero(new), [len(new)])))
+        shared = np.repeat(sizes > 1, sizes)
+        have = np.bincount(of[shared], minlength=len(names))
+        some = np.flatnonzero(have)
+        yield from packed(2, _dealt(_part(names[some], buckets), buckets, names[some], have[some].astype("<u4")))
+        sent = ~shared | new  # of a shingle that several sets of this task have, one row
+        tokens, cls = tokens[sent], np.where(shared[sent], SEVERAL, names[of[sent]])
+        yield from packed(1, _dealt((tokens % np.uint64(buckets)).astype(np.int64), buckets, (tokens >> np.uint64(32)).astype("<u4"), cls.astype("<i8")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes: list[np.ndarray] = []
+        classes: dict[int, None] = {}
+        held = 0
         for batch in batches:
-            for _, data, offsets in text_chunks(batch.column(0)):
-                with np.errstate(over="ignore"):
-                    found = shingles_of(*word_hashes(data, offsets), k)
-                total += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        if total.any():
-            parts = [p.astype("<u4").tobytes() for p in np.split(np.minimum(total, (1 << 32) - 1), slices)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+            sizes, names = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int64)
+            for row, found in sets_of(batch.column(2), k):
+                n = len(found)
+                if not n:
+                    continue
+                sizes[row], names[row] = n, class_of(found)
+                if int(names[row]) not in classes:
+                    classes[int(names[row])] = None
+                    prefixes.append(found[: min(n, prefix_length(n, percent) - 1 + depth(n, percent))].copy())
+                    held += len(prefixes[-1])
+            nothing = pa.nulls(batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), nothing, batch.column(0), batch.column(1), pa.array(sizes), pa.array(names), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
+            if held >= FLUSH:
+                yield from deal(prefixes, list(classes))
+                prefixes, classes, held = [], {}, 0
+        if prefixes:
+            yield from deal(prefixes, list(classes))
 
-    def add(part: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, dtype="<u4").astype(np.uint64) for x in part["counts"])
-        return pd.DataFrame({"slice": part["slice"].iloc[:1], "counts": [np.minimum(total, np.uint64((1 << 32) - 1)).astype("<u4").tobytes()]})
+    return texts.select("doc_id", "text_key", "text").mapInArrow(run, _SCANNED)
 
-    rows = texts.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect()
-    out = np.zeros(1 << bits, dtype=np.uint32)
-    for r in rows:
-        width = (1 << bits) // slices
-        out[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["counts"], dtype="<u4")
-    return out
 
+def _open_classes(scanned: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """The classes of which enough of the sent shingles are in another set, too."""
 
-def _signed(values: np.ndarray) -> np.ndarray:
-    return values.astype(np.uint64).view(np.int64)
+    def meet(part: pd.DataFrame) -> pd.DataFrame:
+        tokens, cls = _undealt(part["data"], "<u4", "<i8")
+        order = np.lexsort((cls, tokens))
+        tokens, cls = tokens[order], cls[order]
+        once = _begins(tokens, cls)
+        tokens, cls = tokens[once], cls[once]
+        sizes = np.diff(np.concatenate((np.flatnonzero(_begins(tokens)), [len(tokens)])))
+        names, have = np.unique(cls[np.repeat(sizes > 1, sizes) & (cls != SEVERAL)], return_counts=True)
+        return pd.DataFrame([(b, data) for b, _, data in _dealt(_part(names, buckets), buckets, names, have.astype("<u4"))], columns=["bucket", "data"])
 
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        cls, have = _undealt(part["data"], "<i8", "<u4")
+        names, of = np.unique(cls, return_inverse=True)
+        return pd.DataFrame({"name": names, "have": np.bincount(of, weights=have, minlength=len(names)).astype(np.int64)})
 
-def _hash64(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+    met = scanned.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInPandas(meet, "bucket int, data binary")
+    have = met.unionByName(scanned.where("kind = 2").select("bucket", "data")).groupBy("bucket").applyInPandas(add, "name long, have long")
+    return classes.join(have, F.col("cls") == F.col("name")).where(F.col("have") >= _least_depth("n", percent)).select("cls", "text_key")
 
 
-def prefixes(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows of kind 0, one for each text (doc_id, n, grp, sig), and of kind 1 (token, grp, and as n its place in the prefix): groups that share a prefix shingle with another."""
-    bits = TABLE_BITS
-    levels = np.log2(shingle_counts(texts, k, bits).astype(np.float64) + 1).astype(np.uint8)
-    level_of = texts.sparkSession.sparkContext.broadcast(levels)  # 2 ** TABLE_BITS bytes
-    buckets = max(shuffle_partitions(texts.sparkSession), math.ceil(planned_bytes(texts) / BUCKET_BYTES))
-    schema = "bucket int, kind int, doc_id long, n int, grp long, sig binary, tokens binary, groups binary, sizes binary, places binary"
-    names = [c.split()[0] for c in schema.split(", ")]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """cls, n, before, grp, tokens, members: the open sets of which enough shingles are in another open set.
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+    `tokens` are the shingles of the prefix that others have, in order; `before` so many that no other has stand before
+    them; `members` is the whole set.
+    """
+    few = chosen.count() <= BROADCAST_IDS
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = level_of.value
-        known: set[int] = set()  # groups of which the prefix is dealt out already
-        gathered: list[tuple[np.ndarray, int, int]] = []
-        held = 0
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, sets = TaskContext.get().partitionId() << 32, 0, {}
 
-        def deal() -> Iterator[pa.RecordBatch]:
-            tokens = np.concatenate([g[0] for g in gathered])
-            groups = np.repeat(np.array([g[1] for g in gathered], dtype=np.int64), [len(g[0]) for g in gathered])
-            sizes = np.repeat(np.array([g[2] for g in gathered], dtype=np.int32), [len(g[0]) for g in gathered])
-            places = np.concatenate([np.minimum(np.arange(len(g[0])), MOST_PLACE) for g in gathered]).astype("<u2")
-            order = np.argsort(tokens, kind="stable")
-            tokens, groups, sizes, places = tokens[order], groups[order], sizes[order], places[order]
-            run = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
-            long = np.repeat(np.diff(run) >= LONG_RUN, np.diff(run))
-            marks = tokens[run[:-1]][np.diff(run) >= LONG_RUN]
-            if long.any():  # by the group
-                where = (groups[long] % buckets).astype(np.int64)
-                for b in np.unique(where):
-                    at = np.flatnonzero(long)[where == b]
-                    yield batch_of([(int(b), 2, 0, 0, 0, None, tokens[at].tobytes(), groups[at].tobytes(), sizes[at].tobytes(), places[at].tobytes())])
-            tokens = np.concatenate((tokens[~long], marks))
-            groups = np.concatenate((groups[~long], np.zeros(len(marks), np.int64)))
-            places = np.concatenate((places[~long], np.zeros(len(marks), "<u2")))
-            sizes = np.concatenate((sizes[~long], np.full(len(marks), -1, np.int32)))  # a mark: this shingle is dealt by set elsewhere
-            where = (tokens % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                at = order[cuts[b] : cuts[b + 1]]
-                if len(at):
-                    yield batch_of([(b, 1, 0, 0, 0, None, tokens[at].tobytes(), groups[at].tobytes(), sizes[at].tobytes(), places[at].tobytes())])
+        def flushed() -> pa.RecordBatch:
+            row = (number, np.array(list(sets), dtype="<i8").tobytes(), np.array([len(x) for x in sets.values()], dtype="<i4").tobytes(), b"".join(x.tobytes() for x in sets.values()))
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["flush", "classes", "sizes", "tokens"])
 
         for batch in batches:
-            rows = []
-            ids = batch.column(0).to_pylist()
-            for row, found in sets_of(batch.column(1), k):
-                n = len(found)
-                if not n:
-                    rows.append(((ids[row] or 0) % buckets, 3 if ids[row] is None else 0, ids[row] or 0, 0, 0, None, None, None, None, None))
-                    continue
-                key = (level[(found >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6))
-                prefix = found[np.argsort(key, kind="stable")[: prefix_length(n, percent)]]
-                group = _hash64(n.to_bytes(8, "little"), prefix.tobytes())
-                rows.append((group % buckets, 3 if ids[row] is None else 0, ids[row] or 0, n, group, hashlib.blake2b(found.tobytes(), digest_size=16).digest(), None, None, None, None))
-                if group not in known:
-                    known.add(group)
-                    gathered.append((prefix, group, n))
-                    held += len(prefix)
-            if rows:
-                yield batch_of(rows)
-            if held >= FLUSH:
-                yield from deal()
-                gathered, held = [], 0
-                known.clear()
-        if gathered:
-            yield from deal()
-
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        # no null integers on the way here: pandas would turn their column into floats
-        own = part[part["kind"].isin((0, 3))]
-        ids = own["doc_id"].astype("Int64").mask((own["kind"] == 3).to_numpy())
-        out = [pd.DataFrame({"kind": 0, "doc_id": ids, "n": own["n"].astype("Int64"), "grp": own["grp"].astype("Int64"), "sig": own["sig"], "token": pd.array([None] * len(own), "Int64")})]
-        for kind in (1, 2):
-            rows = part[part["kind"] == kind]
-            if not len(rows):
-                continue
-            tokens, groups, sizes, places = (np.concatenate([np.frombuffer(x, dtype=t) for x in rows[c]]) for c, t in (("tokens", "<u8"), ("groups", "<i8"), ("sizes", "<i4"), ("places", "<u2")))
-            order = np.lexsort((groups, tokens))
-            tokens, groups, sizes, places = tokens[order], groups[order], sizes[order], places[order]
-            new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (groups[1:] != groups[:-1]) | (sizes[1:] != sizes[:-1])))
-            tokens, groups, sizes, places = tokens[new], groups[new], sizes[new], places[new]
-            if kind == 1:  # shingles of one group only go
-                run = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
-                keep = np.repeat(np.diff(run) > 1, np.diff(run)) & (sizes > 0)
-                tokens, groups, places = tokens[keep], groups[keep], places[keep]
-            n = len(tokens)
-            out.append(pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * n, "Int64"), "n": pd.array(places, "Int64"), "grp": pd.array(groups, "Int64"), "sig": [None] * n, "token": pd.array(_signed(tokens), "Int64")}))
-        return pd.concat(out, ignore_index=True)
-
-    dealt = texts.select("doc_id", "text").mapInArrow(scan, schema)
-    return dealt.groupBy("bucket").applyInPandas(meet, _OUT)
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar enough. Sets of b travel once for each pair, sets of a once."""
-    few = pairs.count() <= BROADCAST_IDS
-    small = F.broadcast if few else lambda x: x
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, found in sets_of(batch.column(0), k):
+                name = class_of(found)
+                if name not in sets:
+                    sets[name] = found.copy()
+                    held += len(found)
+                if held >= OPEN_FLUSH:
+                    yield flushed()
+                    number, held, sets = number + 1, 0, {}
+        if sets:
+            yield flushed()
+
+    picked = texts.join(F.broadcast(chosen) if few else chosen, "text_key", "left_semi").select("text")
+    flushes = spool(picked.mapInArrow(gather, "flush long, classes binary, sizes binary, tokens binary"), "open-sets", "none")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [(row, found.tobytes()) for row, found in sets_of(batch.column(batch.num_columns - 1), k)]
-            if made:
-                rows = pa.array([m[0] for m in made])
-                columns = [batch.column(c).take(rows) for c in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([m[1] for m in made], pa.binary())], names=[str(c) for c in range(batch.num_columns)])
+            for flush, data in zip(batch["flush"], batch["tokens"]):
+                tokens, counts = np.unique(np.frombuffer(data, dtype="<u8"), return_counts=True)
+                pieces = _dealt((tokens % np.uint64(buckets)).astype(np.int64), buckets, tokens, counts.astype("<u4"))
+                yield pd.DataFrame([(b, flush, piece) for b, _, piece in pieces], columns=["bucket", "flush", "data"])
+
+    def tally(part: pd.DataFrame) -> pd.DataFrame:
+        """For each piece its shingles that several sets have, with their counts over all."""
+        tokens, counts = _undealt(part["data"], "<u8", "<u4")
+        distinct, of = np.unique(tokens, return_inverse=True)
+        total = np.bincount(of, weights=counts, minlength=len(distinct)).astype("<u4")[of]
+        rows, at = [], 0
+        for flush, data in zip(part["flush"], part["data"]):
+            n = len(data) // 12
+            several = total[at : at + n] > 1
+            rows.append((flush, tokens[at : at + n][several].tobytes() + total[at : at + n][several].tobytes()))
+            at += n
+        return pd.DataFrame(rows, columns=["flush", "data"])
+
+    def order(own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        known, counts = _undealt(replies["data"], "<u8", "<u4")
+        by_token = np.argsort(known, kind="stable")
+        known, counts = known[by_token], counts[by_token]
+        for classes, sizes, tokens in zip(own["classes"], own["sizes"], own["tokens"]):
+            every, at = np.frombuffer(tokens, dtype="<u8"), 0
+            place = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
+            df = np.where(known[place] == every, counts[place], 1) if len(known) else np.ones(len(every), np.uint32)
+            for cls, n in zip(np.frombuffer(classes, dtype="<i8").tolist(), np.frombuffer(sizes, dtype="<i4").tolist()):
+                found, often = every[at : at + n], df[at : at + n]
+                at += n
+                several = often > 1
+                before = n - int(several.sum())
+                if before > n - least_shared(n, percent):
+                    continue  # too few shingles are left for a link
+                mine = found[several]
+                prefix = mine[np.lexsort((mine, often[several]))[: prefix_length(n, percent) - before]]
+                group = hashlib.blake2b(n.to_bytes(8, "little") + before.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
+                rows.append((cls, n, before, int.from_bytes(group, "little", signed=True), prefix.view(np.int64), found.tobytes()))
+        return pd.DataFrame(rows, columns=["cls", "n", "before", "grp", "tokens", "members"])
+
+    pieces = flushes.select("flush", "tokens").mapInPandas(count, "bucket int, flush long, data binary")
+    replies = pieces.groupBy("bucket").applyInPandas(tally, "flush long, data binary")
+    ordered = flushes.groupBy("flush").cogroup(replies.groupBy("flush")).applyInPandas(order, "cls long, n int, before int, grp long, tokens array<long>, members binary")
+    return ordered
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar enough. Sets of b travel once for each pair, sets of a once."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,52 +282,56 @@ def _verified(texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataF
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
-    left = texts.join(small(pairs.select("a").distinct()), F.col("doc_id") == F.col("a")).select("a", "text").mapInArrow(hashed, "a long, x binary")
-    right = texts.join(small(pairs), F.col("doc_id") == F.col("b")).select("a", "b", "text").mapInArrow(hashed, "a long, b long, y binary")
+    small = F.broadcast if pairs.count() <= BROADCAST_IDS else lambda x: x
+    left = sets.join(small(pairs.select("a").distinct()), F.col("cls") == F.col("a")).select("a", F.col("members").alias("x"))
+    right = sets.join(small(pairs), F.col("cls") == F.col("b")).select("a", "b", F.col("members").alias("y"))
     return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
 
 
-def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for every row of `docs`.
-
-    ASCII letters are lower-cased; words are runs of other than ASCII white space. Null texts and texts without words
-    have no shingle and no link: class and component are their own id. Texts of fewer words than a shingle have one
-    shingle of all of them. Rows that repeat an id are expected to repeat its text. Ids that are null get a null
-    component unless their text has an equal. Other columns are ignored; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = spool(prefixes(texts, words, percent), "prefixes", "none")
-    rows = found.where("kind = 0").select("doc_id", "n", "grp", "sig")
-    filled = rows.where("n > 0")
-    classes = spool(filled.groupBy("grp", "sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n")), "classes", "none")
-
-    # groups expanded to their classes; the classes of a group meet under the group's own hash
-    shared = found.where("kind = 1").select("token", "grp", F.col("n").alias("place"))
-    several = classes.groupBy("grp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("grp").alias("token"), "grp", F.lit(0).alias("place"))
-    member = classes.where("class_id IS NOT NULL").select("grp", F.col("class_id").alias("id"), "n")
-    runs = spool(shared.unionByName(several).join(member, "grp").select("token", "id", "n", "place"), "runs", "none")
+def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
+    """node, component: what links between the candidates connect."""
+    spark = candidates.sparkSession
+    sets = candidates.select("cls", "members").dropDuplicates(["cls"])
+    members = candidates.select("cls", "grp").distinct()
+    first = candidates.select("grp", "n", "before", "tokens").dropDuplicates(["grp"])
+    runs = first.select("grp", "n", "before", F.posexplode("tokens").alias("pos", "token")).select("token", "grp", "n", (F.col("before") + F.col("pos")).alias("place"))
+    met = runs.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    runs = spool(runs.join(met, "token"), "runs", "none")
+    members = spool(members, "members", "none")
 
     # sets of n and m need this overlap; the first shingle that they share has to leave room for it in both
     need = lambda n, m: f"(({percent}L * ({n} + {m}) + {100 + percent - 1}) div {100 + percent})"
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND place + {need('n', 'm')} <= n AND other_place + {need('n', 'm')} <= m")
     place, tested = None, None
-    for turn in range(STAR_ROUNDS + 1):
-        open_runs = runs.withColumn("at", F.col("id"))
+    for turn in range(STAR_ROUNDS + 2):
+        placed = members.withColumn("at", F.col("cls"))
         if place is not None:
-            open_runs = runs.join(place, F.col("id") == F.col("node"), "left").select("token", "id", "n", "place", F.coalesce("component", "id").alias("at"))
-            mixed = open_runs.groupBy("token").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("token")
+            placed = members.join(place, F.col("cls") == F.col("node"), "left").select("cls", "grp", F.coalesce("component", "cls").alias("at"))
+        one = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("hub"), F.col("at").alias("hub_at")))
+        state = placed.groupBy("grp").agg(F.min("at").alias("low"), F.max("at").alias("high"), one.alias("one")).select("grp", "low", "high", "one.hub", "one.hub_at")
+        state = spool(state, "groups", "none")
+        if turn == 0:  # inside groups
+            pairs = placed.join(state.where("low < high"), "grp").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+        else:
+            open_runs = runs.join(state.select("grp", "low", "high"), "grp")
+            mixed = open_runs.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
             open_runs = open_runs.join(mixed, "token")
-        if turn < STAR_ROUNDS:
-            # a shingle's hub: the class with fewest rarer shingles, which is nearest to what a cluster shares; in odd rounds any
-            first = F.expr(f"place + {need('n', 'n')} > n").cast("int") if turn % 2 else F.col("place")
-            rank = F.struct(first.alias("first"), F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("hub"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("at").alias("hub_at"))
+            apart = F.expr("NOT (low = high AND low = other_low AND low = other_high)")
+        if 0 < turn <= STAR_ROUNDS:
+            # a shingle's hub: the group with fewest rarer shingles, which is nearest to what a cluster shares; in even rounds any
+            lead = F.col("place") if turn % 2 else F.expr(f"place + {need('n', 'n')} > n").cast("int")
+            rank = F.struct(lead.alias("lead"), F.xxhash64(F.lit(turn), "grp").alias("h"), F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
             hubs = open_runs.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.*")
-            met = open_runs.join(hubs, "token").where((F.col("at") != F.col("hub_at")) & fits).groupBy("id", "hub").agg(F.count(F.lit(1)).alias("c"))
-            pairs = met.groupBy("id").agg(F.max(F.struct("c", "hub")).alias("x")).select(F.col("x.hub").alias("a"), F.col("id").alias("b"))
-        else:
-            other = open_runs.select(F.col("token"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("at").alias("other_at"))
-            pairs = open_runs.join(other, "token").where((F.col("id") < F.col("b")) & (F.col("at") != F.col("other_at")) & fits).select(F.col("id").alias("a"), "b").distinct()
+            shared = open_runs.join(hubs, "token").where((F.col("grp") != F.col("other")) & apart & fits).groupBy("grp", "other").agg(F.count(F.lit(1)).alias("c"))
+            chosen = shared.groupBy("grp").agg(F.max(F.struct("c", "other")).alias("x")).select("grp", F.col("x.other").alias("other"))
+            hub = state.select(F.col("grp").alias("other"), "hub", "hub_at")
+            pairs = placed.join(chosen, "grp").join(hub, "other").where("at <> hub_at").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+        elif turn:
+            other = open_runs.select("token", F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
+            grouped = open_runs.join(other, "token").where((F.col("grp") < F.col("other")) & apart & fits).select("grp", "other").distinct()
+            grouped = grouped.unionByName(state.where("low < high").select("grp", F.col("grp").alias("other")))
+            others = placed.select(F.col("grp").alias("other"), F.col("cls").alias("a"), F.col("at").alias("other_at"))
+            pairs = placed.join(grouped, "grp").join(others, "other").where("at <> other_at").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
         if tested is not None:
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(both, ["a", "b"], "left_anti")
@@ -262,17 +339,41 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
         if not pairs.head(1):
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = spool(_verified(texts, pairs, words, percent), "links", "none")
+        links = spool(_verified(sets, pairs, percent), "links", "none")
         if links.head(1):  # what was connected before counts as edges to its component
             before = links if place is None else links.unionByName(place.select(F.col("node").alias("a"), F.col("component").alias("b")))
             place = spool(components(before), "components", "none")
         release(spark)
+    return place
+
+
+def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id for every row of `docs`.
 
-    if place is None:
-        place = spark.createDataFrame([], "node long, component long")
-    named = filled.join(classes.select(F.col("grp").alias("g"), F.col("sig").alias("s"), "class_id"), (F.col("grp") == F.col("g")) & (F.col("sig") == F.col("s")))
-    named = named.join(place, F.col("class_id") == F.col("node"), "left")
-    linked = named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    ASCII letters are lower-cased; words are runs of other than ASCII white space. Null texts and texts without words
+    have no shingle and no link: class and component are their own id. Texts of fewer words than a shingle have one
+    shingle of all of them. Rows are told apart by id and text, so rows of one id and different texts are each compared,
+    and class and component are the smallest id of theirs; they are null if only rows without an id are in them. Other
+    columns are ignored; an empty table gives an empty result. Shingles and sets are compared by 64-bit hashes.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("text_key"), text.alias("text"))
+    buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(planned_bytes(texts) / BUCKET_BYTES))
+    scanned = spool(_scanned(texts, words, percent, buckets), "sets", "none")
+    rows = scanned.where("kind = 0").select("doc_id", "text_key", "n", "cls")
+    filled = rows.where("n > 0")
+    classes = spool(filled.groupBy("cls").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min("doc_id").alias("class_id")), "classes", "none")
+    chosen = spool(_open_classes(scanned, classes, percent, buckets), "open", "none")
+    candidates = spool(_candidates(texts, chosen, words, percent, buckets), "candidates", "none")
+    release(docs.sparkSession)
+    place = _links(candidates, percent)
+
+    named = classes.select("cls", "class_id", F.col("cls").alias("component"))
+    if place is not None:
+        named = classes.join(place, F.col("cls") == F.col("node"), "left").select("cls", "class_id", F.coalesce("component", "cls").alias("component"))
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = named.join(least, "component").select(F.col("cls").alias("name"), "class_id", "component_id")
+    linked = filled.join(named, F.col("cls") == F.col("name")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class_id", "component_id")
     empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
 

@@ -219,7 +219,8 @@ def plain_components(data, k, percent):
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
 def test_ngram_join(spark, monkeypatch, k, percent):
-    monkeypatch.setattr(ngram_join, "TABLE_BITS", 10)
+    monkeypatch.setattr(ngram_join, "FLUSH", 40)
+    monkeypatch.setattr(ngram_join, "OPEN_FLUSH", 30)
     data = rows(repeat=False) + [(60 + j, " ".join([*words(9, 100), *words(100 + j, j)]), "s") for j in range(14)]
     got = ngram_join.classes_and_components(table(spark, data), words=k, percent=percent).collect()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == plain_components([(i, t) for i, t, _ in data], k, percent)
