@@ -45,7 +45,7 @@ FLUSH, OPEN_FLUSH = 1_000_000, 400_000
 #: Up to so many ids are broadcast to pick their texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Rounds in which each group meets one partner, before the round of all pairs.
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
 #: Stands for any class where a shingle is known to be in several sets.
 SEVERAL = -1
 
@@ -188,7 +188,7 @@ def _open_classes(scanned: DataFrame, classes: DataFrame, percent: int, buckets:
 
 
 def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """cls, n, before, grp, tokens, members: the open sets of which enough shingles are in another open set.
+    """cls, n, before, grp, tokens, members: the open sets of which enough shingles are in another open set, each once.
 
     `tokens` are the shingles of the prefix that others have, in order; `before` so many that no other has stand before
     them; `members` is the whole set.
@@ -242,7 +242,7 @@ def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, bucke
         known, counts = _undealt(replies["data"], "<u8", "<u4")
         by_token = np.argsort(known, kind="stable")
         known, counts = known[by_token], counts[by_token]
-        for classes, sizes, tokens in zip(own["classes"], own["sizes"], own["tokens"]):
+        for flush, classes, sizes, tokens in zip(own["flush"], own["classes"], own["sizes"], own["tokens"]):
             every, at = np.frombuffer(tokens, dtype="<u8"), 0
             place = np.minimum(np.searchsorted(known, every), max(0, len(known) - 1))
             df = np.where(known[place] == every, counts[place], 1) if len(known) else np.ones(len(every), np.uint32)
@@ -256,13 +256,18 @@ def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, bucke
                 mine = found[several]
                 prefix = mine[np.lexsort((mine, often[several]))[: prefix_length(n, percent) - before]]
                 group = hashlib.blake2b(n.to_bytes(8, "little") + before.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
-                rows.append((cls, n, before, int.from_bytes(group, "little", signed=True), prefix.view(np.int64), found.tobytes()))
-        return pd.DataFrame(rows, columns=["cls", "n", "before", "grp", "tokens", "members"])
+                rows.append((flush, cls, n, before, int.from_bytes(group, "little", signed=True), prefix.view(np.int64), found.tobytes()))
+        return pd.DataFrame(rows, columns=["flush", "cls", "n", "before", "grp", "tokens", "members"])
 
     pieces = flushes.select("flush", "tokens").mapInPandas(count, "bucket int, flush long, data binary")
     replies = pieces.groupBy("bucket").applyInPandas(tally, "flush long, data binary")
-    ordered = flushes.groupBy("flush").cogroup(replies.groupBy("flush")).applyInPandas(order, "cls long, n int, before int, grp long, tokens array<long>, members binary")
-    return ordered
+    ordered = flushes.groupBy("flush").cogroup(replies.groupBy("flush")).applyInPandas(order, "flush long, cls long, n int, before int, grp long, tokens array<long>, members binary")
+    ordered = spool(ordered, "candidates", "none")
+    # rows of one id and text may be in several flushes
+    again = ordered.groupBy("cls").agg(F.min("flush").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    if again.head(1):
+        ordered = spool(ordered.join(again.select(F.col("cls").alias("of"), "first"), F.col("cls") == F.col("of"), "left").where("first IS NULL OR flush = first"), "candidates", "none")
+    return ordered.select("cls", "n", "before", "grp", "tokens", "members")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -291,8 +296,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
     """node, component: what links between the candidates connect."""
     spark = candidates.sparkSession
-    sets = candidates.select("cls", "members").dropDuplicates(["cls"])
-    members = candidates.select("cls", "grp").distinct()
+    sets, members = candidates.select("cls", "members"), candidates.select("cls", "grp")
     first = candidates.select("grp", "n", "before", "tokens").dropDuplicates(["grp"])
     runs = first.select("grp", "n", "before", F.posexplode("tokens").alias("pos", "token")).select("token", "grp", "n", (F.col("before") + F.col("pos")).alias("place"))
     met = runs.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
@@ -364,7 +368,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     filled = rows.where("n > 0")
     classes = spool(filled.groupBy("cls").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.min("doc_id").alias("class_id")), "classes", "none")
     chosen = spool(_open_classes(scanned, classes, percent, buckets), "open", "none")
-    candidates = spool(_candidates(texts, chosen, words, percent, buckets), "candidates", "none")
+    candidates = _candidates(texts, chosen, words, percent, buckets)
     release(docs.sparkSession)
     place = _links(candidates, percent)
 
