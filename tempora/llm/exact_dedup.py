@@ -8,10 +8,9 @@ with the one before).
 The splitters are of the first characters and a hash of the normalised text, so that sampling sends no whole texts to
 the driver and texts that only begin alike spread.
 
-A text with very many copies would fill one range. Texts that more than 1/(8 * partitions) of all rows share are found
-first by counting hashes (combined on the map side); there are fewer than 8 * partitions of them, so their list and
-their results may be broadcast. Their copies never enter the sort: they are told apart by SHA-256 of the whole
-normalised text and aggregated, combined on the map side.
+A text with very many copies would fill one range. Hashes of such texts are found first by counting (combined on the map
+side); their copies get a salt, which is part of the sort key, so that they lie in several ranges. Each piece forms its
+group as others do, and the few pieces of a text are then merged by SHA-256 of the whole normalised text.
 """
 
 from __future__ import annotations
@@ -22,62 +21,49 @@ from pyspark.sql import functions as F
 from tempora.llm.common import ROW, numbered, shuffle_partitions, spool, without_ascii_space
 from tempora.shipping import shipped
 
-#: A text is hot if it has more than total / (HOT_PARTS * partitions) copies.
-HOT_PARTS = 8
+#: A text is hot if it has more copies than HOT_ROWS and than total / (HOT_PARTS * partitions); its pieces have about as many.
+HOT_ROWS, HOT_PARTS = 1000, 8
 #: Characters of the normalised text that the sort's ranges are made by.
 HEAD_CHARS = 24
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, row_col: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None, row_col: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of `docs`.
 
     Of equal normalised texts the row with the most code points in its original text stays, then the smallest id
     (null ids last). A null text counts as empty; all empty texts are equal. Rows that repeat an id are separate rows:
     `kept` is true for exactly one row of a group. Other columns are ignored whatever their names. An empty table
     gives an empty result. Texts of any length are compared whole. With `row_col`, a column that is unique, the result
-    has it as `row`, and of rows of one text and id the one with the smallest stays.
+    has it as `row`, and of rows of one text and id the one with the smallest stays. How many rows make a text hot
+    changes no result.
     """
     n = partitions or shuffle_partitions(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = ["row"] if row_col else []
     keyed = docs.select(F.col(id_col).alias("doc_id"), *[F.col(row_col).alias(c) for c in row], F.char_length(text).cast("long").alias("chars"), without_ascii_space(text).alias("norm"))
     keyed = keyed.withColumn("head", F.substring("norm", 1, HEAD_CHARS)).withColumn("hash", F.xxhash64("norm"))
-    digest = F.sha2(F.col("norm").cast("binary"), 256)
-    limit = max(1, docs.count() // (HOT_PARTS * n))
-    hot = F.broadcast(spool(keyed.groupBy("hash").count().where(F.col("count") > limit).select("hash"), "hot-texts"))
-
-    def groups(key: list[str]):
-        ordered = Window.partitionBy(*key).orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last(), *row)
-        return ordered, ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    # equal texts have equal heads and hashes, so the ranges of these keep them together; their texts are then compared in full
-    ordered, whole = groups(["head", "hash", "norm"])
-    cold = (
-        keyed.join(hot, "hash", "left_anti")
-        .repartitionByRange(n, "head", "hash")
-        .select(
-            "doc_id",
-            F.first("doc_id").over(whole).alias("keep_id"),
-            F.count(F.lit(1)).over(whole).alias("group_size"),
-            (F.row_number().over(ordered) == 1).alias("kept"),
-            digest.alias("text_sha256"),
-            *row,
-        )
-    )
-
-    copies = spool(keyed.join(hot, "hash", "left_semi").select("doc_id", *row, "chars", digest.alias("text_sha256")), "hot-copies")
+    limit = max(hot_rows, docs.count() // (HOT_PARTS * n))
+    # fewer than HOT_PARTS * partitions
+    hot = spool(keyed.groupBy("hash").count().where(F.col("count") > limit).select(F.col("hash").alias("of"), F.ceil(F.col("count") / limit).alias("pieces")), "hot-texts")
+    keyed = keyed.join(F.broadcast(hot), F.col("hash") == F.col("of"), "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "chars", *row), F.col("pieces")), F.lit(0)))
+
+    # equal texts have equal heads and hashes, so the ranges of these keep a piece together; its texts are then compared in full
+    ordered = Window.partitionBy("head", "hash", "salt", "norm").orderBy(F.col("chars").desc(), F.col("doc_id").asc_nulls_last(), *row)
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rank = F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("doc_id"), *row)
-    best = copies.groupBy("text_sha256").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("group_size"))
-    best = best.select("text_sha256", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), *[F.col("best.row").alias("keep_row") for _ in row], "group_size")
-    copied = copies.join(F.broadcast(spool(best, "hot-groups")), "text_sha256")
-    if row_col:
-        return cold.unionByName(copied.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "row"))
-    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))
-    # rows that repeat the id of the row that stays: only one of them is kept
-    again = Window.partitionBy("text_sha256", "doc_id", "chars").orderBy("doc_id")
-    first_of = copied.where(stays).select("doc_id", "keep_id", "group_size", (F.row_number().over(again) == 1).alias("kept"), "text_sha256")
-    rest = copied.where(~stays).select("doc_id", "keep_id", "group_size", F.lit(False).alias("kept"), "text_sha256")
-    return cold.unionByName(first_of).unionByName(rest)
+    settled = keyed.repartitionByRange(n, "head", "hash", "salt").select(
+        "doc_id", *row, F.first(rank).over(whole).alias("best"), F.count(F.lit(1)).over(whole).alias("group_size"), (F.row_number().over(ordered) == 1).alias("kept"),
+        F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.col("of").isNotNull().alias("hot"),
+    )
+    if not hot.head(1):
+        return settled.select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", "kept", "text_sha256", *row)
+    settled = spool(settled, "content-groups")
+    merged = settled.where("hot AND kept").groupBy("text_sha256").agg(F.min("best").alias("least"), F.sum("group_size").alias("all"))  # as few as hot texts
+    settled = settled.join(F.broadcast(merged), "text_sha256", "left")
+    return settled.select(
+        "doc_id", F.coalesce("least", "best")["doc_id"].alias("keep_id"), F.coalesce("all", "group_size").alias("group_size"),
+        (F.col("kept") & F.col("best").eqNullSafe(F.coalesce("least", "best"))).alias("kept"), "text_sha256", *row,
+    )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
