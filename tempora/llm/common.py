@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tempora.tables import shared_dir, spool
 
-__all__ = ["ROW", "numbered", "planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
+__all__ = ["COPIES", "ROW", "numbered", "planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
 
 #: The column of row numbers.
 ROW = "_tempora_row"
+#: The column of copies to be made of a row.
+COPIES = "_tempora_copies"
 #: Estimates above this are taken for unknown.
 MOST_PLANNED = 1 << 50
 

@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame functions only.
 
-Every source has a target number of words. A source's whole multiples of its own size are allocated first as certain
-copies of each document; what then is left of the target is drawn by Pareto order sampling: documents are ranked by
-random odds divided by inclusion odds, and the ranking is followed until the fixed size, in words, is reached.
+Every source has a target number of words, which its documents share by length: a document's expected number of copies
+grows with a power of its length, up to a cap. Whole copies of that number are allocated first, as certain ones; the
+fractions are inclusion odds, different for documents of different length. The rest of the target, in words, is the fixed
+size of a Pareto order sample: documents are ranked by random odds divided by inclusion odds, and the ranking is followed
+until the size is reached.
 
 The ranking of a source isn't sorted in one task. Ranks are cut into buckets of about BUCKET_DOCS documents; sums per
 bucket find the one bucket of each source in which the size is reached. Only that bucket is walked in rank order.
@@ -13,17 +15,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ROW, numbered, spool
+from tempora.llm.common import COPIES, ROW, numbered, spool
 from tempora.shipping import shipped
 
 #: The weights that sources get in turn.
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its size.
 MOST_TIMES = 3
+#: Expected copies of a document grow with this power of its length (of the power of two below it).
+SIZE_POWER = 0.25
 #: Documents that a bucket of ranks has on average.
 BUCKET_DOCS = 2048
-#: Up to so many sources their table is broadcast; beyond, it is joined by a shuffle.
-BROADCAST_SOURCES = 10_000
+#: Up to so many rows of the plan (a source's documents of like length) it is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_PLAN = 100_000
+#: Times that the boundary bucket is walked for documents that still fit.
+WALKS = 4
 
 
 def word_count(text: Column) -> Column:
@@ -31,54 +37,60 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def water_fill(sources: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
-    """Adds source_rank, weight and target to (source, source_size, n_docs).
+def fill(parts: DataFrame, group: list[str], total: Column, cap: Column, weight: Column, tie: list[str]) -> DataFrame:
+    """Adds share to `parts`: min(cap, level * weight) with one level for all parts of a group, so that shares add up to `total` (all caps, if these are less).
 
-    Targets are min(most * size, level * weight) with one level for all, which is where resharing the excess by weight
-    ends. Sources in order of most * size / weight: those that reach their cap are a prefix, so the level follows from
-    running sums.
+    This is where resharing the excess by weight ends. Parts in order of cap / weight: those that reach their cap are a
+    prefix, so the level follows from running sums. Weights are positive.
     """
+    by_cap = Window.partitionBy(*group).orderBy(cap / weight, *tie)
+    before, onward, every = (by_cap.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, -1), (Window.currentRow, Window.unboundedFollowing), (Window.unboundedPreceding, Window.unboundedFollowing)))
+    level = (total - F.coalesce(F.sum(cap).over(before), F.lit(0))) / F.sum(weight).over(onward)
+    filled = parts.withColumn("_level", level).withColumn("_open", F.when(cap > F.col("_level") * weight, F.col("_level")))
+    # the first part that stays below its cap has the level of all
+    return filled.withColumn("share", F.least(cap.cast("double"), F.coalesce(F.first("_open", ignorenulls=True).over(every) * weight, cap.cast("double")))).drop("_level", "_open")
+
+
+def water_fill(sources: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> DataFrame:
+    """Adds source_rank, weight and target to (source, source_size, n_docs): sources share all sizes by weight, each at most `most` times its size."""
     ranked = sources.withColumn("source_rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
     ranked = ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("source_rank") - 1) % len(weights) + 1).cast("int")).cast("long"))
-    by_cap = Window.orderBy(F.col("source_size") / F.col("weight"), "source_rank")
-    before, onward, every = (by_cap.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, -1), (Window.currentRow, Window.unboundedFollowing), (Window.unboundedPreceding, Window.unboundedFollowing)))
-    cap = F.lit(most) * F.col("source_size")
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum(cap).over(before), F.lit(0))
-    level = left / F.sum("weight").over(onward)
-    filled = ranked.withColumn("cap", cap.cast("double")).withColumn("level", level)
-    filled = filled.withColumn("open_level", F.when(F.col("cap") > F.col("level") * F.col("weight"), F.col("level")))
-    # the first source that stays below its cap has the level of all
-    final = F.first("open_level", ignorenulls=True).over(every)
-    return filled.withColumn("target", F.least("cap", F.coalesce(final * F.col("weight"), F.col("cap")))).select("source", "source_size", "n_docs", "source_rank", "weight", "target")
+    ranked = ranked.withColumn("all_sizes", F.sum("source_size").over(Window.partitionBy()))
+    filled = fill(ranked, [], F.col("all_sizes"), F.lit(most) * F.col("source_size"), F.col("weight"), ["source_rank"])
+    return filled.select("source", "source_size", "n_docs", "source_rank", "weight", F.col("share").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES, row_col: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES, row_col: str | None = None, size_power: float = SIZE_POWER) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies for every row of `docs`.
 
     Null texts and texts without words have size 0 and take 0 words. A null source is a source of its own, the last in
-    order. The same ids and texts give the same mix in every run; rows that repeat an id have the same rank and are
-    separate rows. Other columns are ignored whatever their names; an empty table gives an empty result.
-
-    Inclusion odds within a source are equal, since all its documents should be taken equally often; they differ
-    between sources. A document that is too large for what is left is passed over and the ranking is followed further,
-    so a source misses its target by less than its boundary bucket's smallest document that isn't taken. With `row_col`, a
-    column of unique longs, the result has it as `row`.
+    order. The same ids and texts give the same mix in every run; rows that repeat an id are separate rows, those that
+    repeat the size, too, have the same rank. Other columns are ignored whatever their names; an empty table gives an
+    empty result.
+
+    Expected copies of a document are at most `most` and in proportion to 2 ** (size_power * floor(log2(size))) below that. A document that
+    is too large for what is left is passed over and the ranking is followed further, so a source misses its target by
+    less than its boundary bucket's smallest document that isn't taken, or by the few words that WALKS walks leave. With
+    `row_col`, a column of unique longs, the result has it as `row`.
     """
     key = ["row"] if row_col else []
-    sized = spool(docs.select(F.col(id_col).alias("doc_id"), *[F.col(row_col).cast("long").alias(c) for c in key], F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
+    sized = docs.select(F.col(id_col).alias("doc_id"), *[F.col(row_col).cast("long").alias(c) for c in key], F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    sized = spool(sized.withColumn("klass", F.length(F.bin("size")) - 1), "sizes")
     sources = spool(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, most), "sources")
-    few = sources.count() <= BROADCAST_SOURCES
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = sources.select(
-        F.col("source").alias("of_source"), "source_rank", "source_size", "target",
-        F.floor(ratio).alias("whole"), (F.col("target") - F.floor(ratio) * F.col("source_size")).alias("rest"),
-        (ratio - F.floor(ratio)).alias("odds"), F.ceil(F.col("n_docs") / BUCKET_DOCS).alias("buckets"),
-    )
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    drawn = sized.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("u", u)
+    classes = sized.where("size > 0").groupBy(F.col("source").alias("of_source"), F.col("klass").alias("of_klass")).agg(F.sum("size").alias("words"))
+    classes = classes.join(sources, F.col("of_source").eqNullSafe(F.col("source")))
+    shared = fill(classes, ["source_rank"], F.col("target"), F.lit(most) * F.col("words"), F.pow(F.lit(2.0), F.col("of_klass") * F.lit(size_power)) * F.col("words"), ["of_klass"])
+    times = F.col("share") / F.col("words")
+    shared = shared.select("of_source", "of_klass", "source_rank", "target", "words", F.floor(times).alias("whole"), (times - F.floor(times)).alias("odds"), F.ceil(F.col("n_docs") / BUCKET_DOCS).alias("buckets"))
+    rest = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source_rank")))
+    plan = spool(shared.withColumn("rest", rest).drop("words", "target"), "mix-plan")
+    few = plan.count() <= BROADCAST_PLAN
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    drawn = sized.where("size > 0").join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("klass") == F.col("of_klass"))).withColumn("u", u)
     inclusion = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("odds")))
-    pareto = (F.col("u") / (1 - F.col("u"))) / (inclusion / (1 - inclusion))
-    drawn = drawn.withColumn("rank_key", pareto).withColumn("bucket", F.floor(F.col("u") * F.col("buckets"))).drop("of_source", "odds", "buckets")
+    drawn = drawn.withColumn("rank_key", (F.col("u") / (1 - F.col("u"))) / (inclusion / (1 - inclusion)))
+    # ranks from 0 to infinity as numbers from 0 to 1; near the end of the sample, at about a half, buckets are never denser than on average
+    drawn = drawn.withColumn("bucket", F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * F.col("buckets"))).drop("of_source", "of_klass", "odds", "buckets", "u")
 
     run = Window.partitionBy("source_rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = drawn.groupBy("source_rank", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
@@ -87,39 +99,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     place = F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(begin < F.col("rest"), F.lit(2)).otherwise(F.lit(0))
     places = spool(sums.select("source_rank", "bucket", place.alias("place"), (F.col("rest") - begin).alias("room")), "rank-buckets")
     placed = drawn.join(places, ["source_rank", "bucket"])
-    out = ["doc_id", "source", "size", "source_size", "target", "whole", "extra", *key]
+    out = ["doc_id", "source", "size", "whole", "extra", *key]
     simple = placed.where("place <> 2").withColumn("extra", F.col("place").cast("long")).select(*out)
 
-    row = F.struct("rank_key", "doc_id", "size", *key)
-    walked = placed.where("place = 2").groupBy("source_rank").agg(
-        F.first("source").alias("source"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
-        F.first("whole").alias("whole"), F.first("room").alias("room"), F.sort_array(F.collect_list(row)).alias("docs"),
-    )
-    empty = F.array().cast("array<struct<doc_id:bigint,size:bigint,extra:bigint" + (",row:bigint>>" if key else ">>"))
-
-    def step(acc, x):
-        fits = x["size"] <= acc["room"]
-        item = F.struct(x["doc_id"].cast("long").alias("doc_id"), x["size"].alias("size"), fits.cast("long").alias("extra"), *[x[c].alias(c) for c in key])
-        return F.struct((acc["room"] - F.when(fits, x["size"]).otherwise(F.lit(0))).cast("double").alias("room"), F.concat(acc["picks"], F.array(item)).alias("picks"))
-
-    walked = walked.withColumn("walk", F.aggregate("docs", F.struct(F.col("room").cast("double").alias("room"), empty.alias("picks")), step))
+    # the boundary bucket of each source: documents in rank order as far as they fit, then those after one that doesn't
+    walk = Window.partitionBy("source_rank").orderBy("rank_key", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edge = placed.where("place = 2").withColumn("extra", F.lit(0).cast("long"))
+    for _ in range(WALKS):
+        fits = (F.col("extra") == 0) & (F.col("size") <= F.col("room"))
+        edge = edge.withColumn("_upto", F.sum(F.when(fits, F.col("size")).otherwise(F.lit(0))).over(walk))
+        edge = edge.withColumn("_took", fits & (F.col("_upto") <= F.col("room")))
+        edge = edge.withColumn("room", F.col("room") - F.sum(F.when(F.col("_took"), F.col("size")).otherwise(F.lit(0))).over(whole)).withColumn("extra", F.when(F.col("_took"), F.lit(1)).otherwise(F.col("extra")).cast("long"))
     # one more document if it overshoots by less than what else would be missing
-    spare = F.array_min(F.transform(F.filter(F.col("walk.picks"), lambda x: (x["extra"] == 0) & (x["size"] < 2 * F.col("walk.room"))), lambda x: F.struct(x["size"], x["doc_id"])))
-    walked = walked.withColumn("spare", spare)
-    picks = F.transform("walk.picks", lambda x, i: F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), x["extra"].alias("extra"), i.alias("i"), *[x[c].alias(c) for c in key]))
-    chosen = F.array_min(F.transform(F.filter(picks, lambda x: (x["extra"] == 0) & (x["size"] == F.col("spare.size")) & x["doc_id"].eqNullSafe(F.col("spare.doc_id"))), lambda x: x["i"]))
-    walked = walked.select("source", "source_size", "target", "whole", chosen.alias("chosen"), F.explode(picks).alias("x"))
-    edge = walked.select(F.col("x.doc_id").alias("doc_id"), "source", F.col("x.size").alias("size"), "source_size", "target", "whole", (F.col("x.extra") + F.coalesce((F.col("x.i") == F.col("chosen")).cast("long"), F.lit(0))).alias("extra"), *[F.col(f"x.{c}").alias(c) for c in key])
-    mixed = simple.unionByName(edge.select(*out)).withColumn("copies", F.col("whole") + F.col("extra"))
+    spare = (F.col("extra") == 0) & (F.col("size") < 2 * F.col("room"))
+    first = F.row_number().over(Window.partitionBy("source_rank").orderBy(F.when(spare, F.col("size")).asc_nulls_last(), "rank_key", "doc_id", *key))
+    edge = edge.withColumn("_first", first).withColumn("extra", F.when(spare & (F.col("_first") == 1), F.lit(1)).otherwise(F.col("extra")).cast("long"))
+    none = sized.where("size = 0").withColumn("whole", F.lit(0).cast("long")).withColumn("extra", F.lit(0).cast("long"))
+    mixed = simple.unionByName(edge.select(*out)).unionByName(none.select(*out)).withColumn("copies", F.col("whole") + F.col("extra"))
+    told = sources.select(F.col("source").alias("of_source"), "source_size", "target")
+    mixed = mixed.join(F.broadcast(told) if few else told, F.col("source").eqNullSafe(F.col("of_source")))
     return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"), *key)
 
 
 def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """`docs` with each row as often as the mix takes it (not at all, or up to `most` times); null and repeated ids are rows as others."""
+    """`docs` with each row as often as the mix takes it (not at all, or up to `most` times); null and repeated ids are rows as others, other columns may have any name."""
     rows = numbered(docs, "mix-rows")
-    copies = mix(rows, id_col, text_col, source_col, row_col=ROW, **params).where("copies > 0").select(F.col("row").alias(ROW), F.col("copies").cast("int").alias("_copies"))
-    taken = rows.join(copies, ROW)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mix(rows, id_col, text_col, source_col, row_col=ROW, **params).where("copies > 0").select(F.col("row").alias(ROW), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(COPIES))
+    columns = [rows[c] for c in docs.columns]
+    return rows.join(copies, ROW).select(*columns, F.explode(COPIES).alias(COPIES)).drop(COPIES)
 
 
 @shipped

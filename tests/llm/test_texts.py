@@ -57,11 +57,15 @@ def test_exact_groups(spark):
 
 
 @pytest.mark.parametrize("copies", [40])
-def test_hot_copies_leave_the_sort(spark, copies):
+def test_hot_copies_are_salted(spark, copies):
     data = [(i, "same  text" if i % 2 else "same text", "s") for i in range(copies)] + [(100 + i, f"text {i}", "s") for i in range(20)] + [(1, "same  text", "s")]
-    got = exact_dedup.exact_groups(table(spark, data), partitions=2).collect()
-    hot = [r for r in got if r["group_size"] > 1]
-    assert len(hot) == copies + 1 and {r["keep_id"] for r in hot} == {1} and sum(r["kept"] for r in hot) == 1
+    got = {}
+    for partitions, hot_rows in ((2, 1), (4, 5), (8, 1000), (200, 1000)):
+        rows_ = exact_dedup.exact_groups(table(spark, data), partitions=partitions, hot_rows=hot_rows).collect()
+        hot = [r for r in rows_ if r["group_size"] > 1]
+        assert len(hot) == copies + 1 and {r["keep_id"] for r in hot} == {1} and sum(r["kept"] for r in hot) == 1
+        got[partitions] = sorted(map(str, rows_))
+    assert len(set(map(tuple, got.values()))) == 1
 
 
 def test_drop_copies_keeps_columns(spark):
