@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from tempora.shipping import shipped
 
-#: Rows to learn from for each language (about so many, by a hash of their id), and code points taken of each: the model's sample is bounded by these.
-TRAIN_ROWS, TRAIN_CHARS = 1500, 2000
+#: Rows to learn from for each language (about so many, by a hash of their id), each with its whole text: the bound of the model's sample.
+TRAIN_ROWS = 4000
 #: Languages that a model may have: its table and the scores of a batch grow with them.
 MOST_LANGUAGES = 400
 #: log2 of the number of hashed trigrams; nats that a change of language costs; most nats that one word may tell.
@@ -111,35 +111,65 @@ class Model:
         return total.astype(np.float32)
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    """A model of labelled texts."""
-    languages = sorted(set(langs))
-    counts = np.zeros((1 << TABLE_BITS, len(languages)))
-    seen = np.zeros((len(SCRIPTS), len(languages)))
-    for k, lang in enumerate(languages):
-        words = words_of([x for x, y in zip(texts, langs) if y == lang])
-        counts[:, k] += np.bincount(words.grams, minlength=1 << TABLE_BITS)
-        seen[:, k] += np.bincount(words.scripts, weights=words.lengths, minlength=len(SCRIPTS))
-    table = np.log((counts + 0.02) / (counts.sum(axis=0) + 0.02 * (1 << TABLE_BITS)))
-    return Model(languages, table.astype(np.float32), seen >= SCRIPT_SHARE * np.maximum(seen.sum(axis=0), 1))
+def fitted(counts: dict[str, np.ndarray], seen: dict[str, np.ndarray]) -> Model:
+    """A model of counts of trigrams and letters by script of each language."""
+    languages = sorted(counts)
+    table = np.stack([counts[x] for x in languages], axis=1).astype(np.float64)
+    table = np.log((table + 0.02) / (table.sum(axis=0) + 0.02 * (1 << TABLE_BITS)))
+    scripts = np.stack([seen[x] for x in languages], axis=1).astype(np.float64)
+    return Model(languages, table.astype(np.float32), scripts >= SCRIPT_SHARE * np.maximum(scripts.sum(axis=0), 1))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, chars: int = TRAIN_CHARS) -> Model:
-    """A model of about `rows` rows of each language with a non-null label, the first by a hash of their id, `chars` code points of each.
+def counts_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of hashed trigrams, and of letters by script."""
+    words = words_of(texts)
+    return np.bincount(words.grams, minlength=1 << TABLE_BITS), np.bincount(words.scripts, weights=words.lengths, minlength=len(SCRIPTS)).astype(np.int64)
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Model:
+    """A model of about `rows` rows of each language with a non-null label, the first by a hash of their id and text, their whole texts.
 
-    More than MOST_LANGUAGES labels are an error; no label is left out.
+    Texts are counted where they are; the driver gets counts of fixed size for each language. More than MOST_LANGUAGES
+    labels are an error; no label is left out.
     """
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(counts) > MOST_LANGUAGES:
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(totals) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not counts:
+    if not totals:
         return Model([], np.zeros((1 << TABLE_BITS, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, rows / r["count"]))])
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = labelled.where(draw < share[F.col("lang")]).select("lang", F.substring("text", 1, chars).alias("text"), F.xxhash64("doc_id").alias("h")).toPandas()
-    sample = sample.sort_values(["h", "lang", "text"], kind="stable").groupby("lang").head(rows)
-    return fit(sample["text"].tolist(), sample["lang"].tolist())
+    share = F.create_map(*[F.lit(v) for r in totals for v in (r["lang"], min(1.0, rows / r["count"]))])
+    draw = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, list[np.ndarray]] = {}
+        for batch in batches:
+            for lang, texts in batch.groupby("lang")["text"]:
+                for _, piece in _pieces(texts.tolist()):
+                    found = counts_of(piece)
+                    totals[lang] = [a + b for a, b in zip(totals[lang], found)] if lang in totals else list(found)
+        if totals:
+            yield pd.DataFrame([(lang, *(x.astype("<i8").tobytes() for x in found)) for lang, found in totals.items()], columns=["lang", "grams", "scripts"])
+
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        summed = [sum(np.frombuffer(x, dtype="<i8") for x in part[c]).astype("<i8").tobytes() for c in ("grams", "scripts")]
+        return pd.DataFrame([(part["lang"].iloc[0], *summed)], columns=["lang", "grams", "scripts"])
+
+    schema = "lang string, grams binary, scripts binary"
+    counted = labelled.where(draw < share[F.col("lang")]).select("lang", "text").mapInPandas(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
+    return fitted({r["lang"]: np.frombuffer(r["grams"], dtype="<i8") for r in counted}, {r["lang"]: np.frombuffer(r["scripts"], dtype="<i8") for r in counted})
+
+
+def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of so many texts one behind another that they have about `most` code points; a longer text comes alone."""
+    first, held = 0, 0
+    for k, text in enumerate(texts):
+        if held and held + len(text) > most:
+            yield first, texts[first:k]
+            first, held = k, 0
+        held += len(text)
+    if first < len(texts):
+        yield first, texts[first:]
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -233,10 +263,9 @@ def _applied(docs: DataFrame, model: Model, id_col: str, text_col: str, spans: b
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            for part in np.array_split(np.arange(len(batch)), max(1, int(batch["text"].str.len().sum() // 2_000_000) + 1)):
-                if not len(part):
-                    continue
-                ids, no_id, texts = batch["doc_id"].to_numpy()[part], batch["no_id"].to_numpy()[part], [x or "" for x in batch["text"].iloc[part]]
+            for at, texts in _pieces([x or "" for x in batch["text"]]):
+                part = slice(at, at + len(texts))
+                ids, no_id = batch["doc_id"].to_numpy()[part], batch["no_id"].to_numpy()[part]
                 if not known.languages:
                     if not spans:
                         yield pd.DataFrame({"doc_id": ids, "lang_pred": UNDETERMINED, "score": 0.0, "no_id": no_id})
