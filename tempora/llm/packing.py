@@ -8,7 +8,6 @@ that fits nowhere is cut over the sequences with room, so a group wastes less th
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
@@ -19,15 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import planned_bytes, shuffle_partitions
+from tempora.llm.common import planned_bytes
 from tempora.shipping import shipped
 
 CAPACITY = 2048
 END_ID = 1
 #: Cost of a piece: LINEAR * length + QUADRATIC * length ** 2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Input bytes that a group of remainders stands for, and the least number of groups a partition gets.
-GROUP_BYTES = 4 << 20
+#: Input bytes that a group of remainders stands for; bytes of pieces that a task gives on at a time.
+GROUP_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
 #: Words whose ids a worker remembers; then it forgets all and starts anew.
 CACHE_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
@@ -100,44 +99,30 @@ def encoder(path: str, ranks: str | None = None) -> Encoder:
 def assign(lengths: list[int], capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[list[tuple[int, int, int]]]:
     """Sequences as lists of (item, start in the item, length), for items of lengths in descending order, each at most `capacity`.
 
-    No more sequences are opened than all lengths together need.
+    An item goes to the sequence of lowest cost that has room for it, the first of equal ones. Only an item for which no
+    sequence has room is cut, over those of lowest cost. No more sequences are opened than all lengths together need.
     """
     need = -(-sum(lengths) // capacity)
     sequences: list[list[tuple[int, int, int]]] = [[] for _ in range(need)]
-    room = [capacity] * need
-    heap = [(0.0, k) for k in range(need)]
-    cost = [0.0] * need
+    room = np.full(need, capacity, dtype=np.int64)
+    cost = np.zeros(need)
+
+    def put(k: int, item: int, start: int, length: int) -> None:
+        sequences[k].append((item, start, length))
+        room[k] -= length
+        cost[k] += linear * length + quadratic * length * length
+
     for item, length in enumerate(lengths):
-        aside, start = [], 0
-        found = None
-        while heap:
-            entry = heapq.heappop(heap)
-            if room[entry[1]] >= length:
-                found = entry[1]
-                break
-            aside.append(entry)
-            if len(aside) > 64:  # beyond that, cutting is cheaper than looking on
-                break
-        if found is None:  # cut over the sequences of lowest cost
-            parts = []
-            pool = aside
-            while start < length:
-                _, k = pool.pop(0) if pool else heapq.heappop(heap)
-                parts.append(k)
-                take = min(room[k], length - start)
-                sequences[k].append((item, start, take))
-                room[k] -= take
-                cost[k] += linear * take + quadratic * take * take
-                start += take
-            aside = pool + [(cost[k], k) for k in parts if room[k]]
-        else:
-            sequences[found].append((item, 0, length))
-            room[found] -= length
-            cost[found] += linear * length + quadratic * length * length
-            if room[found]:
-                aside.append((cost[found], found))
-        for entry in aside:
-            heapq.heappush(heap, entry)
+        start = 0
+        while start < length:
+            left = length - start
+            fits = np.where(room >= left, cost, np.inf)
+            k = int(fits.argmin())
+            if np.isinf(fits[k]):
+                k = int(np.where(room > 0, cost, np.inf).argmin())
+            take = min(int(room[k]), left)
+            put(k, item, start, take)
+            start += take
     return sequences
 
 
@@ -147,18 +132,20 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     A null text is empty and still has its end id; every id of a row lies in exactly one piece. Rows that repeat an id
     are packed as separate rows. Documents longer than `capacity` fill sequences of their own as far as they go. The
     memory of a task is bounded by a group's remainders, at most `capacity` ids for each of its documents. Other columns
-    are ignored; an empty table gives an empty result. Input in the same partitions or not, a rerun gives the same rows.
+    are ignored; an empty table gives an empty result. The number of groups follows from Catalyst's estimate of the
+    input's size, not from the number of partitions, so a rerun over the same files gives the same rows.
     """
     # a null id travels as a mark: pandas would turn a column with nulls into floats
     chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    groups = max(shuffle_partitions(docs.sparkSession), math.ceil(planned_bytes(chosen) / group_bytes))
+    groups = max(1, math.ceil(planned_bytes(chosen) / group_bytes))
     # groups by a hash of text and id: a third of all rows under one id still spreads if their texts differ
     keyed = chosen.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer, ranks), np.array([END_ID], dtype="<u4").tobytes()
+        columns = ["group", "doc_id", "no_id", "doc_tokens", "start", "length", "ids_crc32", "ids"]
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for group, doc_id, no_id, text in zip(batch["group"], batch["doc_id"], batch["no_id"], batch["text"]):
                 ids = encode(text or "") + end
                 n, step = len(ids) // 4, capacity * 4
@@ -167,7 +154,13 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
                 if n % capacity:
                     rest = ids[n // capacity * step :]
                     rows.append((group, doc_id, no_id, n, n // capacity * capacity, n % capacity, zlib.crc32(rest), rest))
-            yield pd.DataFrame(rows, columns=["group", "doc_id", "no_id", "doc_tokens", "start", "length", "ids_crc32", "ids"])
+                    held += len(rest)
+                held += 64 * (1 + n // capacity)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     def fill(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "no_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
