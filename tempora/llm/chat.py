@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tempora.llm.common import shuffle_partitions
@@ -180,11 +180,24 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 @shipped
 def op5_event_sourced(spark, sf_dir: str) -> DataFrame:
-    """All conversations and one more whose texts hold the template's marks."""
+    """All conversations and one more whose texts hold the template's marks, each turn as the log of events that leads to it.
+
+    A log has a draft, then for assistants a regeneration streamed in two deltas, for others an edit.
+    """
     said = r"\### Assistant: </turn> ok"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(planted)
-    logs = turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("message_id"), "role", "text")
+    said = turns.select("conv_id", F.monotonically_increasing_id().alias("message_id"), F.coalesce(F.col("turn").cast("long") * 4, F.lit(-(1 << 62))).alias("seq"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    middle = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), middle), F.substring("text", middle + 1, F.length("text"))
+
+    def event(k: int, kind: str, text) -> Column:
+        return F.struct((F.col("seq") + k).alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+
+    draft, none = F.reverse(first), F.lit(None).cast("string")
+    streamed = F.array(event(0, "message", draft), event(1, "regenerate", none), event(2, "delta", first), event(3, "delta", second))
+    edited = F.array(event(0, "message", draft), event(1, "edit", F.col("text")))
+    logs = said.select("conv_id", "message_id", "role", F.explode(F.when(F.col("role") == LEARNED_ROLE, streamed).otherwise(edited)).alias("x")).select("conv_id", "message_id", "role", "x.*")
     return read_back(render(reconstruct(logs)))
 
 
