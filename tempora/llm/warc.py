@@ -22,6 +22,8 @@ from tempora.shipping import shipped
 
 #: Bytes of an archive segment; a record isn't divided, so a longer one makes a longer segment.
 SEGMENT_BYTES = 512 << 10
+#: Bytes of a damaged member that are decoded at a time: so many may be lost before the damage.
+STEP_BYTES = 256
 #: Payloads of at least so many bytes are deduplicated.
 LEAST_PAYLOAD = 0
 #: Fixed values of the formats.
@@ -59,8 +61,8 @@ def compress(record: bytes) -> bytes:
     return packer.compress(record) + packer.flush()
 
 
-def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None:
-    """Headers, block and end of the record that starts at `at`; None if a check fails."""
+def _record_at(data: bytes, at: int, proven: bool = False) -> tuple[dict[str, str], bytes, int] | None:
+    """Headers, block and end of the record that starts at `at`; None if a check fails. With `proven`, a record without a digest that its payload has fails, too."""
     if not _VERSION_LINE.match(data, at):
         return None
     head_end = data.find(b"\r\n\r\n", at)
@@ -86,32 +88,88 @@ def _record_at(data: bytes, at: int) -> tuple[dict[str, str], bytes, int] | None
         _, found, payload = block.partition(b"\r\n\r\n")
         if not found or payload_digest(payload) != said[5:]:
             return None
+    elif proven:
+        return None
     return headers, block, end + 4
 
 
+def _records(plain: bytes, proven: bool = False) -> tuple[list[tuple[dict[str, str], bytes]], list[bytes]]:
+    """The records of decoded bytes, and the runs of bytes between that are none: after a failed check the search goes on at the next version line."""
+    found, gaps, at, bad = [], [], 0, None
+    while at < len(plain):
+        record = _record_at(plain, at, proven)
+        if record:
+            if bad is not None:
+                gaps.append(plain[bad:at])
+                bad = None
+            found.append(record[:2])
+            at = record[2]
+            continue
+        bad = at if bad is None else bad
+        line = _VERSION_LINE.search(plain, at + 1)
+        at = line.start() if line else len(plain)
+    if bad is not None:
+        gaps.append(plain[bad:])
+    return found, gaps
+
+
+def _payload_start(data: bytes, at: int) -> int | None:
+    """Where the deflated bytes of the gzip member at `at` begin."""
+    flags, start = data[at + 3] if at + 10 <= len(data) else 0xFF, at + 10
+    if flags & 0xE0:
+        return None
+    if flags & 4:
+        start += 2 + int.from_bytes(data[start : start + 2], "little")
+    for bit in (8, 16):  # name, comment
+        if flags & bit:
+            start = data.find(b"\0", start) + 1
+            if not start:
+                return None
+    return start + (2 if flags & 2 else 0)
+
+
+def _inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
+    """The bytes of the gzip member at `at`, and its end; without an end (it is cut off, or its checksum fails), what could be decoded of it."""
+    member = zlib.decompressobj(31)
+    try:
+        plain = member.decompress(memoryview(data)[at:])
+        if member.eof:
+            return plain, len(data) - len(member.unused_data)
+    except zlib.error:
+        pass
+    start = _payload_start(data, at)
+    parts: list[bytes] = []
+    member = zlib.decompressobj(-15)
+    try:
+        while start is not None and start < len(data) and not member.eof:
+            parts.append(member.decompress(memoryview(data)[start : start + STEP_BYTES]))
+            start += STEP_BYTES
+    except zlib.error:
+        pass
+    return b"".join(parts), None
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, dict[str, str] | None, bytes, int, int]]:
-    """("record", headers, block, start, end) and ("gap", None, bytes, start, end) in order; together they cover `data`.
+    """("record", headers, block, start, end), ("gap", None, bytes, start, end) and ("inner gap", None, decoded bytes, start, end) in order.
 
-    A failed check at a position makes the search go on at the next gzip magic or version line after it.
+    Records and gaps together cover `data`. A failed check at a position makes the search go on at the next gzip magic or
+    version line after it; inside a member whose checksum holds, at the next version line of the decoded bytes, and what
+    is skipped there is an inner gap. Of a member that is cut off or damaged the records whose payloads have the digest
+    that they tell are recovered, from start to start, and the member's bytes are a gap all the same.
     """
-    at, bad = 0, None
+    at, bad, line_at = 0, None, -1
     while at < len(data):
         found: list[tuple[dict[str, str], bytes]] = []
+        inner: list[bytes] = []
+        recovered: list[tuple[dict[str, str], bytes]] = []
         end = at
         if data.startswith(GZIP_MAGIC, at):
-            member = zlib.decompressobj(31)
-            try:
-                plain = member.decompress(memoryview(data)[at:])
-                if member.eof:
-                    end = len(data) - len(member.unused_data)
-                    inner = 0
-                    while inner < len(plain) and (record := _record_at(plain, inner)):
-                        found.append(record[:2])
-                        inner = record[2]
-                    if inner < len(plain) or not found:
-                        found = []
-            except zlib.error:
-                pass
+            plain, stop = _inflated(data, at)
+            if stop is None:
+                recovered, _ = _records(plain, proven=True)
+            else:
+                found, inner = _records(plain)
+                end = stop if found else at
         elif record := _record_at(data, at):
             found, end = [record[:2]], record[2]
         if found:
@@ -120,13 +178,18 @@ def salvage(data: bytes) -> Iterator[tuple[str, dict[str, str] | None, bytes, in
                 bad = None
             for headers, block in found:
                 yield "record", headers, block, at, end
+            for skipped in inner:
+                yield "inner gap", None, skipped, at, end
             at = end
             continue
+        for headers, block in recovered:
+            yield "record", headers, block, at, at
         bad = at if bad is None else bad
+        if line_at <= at and line_at != len(data):
+            line = _VERSION_LINE.search(data, at + 1)
+            line_at = line.start() if line else len(data)
         member_at = data.find(GZIP_MAGIC, at + 1)
-        line = _VERSION_LINE.search(data, at + 1)
-        nexts = [x for x in (member_at, line.start() if line else -1) if x >= 0]
-        at = min(nexts) if nexts else len(data)
+        at = min(line_at, member_at if member_at >= 0 else len(data))
     if bad is not None:
         yield "gap", None, data[bad:], bad, len(data)
 
@@ -170,8 +233,9 @@ def write_archives(pages: DataFrame, least_payload: int = LEAST_PAYLOAD, segment
 def read_archives(archives: DataFrame) -> DataFrame:
     """A row for each record or gap in `archives` (archive, part, bytes); also reads binaryFile rows renamed so.
 
-    Columns: archive, part, kind (record or gap), start, end, page_id, url, record_type, payload_digest, payload_bytes,
-    refers_to, payload (null for revisits and gaps).
+    Columns: archive, part, kind (record, gap or inner gap), start, end, page_id, url, record_type, payload_digest, payload_bytes,
+    refers_to, payload (null for revisits; of gaps the quarantined bytes). A
+    null segment has no rows.
     """
     schema = pa.schema([
         ("archive", pa.string()), ("part", pa.int64()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
@@ -188,7 +252,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 rows = []
                 for kind, headers, block, start, end in salvage(data.as_py() or b""):
                     if headers is None:
-                        rows.append((archive, part, kind, start, end, *[None] * 7))
+                        rows.append((archive, part, kind, start, end, *[None] * 6, block))
                         continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     revisit = headers.get("warc-type") == "revisit"
@@ -202,6 +266,11 @@ def read_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive", F.col("part").cast("long"), "bytes").mapInArrow(run, "archive string, part long, kind string, start long, end long, page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
+def quarantine(read: DataFrame) -> DataFrame:
+    """The log of byte gaps in what `read_archives` gives: archive, part, kind, start, end, bytes (decoded ones of inner gaps)."""
+    return read.where("kind <> 'record'").select("archive", "part", "kind", "start", "end", F.col("payload").alias("bytes"))
+
+
 @shipped
 def op7_salvage(spark, sf_dir: str) -> DataFrame:
     """All pages, written as archives and read back."""

@@ -74,13 +74,23 @@ def test_salvage_goes_on_after_damage():
     out = list(warc.salvage(bytes(damaged)))
     assert [k for k, *_ in out] == ["record", "gap", "record", "record", "record"] and (out[1][3], out[1][4]) == (len(members[0]), len(members[0]) + len(members[1]))
     out = list(warc.salvage(b"junk" + whole[:-7]))
-    assert [k for k, *_ in out] == ["gap", *["record"] * 4, "gap"] and out[0][2] == b"junk"
+    assert [k for k, *_ in out] == ["gap", *["record"] * 5, "gap"] and out[0][2] == b"junk" and out[5][3] == out[5][4] == out[6][3]
     plain = [warc.build_record(i, "u", b"x" * i) for i in range(3)]
     bad = plain[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
     out = list(warc.salvage(plain[0] + bad + plain[2]))
     assert [k for k, *_ in out] == ["record", "gap", "record"]
     wrong = plain[2].replace(b"\r\n\r\nxx", b"\r\n\r\nxy")
     assert [k for k, *_ in warc.salvage(wrong + members[0] + plain[0])] == ["gap", "record", "record"]
+    records = [warc.build_record(i, "u", bytes([65 + i]) * (50 + i)) for i in range(4)]
+    hurt = records[1].replace(b"BBB", b"BxB", 1)
+    one = warc.compress(records[0] + hurt + b"".join(records[2:]))
+    out = list(warc.salvage(one))  # several records in a member, one of them damaged before it was compressed
+    assert [k for k, *_ in out] == ["record"] * 3 + ["inner gap"] and out[3][2] == hurt and {x[3:] for x in out} == {(0, len(one))}
+    long = [warc.build_record(i, "u", random.Random(i).randbytes(3000)) for i in range(4)]
+    member = warc.compress(b"".join(long))
+    assert [k for k, *_ in warc.salvage(member[:-6])] == ["record"] * 4 + ["gap"]  # its checksum is cut off
+    out = list(warc.salvage(member[: len(member) // 2] + members[0]))
+    assert [k for k, *_ in out] == ["record", "gap", "record"] and [warc.record_id(i) for i in (0, 0)] == [x[1]["warc-record-id"] for x in out if x[1]]
     assert list(warc.salvage(b"")) == [] and zlib.decompress(members[0], 31).startswith(b"WARC/1.1")
 
 
