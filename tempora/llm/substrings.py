@@ -8,11 +8,13 @@ by position instead; it has to sample 19 % of all positions for windows of 50 by
 Runs are dealt to suffix buckets by their sample and sorted one bucket at a time, by sample and then by the hash of the
 whole run. Runs that are equal as a whole are settled by their smallest document. Only where runs of one sample differ,
 their bytes are fetched, and their windows, each in full depth, are sorted in buckets again. The memory of a task is
-bounded by its bucket. Between the phases only packed arrays are shuffled.
+bounded by its bucket. Between the phases only packed arrays are shuffled. Strings count as equal if two 64-bit hashes
+are, that of their sample and that of all their bytes.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora.llm.common import planned_bytes, release, shuffle_partitions, spool
@@ -152,7 +154,7 @@ RUNS, SPANS, OPEN = 1, 2, 3
 _FRAME = ["bucket", "kind", "n", "data"]
 
 
-def removed_spans(data: bytes, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
+def removed_spans(starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int]]:
     """Union of spans, as maximal runs."""
     if not len(starts):
         return []
@@ -163,11 +165,23 @@ def removed_spans(data: bytes, starts: np.ndarray, stops: np.ndarray) -> list[tu
     return list(zip(starts[at].tolist(), stops[np.concatenate((at[1:] - 1, [len(stops) - 1]))].tolist()))
 
 
+def _placed_texts(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """doc_id, text, base of the rows with an id: rows that repeat an id are one document in pieces, and a place in a piece counts from its base."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    again = texts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if not again.head(1):
+        return texts.withColumn("base", F.lit(0).cast("long"))
+    again = spool(again, "repeated-ids")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = texts.join(again, "doc_id", "left_semi").withColumn("base", F.coalesce(F.sum(F.octet_length("text").cast("long") + width).over(order), F.lit(0)))
+    return texts.join(again, "doc_id", "left_anti").withColumn("base", F.lit(0).cast("long")).unionByName(spool(pieces, "pieces"))
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, int]:
     """(texts with their part, spans packed by part, number of parts): which spans of which document an earlier one repeats."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    buckets = max(shuffle_partitions(spark), math.ceil(planned_bytes(texts) / BUCKET_BYTES))
+    usable = _placed_texts(docs, id_col, text_col, width)
+    buckets = max(shuffle_partitions(spark), math.ceil(planned_bytes(usable) / BUCKET_BYTES))
     sign = np.uint64(1 << 63)  # ids as unsigned numbers in the same order
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,9 +194,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
         def deal() -> Iterator[pa.RecordBatch]:
             sample, content, doc, start, count = (np.concatenate(c) for c in zip(*gathered))
-            order = np.lexsort((doc, content))
+            order = np.lexsort((doc, sample, content))
             sample, content, doc, start, count = sample[order], content[order], doc[order], start[order], count[order]
-            least = _spread(_first_of_runs(content), doc)
+            least = _spread(_first_of_runs(content, sample), doc)
             later = doc > least  # settled here: a smaller document of this task has the same bytes
             if later.any():
                 yield batch_of(_dealt(_doc_part(doc[later], buckets), buckets, SPANS, [doc[later], start[later], start[later] + count[later] + np.uint64(width - 1)]))
@@ -191,6 +205,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ sign
+            base = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for row, data, offsets in text_chunks(batch.column(1), CHUNK_BYTES):
                 for at in range(0, max(1, len(data)), CHUNK_BYTES):  # a longer text in pieces that overlap
                     piece = data[at : at + CHUNK_BYTES + width - 1] if len(data) > CHUNK_BYTES + width else data
@@ -201,7 +216,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     if not len(starts):
                         continue
                     of = np.searchsorted(offsets, starts + at, side="right") - 1
-                    gathered.append((sample, content, ids[row + of], (starts + at - offsets[of]).astype(np.uint64), counts.astype(np.uint64)))
+                    gathered.append((sample, content, ids[row + of], (starts + at - offsets[of] + base[row + of]).astype(np.uint64), counts.astype(np.uint64)))
                     held += len(starts)
                     if held >= FLUSH:
                         yield from deal()
@@ -232,8 +247,18 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         doc, start, count, sample = _concat(wanted, 4)
         if not len(doc) or not len(texts_):
             return pd.DataFrame(columns=[*_FRAME, "bytes"])
-        texts_ = texts_.drop_duplicates("doc_id")
-        held = {int(i) ^ (1 << 63): t.encode() for i, t in zip(texts_["doc_id"].to_numpy(np.int64).view(np.uint64), texts_["text"])}
+        texts_ = texts_.sort_values(["doc_id", "base"], kind="stable", ignore_index=True)
+        held: dict[int, tuple[list[int], list[bytes]]] = {}
+        for i, t, at in zip(texts_["doc_id"].to_numpy(np.int64).view(np.uint64), texts_["text"], texts_["base"]):
+            bases, pieces = held.setdefault(int(i) ^ (1 << 63), ([], []))
+            bases.append(at)
+            pieces.append(t.encode())
+
+        def bytes_at(doc: int, start: int, size: int) -> bytes:
+            bases, pieces = held[doc]
+            k = bisect.bisect_right(bases, start) - 1
+            return pieces[k][start - bases[k] : start - bases[k] + size]
+
         where = (sample % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
         cuts = np.searchsorted(where[order], np.arange(buckets + 1))
@@ -241,27 +266,28 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         for b in range(buckets):
             at = order[cuts[b] : cuts[b + 1]]
             if len(at):
-                joined = b"".join(held[d][s : s + c + width - 1] for d, s, c in zip(doc[at].tolist(), start[at].tolist(), count[at].tolist()))
-                rows.append((b, OPEN, len(at), pack(doc[at], start[at], count[at]), joined))
+                joined = b"".join(bytes_at(d, s, c + width - 1) for d, s, c in zip(doc[at].tolist(), start[at].tolist(), count[at].tolist()))
+                rows.append((b, OPEN, len(at), pack(doc[at], start[at], count[at], sample[at]), joined))
         return pd.DataFrame(rows, columns=[*_FRAME, "bytes"])
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
-        """One bucket of windows, in order of their whole bytes' hash and document."""
-        hashes, docs_, places = [], [], []
+        """One bucket of windows, in order of their sample, their whole bytes' hash and their document."""
+        hashes, samples, docs_, places = [], [], [], []
         for data, n, joined in zip(part["data"], part["n"], part["bytes"]):
-            doc, start, count = unpack(data, n, 3)
+            doc, start, count, sample = unpack(data, n, 4)
             sizes = count.astype(np.int64) + width - 1
             base = np.cumsum(sizes) - sizes
             steps = np.arange(int(count.sum())) - np.repeat(np.cumsum(count.astype(np.int64)) - count.astype(np.int64), count.astype(np.int64))
             with np.errstate(over="ignore"):
                 every = window_hashes(np.frombuffer(joined, dtype=np.uint8), width)
             hashes.append(every[np.repeat(base, count.astype(np.int64)) + steps])
+            samples.append(np.repeat(sample, count.astype(np.int64)))
             docs_.append(np.repeat(doc, count.astype(np.int64)))
             places.append(np.repeat(start, count.astype(np.int64)) + steps.astype(np.uint64))
-        value, doc, place = (np.concatenate(x) for x in (hashes, docs_, places))
-        order = np.lexsort((doc, value))
-        value, doc, place = value[order], doc[order], place[order]
-        later = doc > _spread(_first_of_runs(value), doc)
+        value, of, doc, place = (np.concatenate(x) for x in (hashes, samples, docs_, places))
+        order = np.lexsort((doc, value, of))
+        value, of, doc, place = value[order], of[order], doc[order], place[order]
+        later = doc > _spread(_first_of_runs(of, value), doc)
         doc, place = doc[later], place[later]
         order = np.lexsort((place, doc))
         doc, place = doc[order], place[order]
@@ -275,7 +301,6 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def part_of(ids: pd.Series) -> pd.Series:
         return pd.Series(_doc_part(ids.to_numpy(np.int64).view(np.uint64) ^ sign, buckets).astype(np.int32))
 
-    usable = texts.where("doc_id IS NOT NULL")
     settled = spool(usable.where(F.octet_length("text") >= width).mapInArrow(scan, _PACKED).groupBy("bucket").applyInPandas(settle, _PACKED), "runs")
     release(spark)
     placed = usable.withColumn("part", F.pandas_udf(part_of, "int")("doc_id"))
@@ -294,11 +319,12 @@ def _kept(docs: DataFrame, schema: str, make, **params) -> DataFrame:
         order = np.argsort(doc, kind="stable")
         doc, start, stop = doc[order], start[order].astype(np.int64), stop[order].astype(np.int64)
         rows = []
-        for doc_id, text in zip(texts_["doc_id"].tolist(), texts_["text"]):
+        for doc_id, text, base in zip(texts_["doc_id"].tolist(), texts_["text"], texts_["base"].tolist()):
             key = np.uint64((doc_id + (1 << 63)) & ((1 << 64) - 1))
             a, b = np.searchsorted(doc, key, side="left"), np.searchsorted(doc, key, side="right")
             data = text.encode()
-            gone = removed_spans(data, start[a:b], stop[a:b])
+            mine = (start[a:b] >= base) & (start[a:b] < base + len(data))
+            gone = removed_spans(start[a:b][mine] - base, stop[a:b][mine] - base)
             left, at = [], 0
             for x, y in gone:
                 left.append(data[at:x])
@@ -314,8 +340,8 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`.
 
     Texts are their UTF-8 bytes, null is empty. A byte is removed if it lies in a string of `width` bytes that also
-    starts in a document with a smaller id; all is judged on the input. Rows that repeat an id don't remove each other's
-    bytes. Rows without an id lose nothing and remove nothing. Texts shorter than `width` stay. Other columns are
+    starts in a document with a smaller id; all is judged on the input. Rows that repeat an id are pieces of one document,
+    whatever their texts: they don't remove each other's bytes, and each has its own result. Rows without an id lose nothing and remove nothing. Texts shorter than `width` stay. Other columns are
     ignored; an empty table gives an empty result. Very long texts are hashed in pieces that overlap.
     """
 

@@ -200,6 +200,14 @@ def test_substrings_in_small_pieces(spark, monkeypatch, chunk):
     assert all(a == b for a, b in found)
 
 
+def test_repeated_ids_are_pieces_of_one_document(spark):
+    shared, other = "".join(words(1, 20)), "".join(words(2, 40))
+    data = [(1, shared, "s"), (2, "x" + shared, "s"), (2, other, "s"), (2, other, "s"), (3, other + "yz", "s"), (4, "tail " * 12, "s")]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in substrings.remove_repeated(table(spark, data)).collect())
+    size = len(shared), len(other)
+    assert got == sorted([(1, size[0], 0), (2, size[0] + 1, size[0]), (2, size[1], 0), (2, size[1], 0), (3, size[1] + 2, size[1]), (4, 60, 0)])
+
+
 def plain_components(data, k, percent):
     def grams(t):
         w = (t or "").encode().lower().split()
