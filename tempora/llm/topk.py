@@ -163,7 +163,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
             for q in query_part.itertuples(index=False):
                 asked_ids = np.frombuffer(q.ids, dtype="<i8")
                 scores = _scores(np.frombuffer(q.matrix, dtype="<f8").reshape(q.n, dim), x, longest[dim])
-                floor = np.frombuffer(q.floors, dtype="<f8")
+                floor = np.full(q.n, -np.inf) if q.floors is None else np.frombuffer(q.floors, dtype="<f8")
                 rows_, cols = np.nonzero((scores >= floor[:, None]) & (asked_ids[:, None] != ids[None, :]))
                 if not len(rows_):
                     continue
@@ -188,14 +188,19 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
 
     meta = index.select("block", "dim", "pivot", "r_min", "r_max")
     asked_blocks = queries.withColumnRenamed("block", "query_block")
-    no_floor = F.udf(lambda n: np.full(n, -np.inf).tobytes(), "binary")
-    first_blocks = asked_blocks.select("query_block", "dim", "n", "ids", "matrix", no_floor("n").alias("floors"))
+    first_blocks = asked_blocks.select("query_block", "dim", "n", "ids", "matrix", F.lit(None).cast("binary").alias("floors"))
     near = asked_blocks.select("query_block", "dim", "pivot", F.col("r_min").alias("lo"), F.col("r_max").alias("hi")).join(meta, ["dim", "pivot"]).where("r_max >= lo AND r_min <= hi").select("query_block", "block")
     first = spool(searched(near, first_blocks), "first-scores")
     floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
     # each query block with its queries' floors, and the annuli that these leave around each pivot
-    member = queries.select(F.col("block").alias("query_block"), F.explode(F.udf(lambda b: np.frombuffer(b, dtype="<i8").tolist(), "array<long>")("ids")).alias("query_id"))
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = np.frombuffer(ids.as_buffer(), dtype="<i8")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found)], names=["query_block", "query_id"])
+
+    member = queries.select("block", "ids").mapInArrow(members, "query_block long, query_id long")
     by_block = member.join(floors, "query_id").groupBy("query_block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("found"))  # at most QUERY_ROWS
 
     def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
