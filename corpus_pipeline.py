@@ -1,6 +1,8 @@
 """Corpus pipeline: language identification, exact and near deduplication, mixing, packing.
 
-The stages are applied in order; each is written and reread between, and works on all rows that the one before kept.
+The stages are applied in order; each is written and reread between, and works on all rows that the one before kept. Rows
+are told apart as rows, so null and repeated ids are rows as others; null texts count as empty; an empty table gives an
+empty one; further columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,38 +16,43 @@ from tempora.shipping import shipped
 
 #: A document that isn't `und` stays if one language labels at least this share of its letters.
 LEAST_SHARE = 0.5
+#: The column of predicted languages while they are joined.
+PREDICTED = "_tempora_predicted"
 
 
 @shipped
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a dominant language, each row by its own text; a missing `lang` gets the prediction."""
+    """Keeps documents with a dominant language, each row by its own text; a missing `lang` gets the prediction.
+
+    Texts that are null or without a letter go. Equal shares go to the language that is first in order.
+    """
     rows = numbered(docs, "language-rows")
     found = language.identify(rows, language.learn(rows), id_col=ROW).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    kept = rows.join(found.select(F.col("doc_id").alias(ROW), "lang_pred"), ROW).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    kept = rows.join(found.select(F.col("doc_id").alias(ROW), F.col("lang_pred").alias(PREDICTED)), ROW).withColumn("lang", F.coalesce("lang", PREDICTED))
     return kept.select(*docs.columns)
 
 
 @shipped
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of equal texts; null and repeated ids are rows as others."""
+    """Keeps one row of each group of equal texts: the longest, then the one with the smallest id, null ids last. All empty texts are equal."""
     return exact_dedup.drop_copies(docs)
 
 
 @shipped
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, of the smallest id, null ids last, of each group that links of five-word shingles at similarity 0.8 connect."""
+    """Keeps one row, of the smallest id, null ids last, of each group that links of five-word shingles at similarity 0.8 connect; texts without words stay."""
     return ngram_join.drop_near_copies(docs, words=5, percent=80)
 
 
 @shipped
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops rows so that each source gives its target of words."""
+    """Repeats or drops rows so that each source gives its target of words; null sources are one source, rows without words go."""
     return mixing.repeat_by_mix(docs)
 
 
 @shipped
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the mixed documents, packed."""
+    """Pieces of the mixed documents, packed; repeated rows are packed each for itself, an empty text as its end id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
