@@ -7,16 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or (in tests, where it is unset) a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or (where it is unset and all runs on this machine, as in tests) a folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tempora-checkpoint-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        named = kept
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tempora-checkpoint-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -24,4 +25,18 @@ def spool(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back; numbers that don't compress are best written with codec "none"."""
     path = f"{shared_dir(df.sparkSession)}/tempora-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """Stands for the tables spooled so far."""
+    return len(_written)
+
+
+def discard_all_but_last(spark: SparkSession, since: int) -> None:
+    """Delete the tables spooled since `since` but the last, which nothing else needs any more."""
+    for path in _written[since:-1]:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _written[since:-1] = []
