@@ -14,8 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tempora.shipping import shipped
 
@@ -242,6 +244,16 @@ def label_batch(model: Model, texts: list[str]) -> tuple[Words, np.ndarray, np.n
     return words, labels, letters
 
 
+def _predicted(known: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the language of most letters, and its share of all letters."""
+    if not known.languages:
+        return np.full(len(texts), UNDETERMINED, dtype=object), np.zeros(len(texts))
+    _, _, letters = label_batch(known, texts)
+    total, top = letters.sum(axis=1), letters.argmax(axis=1)
+    share = letters[np.arange(len(texts)), top] / np.maximum(total, 1)
+    return np.where(total > 0, np.array(known.languages, dtype=object)[top], UNDETERMINED), share
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row: the language of most letters, and its share of all letters.
 
@@ -252,6 +264,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return _applied(docs, model, id_col, text_col, spans=False)
 
 
+def labelled(docs: DataFrame, model: Model, text_col: str, pred_col: str, score_col: str) -> DataFrame:
+    """`docs` with all its columns and, in columns of these names, what `identify` gives; no row is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** TABLE_BITS by at most MOST_LANGUAGES
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_predicted(shared.value, texts) for _, texts in _pieces([x or "" for x in batch.column(at).to_pylist()])]
+            names, share = (np.concatenate(x) if x else np.zeros(0) for x in (list(zip(*found)) or ((), ())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names.tolist(), pa.string()), pa.array(share, pa.float64())], names=[*batch.schema.names, pred_col, score_col])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
+
+
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, lang: maximal spans of words with one label, as code point offsets in the lower-cased text."""
     return _applied(docs, model, id_col, text_col, spans=True)
@@ -266,18 +292,14 @@ def _applied(docs: DataFrame, model: Model, id_col: str, text_col: str, spans: b
             for at, texts in _pieces([x or "" for x in batch["text"]]):
                 part = slice(at, at + len(texts))
                 ids, no_id = batch["doc_id"].to_numpy()[part], batch["no_id"].to_numpy()[part]
-                if not known.languages:
-                    if not spans:
-                        yield pd.DataFrame({"doc_id": ids, "lang_pred": UNDETERMINED, "score": 0.0, "no_id": no_id})
-                    continue
-                words, labels, letters = label_batch(known, texts)
                 if not spans:
-                    total = letters.sum(axis=1)
-                    top = letters.argmax(axis=1)
-                    share = letters[np.arange(len(texts)), top] / np.maximum(total, 1)
-                    names = np.where(total > 0, np.array(known.languages, dtype=object)[top], UNDETERMINED)
+                    names, share = _predicted(known, texts)
                     yield pd.DataFrame({"doc_id": ids, "lang_pred": names, "score": share, "no_id": no_id})
-                elif len(labels):
+                    continue
+                if not known.languages:
+                    continue
+                words, labels, _ = label_batch(known, texts)
+                if len(labels):
                     new = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (words.text_of[1:] != words.text_of[:-1]))))
                     last = np.concatenate((new[1:], [len(labels)])) - 1
                     base = np.concatenate(([1], 1 + np.cumsum([len(x.lower()) + 1 for x in texts])))[words.text_of[new]]

@@ -79,12 +79,12 @@ def class_of(found: np.ndarray) -> int:
 
 
 def _dealt(where: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, rows, columns one behind another as bytes), rows by `where`."""
+    """(bucket, rows, columns one behind another as bytes), rows by `where`. Of each column all first bytes come first, then all second ones: where they are alike, the shuffle's compression makes them small."""
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)).tolist():
         at = order[cuts[b] : cuts[b + 1]]
-        yield b, len(at), b"".join(np.ascontiguousarray(c[at]).tobytes() for c in columns)
+        yield b, len(at), b"".join(np.ascontiguousarray(c[at]).view(np.uint8).reshape(len(at), -1).T.tobytes() for c in columns)
 
 
 def _undealt(pieces: pd.Series, *types: str) -> list[np.ndarray]:
@@ -94,7 +94,8 @@ def _undealt(pieces: pd.Series, *types: str) -> list[np.ndarray]:
         n, at = len(data) // width, 0
         for k, t in enumerate(types):
             size = n * np.dtype(t).itemsize
-            out[k].append(np.frombuffer(data[at : at + size], dtype=t))
+            planes = np.frombuffer(data, dtype=np.uint8, count=size, offset=at).reshape(-1, n)
+            out[k].append(np.ascontiguousarray(planes.T).view(t).reshape(n))
             at += size
     return [np.concatenate(x) if x else np.zeros(0, dtype=t) for x, t in zip(out, types)]
 
@@ -233,7 +234,7 @@ def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, bucke
         for flush, data in zip(part["flush"], part["data"]):
             n = len(data) // 12
             several = total[at : at + n] > 1
-            rows.append((flush, tokens[at : at + n][several].tobytes() + total[at : at + n][several].tobytes()))
+            rows += [(flush, piece) for _, _, piece in _dealt(np.zeros(int(several.sum()), np.int64), 1, tokens[at : at + n][several], total[at : at + n][several])]
             at += n
         return pd.DataFrame(rows, columns=["flush", "data"])
 
