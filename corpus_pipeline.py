@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import exact_dedup, language, mixing, ngram_join, packing
-from tempora.llm.common import ROW, numbered, spool
+from tempora.llm.common import release, spool
 from tempora.shipping import shipped
+from tempora.tables import discard_all_but_last, mark
 
 #: A document that isn't `und` stays if one language labels at least this share of its letters.
 LEAST_SHARE = 0.5
-#: The column of predicted languages while they are joined.
-PREDICTED = "_tempora_predicted"
+#: The columns of predicted languages and their shares.
+PREDICTED, SHARE = "_tempora_predicted", "_tempora_share"
 
 
 @shipped
@@ -26,10 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Texts that are null or without a letter go. Equal shares go to the language that is first in order.
     """
-    rows = numbered(docs, "language-rows")
-    found = language.identify(rows, language.learn(rows), id_col=ROW).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
-    kept = rows.join(found.select(F.col("doc_id").alias(ROW), F.col("lang_pred").alias(PREDICTED)), ROW).withColumn("lang", F.coalesce("lang", PREDICTED))
-    return kept.select(*docs.columns)
+    found = language.labelled(docs, language.learn(docs), "text", PREDICTED, SHARE)
+    kept = found.where((F.col(PREDICTED) != language.UNDETERMINED) & (F.col(SHARE) >= LEAST_SHARE))
+    return kept.withColumn("lang", F.coalesce("lang", PREDICTED)).select(*docs.columns)
 
 
 @shipped
@@ -72,9 +72,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = spool(docs, f"stage-{k}")
+            discard_all_but_last(spark, since)  # the tables that the stage made, and what it read
+            release(spark)
     return docs
