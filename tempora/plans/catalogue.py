@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tempora import schemas
 from tempora.functions import arrays, coords, dates, text
-from tempora.llm.common import ROW, numbered, spool
 from tempora.operators import adjudicate, candidates, clean, errors, geocode, graph, matching, relations, scoring, views
 from tempora.shipping import shipped
+from tempora.tables import ROW, numbered, spool
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
