@@ -5,17 +5,13 @@ from __future__ import annotations
 import gc
 import time
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempora.tables import shared_dir, spool
+from tempora.tables import ROW, numbered, shared_dir, spool
 
 __all__ = ["COPIES", "ROW", "numbered", "planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
 
-#: The column of row numbers.
-ROW = "_tempora_row"
-_FILE, _INDEX, _NAME, _ORDER = "_tempora_file", "_tempora_index", "_tempora_name", "_tempora_order"
 #: The column of copies to be made of a row.
 COPIES = "_tempora_copies"
 #: Estimates above this are taken for unknown.
@@ -27,31 +23,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _is_scan(df: DataFrame) -> bool:
-    """Whether `df` is rows of files, each at most once: columns and filters over one relation."""
-    node = df._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "Filter", "SubqueryAlias") and node.children().size() == 1:
-        node = node.children().apply(0)
-    return node.nodeName() == "LogicalRelation"
-
-
-def numbered(docs: DataFrame, name: str) -> DataFrame:
-    """`docs` with a column ROW that tells rows apart whatever their ids.
-
-    Rows of Parquet files are numbered by file and place, which is the same whenever they are read; there are as few
-    file names as files, and they are broadcast. Anything else is kept in the shared folder first.
-    """
-    if not _is_scan(docs):
-        return spool(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-    try:
-        placed = docs.select("*", F.col("_metadata.file_path").alias(_FILE), F.col("_metadata.row_index").alias(_INDEX))
-    except AnalysisException:  # files of a kind without places
-        return spool(docs.withColumn(ROW, F.monotonically_increasing_id()), name)
-    files = placed.select(F.col(_FILE).alias(_NAME)).distinct().withColumn(_ORDER, F.row_number().over(Window.orderBy(_NAME)).cast("long"))
-    joined = placed.join(F.broadcast(spool(files, f"{name}-files")), F.col(_FILE) == F.col(_NAME))
-    return joined.withColumn(ROW, F.col(_ORDER) * F.lit(1 << 40) + F.col(_INDEX)).drop(_FILE, _INDEX, _NAME, _ORDER)
-
-
 def planned_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of `df`, for a number of groups; where it has none (or a product of joins), the bytes of its columns are summed up."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
