@@ -53,9 +53,9 @@ def backoff_seconds(attempt: int) -> float:
 
 
 def offset(seed: Column | str) -> Column:
-    """A place near the origin that depends on the seed only: angle and radius from a 32-bit rolling hash."""
-    units = F.filter(F.split(_col(seed), ""), lambda c: c != "")
-    h = F.aggregate(units, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.ascii(c)).bitwiseAND(F.lit(4294967295)))
+    """A place near the origin that depends on the seed only: angle and radius from a 32-bit rolling hash of its UTF-16 units."""
+    units = F.regexp_extract_all(F.hex(F.encode(_col(seed), "UTF-16BE")), F.lit("(....)"))
+    h = F.aggregate(units, F.lit(0).cast("long"), lambda a, c: (a * 31 + F.conv(c, 16, 10).cast("long")).bitwiseAND(F.lit(4294967295)))
     angle = F.pmod(h, F.lit(360)) / 180.0 * F.pi()
     signed = F.when(h >= 2147483648, h - 4294967296).otherwise(h)
     shifted = F.floor(signed / 256)

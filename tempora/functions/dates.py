@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tempora.functions.text import strip
+from tempora.functions.text import norm_space, strip
 
 _FULL = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:?\d{2}(:?\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2}(:?\d{2})?)?)?)?$"
 
@@ -28,18 +28,23 @@ def event_date(x: Column | str) -> Column:
     return F.when(x.rlike(r"^\d{4}(-\d{2}){0,2}$"), x).otherwise(iso_date(F.nullif(x, F.lit(""))))
 
 
-def checked_event_date(date: Column | str, precision: Column | str, article_date: Column | str) -> Column:
-    """The date if it has the stated precision; empty dates become the article's unless unknown; null if they don't agree."""
-    date, precision = strip(date), _col(precision)
-    of_article = F.coalesce(iso_date(article_date), F.lit(""))
-    shape = (
-        F.when(precision == "day", date.rlike(r"^\d{4}-\d{2}-\d{2}$"))
-        .when(precision == "month", date.rlike(r"^\d{4}-\d{2}$"))
-        .when(precision == "year", date.rlike(r"^\d{4}$"))
-        .when(precision == "article_date", date == of_article)
-        .otherwise(date == "")
-    )
-    return F.when(date == "", F.when(precision == "unknown", F.lit("")).otherwise(of_article)).when(shape, date)
+# The shape of a date of each precision, and words for no date.
+SHAPES = {"day": r"^\d{4}-\d{2}-\d{2}$", "article_date": r"^\d{4}-\d{2}-\d{2}$", "month": r"^\d{4}-\d{2}$", "year": r"^\d{4}$"}
+NO_DATE = ("unknown", "n/a", "none")
+
+
+def article_date(x: Column | str) -> Column:
+    """The ISO date, else ten characters that look like one; null if there is none."""
+    x = _col(x)
+    return F.coalesce(iso_date(x), F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(x, 1, 10)))
+
+
+def checked_event_date(date: Column | str, precision: Column | str, published_at: Column | str) -> Column:
+    """The date if it has the shape of its precision; no date is the article's, or empty where the precision is unknown; null if they don't agree."""
+    date, precision = norm_space(date), _col(precision)
+    shaped = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in SHAPES.items() for v in pair]), precision), F.lit("(?!)"))
+    none = F.when(precision.eqNullSafe("unknown"), F.lit("")).otherwise(article_date(published_at))
+    return F.when(date == "", none).when(precision.eqNullSafe("unknown"), F.when(F.lower(date).isin(*NO_DATE), F.lit(""))).when(F.regexp_like(date, shaped), date)
 
 
 def epoch_ms_iso(x: Column | str) -> Column:

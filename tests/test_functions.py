@@ -49,6 +49,10 @@ def value(spark, column):
         (lambda: dates.checked_event_date(F.lit(""), F.lit("day"), F.lit("2026-04-10T01:00:00Z")), "2026-04-10"),
         (lambda: dates.checked_event_date(F.lit(""), F.lit("unknown"), F.lit("2026-04-10")), ""),
         (lambda: dates.checked_event_date(F.lit("2026"), F.lit("day"), F.lit("2026-04-10")), None),
+        (lambda: dates.checked_event_date(F.lit("2026-04-01"), F.lit("article_date"), F.lit("2026-04-10")), "2026-04-01"),
+        (lambda: dates.checked_event_date(F.lit(" N/A "), F.lit("unknown"), F.lit("2026-04-10")), ""),
+        (lambda: dates.checked_event_date(F.lit("2026"), F.lit("unknown"), F.lit("2026-04-10")), None),
+        (lambda: dates.checked_event_date(F.lit(None).cast("string"), F.lit("month"), F.lit("2026-04-10 odd")), "2026-04-10"),
         (lambda: dates.epoch_ms_iso(F.lit(1775779200123)), "2026-04-10T00:00:00.123000+00:00"),
         (lambda: dates.epoch_ms_iso(F.lit(1775779200000)), "2026-04-10T00:00:00+00:00"),
         (lambda: coords.safe_float(F.lit("x")), None),
@@ -84,10 +88,10 @@ def test_geocode_flags(spark):
 def test_offset_matches_a_plain_loop(spark):
     import math
 
-    for seed in ("NationState:iran", "x", "NonStateActor:some-long-name-with-many-letters"):
-        h = 0
-        for c in seed:
-            h = (h * 31 + ord(c)) & 0xFFFFFFFF
+    for seed in ("NationState:iran", "x", "NonStateActor:some-long-name-with-many-letters", "é \U0001f680 x"):
+        h, units = 0, seed.encode("utf-16-be")
+        for k in range(0, len(units), 2):
+            h = (h * 31 + int.from_bytes(units[k : k + 2], "big")) & 0xFFFFFFFF
         signed = h - (1 << 32) if h >= 1 << 31 else h
         angle, radius = (h % 360) * math.pi / 180, 1.8 + math.fmod(signed >> 8, 120) / 100
         o = value(spark, coords.offset(F.lit(seed)))
