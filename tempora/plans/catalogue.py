@@ -579,3 +579,6 @@ def stream_edge_counts(spark, d):
     return spark.table(name).select("source", "type", "weight", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"))
 
 
+
+
+from tempora.plans import record_queries  # noqa: E402, F401  (registers its queries here)
