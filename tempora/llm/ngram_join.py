@@ -297,26 +297,28 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
     """node, component: what links between the candidates connect."""
     spark = candidates.sparkSession
-    sets, members = candidates.select("cls", "members"), candidates.select("cls", "grp")
+    # sets of n and m need this overlap
+    need = lambda n, m: f"(({percent}L * ({n} + {m}) + {100 + percent - 1}) div {100 + percent})"
+    # a group's sets share at most what comes after its prefix's own shingles
+    sets, members = candidates.select("cls", "members"), candidates.select("cls", "grp", F.expr(f"before + {need('n', 'n')} <= n").alias("inside"))
     first = candidates.select("grp", "n", "before", "tokens").dropDuplicates(["grp"])
     runs = first.select("grp", "n", "before", F.posexplode("tokens").alias("pos", "token")).select("token", "grp", "n", (F.col("before") + F.col("pos")).alias("place"))
     met = runs.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     runs = spool(runs.join(met, "token"), "runs", "none")
     members = spool(members, "members", "none")
 
-    # sets of n and m need this overlap; the first shingle that they share has to leave room for it in both
-    need = lambda n, m: f"(({percent}L * ({n} + {m}) + {100 + percent - 1}) div {100 + percent})"
+    # the first shingle that two sets share has to leave room for their overlap in both
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND place + {need('n', 'm')} <= n AND other_place + {need('n', 'm')} <= m")
     place, tested = None, None
     for turn in range(STAR_ROUNDS + 2):
         placed = members.withColumn("at", F.col("cls"))
         if place is not None:
-            placed = members.join(place, F.col("cls") == F.col("node"), "left").select("cls", "grp", F.coalesce("component", "cls").alias("at"))
+            placed = members.join(place, F.col("cls") == F.col("node"), "left").select("cls", "grp", "inside", F.coalesce("component", "cls").alias("at"))
         one = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("hub"), F.col("at").alias("hub_at")))
-        state = placed.groupBy("grp").agg(F.min("at").alias("low"), F.max("at").alias("high"), one.alias("one")).select("grp", "low", "high", "one.hub", "one.hub_at")
+        state = placed.groupBy("grp").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("inside").alias("inside"), one.alias("one")).select("grp", "low", "high", "inside", "one.hub", "one.hub_at")
         state = spool(state, "groups", "none")
         if turn == 0:  # inside groups
-            pairs = placed.join(state.where("low < high"), "grp").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+            pairs = placed.drop("inside").join(state.where("low < high AND inside"), "grp").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
         else:
             open_runs = runs.join(state.select("grp", "low", "high"), "grp")
             mixed = open_runs.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
@@ -334,7 +336,7 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
         elif turn:
             other = open_runs.select("token", F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
             grouped = open_runs.join(other, "token").where((F.col("grp") < F.col("other")) & apart & fits).select("grp", "other").distinct()
-            grouped = grouped.unionByName(state.where("low < high").select("grp", F.col("grp").alias("other")))
+            grouped = grouped.unionByName(state.where("low < high AND inside").select("grp", F.col("grp").alias("other")))
             others = placed.select(F.col("grp").alias("other"), F.col("cls").alias("a"), F.col("at").alias("other_at"))
             pairs = placed.join(grouped, "grp").join(others, "other").where("at <> other_at").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
         if tested is not None:

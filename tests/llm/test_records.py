@@ -184,3 +184,9 @@ def test_top_k(spark, monkeypatch):
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
     assert got == sorted(want)
     assert topk.top_k(df.limit(0), 7, "true").count() == 0
+
+
+def test_turns_go_through_the_fold(spark, small, monkeypatch):
+    whole = sorted(map(tuple, chat.op5_event_sourced(spark, small).collect()))
+    monkeypatch.setattr(chat, "fold", lambda events: ("", str(len(list(events)))))
+    assert sorted(map(tuple, chat.op5_event_sourced(spark, small).collect())) != whole

@@ -208,6 +208,58 @@ def test_repeated_ids_are_pieces_of_one_document(spark):
     assert got == sorted([(1, size[0], 0), (2, size[0] + 1, size[0]), (2, size[1], 0), (2, size[1], 0), (3, size[1] + 2, size[1]), (4, 60, 0)])
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_assign_cuts_only_what_fits_nowhere(seed):
+    r = random.Random(seed)
+    lengths = sorted((r.randrange(1, 2049) for _ in range(900)), reverse=True)
+    room = {}
+    placed = {}
+    for k, sequence in enumerate(packing.assign(lengths)):
+        room[k] = packing.CAPACITY
+        for item, start, length in sequence:
+            placed.setdefault(item, []).append((start, k, length))
+    for item, length in enumerate(lengths):
+        if len(placed[item]) > 1:
+            assert max(room.values()) < length
+        for _, k, taken in placed[item]:
+            room[k] -= taken
+
+
+def test_results_do_not_follow_partitions(spark):
+    data = rows(repeat=False) + [(300 + i, " ".join(words(i, 30 + i % 50)), "ab"[i % 2]) for i in range(120)]
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), {"pack": set(), "mix": set(), "exact": set()}
+    try:
+        for n in (2, 8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            seen["pack"].add(tuple(sorted(map(str, packing.pack(table(spark, data), TOKENIZER.path("byte_bpe_50k.json")).collect()))))
+            seen["mix"].add(tuple(sorted(map(str, mixing.mix(table(spark, data)).collect()))))
+            seen["exact"].add(tuple(sorted(map(str, exact_dedup.exact_groups(table(spark, data)).collect()))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(len(x) == 1 for x in seen.values())
+
+
+def test_mix_odds_grow_with_length(spark):
+    data = [(i, " ".join(["w"] * (2 if i % 2 else 64)), "a" if i < 300 else "b") for i in range(600)]
+    copies = {}
+    for r in mixing.mix(table(spark, data)).collect():
+        copies.setdefault((r["source"], r["size"]), []).append(r["copies"])
+    for source in "ab":
+        short, long = (sum(copies[source, n]) / len(copies[source, n]) for n in (2, 64))
+        assert short < long or short == long == 3
+
+
+def test_sets_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """Texts of one long passage and words of their own aren't similar enough, and no pair of them is verified."""
+    passage = " ".join(words(1, 400))
+    data = [(i, passage + " " + " ".join(f"own{i}x{j}" for j in range(60)), "s") for i in range(300)]
+    asked = []
+    known = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda sets, pairs, percent: asked.append(pairs.count()) or known(sets, pairs, percent))
+    got = ngram_join.classes_and_components(table(spark, data), words=5, percent=80).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in got) and sum(asked) == 0
+
+
 def plain_components(data, k, percent):
     def grams(t):
         w = (t or "").encode().lower().split()
