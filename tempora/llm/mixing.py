@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import COPIES, ROW, numbered, spool
+from tempora.llm.common import ROW, numbered, spool
 from tempora.shipping import shipped
 
 #: The weights that sources get in turn.
@@ -28,6 +28,8 @@ SIZE_POWER = 0.25
 BUCKET_DOCS = 2048
 #: Up to so many rows of the plan (a source's documents of like length) it is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_PLAN = 100_000
+#: Up to so many rows of boundary buckets (two numbers each) are broadcast to the documents; beyond, they are joined by a shuffle.
+BROADCAST_EDGE = 2_000_000
 #: Times that the boundary bucket is walked for documents that still fit.
 WALKS = 4
 
@@ -60,24 +62,29 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, most: int = MOST_TIMES) -> D
     return filled.select("source", "source_size", "n_docs", "source_rank", "weight", F.col("share").alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES, row_col: str | None = None, size_power: float = SIZE_POWER) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, copies for every row of `docs`.
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, size and klass (the power of two below the size) of every row, and `more` columns."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *more)
+    return rows.withColumn("klass", F.length(F.bin("size")) - 1)
 
-    Null texts and texts without words have size 0 and take 0 words. A null source is a source of its own, the last in
-    order. The same ids and texts give the same mix in every run; rows that repeat an id are separate rows, those that
-    repeat the size, too, have the same rank. Other columns are ignored whatever their names; an empty table gives an
-    empty result.
 
-    Expected copies of a document are at most `most` and in proportion to 2 ** (size_power * floor(log2(size))) below that. A document that
-    is too large for what is left is passed over and the ranking is followed further, so a source misses its target by
-    less than its boundary bucket's smallest document that isn't taken, or by the few words that WALKS walks leave. With
-    `row_col`, a column of unique longs, the result has it as `row`.
+def drawn(rows: DataFrame, plan: DataFrame, few: bool, seed: int) -> DataFrame:
+    """Rows of `rows` that have words, with what `plan` says of their source and class, and their rank_key and bucket.
+
+    Each row is looked at by itself: whoever reads the documents again gets the same ranks.
     """
-    key = ["row"] if row_col else []
-    sized = docs.select(F.col(id_col).alias("doc_id"), *[F.col(row_col).cast("long").alias(c) for c in key], F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    sized = spool(sized.withColumn("klass", F.length(F.bin("size")) - 1), "sizes")
-    sources = spool(water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, most), "sources")
-    classes = sized.where("size > 0").groupBy(F.col("source").alias("of_source"), F.col("klass").alias("of_klass")).agg(F.sum("size").alias("words"))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    inclusion = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("odds")))
+    found = rows.where("size > 0").join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("klass") == F.col("of_klass")))
+    found = found.withColumn("rank_key", (u / (1 - u)) / (inclusion / (1 - inclusion)))
+    # ranks from 0 to infinity as numbers from 0 to 1; near the end of the sample, at about a half, buckets are never denser than on average
+    return found.withColumn("bucket", F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * F.col("buckets"))).drop("of_source", "of_klass", "odds", "buckets")
+
+
+def planned(sizes: DataFrame, seed: int, weights, most: int, size_power: float) -> tuple[DataFrame, DataFrame, bool]:
+    """(plan, sources, few) for kept `sizes`: a row of whole copies, odds, last whole bucket, boundary bucket and room for each source and class; whether there are few enough to broadcast."""
+    sources = spool(water_fill(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs")), weights, most), "sources")
+    classes = sizes.where("size > 0").groupBy(F.col("source").alias("of_source"), F.col("klass").alias("of_klass")).agg(F.sum("size").alias("words"))
     classes = classes.join(sources, F.col("of_source").eqNullSafe(F.col("source")))
     shared = fill(classes, ["source_rank"], F.col("target"), F.lit(most) * F.col("words"), F.pow(F.lit(2.0), F.col("of_klass") * F.lit(size_power)) * F.col("words"), ["of_klass"])
     times = F.col("share") / F.col("words")
@@ -85,27 +92,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = F.greatest(F.lit(0.0), F.col("target") - F.sum(F.col("whole") * F.col("words")).over(Window.partitionBy("source_rank")))
     plan = spool(shared.withColumn("rest", rest).drop("words", "target"), "mix-plan")
     few = plan.count() <= BROADCAST_PLAN
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    drawn = sized.where("size > 0").join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("klass") == F.col("of_klass"))).withColumn("u", u)
-    inclusion = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.col("odds")))
-    drawn = drawn.withColumn("rank_key", (F.col("u") / (1 - F.col("u"))) / (inclusion / (1 - inclusion)))
-    # ranks from 0 to infinity as numbers from 0 to 1; near the end of the sample, at about a half, buckets are never denser than on average
-    drawn = drawn.withColumn("bucket", F.floor(F.col("rank_key") / (1 + F.col("rank_key")) * F.col("buckets"))).drop("of_source", "of_klass", "odds", "buckets", "u")
 
     run = Window.partitionBy("source_rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = drawn.groupBy("source_rank", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+    sums = drawn(sizes, plan, few, seed).groupBy("source_rank", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     sums = sums.withColumn("upto", F.sum("words").over(run))
     begin = F.col("upto") - F.col("words")
-    place = F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(begin < F.col("rest"), F.lit(2)).otherwise(F.lit(0))
-    places = spool(sums.select("source_rank", "bucket", place.alias("place"), (F.col("rest") - begin).alias("room")), "rank-buckets")
-    placed = drawn.join(places, ["source_rank", "bucket"])
-    out = ["doc_id", "source", "size", "whole", "extra", *key]
-    simple = placed.where("place <> 2").withColumn("extra", F.col("place").cast("long")).select(*out)
+    inside, edge = F.col("upto") <= F.col("rest"), (begin < F.col("rest")) & (F.col("upto") > F.col("rest"))
+    ends = sums.groupBy(F.col("source_rank").alias("of_rank")).agg(F.max(F.when(inside, F.col("bucket"))).alias("last_whole"), F.max(F.when(edge, F.col("bucket"))).alias("edge_bucket"), F.max(F.when(edge, F.col("rest") - begin)).alias("room"))
+    plan = spool(plan.drop("rest").join(ends, F.col("source_rank") == F.col("of_rank")).drop("of_rank"), "mix-ends")
+    return plan, sources, few
+
+
+def at_edge() -> Column:
+    """Whether a drawn row lies in its source's boundary bucket."""
+    return F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False))
 
-    # the boundary bucket of each source: documents in rank order as far as they fit, then those after one that doesn't
+
+def plain_copies() -> Column:
+    """Copies of a drawn row outside of boundary buckets."""
+    return F.col("whole") + F.coalesce(F.col("bucket") <= F.col("last_whole"), F.lit(False)).cast("long")
+
+
+def walked(edge: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of boundary buckets with `extra`: documents in rank order as far as they fit, then those after one that doesn't."""
     walk = Window.partitionBy("source_rank").orderBy("rank_key", "doc_id", "size", *key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = walk.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = placed.where("place = 2").withColumn("extra", F.lit(0).cast("long"))
+    edge = edge.withColumn("extra", F.lit(0).cast("long"))
     for _ in range(WALKS):
         fits = (F.col("extra") == 0) & (F.col("size") <= F.col("room"))
         edge = edge.withColumn("_upto", F.sum(F.when(fits, F.col("size")).otherwise(F.lit(0))).over(walk))
@@ -114,20 +126,52 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # one more document if it overshoots by less than what else would be missing
     spare = (F.col("extra") == 0) & (F.col("size") < 2 * F.col("room"))
     first = F.row_number().over(Window.partitionBy("source_rank").orderBy(F.when(spare, F.col("size")).asc_nulls_last(), "rank_key", "doc_id", *key))
-    edge = edge.withColumn("_first", first).withColumn("extra", F.when(spare & (F.col("_first") == 1), F.lit(1)).otherwise(F.col("extra")).cast("long"))
-    none = sized.where("size = 0").withColumn("whole", F.lit(0).cast("long")).withColumn("extra", F.lit(0).cast("long"))
-    mixed = simple.unionByName(edge.select(*out)).unionByName(none.select(*out)).withColumn("copies", F.col("whole") + F.col("extra"))
+    return edge.withColumn("_first", first).withColumn("extra", F.when(spare & (F.col("_first") == 1), F.lit(1)).otherwise(F.col("extra")).cast("long"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES, size_power: float = SIZE_POWER) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, copies for every row of `docs`.
+
+    Null texts and texts without words have size 0 and take 0 words. A null source is a source of its own, the last in
+    order. The same ids and texts give the same mix in every run; rows that repeat an id are separate rows, those that
+    repeat the size, too, have the same rank. Other columns are ignored whatever their names; an empty table gives an
+    empty result.
+
+    Expected copies of a document are at most `most` and in proportion to 2 ** (size_power * floor(log2(size))) below that. A document that
+    is too large for what is left is passed over and the ranking is followed further, so a source misses its target by
+    less than its boundary bucket's smallest document that isn't taken, or by the few words that WALKS walks leave.
+    """
+    sizes = spool(sized(docs, id_col, text_col, source_col), "sizes")
+    plan, sources, few = planned(sizes, seed, weights, most, size_power)
+    ranked = drawn(sizes, plan, few, seed)
+    plain = ranked.where(~at_edge()).withColumn("copies", plain_copies())
+    edge = walked(ranked.where(at_edge()), []).withColumn("copies", F.col("whole") + F.col("extra"))
+    none = sizes.where("size = 0").withColumn("copies", F.lit(0).cast("long"))
+    out = ["doc_id", "source", "size", "copies"]
+    mixed = plain.select(*out).unionByName(edge.select(*out)).unionByName(none.select(*out))
     told = sources.select(F.col("source").alias("of_source"), "source_size", "target")
     mixed = mixed.join(F.broadcast(told) if few else told, F.col("source").eqNullSafe(F.col("of_source")))
-    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"), *key)
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), F.col("copies").cast("long").alias("copies"))
 
 
-def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **params) -> DataFrame:
-    """`docs` with each row as often as the mix takes it (not at all, or up to `most` times); null and repeated ids are rows as others, other columns may have any name."""
+def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, weights=WEIGHTS, most: int = MOST_TIMES, size_power: float = SIZE_POWER) -> DataFrame:
+    """`docs` with each row as often as the mix takes it (not at all, or up to `most` times); null and repeated ids are rows as others, other columns may have any name.
+
+    Texts aren't shuffled: a row's copies follow from the plan, but for rows of the boundary buckets (about BUCKET_DOCS
+    of each source), whose numbers and copies are joined.
+    """
     rows = numbered(docs, "mix-rows")
-    copies = mix(rows, id_col, text_col, source_col, row_col=ROW, **params).where("copies > 0").select(F.col("row").alias(ROW), F.sequence(F.lit(1), F.col("copies").cast("int")).alias(COPIES))
-    columns = [rows[c] for c in docs.columns]
-    return rows.join(copies, ROW).select(*columns, F.explode(COPIES).alias(COPIES)).drop(COPIES)
+    row = F.col(ROW).alias("row")
+    sizes = spool(sized(rows, id_col, text_col, source_col, row), "sizes")
+    plan, _, few = planned(sizes, seed, weights, most, size_power)
+    edge = walked(drawn(sizes, plan, few, seed).where(at_edge()), ["row"])
+    edge = spool(edge.select(F.col("row").alias("of_row"), (F.col("whole") + F.col("extra")).alias("edge_copies")), "mix-edge")
+    few_edges = edge.count() <= BROADCAST_EDGE
+
+    whole = sized(rows, id_col, text_col, source_col, row, F.struct(*[rows[c] for c in docs.columns]).alias("document"))
+    ranked = drawn(whole, plan, few, seed).join(F.broadcast(edge) if few_edges else edge, F.col("row") == F.col("of_row"), "left")
+    copies = ranked.select("document", F.coalesce("edge_copies", plain_copies()).cast("int").alias("copies")).where("copies > 0")
+    return copies.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
 @shipped
