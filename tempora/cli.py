@@ -35,11 +35,63 @@ def _postprocess(spark, a) -> dict:
 def _ingest(spark, a) -> dict:
     from tempora.sources import pages
 
-    found = pages.ingest(spark, a.pages).cache()
+    found = (pages.parse_pages(pages.stored(spark, a.pages)) if a.stored else pages.ingest(spark, a.pages)).cache()
     found.where("article IS NOT NULL").select("article.*").write.mode("overwrite").option("ignoreNullFields", False).json(a.output)
     return {f"{r['kind']}:{r['label']}" if r["label"] else r["kind"]: r["count"] for r in pages.ingest_counts(found).collect()}
 
 
+def _crawl(spark, a) -> dict:
+    from tempora.sources import clients, pages, sinks
+
+    pause, timeout = a.delay, a.timeout
+    promos = pages.crawl(spark, a.topic, clients.page_fetcher(pause, timeout), a.since, a.until, a.max_pages or None).cache()
+    manifest = pages.download(promos, f"{a.output}/pages", lambda: clients.page_fetcher(pause, timeout), a.overwrite).cache()
+    sinks.jsonl(manifest.drop("error"), f"{a.output}/crawl_manifest", ["page_number", "filename"], one_file=True)
+    sinks.jsonl(manifest.where("status = 'failed'").select("url", "error"), f"{a.output}/crawl_failures", ["url"], one_file=True)
+    counts = pages.crawl_counts(promos).first().asDict() | pages.download_counts(manifest).first().asDict()
+    Path(a.output, "crawl_summary.json").write_text(json.dumps({"topic": a.topic, "since": a.since, "until": a.until} | counts, indent=2) + "\n", encoding="utf-8")
+    return counts
+
+
+def _aggregate(spark, a) -> dict:
+    from tempora.plans.pipelines import records_to_graph
+    from tempora.sources import readers, sinks
+
+    out = records_to_graph(readers.jsonl(spark, a.records, schemas.EXTRACTION), a.on_collision)
+    sinks.graph_files(out, out["payload"], a.output)
+    if a.node_link:
+        sinks.node_link(out["nodes"], out["edges"]).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{a.output}/node_link")
+    counts = out["metadata"].select("node_count", "edge_count", "skipped_relations").first().asDict()
+    return counts | out["event_metadata"].select("event_count").first().asDict()
+
+
+def _packets(spark, a) -> dict:
+    from tempora.operators import candidates
+    from tempora.plans import reports
+    from tempora.sources import readers, sinks
+
+    found = candidates.packets(readers.jsonl(spark, a.candidates, schemas.GOLD), readers.jsonl(spark, a.articles, schemas.ARTICLE)).cache()
+    sinks.jsonl(found, f"{a.output}/packets", ["rec_ord"], one_file=True)
+    for row in found.toLocalIterator():  # one Markdown file for each article that humans annotate
+        Path(a.output, f"{reports.safe_name(row['article_id'])}.packet.md").write_text(reports.packet(row), encoding="utf-8")
+    return {"packets": found.count()}
+
+
+def _model_review(spark, a) -> dict:
+    from tempora.plans import model_review, reports
+    from tempora.sources import clients, readers
+
+    packets = readers.jsonl(spark, a.packets, model_review.PACKET)
+    done = None if a.overwrite else readers.done_ids(spark, f"{a.output}/records")
+    key, url, model, timeout = clients.api_key(a.key_name, a.key_file), a.url, clients.model_name(a.model), a.timeout
+    post = lambda *x, **more: clients.post_json(*x, **more | {"timeout": timeout})
+    found = model_review.review(packets, lambda: clients.annotator(url, key, model, model_review.GOLD_SCHEMA, model_review.INSTRUCTIONS, post), done, a.limit).cache()
+    found.where("status = 'ok'").select("record").write.mode("overwrite" if a.overwrite else "append").text(f"{a.output}/records")
+    for row in found.where("status = 'ok'").toLocalIterator():  # a checklist for each article that humans check
+        Path(a.output, f"{reports.safe_name(row['article_id'])}.review.md").write_text(reports.review_checklist(row["article_id"], json.dumps(json.loads(row["record"]), indent=2, ensure_ascii=False), "records"), encoding="utf-8")
+    return {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
+
+
 def _extract(spark, a) -> dict:
     from tempora.plans.extract import extract
     from tempora.sources import clients, readers, sinks
@@ -53,7 +105,8 @@ def _extract(spark, a) -> dict:
         lines = readers.with_order(spark.read.text(a.candidates))
         candidates = lines.select("rec_ord", F.get_json_object("value", "$.article_id").alias("article_id"), F.col("value").alias("record"))
     base, url = a.model, a.url
-    found = extract(articles, lambda: clients.LocalChat(url), base, a.method, candidates, wanted=wanted, limit=a.limit, retries=a.retries, verify=not a.skip_verifier).cache()
+    done = readers.done_ids(spark, f"{a.output}/records") if a.resume else None
+    found = extract(articles, lambda: clients.LocalChat(url), base, a.method, candidates, done=done, wanted=wanted, limit=a.limit, retries=a.retries, verify=not a.skip_verifier).cache()
     sinks.outcomes(found, a.output)
     return {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
 
@@ -91,9 +144,10 @@ def _review(spark, a) -> dict:
     reviews = review.article_reviews(review.with_articles(readers.jsonl(spark, a.gold, schemas.GOLD), readers.jsonl(spark, a.predictions, schemas.EXTRACTION), articles, a.threshold)).cache()
     sinks.csv(review.workbook(reviews), f"{a.output}/case_review", schemas.REVIEW_COLUMNS, ["rec_ord", "turn", "i"])
     for row in reviews.toLocalIterator():  # one Markdown file for each annotated article
-        name = "".join(c if c.isalnum() or c in "._-" else "-" for c in row["article_id"] or "article")
-        Path(a.output, f"{name}.md").write_text(reports.article_review(row), encoding="utf-8")
-    return review.summary(reviews).first().asDict()
+        Path(a.output, f"{reports.safe_name(row['article_id'])}.md").write_text(reports.article_review(row), encoding="utf-8")
+    totals = review.summary(reviews).first().asDict()
+    Path(a.output, "index.md").write_text(reports.index(totals, reviews.select("article_id", "counts", "rec_ord").orderBy("rec_ord").toLocalIterator()), encoding="utf-8")
+    return totals
 
 
 def _adjudicate(spark, a) -> dict:
@@ -110,7 +164,7 @@ def _candidates(spark, a) -> dict:
     from tempora.operators import candidates
     from tempora.sources import readers, sinks
 
-    ids = [r["article_id"] for r in readers.article_ids(spark, a.ids).collect()] if a.ids else None
+    ids = [r["article_id"] for r in readers.article_ids(spark, a.ids).orderBy("ord").collect()] if a.ids else None
     failures = readers.jsonl(spark, a.failures, schemas.FAILURE) if a.failures else None
     drafts = candidates.generate(readers.jsonl(spark, a.predictions, schemas.EXTRACTION), a.limit, ids, failures)
     sinks.jsonl(drafts.drop("rec_ord"), a.output, ["pick"], one_file=True)
@@ -139,14 +193,18 @@ def parser() -> argparse.ArgumentParser:
             flag = f"--{option.replace('_', '-')}"
             sub.add_argument(flag, action="store_true") if default is False else sub.add_argument(flag, default=default, type=type(default) if default is not None else str)
 
-    command("ingest", _ingest, "pages", "output")
-    command("extract", _extract, "articles", "output", "model", method="oneshot", url="http://127.0.0.1:11434", ids=None, candidates=None, limit=0, retries=2, skip_verifier=False)
+    command("crawl", _crawl, "topic", "output", since=None, until=None, delay=0.5, timeout=30.0, max_pages=0, overwrite=False)
+    command("ingest", _ingest, "pages", "output", stored=False)
+    command("extract", _extract, "articles", "output", "model", method="oneshot", url="http://127.0.0.1:11434", ids=None, candidates=None, limit=0, retries=2, skip_verifier=False, resume=False)
     command("postprocess", _postprocess, "extractions", "output", "overrides", "cache", aliases=None, articles=None, review=None, agent="tempora", offline=False, on_collision="merge")
+    command("aggregate", _aggregate, "records", "output", on_collision="merge", node_link=False)
     command("score", _score, "gold", "predictions", "output", allow_draft_gold=False, log=None, label="", notes="")
     command("errors", _errors, "gold", "predictions", "output")
     command("review", _review, "gold", "predictions", "output", articles=None, threshold=0.45)
     command("adjudicate", _adjudicate, "workbook", "gold", "predictions", "output")
     command("candidates", _candidates, "predictions", "output", limit=10, ids=None, failures=None)
+    command("packets", _packets, "candidates", "articles", "output")
+    command("model-review", _model_review, "packets", "output", "url", "model", key_name="API_KEY", key_file=None, limit=0, timeout=240.0, overwrite=False)
     command("finalize", _finalize, "reviewed", "output", promote_reviewed=False)
     return top
 

@@ -68,27 +68,32 @@ def failure_candidates(failures: DataFrame) -> DataFrame:
 
 
 def generate(records: DataFrame, limit: int, article_ids: list[str] | None = None, failures: DataFrame | None = None) -> DataFrame:
-    """Draft rows (column `pick` is their order): of the ids in the order asked, or of representative records; then of failures, of which one may exceed the limit."""
+    """Draft rows (column `pick` is their order): of all ids in the order asked, or of at most `limit` representative records; then of failures that have no row yet, each once.
+
+    Failures fill up to the limit, but one is always taken; with ids, all are.
+    """
     if article_ids:
         wanted = records.sparkSession.createDataFrame(list(enumerate(article_ids)), "pick int, article_id string")
         last = records.groupBy("article_id").agg(F.max("rec_ord").alias("rec_ord"))
-        picks = wanted.join(last, "article_id").select("rec_ord", "pick").orderBy("pick").limit(limit)
+        picks = wanted.join(last, "article_id").select("rec_ord", "pick")
     else:
         picks = representative(records, limit)
-    out = candidates(records).join(F.broadcast(picks), "rec_ord")  # at most `limit` rows
+    out = candidates(records).join(picks, "rec_ord")
     if failures is not None:
         n = picks.count()
-        more = failure_candidates(failures.orderBy("rec_ord").limit(max(1, limit - n)))
+        once = failures.where("article_id IS NOT NULL").groupBy("article_id").agg(F.min_by(F.struct("rec_ord", "title", "error"), "rec_ord").alias("x")).select("article_id", "x.*")
+        left = once.join(out.select("article_id"), "article_id", "left_anti")
+        more = failure_candidates(left if article_ids else left.orderBy("rec_ord").limit(max(1, limit - n)))
         out = out.unionByName(more.withColumn("pick", (F.col("rec_ord") + n + 1).cast("int")))
     return out
 
 
 def packets(drafts: DataFrame, articles: DataFrame) -> DataFrame:
-    """Drafts with their article (the last of its id): what an annotator gets."""
-    last = articles.where("article_id IS NOT NULL").groupBy("article_id").agg(F.max_by(F.struct("title", "url", "published_at", "text"), "rec_ord").alias("a"))
-    joined = drafts.join(last, "article_id", "left")
+    """Drafts with their article (the last of its id): what an annotator gets. The draft's own title, source, url and date come first; drafts without an id go."""
+    last = articles.where("article_id IS NOT NULL").groupBy("article_id").agg(F.max_by(F.struct("title", "source", "url", "published_at", "text"), "rec_ord").alias("a"))
+    joined = drafts.where("article_id IS NOT NULL").join(last, "article_id", "left")
     first = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs])
-    return joined.select("rec_ord", "article_id", first("a.title", "title").alias("title"), first("a.url", "source_url").alias("source_url"), first("a.published_at", "published_at").alias("published_at"), F.col("a.text").alias("text"), F.struct(*[c for c in drafts.columns if c not in ("rec_ord", "pick")]).alias("draft"))
+    return joined.select("rec_ord", "article_id", first("title", "a.title").alias("title"), first("source", "a.source").alias("source"), first("source_url", "a.url").alias("source_url"), first("published_at", "a.published_at").alias("published_at"), F.coalesce("a.text", F.lit("")).alias("text"), F.struct(*[c for c in drafts.columns if c not in ("rec_ord", "pick")]).alias("draft"))
 
 
 def finalize(rows: DataFrame, promote_reviewed: bool = False) -> DataFrame:

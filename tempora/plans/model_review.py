@@ -9,13 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora import ontology
+from tempora import ontology, schemas
 from tempora.plans.extract import _EVENT_FIELDS, _PERSON, _RELATION, _TEXT, _list, _object
 
 GOLD_SCHEMA = _object(
     article_id=_TEXT, annotation_notes=_list(_TEXT), entities=_list(_object(name=_TEXT, type={"enum": list(ontology.ENTITY_TYPES)}, aliases=_list(_TEXT))), relations=_list(_RELATION),
     events=_list(_object(**_EVENT_FIELDS, participants=_list(_PERSON), relations=_list(_RELATION), evidence=_TEXT)),
 )
+#: What a review reads of a packet.
+PACKET = f"article_id string, text string, draft struct<{schemas.GOLD.replace(' ', ':').replace(',:', ',')}>"
 INSTRUCTIONS = "Correct the draft so that it holds exactly the geopolitical events that the article reports, with exact quotes as evidence."
 
 

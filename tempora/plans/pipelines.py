@@ -23,15 +23,20 @@ def extractions_to_graph(records: DataFrame, aliases: DataFrame, overrides: Data
     hints = geocode.suggestions(review)
     done = spool(geocode.attach(cleaned, locations, hints), "geocoded")
     flat = geocode.flatten_events(done)
-    made = graph.graph(done, on_collision)
-    nodes = spool(made["nodes"], "nodes")
-    payload = graph.events_payload(done, nodes)
-    return made | {
-        "nodes": nodes, "records": done, "events": flat, "locations": locations, "cache": cache, "location_review": geocode.review_rows(locations), "geocode_review": geocode.geocode_review_rows(flat, hints),
-        "summary": geocode.summary(done, flat, locations), "payload": payload, "event_metadata": graph.event_metadata(payload),
+    return records_to_graph(done, on_collision) | {
+        "records": done, "events": flat, "locations": locations, "cache": cache, "location_review": geocode.review_rows(locations), "geocode_review": geocode.geocode_review_rows(flat, hints),
+        "summary": geocode.summary(done, flat, locations),
     }
 
 
+def records_to_graph(records: DataFrame, on_collision: str = "merge") -> dict[str, DataFrame]:
+    """The graph of records that are cleaned and geocoded already, events payload and metadata."""
+    made = graph.graph(records, on_collision)
+    nodes = spool(made["nodes"], "nodes")
+    payload = graph.events_payload(records, nodes)
+    return made | {"nodes": nodes, "payload": payload, "event_metadata": graph.event_metadata(payload)}
+
+
 def read_and_build(spark: SparkSession, extractions: str, aliases: str | None, overrides: str, cache: str, **more) -> dict[str, DataFrame]:
     """As above from files."""
     records = readers.jsonl(spark, extractions, schemas.EXTRACTION)

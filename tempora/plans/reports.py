@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 
+from tempora.plans.model_review import INSTRUCTIONS
+
 LOG_COLUMNS = ("Timestamp", "Label", "Gold articles", "Gold events", "Pred events", "Entity F1", "Relation F1", "Exact F1", "Soft F1", "Participant F1", "Event-rel F1", "Type acc", "Date acc", "Evidence exact", "Evidence fuzzy", "Geocode rate", "Notes")
 METRICS = ("entities", "relations", "events_exact", "events_soft", "participants", "event_relations")
 
@@ -70,19 +73,54 @@ def error_report(tables: dict[str, DataFrame]) -> str:
     return "\n\n".join([*parts, "## Articles with most errors", table(columns, [[x[k] for k in columns] for x in worst])]) + "\n"
 
 
+COUNTED, COUNT_COLUMNS = ("Gold", "Prediction", "Matched", "Missed", "Extra"), ("gold_events", "prediction_events", "matched_events", "missed_gold_events", "extra_prediction_events")
+#: What a reviewer may decide.
+DECISIONS = ("gold_correct", "hybrid_better", "merge_needed", "both_wrong", "uncertain")
+
+
+def differences(name: str, diff) -> list[str]:
+    return [f"- {name} {k}: {items_label(diff[k])}" for k in ("missing", "extra")]
+
+
+def role_lines(pairs) -> list[str]:
+    """Participants that both sides name in different roles."""
+    return [f"- role of {p['gold']['name']}: {p['gold']['role']} in gold, {p['prediction']['role']} in the prediction" for p in pairs or []]
+
+
+def safe_name(article_id) -> str:
+    return "".join(c if c.isalnum() or c in "._-" else "-" for c in article_id or "article")
+
+
+def index(summary: dict, articles, metrics: dict | None = None) -> str:
+    """The page that lists reviewed articles (article_id, counts), totals, and F1 of `metrics` if given."""
+    parts = ["# Case review", f"Decisions go to the review table: {', '.join(DECISIONS)}.", "## Totals", "\n".join(f"- {k.replace('_', ' ')}: {v}" for k, v in summary.items())]
+    if metrics:
+        parts += ["## Scores", "\n".join(f"- {n.replace('_', ' ')} F1: {rate(metrics[n, None]['f1'])}" for n in METRICS if (n, None) in metrics)]
+    rows = [[f"[{x['article_id']}]({safe_name(x['article_id'])}.md)", *[x["counts"][c] for c in COUNT_COLUMNS]] for x in articles]
+    return "\n\n".join([*parts, "## Articles", table(("Article", *COUNTED), rows)]) + "\n"
+
+
+def review_checklist(article_id: str, record: str, file: str) -> str:
+    """What a human checks of a model-reviewed record (JSON text)."""
+    checks = ("the article supports every event", "every evidence is an exact quote", "weak events are gone", "no major event is missing", "types, roles, dates and locations are right", f"`annotation_status` in `{file}` is set to `gold`")
+    return f"# Review of {article_id}\n\n" + "\n".join(f"- [ ] {x}" for x in checks) + f"\n\n```json\n{record}\n```\n"
+
+
 def article_review(row) -> str:
     """One article of a case review."""
-    parts = [f"# {row['title'] or row['article_id']}", f"{row['source_url']}"]
+    parts = [f"# {row['title'] or row['article_id']}", "\n".join(f"- {k}: {row[c]}" for k, c in (("source", "source_url"), ("published", "published_at")) if row[c])]
+    parts += ["## Counts", table(COUNTED, [[row["counts"][c] for c in COUNT_COLUMNS]])]
     for x in row["matched_events"]:
         g, p = x["gold_event"], x["prediction_event"]
         fields = [(f, g[f], p[f]) for f in ("event_type", "event_date", "date_precision", "location", "summary", "evidence")]
         parts += [f"## Matched {x['gold_index']} / {x['prediction_index']} ({rate(x['match_similarity'])})", f"Differs in: {', '.join(x['field_mismatches']) or 'nothing'}", table(("Field", "Gold", "Prediction"), fields)]
-        parts.append("\n".join(f"- {k}: {items_label(x['participant_diff'][k])}" for k in ("missing", "extra")))
+        parts.append("\n".join([*differences("participants", x["participant_diff"]), *role_lines(x["participant_diff"]["role_mismatches"]), *differences("relations", x["relation_diff"])]))
     for title, items, side, score in (("Missed", row["missed_gold_events"], "gold", "best_prediction_similarity"), ("Extra", row["extra_prediction_events"], "prediction", "best_gold_similarity")):
         for x in items:
             e = x[f"{side}_event"]
             parts += [f"## {title} {x[f'{side}_index']} (best {rate(x[score])})", table(("Field", "Value"), [(f, e[f]) for f in ("event_type", "event_date", "location", "summary", "evidence", "source_context")])]
-    parts += ["## Entities", f"- missing: {items_label(row['entity_diff']['missing'])}\n- extra: {items_label(row['entity_diff']['extra'])}"]
+    for title, kind in (("Entities", "entity_diff"), ("Relations", "relation_diff")):
+        parts += [f"## {title}", "\n".join(differences(title.lower(), row[kind]))]
     return "\n\n".join(parts) + "\n"
 
 
@@ -105,4 +143,5 @@ def append_log(path: str, row: str) -> None:
 
 def packet(row) -> str:
     """What an annotator reads of one article."""
-    return f"# {row['title'] or row['article_id']}\n\n- id: {row['article_id']}\n- url: {row['source_url'] or ''}\n- published: {row['published_at'] or ''}\n\n## Article\n\n{row['text'] or ''}\n"
+    draft = json.dumps(row["draft"].asDict(recursive=True), indent=2, ensure_ascii=False)
+    return f"# {row['title'] or row['article_id']}\n\n{INSTRUCTIONS}\n\n- id: {row['article_id']}\n- url: {row['source_url'] or ''}\n- published: {row['published_at'] or ''}\n\n## Article\n\n{row['text'] or ''}\n\n## Draft\n\n```json\n{draft}\n```\n"

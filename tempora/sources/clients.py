@@ -30,6 +30,19 @@ def post_json(url: str, payload: dict, headers: dict | None = None, timeout: flo
     return found
 
 
+def page_fetcher(pause: float = 0.5, timeout: float = 30, agent: str = "tempora", opener: Callable = request.urlopen, sleep: Callable = time.sleep) -> Callable[[str], str]:
+    """A function that gets the text of a page, with a pause between pages."""
+    last = [float("-inf")]
+
+    def fetch(url: str) -> str:
+        sleep(max(0.0, last[0] + pause - time.monotonic()))
+        last[0] = time.monotonic()
+        with opener(request.Request(url, headers={"User-Agent": agent}), timeout=timeout) as reply:
+            return reply.read().decode("utf-8", "replace")
+
+    return fetch
+
+
 class LocalChat:
     """A chat service with a /api/chat endpoint."""
 

@@ -90,13 +90,20 @@ def geocode_review(spark: SparkSession, path: str) -> DataFrame:
 
 
 def article_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct article_id of a file: a JSON array of ids or objects, JSON lines, or one id a line (mixed with JSON lines)."""
+    """article_id and ord of a file, each id once at its first place: a JSON array of ids or objects, JSON lines, or one id a line (mixed with JSON lines)."""
     whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
     array = F.transform(F.from_json("t", "array<string>"), lambda x: F.coalesce(F.get_json_object(x, "$.article_id"), F.when(~x.startswith("{"), x)))
     line = lambda x: F.when(x.startswith("{"), F.coalesce(F.get_json_object(x, "$.article_id"), F.raise_error(F.lit(f"missing article_id in {path}")).cast("string"))).otherwise(x)
     lines = F.transform(F.filter(F.transform(F.split("t", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != ""), line)
-    found = whole.select(F.explode(F.when(F.col("t").startswith("["), array).otherwise(lines)).alias("article_id"))
-    return found.where("article_id IS NOT NULL").distinct()
+    found = whole.select(F.posexplode(F.when(F.col("t").startswith("["), array).otherwise(lines)).alias("ord", "article_id"))
+    return found.where("article_id IS NOT NULL").groupBy("article_id").agg(F.min("ord").alias("ord"))
+
+
+def done_ids(spark: SparkSession, path: str) -> DataFrame:
+    """article_id of the records that an earlier run left at `path` (none if there is no such folder); a torn line names none."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "article_id string")
+    return spark.read.text(path).select(F.get_json_object("value", "$.article_id").alias("article_id")).where("article_id IS NOT NULL")
 
 
 def json_files(spark: SparkSession, path: str, pattern: str, schema: str, limit: int | None = None) -> DataFrame:

@@ -33,10 +33,12 @@ def outcomes(found: DataFrame, path: str) -> None:
 
 
 def graph_files(graph: dict[str, DataFrame], events: DataFrame, path: str) -> None:
-    """nodes, edges, events and metadata as JSON."""
+    """nodes, edges, events, metadata and summary (metadata with the events' count and types) as JSON."""
     for name, rows, order in (("nodes", graph["nodes"], ["id"]), ("edges", graph["edges"], ["id"]), ("events", events.withColumn("_day", F.coalesce("event_date", F.lit(""))), ["_day", "id"])):
         rows.orderBy(*order).drop("_day").coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{path}/{name}")
     graph["metadata"].coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    if "event_metadata" in graph:
+        graph["metadata"].crossJoin(graph["event_metadata"].select("event_count", "event_type_counts")).coalesce(1).write.mode("overwrite").json(f"{path}/summary")  # rows of one each
 
 
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:

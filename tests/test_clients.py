@@ -1,5 +1,7 @@
 import io
 import json
+from http.server import BaseHTTPRequestHandler, HTTPServer
+from threading import Thread
 from urllib import error
 
 import pytest
@@ -75,6 +77,58 @@ def test_commands(spark, tmp_path, capsys):
     assert "1.000" in (tmp_path / "r.md").read_text() and (tmp_path / "log.md").read_text().count("\n") == 5
     assert cli.main(["candidates", "--predictions", p, "--output", out("cand")], spark) == 0
     assert cli.main(["finalize", "--reviewed", p, "--output", out("gold")], spark) == 0
+    assert cli.main(["aggregate", "--records", out("post/article_extractions_clean"), "--output", out("graph"), "--node-link"], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"node_count": 2, "edge_count": 1, "skipped_relations": 0, "event_count": 1}
+    assert sorted(x.name for x in (tmp_path / "graph").iterdir()) == ["edges", "events", "metadata", "node_link", "nodes", "summary"]
+    summary = json.loads(next((tmp_path / "graph/summary").glob("part*")).read_text())
+    assert summary["event_type_counts"] == {"AttackEvent": 1}
     (tmp_path / "rev").mkdir()
     assert cli.main(["review", "--gold", p, "--predictions", p, "--output", out("rev")], spark) == 0 and (tmp_path / "rev/a1.md").exists()
+    assert "| [a1](a1.md) | 1 | 1 | 1 | 0 | 0 |" in (tmp_path / "rev/index.md").read_text()
     assert frame(spark, [record], schemas.GOLD).count() == 1
+
+
+@pytest.fixture
+def service():
+    """The url of a service on this machine that annotates packets."""
+
+    class Annotates(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            reply = json.dumps({"output_text": json.dumps({"events": [], "seen": "Body." in asked and "US" in asked})}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(reply)))
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Annotates)
+    Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/"
+    server.shutdown()
+    server.server_close()
+
+
+def test_packets_and_their_review(spark, service, tmp_path, monkeypatch, capsys):
+    draft = {"article_id": "a/1", "title": "T", "annotation_status": "needs_human_review", "entities": [entity("US", "NationState")], "relations": [], "events": [event()]}
+    (tmp_path / "c.jsonl").write_text(json.dumps(draft) + "\n")
+    (tmp_path / "a.jsonl").write_text(json.dumps({"article_id": "a/1", "title": "other", "url": "u", "text": "Body."}) + "\n")
+    (tmp_path / "p").mkdir()
+    assert cli.main(["packets", "--candidates", str(tmp_path / "c.jsonl"), "--articles", str(tmp_path / "a.jsonl"), "--output", str(tmp_path / "p")], spark) == 0
+    shown = (tmp_path / "p/a-1.packet.md").read_text()
+    assert shown.startswith("# T\n") and "Body." in shown and '"name": "US"' in shown
+    monkeypatch.setenv("SOME_KEY", "k")
+    command = ["model-review", "--packets", str(tmp_path / "p/packets"), "--output", str(tmp_path / "p"), "--url", service, "--model", "m", "--key-name", "SOME_KEY"]
+    capsys.readouterr()
+    assert cli.main(command, spark) == 0 and cli.main(command, spark) == 0  # the second finds it done
+    assert capsys.readouterr().out.splitlines() == ['{"ok": 1}', "{}"]
+    records = [json.loads(x) for f in (tmp_path / "p/records").glob("part*") for x in f.read_text().splitlines()]
+    assert records == [{"events": [], "seen": True, "article_id": "a/1", "annotation_status": "model_reviewed"}] and (tmp_path / "p/a-1.review.md").exists()
+
+
+def test_page_fetcher():
+    slept = []
+    fetch = clients.page_fetcher(5, opener=lambda call, timeout: io.BytesIO(b"x\xff"), sleep=slept.append)
+    assert fetch("http://x/") == fetch("http://x/") == "x\ufffd" and slept[0] == 0 and 4 < slept[1] <= 5

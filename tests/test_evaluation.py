@@ -104,6 +104,16 @@ def test_case_review_and_workbook(spark):
     assert review.summary(reviews).first()["matched_events"] == 1
 
 
+def test_article_review_tells_roles_and_relations(spark):
+    other = attack() | {"participants": [person("United States", "NationState", "target")], "relations": []}
+    gold, pred = both(spark, [gold_row([attack()])], [gold_row([other])])
+    r = review.article_reviews(review.with_articles(gold, pred, None, 0.1)).first()
+    shown = reports.article_review(r)
+    assert "- role of United States: initiator in gold, target in the prediction" in shown and "- relations missing: United States -> Iran (ATTACKED)" in shown
+    metrics = {("events_soft", None): {"f1": 0.5}}
+    assert "events soft F1: 0.500" in reports.index({"article_count": 1}, [r], metrics) and "- [ ] " in reports.review_checklist("a", "{}", "records")
+
+
 def test_adjudication(spark):
     g = [attack(summary="g0"), attack(summary="g1"), attack(summary="g2")]
     p = [attack(summary="p0"), attack(summary="p1")]
@@ -133,6 +143,8 @@ def test_candidates(spark):
     assert [r["article_id"] for r in drafts.orderBy("pick").collect()] == ["b", "a"]
     failures = frame(spark, [{"article_id": "f", "title": "t", "error": "boom"}], schemas.FAILURE)
     assert candidates.generate(records, 3, None, failures).count() == 4
+    some = frame(spark, [{"article_id": x, "error": "boom"} for x in ("a", "f", "f", None, "g")], schemas.FAILURE)
+    assert [r["article_id"] for r in candidates.generate(records, 1, ["b", "a"], some).orderBy("pick").collect()] == ["b", "a", "f", "g"]
     rows = frame(spark, [gold_row([]), gold_row([], annotation_status="model_reviewed")], schemas.GOLD)
     assert candidates.finalize(rows).count() == 1 and candidates.finalize(rows, True).count() == 2
     articles = frame(spark, [{"article_id": "a", "text": "body"}], schemas.ARTICLE)

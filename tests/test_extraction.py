@@ -169,6 +169,26 @@ def test_article_ids(spark, tmp_path, content):
     assert {"a", "b"} <= got
 
 
+def test_article_ids_keep_their_order(spark, tmp_path):
+    ids = readers.article_ids(spark, write(tmp_path / "ids", "c\na\nb\na\n")).orderBy("ord")
+    assert [r["article_id"] for r in ids.collect()] == ["c", "a", "b"]
+
+
+def test_done_ids(spark, tmp_path):
+    (tmp_path / "records").mkdir()
+    write(tmp_path / "records/part-0", '{"article_id": "a", "events": []}\n{"title": "x"}\n{"article_id": "b", "ev')
+    assert [r["article_id"] for r in readers.done_ids(spark, str(tmp_path / "records")).collect()] == ["a"]
+    assert readers.done_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_prompts_say_roles_and_rules():
+    asked = extract.prompt("task", "extraction", {"article_id": "a", "text": "body"}, text=True)[1]["content"]
+    assert "Event role templates:" in asked and "Output rules:" in asked and "body" in asked
+    for kind, roles in extract.ontology.PROMPT_ROLES.items():
+        assert f"- {kind} ({extract.ontology.RELATION_OF_EVENT[kind]}): {', '.join(roles)};" in asked
+    assert "role templates" in extract.prompt("t", "participants", {})[1]["content"] and "Output rules" not in extract.prompt("t", "classification", {})[1]["content"]
+
+
 def page(payloads, extra=""):
     data = json.dumps(json.dumps({"data": payloads}))[1:-1]
     return f'<html lang="en"><script>window.__INITIAL_DATA__="{data}";</script>{extra}</html>'
@@ -208,6 +228,29 @@ def test_crawl(spark):
     assert tuple(pages.crawl_counts(promos).first()) == (3, 1, 1, 1)
 
 
+def test_download(spark, tmp_path):
+    store = str(tmp_path / "pages")
+    promos = spark.createDataFrame([("h", f"u{k}", "article", "2026-04-10", 1, f"a{k}", f"f{k}.html", k < 3) for k in range(4)], "headline string, url string, type string, published_at string, page_number int, article_id string, filename string, wanted boolean")
+
+    def maker(bad, text):
+        def fetch(url):
+            if url == bad:
+                raise RuntimeError("gone")
+            return f"{text} {url}"
+
+        return lambda: fetch
+
+    told = lambda m: {r["filename"]: (r["status"], r["error"]) for r in m.collect()}
+    first = pages.download(promos, store, maker("u1", "old"))
+    assert told(first) == {"f0.html": ("downloaded", None), "f1.html": ("failed", "gone"), "f2.html": ("downloaded", None)}
+    assert tuple(pages.download_counts(first).first()) == (2, 0, 1)
+    again = pages.download(promos, store, maker("", "new"))
+    assert told(again) == {"f0.html": ("exists", None), "f1.html": ("downloaded", None), "f2.html": ("exists", None)}
+    pages.download(promos.where("article_id = 'a0'"), store, maker("", "newer"), overwrite=True)
+    assert {r["filename"]: r["page"] for r in pages.stored(spark, store).collect()} == {"f0.html": "newer u0", "f1.html": "new u1", "f2.html": "old u2"}
+    assert {r["error"] for r in pages.parse_pages(pages.stored(spark, store)).collect()} == {"Missing initial data script"}
+
+
 def test_workbook(spark, tmp_path):
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
