@@ -9,14 +9,14 @@ from tests.test_queries import canonical
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact dedup", "near dedup", "mix", "pack"]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_matches_sql(spark, small, name):
     con = duckdb.connect()
-    for t in "documents embeddings conversations".split():
+    for t in "documents embeddings conversations benchmark labels".split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{small}/{t}.parquet'")
     assert canonical(queries.QUERIES[name](spark, small).toPandas()) == canonical(con.sql(queries.ORACLE_SQL[name]).df())
 
