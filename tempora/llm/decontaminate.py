@@ -7,7 +7,8 @@ build it and a lookup of some terms reads only their stretches of each shard.
 Items are cut into windows of words. A window's terms are ordered from the rarest one, by their counts in the index. The
 postings of its rarest term, moved by the term's offset, are the places where it might begin; they are intersected with
 the moved postings of its next rarest terms. What is left after RANKS terms is compared word by word with the document,
-which makes the result exact. Windows with a term that no document has are given up at once.
+which makes the result exact. Windows with a term that no document has are given up at once. Only texts of rows that a
+bitmap of hashed row numbers may hold are moved for that; the bitmap has a bound of its own, whatever the number of rows.
 
 Tables of terms and windows are as large as the benchmark. They are written first, so that Catalyst knows their size and
 broadcasts them only below its limit; beyond it the joins are shuffled, and AQE divides terms with very many postings.
@@ -28,6 +29,9 @@ WINDOW = 10
 #: Lists that are intersected before places are compared word by word.
 RANKS = 3
 
+#: Bits of the bitmap for each row in it, and at most (32 MB); a fuller one lets more rows through, but loses none.
+BITS, MOST_BITS = 16, 1 << 28
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -92,6 +96,20 @@ def _places(index: DataFrame, ranked: DataFrame, ranks: int) -> DataFrame:
     return found.select("wid", "row", "start")
 
 
+def _perhaps(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """`rows` without most of those whose number isn't in `found` (row): a bitmap of hashes is broadcast, at most MOST_BITS."""
+    bits = 1 << 15  # of one piece of the bitmap
+    n = found.count()
+    while bits < min(MOST_BITS, BITS * n):
+        bits *= 2
+    place = lambda row: F.pmod(F.xxhash64(row), F.lit(bits))
+    pieces = found.select(place("row").alias("at")).groupBy(F.shiftright("at", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND((1 << 15) - 1)).alias("bitmap"))
+    at = place(F.col(ROW))
+    byte = F.conv(F.hex(F.substring("bitmap", F.shiftright(at, 3).bitwiseAND((1 << 12) - 1).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    set_ = F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+    return rows.join(F.broadcast(pieces), F.shiftright(at, 15) == F.col("piece")).where(set_).drop("piece", "bitmap")
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW, ranks: int = RANKS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of `docs`.
 
@@ -107,20 +125,23 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     index = build_index(rows, terms)
     places = _places(index, _rarest_first(windows, terms, index), ranks)
     starts = places.groupBy("row", "wid").agg(F.sort_array(F.collect_list("start")).alias("starts"))  # of one document
-    asked = starts.join(windows, "wid").groupBy("row").agg(F.collect_list(F.struct("words", "ids", "starts")).alias("asked"))
-    joined = rows.join(spool(asked, "places-of-rows").withColumnRenamed("row", ROW), ROW, "left")
+    asked = spool(starts.join(windows, "wid").groupBy("row").agg(F.collect_list(F.struct("words", "ids", "starts")).alias("asked")), "places-of-rows")
+    texts = _perhaps(rows, asked.select("row")).join(asked.withColumnRenamed("row", ROW), ROW)
 
     def compared(words: Column) -> Column:
         """The windows of a row with the places at which its words are those of the window."""
         held = F.transform("asked", lambda w: F.struct(w["ids"].alias("ids"), F.size(w["words"]).alias("size"), F.filter(w["starts"], lambda s: F.slice(words, s + 1, F.size(w["words"])) == w["words"]).alias("starts")))
-        return F.struct(F.size(words).cast("long").alias("n_words"), F.coalesce(F.filter(held, lambda w: F.size(w["starts"]) > 0), F.array()).alias("hits"))
+        return F.filter(held, lambda w: F.size(w["starts"]) > 0)
 
-    seen = joined.select("doc_id", _let(words_of(F.col("text")), compared).alias("seen")).select("doc_id", "seen.n_words", "seen.hits")
+    seen = texts.select(ROW, _let(words_of(F.col("text")), compared).alias("hits"))
     spans = F.array_sort(F.flatten(F.transform("hits", lambda h: F.transform(h["starts"], lambda s: F.struct(s.alias("at"), (s + h["size"]).alias("end"))))))
     covered = F.aggregate(spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["end"] - F.greatest(s["at"], a["end"]))).alias("n"), F.greatest(a["end"], s["end"]).alias("end")))
-    told = seen.select("doc_id", "n_words", covered["n"].alias("n_hit"), F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ids"]))).alias("ids"))
+    told = seen.select(ROW, covered["n"].alias("n_hit"), F.array_distinct(F.flatten(F.transform("hits", lambda h: h["ids"]))).alias("ids"))
     names = F.array_join(F.array_sort(F.transform("ids", lambda i: F.coalesce(i.cast("string"), F.lit("")))), ",")
-    return told.select("doc_id", "n_words", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    told = spool(told.select(ROW, "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256")), "hits")
+    sizes = rows.select(ROW, "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    none = F.sha2(F.lit("").cast("binary"), 256)
+    return sizes.join(told, ROW, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, span: int, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
