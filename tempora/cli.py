@@ -55,16 +55,26 @@ def _crawl(spark, a) -> dict:
 
 def _aggregate(spark, a) -> dict:
     from tempora.plans.pipelines import records_to_graph
-    from tempora.sources import readers, sinks
+    from tempora.sources import graph_store, readers, sinks
 
     out = records_to_graph(readers.jsonl(spark, a.records, schemas.EXTRACTION), a.on_collision)
     sinks.graph_files(out, out["payload"], a.output)
+    if a.store:
+        graph_store.write_graph(out["nodes"], out["relations"], out["payload"], a.store)
     if a.node_link:
         sinks.node_link(out["nodes"], out["edges"]).coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(f"{a.output}/node_link")
     counts = out["metadata"].select("node_count", "edge_count", "skipped_relations").first().asDict()
     return counts | out["event_metadata"].select("event_count").first().asDict()
 
 
+def _inspect(spark, a) -> dict:
+    from tempora.sources import graph_store
+
+    found = graph_store.inspect_edge(spark, a.store, a.edge) if a.edge else graph_store.inspect_event(spark, a.store, a.event)
+    found.write.mode("overwrite").option("ignoreNullFields", False).json(a.output)
+    return {"rows": spark.read.text(a.output).count()}
+
+
 def _packets(spark, a) -> dict:
     from tempora.operators import candidates
     from tempora.plans import reports
@@ -197,7 +207,8 @@ def parser() -> argparse.ArgumentParser:
     command("ingest", _ingest, "pages", "output", stored=False)
     command("extract", _extract, "articles", "output", "model", method="oneshot", url="http://127.0.0.1:11434", ids=None, candidates=None, limit=0, retries=2, skip_verifier=False, resume=False)
     command("postprocess", _postprocess, "extractions", "output", "overrides", "cache", aliases=None, articles=None, review=None, agent="tempora", offline=False, on_collision="merge")
-    command("aggregate", _aggregate, "records", "output", on_collision="merge", node_link=False)
+    command("aggregate", _aggregate, "records", "output", on_collision="merge", node_link=False, store=None)
+    command("inspect", _inspect, "store", "output", edge=None, event=None)
     command("score", _score, "gold", "predictions", "output", allow_draft_gold=False, log=None, label="", notes="")
     command("errors", _errors, "gold", "predictions", "output")
     command("review", _review, "gold", "predictions", "output", articles=None, threshold=0.45)

@@ -14,6 +14,7 @@ from tempora.functions.coords import reviewed
 from tempora.functions.dates import event_date, iso_date
 from tempora.functions.lookup import at, with_lookup
 from tempora.functions.text import edge_id, event_id, fold, node_id
+from tempora.tables import ranked
 
 
 def mentions(records: DataFrame) -> DataFrame:
@@ -60,6 +61,27 @@ def edges_of(relations: DataFrame) -> DataFrame:
     return out.select("id", "source", "target", "type", "weight", "article_ids", F.size("article_ids").cast("long").alias("article_count"), "dates", "first_seen", "last_seen", ordered(F.col("e")).alias("evidences"))
 
 
+def edge_counts(relations: DataFrame) -> DataFrame:
+    """Edges without lists: weight counts relations, repeated ones too; counted by article first, so that no article is kept."""
+    edge = [F.col("edge_id").alias("id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type"]
+    per_article = relations.groupBy(*edge, "article_id").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("low"), F.max("day").alias("high"))
+    return per_article.groupBy("id", "source", "target", "type").agg(F.sum("n").alias("weight"), F.count("article_id").alias("article_count"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"))
+
+
+def edge_days(relations: DataFrame) -> DataFrame:
+    """id, type, day, weight: an edge's relations by day; undated ones are left out."""
+    return relations.where("day IS NOT NULL").groupBy(F.col("edge_id").alias("id"), "type", "day").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def edge_evidence(relations: DataFrame) -> DataFrame:
+    """A row for each relation: id of its edge, its place there (from 1, in order of record and place in the record), and where it is from.
+
+    An edge's evidence is never gathered in a row or a task: an edge of very many relations lies in many sorted ranges.
+    """
+    rows = relations.select(F.col("edge_id").alias("id"), "rec_ord", "i", "article_id", F.col("day").alias("published_at"), "title", "source_publication", "evidence")
+    return ranked(rows, ["id"], ["rec_ord", "i"])
+
+
 def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collision: str = "merge") -> DataFrame:
     """Nodes by id.
 
@@ -93,13 +115,13 @@ def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collis
 
 
 def graph(records: DataFrame, on_collision: str = "merge") -> dict[str, DataFrame]:
-    """nodes, edges, metadata and skipped relations of cleaned records (with rec_ord)."""
+    """nodes, edges, accepted and skipped relations, and metadata of cleaned records (with rec_ord)."""
     found = mentions(records)
     names = registry(found)
     relations, skipped = relation_rows(records, names)
     nodes = nodes_of(found, names, relations, on_collision)
     edges = edges_of(relations)
-    return {"nodes": nodes, "edges": edges, "skipped": skipped, "metadata": graph_metadata(nodes, edges, skipped)}
+    return {"nodes": nodes, "edges": edges, "relations": relations, "skipped": skipped, "metadata": graph_metadata(nodes, edges, skipped)}
 
 
 def graph_metadata(nodes: DataFrame, edges: DataFrame, skipped: DataFrame) -> DataFrame:

@@ -73,16 +73,22 @@ def accepted(rows: DataFrame) -> DataFrame:
 
 @query(f"WITH {R_SQL} SELECT s || '|' || type || '|' || t AS id, s AS source, t AS target, type, count(*) AS weight, count(DISTINCT article_id) AS article_count, min(day) AS first_seen, max(day) AS last_seen FROM N GROUP BY s, t, type")
 def edge_weights(spark, d):
-    """Edges with weight, articles and first and last day: the counts of edges_of without its lists."""
-    rows = accepted(relation_view(spark, d))
-    per_article = rows.groupBy("edge_id", "source_id", "target_id", "type", "article_id").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("low"), F.max("day").alias("high"))
-    return per_article.groupBy(F.col("edge_id").alias("id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type").agg(F.sum("n").alias("weight"), F.count("article_id").alias("article_count"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"))
+    """Edges with weight, articles and first and last day."""
+    return graph.edge_counts(accepted(relation_view(spark, d)))
 
 
-@query(f"WITH {R_SQL} SELECT s || '|' || type || '|' || t AS id, count(*) AS weight, string_agg(DISTINCT day, ',' ORDER BY day) AS dates, string_agg(article_id, ',' ORDER BY rec_ord, i) AS evidence_articles FROM N GROUP BY s, t, type")
+@query(f"""WITH {R_SQL} SELECT s || '|' || type || '|' || t AS id, row_number() OVER e AS place, rec_ord, article_id, day, count(*) OVER (PARTITION BY s, type, t) AS weight,
+min(day) OVER (PARTITION BY s, type, t) AS first_seen, max(day) OVER (PARTITION BY s, type, t) AS last_seen FROM N WINDOW e AS (PARTITION BY s, type, t ORDER BY rec_ord, i)""")
 def edge_evidence_timeline(spark, d):
-    edges = graph.edges_of(accepted(relation_view(spark, d)))
-    return edges.select("id", "weight", F.array_join("dates", ",").alias("dates"), F.array_join(F.transform("evidences", lambda e: e["article_id"]), ",").alias("evidence_articles"))
+    """Every relation with its place in its edge, beside the edge's counts."""
+    rows = accepted(relation_view(spark, d))
+    edges = spool(graph.edge_counts(rows), "edges").select("id", "weight", "first_seen", "last_seen")
+    return graph.edge_evidence(rows).join(edges, "id").select("id", "place", "rec_ord", "article_id", F.col("published_at").alias("day"), "weight", "first_seen", "last_seen")
+
+
+@query(f"WITH {R_SQL} SELECT s || '|' || type || '|' || t AS id, type, day, count(*) AS weight FROM N GROUP BY s, type, t, day")
+def edge_days(spark, d):
+    return graph.edge_days(accepted(relation_view(spark, d)))
 
 
 E_SQL = """
@@ -127,9 +133,11 @@ def node_relation_counts(spark, d):
 
 @query(f"WITH {R_SQL} SELECT type, count(*) AS relations, count(DISTINCT s || t) AS edges, min(day) AS min_date, max(day) AS max_date, count(DISTINCT day) AS days FROM N GROUP BY type")
 def graph_metadata(spark, d):
-    """Relations, edges and timeline by type, as graph.graph_metadata counts them."""
+    """Relations, edges and timeline by type, of edges and their days."""
     rows = accepted(relation_view(spark, d))
-    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("relations"), F.count_distinct("edge_id").alias("edges"), F.min("day").alias("min_date"), F.max("day").alias("max_date"), F.count_distinct("day").alias("days"))
+    edges = graph.edge_counts(rows).groupBy("type").agg(F.sum("weight").alias("relations"), F.count(F.lit(1)).alias("edges"), F.min("first_seen").alias("min_date"), F.max("last_seen").alias("max_date"))
+    days = graph.edge_days(rows).select("type", "day").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("days"))
+    return edges.join(days, "type")
 
 
 @query(f"""WITH {R_SQL}, {E_SQL}, B AS (SELECT name, min(rec_ord) AS born FROM E WHERE type = 'NationState' GROUP BY name)

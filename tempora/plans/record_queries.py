@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from tempora import ontology, schemas
 from tempora.functions import arrays, coords, dates, text
 from tempora.operators import clean, graph, relations, review, scoring, views
 from tempora.plans.catalogue import E_SQL, EV_SQL, R_SQL, accepted, entity_view, event_records, event_rows, matched_users, query, relation_view, table
+from tempora.sources import graph_store
+from tempora.tables import shared_dir
 
 _SLUG = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')"
 _GRAPH_SQL = f"""{R_SQL}, {E_SQL},
@@ -34,6 +38,17 @@ def graph_totals(spark, d):
     return one.select("node_count", F.col("node_type_counts")["NonStateActor"].alias("actors"), "edge_count", F.col("edge_type_counts")["ATTACKED"].alias("attacks"), F.size("timeline.available_dates").cast("long").alias("days"), "timeline.min_date", "timeline.max_date", "skipped_relations")
 
 
+@query(f"""WITH {_GRAPH_SQL}, W AS (SELECT *, s || '|' || type || '|' || t AS id FROM N), H AS (SELECT id, count(*) AS weight FROM W GROUP BY id ORDER BY weight DESC, id LIMIT 1)
+SELECT W.id, row_number() OVER (ORDER BY rec_ord, i) AS place, W.article_id, W.day AS published_at, H.weight, ns.name AS source_name, nt.name AS target_name FROM W JOIN H ON W.id = H.id JOIN G ns ON W.s = ns.id JOIN G nt ON W.t = nt.id""")
+def edge_inspector(spark, d):
+    """The heaviest edge as the inspector shows it, looked up in a store of the whole graph."""
+    found, rows = entity_view(spark, d), accepted(relation_view(spark, d))
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    graph_store.write_graph(graph.nodes_of(found, graph.registry(found), rows), rows, _payload(spark, d), path, buckets=8)
+    heaviest = spark.read.parquet(f"{path}/edges").orderBy(F.desc("weight"), "id").first()["id"]
+    return graph_store.inspect_edge(spark, path, heaviest).select("id", "place", "article_id", "published_at", "weight", "source_name", "target_name")
+
+
 def _payload(spark, d) -> DataFrame:
     """Events of users; places of an even number have coordinates."""
     rows = event_rows(spark, d)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: The column of row numbers.
 ROW = "_tempora_row"
 _FILE, _INDEX, _NAME, _ORDER = "_tempora_file", "_tempora_index", "_tempora_name", "_tempora_order"
+_PART, _BEFORE = "_tempora_part", "_tempora_before"
 _written: list[str] = []
 
 
@@ -70,3 +71,17 @@ def numbered(docs: DataFrame, name: str) -> DataFrame:
     files = placed.select(F.col(_FILE).alias(_NAME)).distinct().withColumn(_ORDER, F.row_number().over(Window.orderBy(_NAME)).cast("long"))
     joined = placed.join(F.broadcast(spool(files, f"{name}-files")), F.col(_FILE) == F.col(_NAME))
     return joined.withColumn(ROW, F.col(_ORDER) * F.lit(1 << 40) + F.col(_INDEX)).drop(_FILE, _INDEX, _NAME, _ORDER)
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """`rows` with a column `name`: a row's place (from 1) among the rows of its `keys` (none of them null), in order of `order`.
+
+    For keys of any number of rows: rows are divided into sorted ranges, so that a hot key fills many of them, and a
+    range's rows are numbered on from the rows of its key in the ranges before, of which only the counts meet.
+    """
+    parted = spool(rows.repartitionByRange(*keys, *order).withColumn(_PART, F.spark_partition_id()), name)
+    counts = parted.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias(_BEFORE))
+    earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(_BEFORE, F.coalesce(F.sum(_BEFORE).over(earlier), F.lit(0)))
+    inside = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*order))
+    return parted.join(counts, [*keys, _PART]).withColumn(name, F.col(_BEFORE) + inside).select(*rows.columns, name)
