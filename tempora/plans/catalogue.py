@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tempora import schemas
 from tempora.functions import arrays, coords, dates, text
-from tempora.operators import adjudicate, candidates, clean, errors, geocode, graph, matching, relations, scoring, views
+from tempora.operators import adjudicate, assignment, candidates, clean, errors, geocode, graph, matching, relations, scoring, views
 from tempora.shipping import shipped
-from tempora.tables import ROW, numbered, spool
+from tempora.tables import ROW, numbered, ranked, spool
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -432,16 +432,45 @@ def matched_users(spark, d, threshold: float = matching.THRESHOLD) -> DataFrame:
     return matching.match_articles(matching.paired_records(gold, pred), threshold)
 
 
+def matched_events(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The same events in rows (pair, i, f) and (pair, j, f), each with its place among the user's."""
+    rows = event_rows(spark, d)
+    side = lambda odd, place: ranked(rows.where(F.col("event_id") % 2 == odd).select(F.col("user_id").alias("pair"), "event_id", matching.features(F.col("e")).alias("f")), ["pair"], ["event_id"]).select("pair", (F.col("place") - 1).cast("int").alias(place), "f")
+    return side(0, "i"), side(1, "j")
+
+
+def _told(found: DataFrame) -> DataFrame:
+    return found.select(F.concat(F.lit("user:"), F.col("pair").cast("string")).alias("article_id"), F.col("i").alias("gold_index"), F.col("j").alias("pred_index"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH {EV_SQL}, {_SIM_SQL} SELECT article_id, CAST(gi AS INTEGER) AS gold_index, CAST(pi AS INTEGER) AS pred_index, CAST(round(similarity, 6) AS DOUBLE) AS similarity FROM S WHERE similarity >= 0.45")
 def event_similarity_pairs(spark, d):
-    rows = matched_users(spark, d).select(F.col("g.article_id").alias("article_id"), F.posexplode("scores").alias("gold_index", "s"))
-    return rows.select("article_id", "gold_index", F.posexplode("s").alias("pred_index", "similarity")).where("similarity >= 0.45").withColumn("similarity", F.round("similarity", 6))
+    """Pairs by keys of features that they share."""
+    return _told(assignment.similar_events(*matched_events(spark, d)))
 
 
-@query()
+# each step lets every user's next gold event choose
+_GREEDY_SQL = f"""WITH RECURSIVE {EV_SQL}, {_SIM_SQL},
+C AS MATERIALIZED (SELECT user_id, gi, pi, similarity FROM S WHERE similarity >= 0.45),
+T AS (
+  SELECT DISTINCT user_id, CAST(-1 AS BIGINT) AS gi, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pi, CAST(NULL AS DOUBLE) AS similarity FROM C
+  UNION ALL
+  SELECT user_id, gi, CASE WHEN pi IS NULL THEN used ELSE list_append(used, pi) END, pi, similarity FROM (
+    SELECT T.user_id, T.gi + 1 AS gi, any_value(T.used) AS used, arg_min(C.pi, C.pi - 1000000 * C.similarity) FILTER (WHERE C.pi IS NOT NULL AND NOT list_contains(T.used, C.pi)) AS pi,
+      max(C.similarity) FILTER (WHERE C.pi IS NOT NULL AND NOT list_contains(T.used, C.pi)) AS similarity
+    FROM T LEFT JOIN C ON T.user_id = C.user_id AND C.gi = T.gi + 1 WHERE T.gi < (SELECT max(gi) FROM C) GROUP BY T.user_id, T.gi))
+SELECT 'user:' || CAST(user_id AS VARCHAR) AS article_id, CAST(gi AS INTEGER) AS gold_index, CAST(pi AS INTEGER) AS pred_index, CAST(round(similarity, 6) AS DOUBLE) AS similarity FROM T WHERE pi IS NOT NULL"""
+
+
+@query(_GREEDY_SQL)
 def event_greedy_match(spark, d):
-    """Sequential by nature: tested against a plain loop."""
-    return matched_users(spark, d).select(F.col("g.article_id").alias("article_id"), F.explode("matches").alias("m")).select("article_id", "m.gold_index", "m.pred_index", F.round("m.similarity", 6).alias("similarity"))
+    return _told(assignment.match(*matched_events(spark, d)))
+
+
+@query(_GREEDY_SQL)
+def event_greedy_rounds(spark, d):
+    """The same by rounds of proposals only, as for articles of very many events."""
+    return _told(assignment.match(*matched_events(spark, d), most_pairs=0))
 
 
 @query()
