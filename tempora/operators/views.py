@@ -100,11 +100,51 @@ def visible_counts(nodes: DataFrame, edges: DataFrame, events: DataFrame) -> Dat
     return counts.crossJoin(nodes.agg(F.count(F.lit(1)).alias("nodes"))).crossJoin(edges.agg(F.count(F.lit(1)).alias("edges")))  # rows of one each
 
 
+def _jumped(pointers: DataFrame, *carried: str) -> DataFrame:
+    """`pointers` (id, ptr, ..) with `ptr` at the end of its chain: each step a row jumps to where its target points, so steps are the logarithm of the longest chain.
+
+    `carried` are columns of a row, numbers that are added up along the chain, flags that must all hold. A chain ends
+    at an id that is no row. Chains have no rings.
+    """
+    while True:
+        ahead = pointers.select(F.col("id").alias("_at"), F.col("ptr").alias("_to"), *[F.col(c).alias(f"_{c}") for c in carried])
+        kinds = dict(pointers.dtypes)
+        both = {c: F.when(F.col("_at").isNull(), F.col(c)).otherwise((F.col(c) & F.col(f"_{c}")) if kinds[c] == "boolean" else F.col(c) + F.col(f"_{c}")) for c in carried}
+        stepped = pointers.join(ahead, F.col("ptr") == F.col("_at"), "left")
+        moved = spool(stepped.select("id", F.coalesce("_to", "ptr").alias("ptr"), *[v.alias(c) for c, v in both.items()], F.col("_at").isNotNull().alias("_moved")), "jump")
+        pointers = moved.drop("_moved")
+        if not moved.where("_moved").head(1):
+            return pointers
+
+
+def _reached(neighbours: DataFrame, bare: DataFrame, placed: DataFrame) -> DataFrame:
+    """id of the bare nodes that a pass places: neighbours of a placed node, or of a smaller node that the pass places.
+
+    Each undecided node points to one smaller neighbour that may be placed. If the chain ends at a placed node, all of
+    it is placed; if it ends at one that can't be, those with no other neighbour to hope for can't be, either. The rest
+    tries again without the neighbours that can't be: more than one round is needed only where chains meet.
+    """
+    seeds = neighbours.join(bare, "id", "left_semi").join(placed.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
+    down = spool(neighbours.where("other < id").join(bare, "id", "left_semi").join(bare.select(F.col("id").alias("other")), "other", "left_semi").select("id", "other").distinct(), "down")
+    decided = spool(bare.join(seeds.withColumn("_seed", F.lit(True)), "id", "left").join(down.select("id").distinct().withColumn("_down", F.lit(True)), "id", "left").where("_seed OR _down IS NULL").select("id", F.col("_seed").isNotNull().alias("placed")), "decided")
+    while True:
+        hopes = down.join(decided.select("id"), "id", "left_anti").join(decided.where("NOT placed").select(F.col("id").alias("other")), "other", "left_anti")
+        chosen = hopes.groupBy("id").agg(F.min("other").alias("ptr"), (F.count(F.lit(1)) == 1).alias("sure"))
+        left = spool(bare.join(decided.select("id"), "id", "left_anti").join(chosen, "id", "left"), "undecided")
+        if not left.head(1):
+            return decided.where("placed").select("id")
+        ends = _jumped(left.where("ptr IS NOT NULL"), "sure").join(decided.select(F.col("id").alias("ptr"), "placed"), "ptr", "left")
+        # a chain that ends at an undecided node ends at one without hope
+        found = ends.select("id", F.coalesce("placed", F.lit(False)).alias("placed"), "sure").where("placed OR sure").select("id", "placed")
+        decided = spool(decided.unionByName(left.where("ptr IS NULL").select("id", F.lit(False).alias("placed"))).unionByName(found), "decided")
+
+
 def map_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with a place on the map: their own, a centroid, or near the first placed neighbour, in PASSES passes.
 
     A pass visits nodes in order of id, and a node sees the neighbours placed before it in the same pass; its first
-    visible one in order of edges is its anchor. Inside a pass, rounds of joins handle all nodes of one depth at once.
+    visible one in order of edges is its anchor. Anchors form a forest; a node's place is that of its root and the sum
+    of the offsets on the way, which pointer jumping adds up in a number of joins that is the logarithm of its depth.
     """
     spark = nodes.sparkSession
     centroid = spark.createDataFrame([(k, *v) for k, v in CENTROIDS.items()], "id string, c_lat double, c_lon double")
@@ -122,32 +162,14 @@ def map_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         out = spool(out, "map-nodes")
         whole = F.col("map_latitude").isNotNull() & F.col("map_longitude").isNotNull()
         known = out.where(whole).select("id", F.col("map_latitude").alias("lat"), F.col("map_longitude").alias("lon"))
-        bare_ids = out.where(~whole).select("id")
-        # placed in this pass: reached from a placed node, or from one placed before it in the pass, which has a smaller id
-        start = known.select(F.col("id").alias("other"))
-        reached = spool(both.join(bare_ids, "id", "left_semi").join(start, "other", "left_semi").select("id").distinct(), "reached")
-        while True:
-            more = both.join(reached.select(F.col("id").alias("other")), "other", "left_semi").where("other < id").join(bare_ids, "id", "left_semi").select("id")
-            grown = spool(reached.union(more).distinct(), "reached")
-            if grown.count() == reached.count():
-                break
-            reached = grown
-        visible = start.withColumn("at_start", F.lit(True)).unionByName(reached.select(F.col("id").alias("other"), F.lit(False).alias("at_start")))
-        anchors = both.join(reached, "id", "left_semi").join(visible, "other").where("at_start OR other < id")
-        anchors = spool(anchors.groupBy("id").agg(F.min_by("other", F.struct("edge", "other")).alias("anchor")), "anchors")
-        placed, total = known, anchors.count()
-        new = None
-        while total:
-            todo = anchors if new is None else anchors.join(new.select("id"), "id", "left_anti")
-            step = todo.join(placed.select(F.col("id").alias("anchor"), "lat", "lon"), "anchor")
-            step = step.select("id", (F.col("lat") + offset("id")["latitude"]).alias("lat"), (F.col("lon") + offset("id")["longitude"]).alias("lon"))
-            new = spool(step if new is None else new.unionByName(step), "placed")
-            placed = known.unionByName(new)
-            if new.count() == total:
-                break
-        if new is None:
+        reached = spool(_reached(both, out.where(~whole).select("id"), known.select("id")), "reached")
+        if not reached.head(1):
             break
-        found = new.select("id", "lat", "lon")
+        visible = known.select(F.col("id").alias("other"), F.lit(True).alias("at_start")).unionByName(reached.select(F.col("id").alias("other"), F.lit(False).alias("at_start")))
+        anchors = both.join(reached, "id", "left_semi").join(visible, "other").where("at_start OR other < id")
+        anchors = anchors.groupBy("id").agg(F.min_by("other", F.struct("edge", "other")).alias("ptr"))
+        steps = spool(anchors.select("id", "ptr", offset("id")["latitude"].alias("d_lat"), offset("id")["longitude"].alias("d_lon")), "anchors")
+        found = _jumped(steps, "d_lat", "d_lon").join(known.withColumnRenamed("id", "ptr"), "ptr").select("id", (F.col("lat") + F.col("d_lat")).alias("lat"), (F.col("lon") + F.col("d_lon")).alias("lon"))
         out = out.join(found, "id", "left").withColumns({
             "map_latitude": F.coalesce("lat", "map_latitude"), "map_longitude": F.coalesce("lon", "map_longitude"), "map_position_source": F.when(F.col("lat").isNotNull(), "derived").otherwise(F.col("map_position_source")),
         }).drop("lat", "lon")

@@ -12,7 +12,7 @@ from tempora.functions import arrays, coords, dates, text
 from tempora.operators import clean, graph, relations, review, scoring, views
 from tempora.plans.catalogue import E_SQL, EV_SQL, R_SQL, accepted, entity_view, event_records, event_rows, matched_users, query, relation_view, table
 from tempora.sources import graph_store
-from tempora.tables import shared_dir
+from tempora.tables import ranked, shared_dir
 
 _SLUG = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')"
 _GRAPH_SQL = f"""{R_SQL}, {E_SQL},
@@ -234,3 +234,21 @@ def first_of_equal(spark, d):
     rows = event_rows(spark, d).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("event_id", (F.col("k") % 7).alias("a")))).alias("x"))
     firsts = arrays.first_by(F.col("x"), lambda x: x["a"])
     return rows.select("article_id", F.array_join(F.transform(firsts, lambda x: x["a"].cast("string")), ",").alias("firsts"), F.size(arrays.pairs_before(firsts)).cast("long").alias("pairs"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, n_nationkey, 'order:' || printf('%09d:%012d', o_custkey, o_orderkey) AS id FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+s AS (SELECT *, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(id, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) & 4294967295) AS h FROM o),
+r AS (SELECT *, (h % 360) * pi() / 180 AS angle, CAST(floor((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) / 256.0) AS BIGINT) AS f FROM s)
+SELECT id, 'derived' AS source, round(n_nationkey + 0.5 + sum(sin(angle) * (1.8 + (f % 120) / 100.0)) OVER w, 6) AS lat, round(1.0 + sum(cos(angle) * (1.8 + (f % 120) / 100.0)) OVER w, 6) AS lon FROM r WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)
+UNION ALL SELECT 'nation:' || n_nationkey, 'geocoded', n_nationkey + 0.5, 1.0 FROM nation""")
+def map_places(spark, d):
+    """Orders of a customer, each near the one before it, the first near the customer's nation."""
+    customers = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation").select("n_nationkey")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey")  # 25 nations
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    ident = F.format_string("order:%09d:%012d", F.col("o_custkey").cast("long"), F.col("o_orderkey").cast("long"))
+    rows = ranked(rows.select("o_custkey", "o_orderkey", "n_nationkey", ident.alias("id")), ["o_custkey"], ["o_orderkey"])
+    before = rows.select("o_custkey", (F.col("place") + 1).alias("place"), F.col("id").alias("before"))
+    edges = rows.join(before, ["o_custkey", "place"], "left").select("id", F.col("id").alias("source"), F.coalesce("before", F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string"))).alias("target"))
+    nations = table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), (F.col("n_nationkey") + 0.5).cast("double").alias("latitude"), F.lit(1.0).alias("longitude"))
+    nodes = nations.unionByName(rows.select("id", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude")))
+    return views.map_nodes(nodes, edges).select("id", F.col("map_position_source").alias("source"), F.round("map_latitude", 6).alias("lat"), F.round("map_longitude", 6).alias("lon"))
