@@ -611,11 +611,25 @@ def stream_edge_counts(spark, d):
     schema = table(spark, d, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     rows = rows.select("event_id", "ts", F.col("user_id").alias("source"), F.col("event_type").alias("type"), F.lit("site").alias("target"))
-    name = f"edge_counts_{uuid.uuid4().hex}"
-    edges.run(edges.edge_counts(rows), name, f"{shared_dir(spark)}/{name}")
-    return spark.table(name).select("source", "type", "weight", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"))
+    found = edges.run(edges.edge_counts(rows), f"{shared_dir(spark)}/edge-counts-{uuid.uuid4().hex}")
+    return found.select("source", "type", "weight", F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"))
 
 
+@query(f"""WITH {R_SQL}, {E_SQL}, B AS (SELECT name, min(rec_ord) AS born FROM E WHERE type = 'NationState' GROUP BY name)
+SELECT s || '|' || N.type || '|' || t AS id, count(*) AS weight, min(day) AS first_seen FROM N JOIN B bs ON source = bs.name JOIN B bt ON target = bt.name WHERE bs.born <= rec_ord AND bt.born <= rec_ord GROUP BY s, N.type, t""")
+def stream_relations(spark, d):
+    """Relations as a stream of several batches, accepted when an earlier record has named both ends."""
+    import uuid
+
+    from tempora.streaming import links
+    from tempora.tables import shared_dir
+
+    none, path = F.lit(None).cast("string"), f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    named = entity_view(spark, d).where("type = 'NationState'").select("rec_ord", "i", F.lit(True).alias("mention"), "name", none.alias("source"), none.alias("target"), F.col("type").alias("kind"), "article_id", "day")
+    said = relation_view(spark, d).select("rec_ord", "i", F.lit(False).alias("mention"), none.alias("name"), "source", "target", F.col("type").alias("kind"), "article_id", "day")
+    named.unionByName(said).select(F.col("rec_ord").cast("long").alias("rec_ord"), F.col("i").cast("int").alias("i"), "mention", "name", "source", "target", "kind", "article_id", "day").repartitionByRange(4, "rec_ord").write.parquet(f"{path}/rows")
+    found = links.accepted(spark, f"{path}/rows", path, files_per_trigger=2)
+    return found.groupBy(F.col("edge_id").alias("id")).agg(F.count(F.lit(1)).alias("weight"), F.min("day").alias("first_seen"))
 
 
 from tempora.plans import record_queries  # noqa: E402, F401  (registers its queries here)

@@ -27,7 +27,12 @@ def windowed_counts(rows: DataFrame, window: str = "1 hour", late: str = "1 day"
     return rows.withWatermark("ts", late).groupBy(F.window("ts", window).alias("window"), "source", "type", "target").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def run(result: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> None:
-    """Process what is there into a table in memory, then stop; for tests and small reports."""
-    query = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run(result: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """Process what is there and stop; the rows of the last batch. Executors write each batch to a folder of its number, so one that is run again overwrites itself."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+
+    result.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+    done = result.sparkSession.read.parquet(f"{path}/batches")
+    return done.where(F.col("batch") == done.agg(F.max("batch")).first()[0]).drop("batch")
