@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tempora import schemas
 from tempora.functions.arrays import safe
 from tempora.operators.adjudicate import project_event
+from tempora.tables import spool
 
 DRAFT_NOTES = ("This row is generated from model output and is not gold yet.", "Delete incorrect items, add missing items, correct labels/dates/locations/evidence, then set annotation_status to 'gold'.")
 FAILED_NOTE = "This article failed extraction. Add gold entities/events manually if it should be in the benchmark."
@@ -24,13 +25,35 @@ def has_review_flags() -> Column:
     return some(F.col("postprocess_review_flags")) | F.exists(safe("entities"), lambda x: some(x["review_flags"])) | F.exists(safe("events"), lambda e: some(e["review_flags"]))
 
 
-def representative(records: DataFrame, limit: int) -> DataFrame:
-    """rec_ord and pick (1, 2, ..) of at most `limit` records by greedy cover of event types.
+#: Classes of records up to which a cover is chosen among the best records of each class; the ontology's six types make at most 256.
+MOST_CLASSES = 4096
+
+
+def _cover(rows: DataFrame, limit: int) -> list[int]:
+    """The greedy cover of rows (rec_ord, types, bare, flagged, n) from one aggregation.
 
-    Each pick has most new event types, then missing geocodes, flags, and events, then comes first. A pick is a bounded
-    top-1 query over small features; `limit` is the number of rounds.
+    Records with the same event types, bare and flagged alike, differ only in their number of events and their place,
+    so that no more than the best `limit` of a class are ever picked. These are few and are covered on the driver.
     """
-    rows = records.where(F.size(safe("events")) > 0).select("rec_ord", F.array_distinct(F.filter(F.transform(safe("events"), lambda e: e["event_type"]), lambda t: t.isNotNull())).alias("types"), has_missing_geocode().cast("int").alias("bare"), has_review_flags().cast("int").alias("flagged"), F.size("events").alias("n")).cache()
+    best = Window.partitionBy("types", "bare", "flagged").orderBy(F.desc("n"), "rec_ord")
+    top = rows.withColumn("place", F.row_number().over(best)).where(F.col("place") <= limit).collect()
+    classes: dict[tuple, list] = {}
+    for r in sorted(top, key=lambda r: r["place"]):
+        classes.setdefault((tuple(r["types"]), r["bare"], r["flagged"]), []).append((-r["n"], r["rec_ord"]))
+    covered: set[str] = set()
+    chosen: list[int] = []
+    while classes and len(chosen) < limit:
+        # of a class the first one left comes first
+        kind = min(classes, key=lambda k: (-len(set(k[0]) - covered), -k[1], -k[2], *classes[k][0]))
+        chosen.append(classes[kind].pop(0)[1])
+        covered.update(kind[0])
+        if not classes[kind]:
+            del classes[kind]
+    return chosen
+
+
+def _cover_by_rounds(rows: DataFrame, limit: int) -> list[int]:
+    """The same, a top-1 query for each pick, for any number of classes."""
     covered: list[str] = []
     chosen: list[int] = []
     while len(chosen) < limit:
@@ -41,7 +64,18 @@ def representative(records: DataFrame, limit: int) -> DataFrame:
             break
         chosen.append(top[0]["rec_ord"])
         covered = sorted({*covered, *top[0]["types"]})
-    rows.unpersist()
+    return chosen
+
+
+def representative(records: DataFrame, limit: int, most_classes: int = MOST_CLASSES) -> DataFrame:
+    """rec_ord and pick (1, 2, ..) of at most `limit` records by greedy cover of event types.
+
+    Each pick has most new event types, then missing geocodes, flags, and events, then comes first.
+    """
+    types = F.array_sort(F.array_distinct(F.filter(F.transform(safe("events"), lambda e: e["event_type"]), lambda t: t.isNotNull())))
+    rows = spool(records.where(F.size(safe("events")) > 0).select("rec_ord", types.alias("types"), has_missing_geocode().cast("int").alias("bare"), has_review_flags().cast("int").alias("flagged"), F.size("events").alias("n")), "candidates")
+    few = rows.select("types", "bare", "flagged").distinct().limit(most_classes + 1).count() <= most_classes
+    chosen = _cover(rows, limit) if few else _cover_by_rounds(rows, limit)
     return records.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(chosen)], "rec_ord long, pick int")
 
 

@@ -478,7 +478,16 @@ def matched_field_metrics(spark, d):
     return scoring.field_metrics(scoring.matched_pairs(matched_users(spark, d)))
 
 
-@query()
+_MATCHED_SQL = f"""M AS (SELECT CAST(article_id[6:] AS BIGINT) AS user_id, gold_index AS gi, pred_index AS pi FROM ({_GREEDY_SQL})),
+GE AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS gi FROM EV WHERE event_id % 2 = 0),
+PE AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pi FROM EV WHERE event_id % 2 = 1 AND user_id IN (SELECT user_id FROM EV WHERE event_id % 2 = 0))"""
+
+
+@query(f"""WITH {EV_SQL}, {_MATCHED_SQL},
+X AS (SELECT 'missed_event' AS error_type FROM GE ANTI JOIN M USING (user_id, gi) UNION ALL SELECT 'extra_event' FROM PE ANTI JOIN M USING (user_id, pi)
+  UNION ALL SELECT 'matched_event_field_mismatch' FROM M JOIN GE g ON M.user_id = g.user_id AND M.gi = g.gi JOIN PE p ON M.user_id = p.user_id AND M.pi = p.pi
+  WHERE g.event_type <> p.event_type OR g.event_date <> p.event_date OR g.k <> p.k OR g.props <> p.props)
+SELECT error_type, count(*) AS count FROM X GROUP BY error_type""")
 def error_type_counts(spark, d):
     rows = event_rows(spark, d)
     matched = errors.matched_articles(event_records(rows.where("event_id % 2 = 0")), event_records(rows.where("event_id % 2 = 1")))
@@ -571,9 +580,10 @@ def postprocess_summary(spark, d):
     return geocode.summary(records, flat, nowhere).where("kind NOT LIKE '%location%'")
 
 
-@query()
+@query("""WITH s AS (SELECT 'NationState:' || lower(replace(n_name, '_', '-')) AS id FROM nation), h AS (SELECT id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(id, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, c: (a * 31 + c) & 4294967295) AS h FROM s),
+q AS (SELECT id, (h % 360) * pi() / 180 AS angle, CAST(floor((CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) / 256.0) AS BIGINT) AS f FROM h)
+SELECT id, round(sin(angle) * (1.8 + (f % 120) / 100.0), 9) AS lat, round(cos(angle) * (1.8 + (f % 120) / 100.0), 9) AS lon FROM q""")
 def deterministic_offset(spark, d):
-    """Tested against the same hash in Python."""
     o = coords.offset(text.node_id("n_name", F.lit("NationState")))
     return table(spark, d, "nation").select(text.node_id("n_name", F.lit("NationState")).alias("id"), F.round(o["latitude"], 9).alias("lat"), F.round(o["longitude"], 9).alias("lon"))
 

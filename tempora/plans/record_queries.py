@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tempora import ontology, schemas
 from tempora.functions import arrays, coords, dates, text
-from tempora.operators import clean, graph, relations, review, scoring, views
+from tempora.operators import clean, graph, matching, relations, review, scoring, views
 from tempora.plans.catalogue import E_SQL, EV_SQL, R_SQL, accepted, entity_view, event_records, event_rows, matched_users, query, relation_view, table
 from tempora.sources import graph_store
 from tempora.tables import ranked, shared_dir
@@ -31,10 +31,10 @@ def graph_nodes(spark, d):
 
 
 @query(f"""WITH {_GRAPH_SQL} SELECT (SELECT count(*) FROM G) AS node_count, (SELECT count(*) FROM G WHERE type = 'NonStateActor') AS actors, count(DISTINCT s || type || t) AS edge_count,
-count(*) FILTER (WHERE type = 'ATTACKED') AS attacks, count(DISTINCT day) AS days, min(day) AS min_date, max(day) AS max_date, CAST(0 AS BIGINT) AS skipped_relations FROM N""")
+count(*) FILTER (WHERE type = 'ATTACKED') AS attacks, count(DISTINCT day) AS days, min(day) AS min_date, max(day) AS max_date, count(*) FILTER (WHERE type = 'SUPPORTED' AND rec_ord % 5 = 0) AS skipped_relations FROM N""")
 def graph_totals(spark, d):
     nodes, edges = _graph(spark, d)
-    one = graph.graph_metadata(nodes, edges, accepted(relation_view(spark, d)).where("false"))
+    one = graph.graph_metadata(nodes, edges, accepted(relation_view(spark, d)).where("type = 'SUPPORTED' AND rec_ord % 5 = 0"))
     return one.select("node_count", F.col("node_type_counts")["NonStateActor"].alias("actors"), "edge_count", F.col("edge_type_counts")["ATTACKED"].alias("attacks"), F.size("timeline.available_dates").cast("long").alias("days"), "timeline.min_date", "timeline.max_date", "skipped_relations")
 
 
@@ -75,11 +75,13 @@ def event_totals(spark, d):
 @query(f"""WITH {EV_SQL} SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN 'Schema Validated' ELSE 'Missing Geocode' END AS status,
 CASE WHEN k % 2 = 0 THEN 'Schema, evidence, and provenance present' ELSE 'Located event has no coordinates' END AS status_detail, CAST(floor(confidence * 100 + 0.5) AS BIGINT)::VARCHAR || '%' AS confidence,
 CASE WHEN confidence >= 0.8 THEN 'High confidence' WHEN confidence >= 0.55 THEN 'Medium confidence' ELSE 'Low confidence' END AS level, CASE WHEN confidence >= 0.8 THEN 'good' WHEN confidence >= 0.55 THEN 'warn' ELSE 'bad' END AS tone,
-CASE WHEN k % 2 = 0 THEN 'override' ELSE 'Missing' END AS place, location AS place_detail, CASE WHEN k % 2 = 0 THEN 'good' ELSE 'bad' END AS place_tone, 0 AS flags, true AS has_evidence, true AS has_source,
+CASE WHEN k % 2 = 0 THEN 'override' ELSE 'Missing' END AS place, location AS place_detail, CASE WHEN k % 2 = 0 THEN 'good' ELSE 'bad' END AS place_tone, CAST(k % 3 AS INTEGER) AS flags, k % 4 <> 1 AS has_evidence, k % 5 <> 2 AS has_source,
 'actor ' || (k % 7) || ' (initiator) / place ' || k || ' (target)' AS people FROM EV""")
 def trust_signals(spark, d):
     t = F.col("trust")
-    shown = views.trust_signals(_payload(spark, d))
+    k = F.regexp_extract("location", r"(\d+)", 1).cast("int")
+    flags = F.array_repeat(F.struct(F.lit("c").alias("code"), F.lit("m").alias("message")), k % 3)
+    shown = views.trust_signals(_payload(spark, d).withColumns({"review_flags": flags, "evidence": F.when(k % 4 != 1, F.col("evidence")), "source_url": F.when(k % 5 != 2, F.col("source_url")).otherwise("")}))
     return shown.select("id", t["status"].alias("status"), t["status_detail"].alias("status_detail"), t["confidence"].alias("confidence"), t["confidence_level"].alias("level"), t["confidence_tone"].alias("tone"), t["place"]["value"].alias("place"), t["place"]["detail"].alias("place_detail"), t["place"]["tone"].alias("place_tone"), t["flags"].alias("flags"), t["has_evidence"].alias("has_evidence"), t["has_source"].alias("has_source"), views.participants_label("participants").alias("people"))
 
 
@@ -118,10 +120,11 @@ def clean_order_records(spark, d):
     return found.select("rec_ord", F.array_join(F.transform("entities", lambda e: e["name"]), "|").alias("entities"), F.size("relations").cast("long").alias("n_relations"), F.size("postprocess_review_flags").cast("long").alias("n_flags"), F.array_max(F.transform("relations", lambda r: r["target"])).alias("target"))
 
 
-@query(f"WITH {EV_SQL} SELECT article_id, count(DISTINCT event_type || event_date || props) AS n_events, count(DISTINCT props) AS n_relations, count(DISTINCT k) + count(DISTINCT k % 7) AS n_entities, CAST(0 AS BIGINT) AS n_flags FROM EV GROUP BY article_id")
+@query(f"WITH {EV_SQL} SELECT article_id, count(DISTINCT event_type || event_date || props) AS n_events, count(DISTINCT props) AS n_relations, count(DISTINCT k) + count(DISTINCT k % 7) AS n_entities, count(DISTINCT event_type) FILTER (WHERE k % 5 = 0) AS n_flags FROM EV GROUP BY article_id")
 def clean_event_records(spark, d):
     """Users as records whose entities are those that their events name."""
-    records = event_records(event_rows(spark, d))
+    rows = event_rows(spark, d)
+    records = event_records(rows.withColumn("e", F.col("e").withField("date_precision", F.when(F.col("k") % 5 == 0, "hour").otherwise("day"))))
     people = F.flatten(F.transform("events", lambda e: F.transform(e["participants"], lambda p: _entity(p["name"], p["type"]))))
     found = clean.clean_records(records.withColumn("entities", people), spark.createDataFrame([], "alias string, canonical_name string, canonical_type string"))
     return found.select("article_id", F.size("events").cast("long").alias("n_events"), F.size("relations").cast("long").alias("n_relations"), F.size("entities").cast("long").alias("n_entities"), F.size("postprocess_review_flags").cast("long").alias("n_flags"))
@@ -130,9 +133,14 @@ def clean_event_records(spark, d):
 _BOTH_SQL = f"{EV_SQL}, GA AS (SELECT article_id, count(*) FILTER (WHERE event_id % 2 = 0) AS g, count(*) FILTER (WHERE event_id % 2 = 1) AS p FROM EV GROUP BY article_id HAVING count(*) FILTER (WHERE event_id % 2 = 0) > 0)"
 
 
-@query(f"WITH {_BOTH_SQL} SELECT CAST(sum(p) AS BIGINT) AS located_event_count, CAST(0 AS BIGINT) AS located_event_with_coordinates_count, 0.0::DOUBLE AS located_event_coordinate_rate FROM GA")
+@query(f"WITH {_BOTH_SQL} SELECT count(*) AS located_event_count, count(*) FILTER (WHERE k % 3 = 0) AS located_event_with_coordinates_count, round(count(*) FILTER (WHERE k % 3 = 0) / count(*), 9) AS located_event_coordinate_rate FROM EV JOIN GA USING (article_id) WHERE event_id % 2 = 1 AND k % 4 > 0")
 def geocode_coverage(spark, d):
-    return scoring.geocode_metrics(matched_users(spark, d))
+    """Predictions of which some have no location, and some no coordinates."""
+    k, rows = F.col("k"), event_rows(spark, d)
+    place = F.from_json(F.when(k % 3 == 0, '{"latitude": 1.5, "longitude": 2.5}').when(k % 3 == 1, '{"latitude": 1.5}'), schemas.GEOCODE)
+    placed = rows.withColumn("e", F.col("e").withField("location", F.when(k % 4 > 0, F.col("e.location")).otherwise("")).withField("location_geocode", place))
+    matched = matching.match_articles(matching.paired_records(event_records(rows.where("event_id % 2 = 0")), event_records(placed.where("event_id % 2 = 1"))))
+    return scoring.geocode_metrics(matched).withColumn("located_event_coordinate_rate", F.round("located_event_coordinate_rate", 9))
 
 
 @query(f"WITH {_BOTH_SQL} SELECT count(*) AS article_count, CAST(sum(g) AS BIGINT) AS gold_events, CAST(sum(p) AS BIGINT) AS prediction_events, CAST(sum(g) AS BIGINT) AS gold_accounted, CAST(sum(p) AS BIGINT) AS predictions_accounted FROM GA")
