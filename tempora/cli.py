@@ -13,6 +13,7 @@ from tempora import schemas
 
 
 def _postprocess(spark, a) -> dict:
+    from tempora.operators import geocode
     from tempora.plans.pipelines import extractions_to_graph
     from tempora.sources import cache_store, clients, readers, sinks
 
@@ -23,16 +24,21 @@ def _postprocess(spark, a) -> dict:
     held = cache_store.read(spark, a.cache) if kept else readers.geocode_cache(spark, a.cache)
     remote = None if a.offline else clients.Nominatim(a.agent)
     out = extractions_to_graph(records, readers.aliases(spark, a.aliases), readers.geocode_overrides(spark, a.overrides), held, review, articles, remote, a.on_collision)
-    sinks.jsonl(out["records"], f"{a.output}/article_extractions_clean", ["rec_ord"], one_file=True)
-    sinks.jsonl(out["events"], f"{a.output}/events_clean", ["rec_ord", "event_pos"], one_file=True)
-    sinks.jsonl(out["locations"].select("name", "latitude", "longitude", "display_name", "geocode_source", "osm_type", "osm_category", "osm_addresstype", "raw_importance", "notes", "review_flags"), f"{a.output}/geocoded_locations", ["name"], one_file=True)
+    (records, events, locations), counts = geocode.observed_summary(out["records"], out["events"], out["locations"])
+    sinks.jsonl(records, f"{a.output}/article_extractions_clean", ["rec_ord"], one_file=True)
+    sinks.jsonl(events, f"{a.output}/events_clean", ["rec_ord", "event_pos"], one_file=True)
+    sinks.jsonl(locations.select("name", "latitude", "longitude", "display_name", "geocode_source", "osm_type", "osm_category", "osm_addresstype", "raw_importance", "notes", "review_flags"), f"{a.output}/geocoded_locations", ["name"], one_file=True)
     sinks.csv(out["location_review"], f"{a.output}/location_review", schemas.LOCATION_REVIEW_COLUMNS, ["ord", "i"])
     sinks.csv(out["geocode_review"], f"{a.output}/geocode_review", schemas.GEOCODE_REVIEW_COLUMNS, ["rec_ord", "event_pos"])
     sinks.graph_files(out, out["payload"], f"{a.output}/graph")
     if remote is not None:  # a store gets what is new, a file becomes a store beside the output
         new = out["cache"].join(held.select("query_key"), "query_key", "left_anti") if kept else out["cache"]
         cache_store.upsert(new, a.cache if kept else f"{a.output}/geocode_cache")
-    return {r["kind"] + (f":{r['label']}" if r["label"] else ""): r["count"] for r in out["summary"].collect()}
+    found = counts()
+    if found is None:
+        found = {r["kind"] + (f":{r['label']}" if r["label"] else ""): r["count"] for r in out["summary"].collect()}
+    Path(a.output, "summary.json").write_text(json.dumps(found, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    return found
 
 
 def _ingest(spark, a) -> dict:

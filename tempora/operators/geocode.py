@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tempora import schemas
+from tempora import ontology, schemas
 from tempora.functions.arrays import safe
 from tempora.functions.coords import geocode_flags, preferred
 from tempora.functions.lookup import at, with_lookup
@@ -156,3 +156,33 @@ def summary(records: DataFrame, events: DataFrame, geocoded: DataFrame) -> DataF
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def _by_type(prefix: str, types: tuple[str, ...], count) -> dict[str, Column]:
+    """Counts of each type, of items without one, and of items of any other type; `count` counts the items for which a condition holds."""
+    each = {f"{prefix}:{t}": count(lambda x, t=t: x == t) for t in types}
+    return each | {f"{prefix}:unknown": count(lambda x: x.isNull()), f"{prefix}:*": count(lambda x: ~x.isin(*types))}
+
+
+def observed_summary(records: DataFrame, events: DataFrame, geocoded: DataFrame) -> tuple[tuple[DataFrame, DataFrame, DataFrame], Callable[[], dict | None]]:
+    """The three tables, to be written once each, and what then gives the counts of summary() as {kind or kind:label: count}, without another job.
+
+    The counts are taken while the tables are written. Types outside the ontology can't be named beforehand: if there
+    are any, None is given, and summary() has to be run. Writers must not run a table twice (as range partitioning does).
+    """
+    inside = lambda items: lambda holds: F.coalesce(F.sum(F.size(F.filter(safe(items), lambda x: holds(x["type"])))), F.lit(0))
+    metrics = [
+        {"cleaned_record_count": F.count(F.lit(1))} | _by_type("entity_type_counts", ontology.ENTITY_TYPES, inside("entities")) | _by_type("relation_type_counts", ontology.RELATION_TYPES, inside("relations")),
+        {"cleaned_event_count": F.count(F.lit(1))} | _by_type("event_type_counts", ontology.EVENT_TYPES, lambda holds: F.count_if(holds(F.col("event_type")))),
+        {"geocoded_location_count": F.count(F.lit(1)), "location_review_flag_count": F.coalesce(F.sum(F.size(safe("review_flags"))), F.lit(0))},
+    ]
+    seen = [Observation() for _ in metrics]
+    tables = tuple(table.observe(o, *[c.alias(name) for name, c in found.items()]) for table, o, found in zip((records, events, geocoded), seen, metrics))
+
+    def counts() -> dict | None:
+        got = {name: n for o in seen for name, n in o.get.items()}
+        if any(n for name, n in got.items() if name.endswith(":*")):
+            return None
+        return {name: n for name, n in got.items() if n or ":" not in name}
+
+    return tables, counts

@@ -82,6 +82,16 @@ def edge_evidence(relations: DataFrame) -> DataFrame:
     return ranked(rows, ["id"], ["rec_ord", "i"])
 
 
+def ends_of(relations: DataFrame) -> DataFrame:
+    """rec_ord, edge_id, id: a row for each end of a relation, one for a loop."""
+    return relations.select("rec_ord", "edge_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"))
+
+
+def relation_counts(ends: DataFrame) -> DataFrame:
+    """id, relation_count: edges of each node, each once."""
+    return ends.select("id", "edge_id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("relation_count"))
+
+
 def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collision: str = "merge") -> DataFrame:
     """Nodes by id.
 
@@ -103,11 +113,10 @@ def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collis
         F.array_sort(F.collect_set("article_id")).alias("article_ids"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"),
         F.collect_list(F.when(F.size(safe("review_flags")) > 0, F.struct(ord_.alias("ord"), F.col("review_flags").alias("v")))).alias("flags"),
     )
-    ends = relations.select("rec_ord", "edge_id", F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("id"))
+    ends = ends_of(relations)
     if on_collision == "reset":
         ends = ends.join(ids.select("id", "reborn"), "id").where(F.col("rec_ord") >= F.col("reborn.rec_ord"))
-    counts = ends.groupBy("id").agg(F.count_distinct("edge_id").alias("n"))
-    out = out.join(counts, "id", "left")
+    out = out.join(relation_counts(ends).withColumnRenamed("relation_count", "n"), "id", "left")
     return out.select(
         "id", "name", "type", *stated, F.filter("aliases", lambda a: a != F.col("name")).alias("aliases"), "article_ids", F.size("article_ids").cast("long").alias("article_count"),
         F.coalesce("n", F.lit(0)).cast("long").alias("relation_count"), "first_seen", "last_seen", merge_flags(F.col("flags")).alias("review_flags"),

@@ -88,6 +88,11 @@ def geocode_metrics(pairs: DataFrame) -> DataFrame:
     return out.withColumn("located_event_coordinate_rate", F.try_divide("located_event_with_coordinates_count", "located_event_count"))
 
 
+def missing_articles(gold: DataFrame, predictions: DataFrame) -> DataFrame:
+    """rec_ord, article_id of gold rows whose article has no prediction; one without an id has none."""
+    return gold.select("rec_ord", "article_id").join(predictions.select("article_id").distinct(), "article_id", "left_anti").select("rec_ord", "article_id")
+
+
 def score(gold: DataFrame, predictions: DataFrame, allow_draft: bool = False) -> dict[str, DataFrame]:
     """metrics (long form), fields, geocoding, counts and missing of predictions against gold (both with rec_ord)."""
     check_gold(gold, allow_draft)
@@ -108,5 +113,4 @@ def score(gold: DataFrame, predictions: DataFrame, allow_draft: bool = False) ->
     metrics = prf(soft).select(F.lit("events_soft").alias("metric"), "label", "precision", "recall", "f1", "tp", "fp", "fn")
     for block in blocks:
         metrics = metrics.unionByName(block)
-    missing = pairs.where(F.col("p").isNull()).select(F.col("g.rec_ord").alias("rec_ord"), F.col("g.article_id").alias("article_id"))
-    return {"metrics": metrics, "fields": field_metrics(matched_pairs(pairs)), "geocoding": geocode_metrics(pairs), "counts": counts.drop("matched"), "missing": missing}
+    return {"metrics": metrics, "fields": field_metrics(matched_pairs(pairs)), "geocoding": geocode_metrics(pairs), "counts": counts.drop("matched"), "missing": missing_articles(gold, predictions)}

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tempora import schemas
 from tempora.functions import arrays, coords, dates, text
-from tempora.operators import adjudicate, assignment, candidates, clean, errors, geocode, graph, matching, relations, scoring, views
+from tempora.operators import adjudicate, assignment, candidates, clean, diffs, errors, geocode, graph, matching, relations, scoring, views
+from tempora.plans import extract
 from tempora.shipping import shipped
 from tempora.tables import ROW, numbered, ranked, spool
 
@@ -127,8 +128,7 @@ def node_registry(spark, d):
 
 @query(f"WITH {R_SQL}, X AS (SELECT s AS id, s || type || t AS e FROM N UNION ALL SELECT t, s || type || t FROM N) SELECT id, count(DISTINCT e) AS relation_count FROM X GROUP BY id")
 def node_relation_counts(spark, d):
-    ends = accepted(relation_view(spark, d)).select("edge_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("relation_count"))
+    return graph.relation_counts(graph.ends_of(accepted(relation_view(spark, d))))
 
 
 @query(f"WITH {R_SQL} SELECT type, count(*) AS relations, count(DISTINCT s || t) AS edges, min(day) AS min_date, max(day) AS max_date, count(DISTINCT day) AS days FROM N GROUP BY type")
@@ -411,9 +411,8 @@ def prf_micro_by_label(spark, d):
 
 @query(f"WITH {_PRF_SQL} SELECT doc_id AS key, CASE WHEN g = 1 THEN 'missing' ELSE 'extra' END AS side FROM K WHERE g <> p")
 def key_set_diff(spark, d):
-    gold, pred = _label_keys(spark, d)
-    missing = gold.select("key").join(pred.select("key"), "key", "left_anti").withColumn("side", F.lit("missing"))
-    return missing.unionByName(pred.select("key").join(gold.select("key"), "key", "left_anti").withColumn("side", F.lit("extra")))
+    gold, pred = (rows.select("key", F.lit(0).alias("i")) for rows in _label_keys(spark, d))
+    return diffs.item_diff(gold, pred, ["key"], "i").select("key", "side")
 
 
 _SIM_SQL = """
@@ -520,7 +519,8 @@ def candidate_projection(spark, d):
 
 @query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
 def missing_predictions(spark, d):
-    return table(spark, d, "documents").select("doc_id").distinct().join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    ids = lambda name: table(spark, d, name).select(F.col("doc_id").alias("article_id")).distinct().withColumn("rec_ord", F.col("article_id"))
+    return scoring.missing_articles(ids("documents"), ids("labels")).select(F.col("article_id").alias("doc_id"))
 
 
 @query()
@@ -560,16 +560,23 @@ def code_fence_json(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object(text.json_object(raw), "$.k").cast("int").alias("k"))
 
 
+def _articles(spark, d) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("rec_ord"), F.col("doc_id").alias("article_id"))
+
+
+def _labelled(spark, d, condition: str) -> DataFrame:
+    return table(spark, d, "labels").where(condition).select(F.col("doc_id").alias("article_id"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def resume_anti_join(spark, d):
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_anti")
+    return extract.selected(_articles(spark, d), done=_labelled(spark, d, "quality = 1")).select(F.col("article_id").alias("doc_id"))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY doc_id LIMIT 20")
 def id_filter_limit(spark, d):
     """The first 20 of the articles asked for; the limit is the feature."""
-    wanted = table(spark, d, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, d, "documents").select("doc_id").join(wanted, "doc_id", "left_semi").orderBy("doc_id").limit(20)
+    return extract.selected(_articles(spark, d), _labelled(spark, d, "toxic = 1"), 20).select(F.col("article_id").alias("doc_id"))
 
 
 @query(f"WITH {EV_SQL} SELECT 'event_type_counts' AS kind, event_type AS label, count(*) AS count FROM EV GROUP BY event_type UNION ALL SELECT 'cleaned_record_count', NULL, count(DISTINCT user_id) FROM EV UNION ALL SELECT 'cleaned_event_count', NULL, count(*) FROM EV")

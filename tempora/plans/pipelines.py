@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tempora import schemas
 from tempora.operators import clean, errors, geocode, graph, scoring
-from tempora.sources import readers
 from tempora.tables import spool
 
 
@@ -37,12 +35,6 @@ def records_to_graph(records: DataFrame, on_collision: str = "merge") -> dict[st
     return made | {"nodes": nodes, "payload": payload, "event_metadata": graph.event_metadata(payload)}
 
 
-def read_and_build(spark: SparkSession, extractions: str, aliases: str | None, overrides: str, cache: str, **more) -> dict[str, DataFrame]:
-    """As above from files."""
-    records = readers.jsonl(spark, extractions, schemas.EXTRACTION)
-    return extractions_to_graph(records, readers.aliases(spark, aliases), readers.geocode_overrides(spark, overrides), readers.geocode_cache(spark, cache), **more)
-
-
 def evaluate(gold: DataFrame, predictions: DataFrame, allow_draft: bool = False) -> dict[str, dict[str, DataFrame]]:
     """Scores and error tables."""
     return {"score": scoring.score(gold, predictions, allow_draft), "errors": errors.analyse(gold, predictions)}

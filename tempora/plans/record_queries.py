@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tempora import ontology, schemas
 from tempora.functions import arrays, coords, dates, text
-from tempora.operators import clean, graph, matching, relations, review, scoring, views
-from tempora.plans.catalogue import E_SQL, EV_SQL, R_SQL, accepted, entity_view, event_records, event_rows, matched_users, query, relation_view, table
+from tempora.operators import adjudicate, clean, diffs, graph, matching, relations, review, scoring, views
+from tempora.plans.catalogue import E_SQL, EV_SQL, R_SQL, accepted, entity_view, event_records, event_rows, query, relation_view, table
 from tempora.sources import graph_store
 from tempora.tables import ranked, shared_dir
 
@@ -260,3 +260,50 @@ def map_places(spark, d):
     nations = table(spark, d, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("id"), (F.col("n_nationkey") + 0.5).cast("double").alias("latitude"), F.lit(1.0).alias("longitude"))
     nodes = nations.unionByName(rows.select("id", F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude")))
     return views.map_nodes(nodes, edges).select("id", F.col("map_position_source").alias("source"), F.round("map_latitude", 6).alias("lat"), F.round("map_longitude", 6).alias("lon"))
+
+
+@query(f"""WITH {EV_SQL}, X AS (SELECT user_id, event_id % 2 AS odd, k, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS place FROM EV),
+Y AS (SELECT user_id, place, odd, 'actor ' || (k % 7) AS name, CASE WHEN odd = 1 AND k % 3 = 0 THEN 'mediator' ELSE 'initiator' END AS role FROM X UNION ALL SELECT user_id, place, odd, 'place ' || k, 'target' FROM X),
+G AS (SELECT * FROM Y WHERE odd = 0), P AS (SELECT * FROM Y WHERE odd = 1), B AS (SELECT user_id, place FROM G INTERSECT SELECT user_id, place FROM P)
+SELECT user_id, place, CASE WHEN P.name IS NULL THEN 'missing_participant' ELSE 'role_mismatch' END AS error_type, name, G.role AS gold_role, P.role AS pred_role FROM B JOIN G USING (user_id, place) LEFT JOIN P USING (user_id, place, name) WHERE P.role IS DISTINCT FROM G.role
+UNION ALL SELECT user_id, place, 'extra_participant', name, NULL, role FROM B JOIN P USING (user_id, place) ANTI JOIN G USING (user_id, place, name)""")
+def participant_error_rows(spark, d):
+    """Each user's even and odd events side by side: what their participants differ in, a row for each error."""
+    rows = event_rows(spark, d).withColumn("odd", F.col("event_id") % 2)
+    placed = ranked(rows.select("user_id", "odd", "event_id", "k", "e"), ["user_id", "odd"], ["event_id"])
+    mediator = F.transform("e.participants", lambda p: p.withField("role", F.when((F.col("odd") == 1) & (F.col("k") % 3 == 0) & (p["role"] == "initiator"), "mediator").otherwise(p["role"])))
+    people = placed.select("user_id", "place", "odd", F.posexplode(mediator).alias("i", "p")).select("user_id", "place", "odd", "i", text.norm("p.name").alias("name"), "p.type", "p.role")
+    sides = placed.groupBy("user_id", "place").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("user_id", "place")
+    part = lambda odd: people.where(F.col("odd") == odd).drop("odd").join(sides, ["user_id", "place"], "left_semi")
+    return diffs.role_diff(part(0), part(1), ["user_id", "place"], "i").select("user_id", "place", "error_type", "name", "gold_role", "pred_role")
+
+
+@query(f"""WITH {_GRAPH_SQL}, {EV_SQL} SELECT (SELECT count(*) FROM EV) AS events, (SELECT count(*) FROM EV WHERE k % 2 = 0) AS mapped_events, (SELECT count(*) FROM EV WHERE k % 3 > 0) AS flagged_events,
+(SELECT count(*) FROM G) AS nodes, (SELECT count(*) FROM (SELECT DISTINCT s, type, t FROM N)) AS edges""")
+def visible_totals(spark, d):
+    """What a view shows in its header."""
+    nodes, edges = _graph(spark, d)
+    k = F.regexp_extract("location", r"(\d+)", 1).cast("int")
+    events = _payload(spark, d).withColumn("review_flags", F.array_repeat(F.struct(F.lit("c").alias("code"), F.lit("m").alias("message")), k % 3))
+    return views.visible_counts(nodes, edges, events)
+
+
+def _decided(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A review table of users' even events, each with a decision by its number, and the records that it is about."""
+    rows = event_rows(spark, d).withColumn("odd", F.col("event_id") % 2)
+    placed = ranked(rows.select("user_id", "odd", "event_id", "k"), ["user_id", "odd"], ["event_id"])
+    both = placed.where("odd = 0").join(placed.where("odd = 1").select("user_id", "place"), ["user_id", "place"])
+    decision = F.get(F.array(*map(F.lit, ("gold_correct", "hybrid_better", "both_wrong"))), (F.col("k") % 3))
+    index = (F.col("place") - 1).cast("string")
+    book = both.select(F.col("event_id").alias("rec_ord"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("article_id"), F.lit("matched").alias("status"), index.alias("gold_index"), index.alias("hybrid_index"), decision.alias("review_decision"))
+    records = lambda odd: event_records(rows.where(F.col("odd") == odd))
+    return book, records(0).withColumns({"annotation_status": F.lit("gold"), "annotation_notes": F.array().cast("array<string>")}), records(1)
+
+
+@query(f"""WITH {EV_SQL}, X AS (SELECT user_id, article_id, event_id, event_id % 2 AS odd, k, event_type, row_number() OVER (PARTITION BY user_id, event_id % 2 ORDER BY event_id) AS place FROM EV),
+C AS (SELECT g.article_id, g.event_id AS ord, CASE WHEN g.k % 3 = 0 THEN g.event_type ELSE p.event_type END AS event_type, CASE WHEN g.k % 3 = 0 THEN g.k ELSE p.k END AS k FROM X g JOIN X p ON g.user_id = p.user_id AND g.place = p.place AND g.odd = 0 AND p.odd = 1 WHERE g.k % 3 < 2)
+SELECT article_id, count(C.ord) AS events, coalesce(string_agg(C.event_type, ',' ORDER BY C.ord), '') AS event_types, count(DISTINCT C.k) AS relations FROM (SELECT DISTINCT article_id FROM X WHERE odd = 0) a LEFT JOIN C USING (article_id) GROUP BY article_id""")
+def adjudicated_records(spark, d):
+    """Reviewed pairs made into new gold records: the chosen events in order, their relations each once."""
+    found = adjudicate.adjudicate(*_decided(spark, d))["records"]
+    return found.select("article_id", F.size("events").cast("long").alias("events"), F.array_join(F.transform("events", lambda e: e["event_type"]), ",").alias("event_types"), F.size("relations").cast("long").alias("relations"))

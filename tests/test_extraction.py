@@ -183,10 +183,11 @@ def test_done_ids(spark, tmp_path):
 
 def test_prompts_say_roles_and_rules():
     asked = extract.prompt("task", "extraction", {"article_id": "a", "text": "body"}, text=True)[1]["content"]
-    assert "Event role templates:" in asked and "Output rules:" in asked and "body" in asked
+    assert "Roles and relations:" in asked and "How the reply is checked:" in asked and "body" in asked
     for kind, roles in extract.ontology.PROMPT_ROLES.items():
-        assert f"- {kind} ({extract.ontology.RELATION_OF_EVENT[kind]}): {', '.join(roles)};" in asked
-    assert "role templates" in extract.prompt("t", "participants", {})[1]["content"] and "Output rules" not in extract.prompt("t", "classification", {})[1]["content"]
+        assert f"- {kind} has {', '.join(roles)}; {extract.ontology.RELATION_OF_EVENT[kind]} runs " in asked
+    assert "from initiator to the first of affected_location, target that is filled" in asked
+    assert "Roles and relations" in extract.prompt("t", "participants", {})[1]["content"] and "reply is checked" not in extract.prompt("t", "classification", {})[1]["content"]
 
 
 def page(payloads, extra=""):

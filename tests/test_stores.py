@@ -68,3 +68,27 @@ def test_cover_is_the_plain_loop(spark, limit):
     for most in (candidates.MOST_CLASSES, 0):
         if most or limit < 10:
             assert [r["rec_ord"] for r in candidates.representative(frame(spark, records), limit, most).orderBy("pick").collect()] == want
+
+
+def test_summary_is_counted_while_tables_are_written(spark, tmp_path):
+    """The counts of summary(), and no job after the three writes."""
+    from tempora.operators import geocode
+    from tests.records import entity, relation
+
+    records = [{"article_id": f"a{k}", "entities": [entity("A", "NationState"), entity("B", None)], "relations": [relation("A", "B", "ATTACKED")] * k, "events": [event(), event("ThreatEvent"), event(None)][:k]} for k in range(4)]
+    found = frame(spark, records).cache()
+    flat = geocode.flatten_events(found)
+    places = spark.createDataFrame([("x", [("c", "m"), ("d", "m")]), ("y", None)], f"name string, review_flags {schemas.FLAGS}")
+    want = {r["kind"] + (f":{r['label']}" if r["label"] else ""): r["count"] for r in geocode.summary(found, flat, places).collect()}
+    spark.sparkContext.setJobGroup("summary", "summary")
+    tables, counts = geocode.observed_summary(found, flat, places)
+    for table in tables:
+        table.write.format("noop").mode("overwrite").save()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("summary"))
+    assert counts() == want and len(spark.sparkContext.statusTracker().getJobIdsForGroup("summary")) == jobs <= 3
+    spark.sparkContext.setJobGroup("", "")
+    tables, counts = geocode.observed_summary(frame(spark, [{"article_id": "a", "entities": [entity("A", "Star")]}]), flat, places)
+    for table in tables:
+        table.write.format("noop").mode("overwrite").save()
+    assert counts() is None  # a type that can't be named beforehand
+    assert want["relation_type_counts:ATTACKED"] == 6
