@@ -38,9 +38,9 @@ _BLOCK = "block long, dim int, pivot int, r_min double, r_max double, n int, ids
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, embedding of the rows that take part: no null vector, no null or non-finite component."""
+    """vec_id, embedding of the rows that take part: no null id, no null vector, no null or non-finite component."""
     finite = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return vectors.where(F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(finite, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
 
 
 def _lift(matrix: np.ndarray, most: float) -> np.ndarray:
@@ -79,7 +79,7 @@ def top_k(vectors: DataFrame, k: int, is_query, id_col: str = "vec_id", vector_c
     """query_id, rank, vec_id, score: for each row for which the column `is_query` (an expression on vec_id) holds, its k highest scores.
 
     Components become floor(scale * x) in double precision. Candidates are all rows that take part but those with the
-    query's id; only vectors of the query's length have a score with it. Ties go to the smaller vec_id; rows that repeat
+    query's id and those without an id; only vectors of the query's length have a score with it. Ties go to the smaller vec_id; rows that repeat
     an id are separate candidates, and one query. With fewer than k candidates all are returned. Scores beyond 64 bits
     are out of range. Empty vectors have score 0 with each other. Other columns are ignored; an empty table gives an
     empty result.

@@ -190,3 +190,9 @@ def test_turns_go_through_the_fold(spark, small, monkeypatch):
     whole = sorted(map(tuple, chat.op5_event_sourced(spark, small).collect()))
     monkeypatch.setattr(chat, "fold", lambda events: ("", str(len(list(events)))))
     assert sorted(map(tuple, chat.op5_event_sourced(spark, small).collect())) != whole
+
+
+def test_top_k_leaves_rows_without_an_id_out(spark):
+    rows = [(None, [1.0, 1.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (21, [0.25, 0.0]), (None, None)]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, "vec_id % 20 = 0").collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 20), (0, 2, 21), (20, 1, 0), (20, 2, 21)]
