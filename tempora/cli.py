@@ -162,6 +162,7 @@ def _review(spark, a) -> dict:
     articles = readers.jsonl(spark, a.articles, schemas.ARTICLE) if a.articles else None
     reviews = review.article_reviews(review.with_articles(readers.jsonl(spark, a.gold, schemas.GOLD), readers.jsonl(spark, a.predictions, schemas.EXTRACTION), articles, a.threshold)).cache()
     sinks.csv(review.workbook(reviews), f"{a.output}/case_review", schemas.REVIEW_COLUMNS, ["rec_ord", "turn", "i"])
+    sinks.jsonl(reviews.select(*[c for c in reviews.columns if c not in ("g", "p", "a")]), f"{a.output}/case_review_json", ["rec_ord"], one_file=True)
     for row in reviews.toLocalIterator():  # one Markdown file for each annotated article
         Path(a.output, f"{reports.safe_name(row['article_id'])}.md").write_text(reports.article_review(row), encoding="utf-8")
     totals = review.summary(reviews).first().asDict()
@@ -173,10 +174,14 @@ def _adjudicate(spark, a) -> dict:
     from tempora.operators import adjudicate
     from tempora.sources import readers, sinks, workbook
 
-    book = workbook.read(spark, a.workbook)
+    book = readers.csv(spark, a.workbook, schemas.REVIEW_COLUMNS) if a.workbook.endswith(".csv") else workbook.read(spark, a.workbook)
     out = adjudicate.adjudicate(book, readers.jsonl(spark, a.gold, schemas.GOLD), readers.jsonl(spark, a.predictions, schemas.EXTRACTION))
     sinks.jsonl(out["records"], a.output, ["rec_ord"], one_file=True)
-    return {f"{r['kind']}:{r['label']}": r["count"] for r in out["counts"].orderBy("kind", "label").collect()}
+    if a.synced:
+        sinks.csv(book, a.synced, [c for c in book.columns if not c.startswith("rec_")], ["rec_ord"])
+    counts = {f"{r['kind']}:{r['label']}": r["count"] for r in out["counts"].orderBy("kind", "label").collect()}
+    Path(f"{a.output}.summary.json").write_text(json.dumps(counts, indent=2, ensure_ascii=False) + "\n", encoding="utf-8")
+    return counts
 
 
 def _candidates(spark, a) -> dict:
@@ -221,7 +226,7 @@ def parser() -> argparse.ArgumentParser:
     command("score", _score, "gold", "predictions", "output", allow_draft_gold=False, log=None, label="", notes="")
     command("errors", _errors, "gold", "predictions", "output")
     command("review", _review, "gold", "predictions", "output", articles=None, threshold=0.45)
-    command("adjudicate", _adjudicate, "workbook", "gold", "predictions", "output")
+    command("adjudicate", _adjudicate, "workbook", "gold", "predictions", "output", synced=None)
     command("candidates", _candidates, "predictions", "output", limit=10, ids=None, failures=None)
     command("packets", _packets, "candidates", "articles", "output")
     command("model-review", _model_review, "packets", "output", "url", "model", key_name="API_KEY", key_file=None, limit=0, timeout=240.0, overwrite=False)

@@ -19,7 +19,10 @@ def csv(rows: DataFrame, path: str, columns: list[str], order: list[str]) -> Non
 
 
 def error_csv(rows: DataFrame, path: str, internal: tuple[str, ...] = ("rec_ord", "pair", "turn", "i")) -> None:
-    """Error table with its columns in alphabetical order."""
+    """Error table with its columns in alphabetical order; no rows give an empty file, without a header."""
+    if not rows.head(1):
+        rows.sparkSession.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
     csv(rows, path, sorted(c for c in rows.columns if c not in internal), [c for c in internal if c in rows.columns])
 
 

@@ -1,5 +1,6 @@
 """The cache by key, and the cover of event types against the plain loop."""
 
+import json
 import random
 
 import pytest
@@ -92,3 +93,27 @@ def test_summary_is_counted_while_tables_are_written(spark, tmp_path):
         table.write.format("noop").mode("overwrite").save()
     assert counts() is None  # a type that can't be named beforehand
     assert want["relation_type_counts:ATTACKED"] == 6
+
+
+def test_review_and_adjudicate_commands(spark, tmp_path):
+    """The case review as JSON, the review table written back with the summary, an error table without rows as an empty file."""
+    from tempora.sources import readers, sinks
+    from tests.records import person, relation
+
+    a = event(participants=[person("A", "NationState", "target")], relations=[relation("A", "B", "ATTACKED")])
+    row = json.dumps({"article_id": "a", "title": "t", "annotation_status": "gold", "entities": [], "relations": [], "events": [a]})
+    (tmp_path / "rows.jsonl").write_text(row + "\n")
+    both = ["--gold", f"{tmp_path}/rows.jsonl", "--predictions", f"{tmp_path}/rows.jsonl"]
+    (tmp_path / "review").mkdir()
+    cli.main(["review", *both, "--output", f"{tmp_path}/review"], spark)
+    shown = spark.read.json(f"{tmp_path}/review/case_review_json").first()
+    assert shown["article_id"] == "a" and len(shown["matched_events"]) == 1
+    book = readers.csv(spark, f"{tmp_path}/review/case_review", schemas.REVIEW_COLUMNS).toPandas()
+    book["review_decision"] = "both_correct"
+    book.drop(columns="rec_ord").to_csv(tmp_path / "book.csv", index=False)
+    cli.main(["adjudicate", "--workbook", f"{tmp_path}/book.csv", *both, "--output", f"{tmp_path}/new", "--synced", f"{tmp_path}/synced"], spark)
+    back = readers.csv(spark, f"{tmp_path}/synced", schemas.REVIEW_COLUMNS).collect()
+    assert [(r["article_id"], r["review_decision"]) for r in back] == [("a", "both_correct")]
+    assert json.loads((tmp_path / "new.summary.json").read_text())["source:hybrid"] == 1
+    sinks.error_csv(spark.createDataFrame([], "rec_ord long, b string, a string"), f"{tmp_path}/none")
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*")) == ""
