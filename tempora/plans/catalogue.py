@@ -472,16 +472,20 @@ def event_greedy_rounds(spark, d):
     return _told(assignment.match(*matched_events(spark, d), most_pairs=0))
 
 
-@query()
-def matched_field_metrics(spark, d):
-    return scoring.field_metrics(scoring.matched_pairs(matched_users(spark, d)))
-
-
 _MATCHED_SQL = f"""M AS (SELECT CAST(article_id[6:] AS BIGINT) AS user_id, gold_index AS gi, pred_index AS pi FROM ({_GREEDY_SQL})),
 GE AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS gi FROM EV WHERE event_id % 2 = 0),
 PE AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pi FROM EV WHERE event_id % 2 = 1 AND user_id IN (SELECT user_id FROM EV WHERE event_id % 2 = 0))"""
 
 
+@query(f"""WITH {EV_SQL}, {_MATCHED_SQL}, R AS ({_GREEDY_SQL}),
+X AS (SELECT g.event_type = p.event_type AS t, g.event_date = p.event_date AS d, g.k = p.k AS l, g.props = p.props AS e FROM M JOIN GE g ON M.user_id = g.user_id AND M.gi = g.gi JOIN PE p ON M.user_id = p.user_id AND M.pi = p.pi)
+SELECT count(*) AS matched_event_count, round(avg(CAST(t AS INTEGER)), 9) AS event_type_accuracy, round(avg(CAST(d AS INTEGER)), 9) AS event_date_accuracy, CAST(1.0 AS DOUBLE) AS date_precision_accuracy, round(avg(CAST(l AS INTEGER)), 9) AS location_accuracy,
+round(avg(CAST(e AS INTEGER)), 9) AS evidence_exact_match_rate, round(avg(CAST(e AS INTEGER)), 9) AS evidence_fuzzy_match_rate, (SELECT round(avg(similarity), 5) FROM R) AS mean_match_similarity FROM X""")
+def matched_field_metrics(spark, d):
+    found = scoring.field_metrics(scoring.matched_pairs(matched_users(spark, d)))
+    return found.select(*[F.round(c, 5 if c.startswith("mean") else 9).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
 @query(f"""WITH {EV_SQL}, {_MATCHED_SQL},
 X AS (SELECT 'missed_event' AS error_type FROM GE ANTI JOIN M USING (user_id, gi) UNION ALL SELECT 'extra_event' FROM PE ANTI JOIN M USING (user_id, pi)
   UNION ALL SELECT 'matched_event_field_mismatch' FROM M JOIN GE g ON M.user_id = g.user_id AND M.gi = g.gi JOIN PE p ON M.user_id = p.user_id AND M.pi = p.pi
@@ -493,8 +497,14 @@ def error_type_counts(spark, d):
     return errors.error_counts(errors.event_errors(matched))
 
 
-@query()
+@query(f"""WITH {EV_SQL}, {_MATCHED_SQL},
+X AS (SELECT M.user_id, count(*) AS matched, CAST(sum(CASE WHEN g.k % 7 <> p.k % 7 THEN 2 ELSE 0 END + CASE WHEN g.k <> p.k THEN 2 ELSE 0 END) AS BIGINT) AS people, count(*) FILTER (WHERE g.k <> p.k) AS moved
+  FROM M JOIN GE g ON M.user_id = g.user_id AND M.gi = g.gi JOIN PE p ON M.user_id = p.user_id AND M.pi = p.pi GROUP BY M.user_id),
+Y AS (SELECT user_id, coalesce(any_value(matched), 0) AS matched, coalesce(any_value(people), 0) AS people, coalesce(any_value(moved), 0) AS moved, count(*) AS golds, (SELECT count(*) FROM PE WHERE PE.user_id = GE.user_id) AS preds FROM GE LEFT JOIN X USING (user_id) GROUP BY user_id)
+SELECT 'user:' || user_id AS article_id, CAST(golds - matched AS INTEGER) AS missed_events, CAST(preds - matched AS INTEGER) AS extra_events, people AS participant_errors, golds + preds - matched + moved AS geocoding_errors
+FROM Y ORDER BY golds + preds - 2 * matched + people DESC, geocoding_errors DESC, user_id LIMIT 10""")
 def worst_articles_top10(spark, d):
+    """The articles with most errors; the limit is the feature."""
     rows = event_rows(spark, d)
     tables = errors.analyse(event_records(rows.where("event_id % 2 = 0")), event_records(rows.where("event_id % 2 = 1")))
     return errors.worst_articles(tables["articles"]).select("article_id", "missed_events", "extra_events", "participant_errors", "geocoding_errors")
