@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 
 from tempora.tables import ROW, numbered, shared_dir, spool
 
-__all__ = ["ROW", "numbered", "planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
+__all__ = ["ROW", "columns_of", "numbered", "planned_bytes", "release", "shared_dir", "shuffle_partitions", "spool", "without_ascii_space"]
 
 #: Estimates above this are taken for unknown.
 MOST_PLANNED = 1 << 50
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of `df`, whatever dots or quotes their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """Partitions that shuffles of this session have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

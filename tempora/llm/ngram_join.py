@@ -15,9 +15,13 @@ in both that enough others can follow. Only pairs of groups that pass are expand
 on whole sets.
 
 What is asked for is which classes links connect, so pairs are verified in rounds: first a group's members with one of
-them, then each group with the group that it shares most prefix shingles with; then, after joining the connected, only
-pairs across what isn't connected yet, all of them in the last round. No link between different components can be
-missed, and a cluster of many near copies doesn't become all its pairs.
+them, then each group with the group that it shares most prefix shingles with; then, as long as a round finds links
+enough, with a few hubs from other components, other ones each time. What is connected is joined after each round, and
+only pairs across what isn't connected yet go on, all of them in the last round. No link between different components
+can be missed, and a cluster of many near copies doesn't become all its pairs.
+
+Before two sets are compared their parity bitmaps are: each shingle flips one bit, so bits that differ are a lower bound
+of the shingles that only one of the two has. Pairs with too many of them can't link and aren't verified.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ROW, numbered, planned_bytes, release, shuffle_partitions, spool
+from tempora.llm.common import ROW, columns_of, numbered, planned_bytes, release, shuffle_partitions, spool
 from tempora.llm.components import components
 from tempora.llm.shingles import sets_of
 from tempora.shipping import shipped
@@ -44,8 +48,12 @@ BUCKET_BYTES = 16 << 20
 FLUSH, OPEN_FLUSH = 1_000_000, 400_000
 #: Up to so many ids are broadcast to pick their texts; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Rounds in which each group meets one partner, before the round of all pairs.
-STAR_ROUNDS = 2
+#: Rounds in which groups meet hubs, at most, before the round of all pairs; hubs of a shingle after the first round.
+STAR_ROUNDS, HUBS = 8, 8
+#: The rounds of hubs end when fewer than one in so many verified pairs is a link.
+LEAST_YIELD = 10
+#: Longs of a set's parity bitmap.
+BITMAP_LONGS = 16
 #: Stands for any class where a shingle is known to be in several sets.
 SEVERAL = -1
 
@@ -72,6 +80,18 @@ def _least_depth(n: str, percent: int) -> Column:
     return F.expr(f"greatest(1, (({percent}L * {n} + 99) div 100 - ({percent}L * (({percent}L * {n} + 99) div 100) + 99) div 100) div 2)")
 
 
+def bitmap(found: np.ndarray) -> list[int]:
+    """The parity bitmap of a set's 64-bit hashes, as longs."""
+    parity = np.bincount((found & np.uint64(64 * BITMAP_LONGS - 1)).astype(np.int64), minlength=64 * BITMAP_LONGS) & 1
+    return np.packbits(parity.astype(np.uint8)).view("<i8").tolist()
+
+
+def may_link(percent: int, n: str = "n", m: str = "m", x: str = "bits", y: str = "other_bits") -> Column:
+    """Whether sets of sizes n and m with bitmaps x and y may be similar enough: of similar ones so many shingles at most are in one set only."""
+    apart = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITMAP_LONGS))
+    return F.expr(f"{100 + percent}L * ({apart}) <= {100 - percent}L * ({n} + {m})")
+
+
 def class_of(found: np.ndarray) -> int:
     """The class of a set, by 64 bits of a hash of all its shingles."""
     cls = int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -189,10 +209,10 @@ def _open_classes(scanned: DataFrame, classes: DataFrame, percent: int, buckets:
 
 
 def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
-    """cls, n, before, grp, tokens, members: the open sets of which enough shingles are in another open set, each once.
+    """cls, n, before, grp, tokens, bits, members: the open sets of which enough shingles are in another open set, each once.
 
     `tokens` are the shingles of the prefix that others have, in order; `before` so many that no other has stand before
-    them; `members` is the whole set.
+    them; `bits` is the parity bitmap and `members` the whole set.
     """
     few = chosen.count() <= BROADCAST_IDS
 
@@ -257,18 +277,18 @@ def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, bucke
                 mine = found[several]
                 prefix = mine[np.lexsort((mine, often[several]))[: prefix_length(n, percent) - before]]
                 group = hashlib.blake2b(n.to_bytes(8, "little") + before.to_bytes(8, "little") + prefix.tobytes(), digest_size=8).digest()
-                rows.append((flush, cls, n, before, int.from_bytes(group, "little", signed=True), prefix.view(np.int64), found.tobytes()))
-        return pd.DataFrame(rows, columns=["flush", "cls", "n", "before", "grp", "tokens", "members"])
+                rows.append((flush, cls, n, before, int.from_bytes(group, "little", signed=True), prefix.view(np.int64), bitmap(found), found.tobytes()))
+        return pd.DataFrame(rows, columns=["flush", "cls", "n", "before", "grp", "tokens", "bits", "members"])
 
     pieces = flushes.select("flush", "tokens").mapInPandas(count, "bucket int, flush long, data binary")
     replies = pieces.groupBy("bucket").applyInPandas(tally, "flush long, data binary")
-    ordered = flushes.groupBy("flush").cogroup(replies.groupBy("flush")).applyInPandas(order, "flush long, cls long, n int, before int, grp long, tokens array<long>, members binary")
+    ordered = flushes.groupBy("flush").cogroup(replies.groupBy("flush")).applyInPandas(order, "flush long, cls long, n int, before int, grp long, tokens array<long>, bits array<long>, members binary")
     ordered = spool(ordered, "candidates", "none")
     # rows of one id and text may be in several flushes
     again = ordered.groupBy("cls").agg(F.min("flush").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     if again.head(1):
         ordered = spool(ordered.join(again.select(F.col("cls").alias("of"), "first"), F.col("cls") == F.col("of"), "left").where("first IS NULL OR flush = first"), "candidates", "none")
-    return ordered.select("cls", "n", "before", "grp", "tokens", "members")
+    return ordered.select("cls", "n", "before", "grp", "tokens", "bits", "members")
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -300,7 +320,7 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
     # sets of n and m need this overlap
     need = lambda n, m: f"(({percent}L * ({n} + {m}) + {100 + percent - 1}) div {100 + percent})"
     # a group's sets share at most what comes after its prefix's own shingles
-    sets, members = candidates.select("cls", "members"), candidates.select("cls", "grp", F.expr(f"before + {need('n', 'n')} <= n").alias("inside"))
+    sets, members = candidates.select("cls", "members"), candidates.select("cls", "grp", "n", "bits", F.expr(f"before + {need('n', 'n')} <= n").alias("inside"))
     first = candidates.select("grp", "n", "before", "tokens").dropDuplicates(["grp"])
     runs = first.select("grp", "n", "before", F.posexplode("tokens").alias("pos", "token")).select("token", "grp", "n", (F.col("before") + F.col("pos")).alias("place"))
     met = runs.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
@@ -309,48 +329,60 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
 
     # the first shingle that two sets share has to leave room for their overlap in both
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND place + {need('n', 'm')} <= n AND other_place + {need('n', 'm')} <= m")
-    place, tested = None, None
+    apart = F.expr("NOT (low = high AND low = other_low AND low = other_high)")
+    place, tested, last = None, None, False
     for turn in range(STAR_ROUNDS + 2):
+        last = last or turn > STAR_ROUNDS
+        slots = 1 if turn < 2 else HUBS
+        slot = lambda component: F.pmod(F.xxhash64(F.lit(-turn), component), F.lit(slots))  # noqa: B023, E731
         placed = members.withColumn("at", F.col("cls"))
         if place is not None:
-            placed = members.join(place, F.col("cls") == F.col("node"), "left").select("cls", "grp", "inside", F.coalesce("component", "cls").alias("at"))
-        one = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("hub"), F.col("at").alias("hub_at")))
-        state = placed.groupBy("grp").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("inside").alias("inside"), one.alias("one")).select("grp", "low", "high", "inside", "one.hub", "one.hub_at")
+            placed = members.join(place, F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", "bits", "inside", F.coalesce("component", "cls").alias("at"))
+        one = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("hub"), F.col("at").alias("hub_at"), F.col("n").alias("m"), F.col("bits").alias("other_bits")))
+        state = placed.groupBy("grp").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("inside").alias("inside"), one.alias("one")).select("grp", "low", "high", "inside", "one.hub", "one.hub_at", "one.m", "one.other_bits")
         state = spool(state, "groups", "none")
-        if turn == 0:  # inside groups
-            pairs = placed.drop("inside").join(state.where("low < high AND inside"), "grp").where("cls <> hub").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-        else:
-            open_runs = runs.join(state.select("grp", "low", "high"), "grp")
-            mixed = open_runs.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
-            open_runs = open_runs.join(mixed, "token")
-            apart = F.expr("NOT (low = high AND low = other_low AND low = other_high)")
-        if 0 < turn <= STAR_ROUNDS:
+        open_runs = runs.join(state.select("grp", "low", "high"), "grp")
+        mixed = open_runs.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
+        open_runs = open_runs.join(mixed, "token")
+        unsettled = state.where("low < high AND inside").select("grp")
+        if not last:  # inside groups, each member with a hub of each slot
+            within = placed.join(unsettled, "grp")
+            hubs = within.groupBy("grp", slot("at").alias("slot")).agg(one.alias("x")).select("grp", "x.hub", "x.hub_at", "x.m", "x.other_bits")
+            pairs = within.join(hubs, "grp").where((F.col("at") != F.col("hub_at")) & may_link(percent)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+        if turn and not last:
             # a shingle's hub: the group with fewest rarer shingles, which is nearest to what a cluster shares; in even rounds any
             lead = F.col("place") if turn % 2 else F.expr(f"place + {need('n', 'n')} > n").cast("int")
             rank = F.struct(lead.alias("lead"), F.xxhash64(F.lit(turn), "grp").alias("h"), F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-            hubs = open_runs.groupBy("token").agg(F.min(rank).alias("x")).select("token", "x.*")
-            shared = open_runs.join(hubs, "token").where((F.col("grp") != F.col("other")) & apart & fits).groupBy("grp", "other").agg(F.count(F.lit(1)).alias("c"))
-            chosen = shared.groupBy("grp").agg(F.max(F.struct("c", "other")).alias("x")).select("grp", F.col("x.other").alias("other"))
-            hub = state.select(F.col("grp").alias("other"), "hub", "hub_at")
-            pairs = placed.join(chosen, "grp").join(hub, "other").where("at <> hub_at").select(F.col("hub").alias("a"), F.col("cls").alias("b"))
-        elif turn:
+            # slots by component, so that a large one doesn't take all hubs
+            hubs = open_runs.groupBy("token", slot("low").alias("slot")).agg(F.min(rank).alias("x")).select("token", "slot", "x.*")
+            shared = open_runs.join(hubs, "token").where((F.col("grp") != F.col("other")) & apart & fits).groupBy("grp", "slot", "other").agg(F.count(F.lit(1)).alias("c"))
+            chosen = shared.groupBy("grp", "slot").agg(F.max(F.struct("c", "other")).alias("x")).select("grp", F.col("x.other").alias("other"))
+            hub = state.select(F.col("grp").alias("other"), "hub", "hub_at", "m", "other_bits")
+            across = placed.join(chosen, "grp").join(hub, "other").where((F.col("at") != F.col("hub_at")) & may_link(percent))
+            pairs = pairs.unionByName(across.select(F.col("hub").alias("a"), F.col("cls").alias("b")))
+        elif last:
             other = open_runs.select("token", F.col("grp").alias("other"), F.col("n").alias("m"), F.col("place").alias("other_place"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
             grouped = open_runs.join(other, "token").where((F.col("grp") < F.col("other")) & apart & fits).select("grp", "other").distinct()
-            grouped = grouped.unionByName(state.where("low < high AND inside").select("grp", F.col("grp").alias("other")))
-            others = placed.select(F.col("grp").alias("other"), F.col("cls").alias("a"), F.col("at").alias("other_at"))
-            pairs = placed.join(grouped, "grp").join(others, "other").where("at <> other_at").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+            grouped = grouped.unionByName(unsettled.select("grp", F.col("grp").alias("other")))
+            others = placed.select(F.col("grp").alias("other"), F.col("cls").alias("hub"), F.col("at").alias("hub_at"), F.col("n").alias("m"), F.col("bits").alias("other_bits"))
+            pairs = placed.join(grouped, "grp").join(others, "other").where((F.col("at") != F.col("hub_at")) & may_link(percent)).select(F.col("hub").alias("a"), F.col("cls").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tested is not None:
-            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(both, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = spool(pairs, "pairs", "none")
-        if not pairs.head(1):
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = spool(_verified(sets, pairs, percent), "links", "none")
-        if links.head(1):  # what was connected before counts as edges to its component
+        verified = pairs.count()
+        found = 0
+        if verified:
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            links = spool(_verified(sets, pairs, percent), "links", "none")
+            found = links.count()
+        if found:  # what was connected before counts as edges to its component
             before = links if place is None else links.unionByName(place.select(F.col("node").alias("a"), F.col("component").alias("b")))
             place = spool(components(before), "components", "none")
         release(spark)
+        if last:
+            break
+        last = turn > 1 and LEAST_YIELD * found < max(1, verified)
     return place
 
 
@@ -394,7 +426,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = classes_and_components(rows, ROW, text_col, words, percent).select(F.col("doc_id").alias(ROW), "component_id")
     rank = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col(ROW).alias(ROW))
     kept = rows.select(ROW, id_col).join(found, ROW).groupBy("component_id").agg(F.min(rank).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return rows.join(kept, ROW, "left_semi").select(*columns_of(docs))
 
 
 @shipped
