@@ -10,6 +10,7 @@ of a page share, and phrases or sentences in blocks of their own words, stay.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import json
@@ -36,6 +37,8 @@ GROUP_PAGES = 1000
 #: Elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg math object canvas audio video textarea select title".split())
+#: Of these, elements that reach to the end of the page if nothing ends them.
+TEXT_RAW = frozenset("script style textarea title iframe".split())
 HARD_SKIP = frozenset("nav footer aside form button head menu dialog fieldset".split())
 MAIN = frozenset(("article", "main"))
 BLOCK = frozenset(
@@ -45,7 +48,9 @@ BLOCK = frozenset(
 HARD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus discussion replies respond cookie cookies consent gdpr notice banner newsletter subscribe signup popup modal related recommended share sharing social breadcrumb breadcrumbs pagination widget navigation complementary contentinfo search".split())
 SOFT_WORDS = frozenset("sidebar menu nav navbar footer header masthead topbar toolbar login".split())
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*))", re.S)
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_MARK = re.compile(r"[>\"']")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
@@ -72,14 +77,55 @@ def _marked(attributes: str) -> int:
     return found
 
 
+class TagEnds:
+    """Where the tags of a page end: at the first `>` outside quotes, else at the first. A page is scanned once, however many of its tags have no end."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.places, self.ends = html, None, None
+
+    def after(self, at: int) -> int:
+        """The place behind the end of a tag of which `at` is in no quotes; some `>` follows it."""
+        if self.places is None:
+            m = _QUOTED.match(self.html, at)
+            if m:
+                return m.end()
+            self._scan()
+        k = bisect.bisect_left(self.places, at)
+        end = self.ends[k] if k < len(self.places) else -1
+        return (end if end >= 0 else self.html.index(">", at)) + 1
+
+    def _scan(self) -> None:
+        """For each mark of the page: the `>` that ends a tag in which the mark is the first of those left, or -1."""
+        self.places = [m.start() for m in _MARK.finditer(self.html)]
+        self.ends = [-1] * len(self.places)
+        later = {'"': -1, "'": -1}  # the next quote of its kind
+        for k in range(len(self.places) - 1, -1, -1):
+            mark = self.html[self.places[k]]
+            if mark == ">":
+                self.ends[k] = self.places[k]
+            else:
+                if 0 <= later[mark] < len(self.places) - 1:
+                    self.ends[k] = self.ends[later[mark] + 1]
+                later[mark] = k
+
+
 def blocks_of(html: str) -> list[tuple[int, str]]:
     """(kind, text) of a page's non-empty text blocks in page order; white space in them is one space, references are decoded."""
     out: list[tuple[int, str]] = []
     pieces: list[str] = []
     # open elements: name, kind inside it, whether a later article resets the kind
     stack: list[tuple[str, int, bool]] = []
+    places: dict[str, list[int]] = {}  # of each name in the stack
+    endless: set[str] = set()  # raw elements of which no end tag follows
+    ends_of, last_end = TagEnds(html), html.rfind(">")
     kind, soft = CANDIDATE, True
 
+    def pop(to: int) -> None:
+        nonlocal kind, soft
+        while len(stack) > to:
+            places[stack.pop()[0]].pop()
+        kind, soft = stack[-1][1:] if stack else (CANDIDATE, True)
+
     def close() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
@@ -95,41 +141,47 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             break
         if lt > at:
             pieces.append(html[at:lt])
+        if lt > last_end:  # no tag ends any more: text, up to a comment
+            comment = html.find("<!--", lt)
+            pieces.append(html[lt:comment] if comment >= 0 else html[lt:])
+            break
         m = _TAG.match(html, lt)
         if m is None:  # no tag: text
             pieces.append("<")
             at = lt + 1
             continue
         at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        name = (m[2] or "").lower()
         if not name:
             continue
-        ends, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
+        at = ends_of.after(m.end())
+        ends, attributes = bool(m[1]), html[m.end() : at - 1]
         if name == "br":
             pieces.append("\n")
             continue
         if ends:
             if name in BLOCK:
                 close()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    kind, soft = stack[-1][1:] if stack else (CANDIDATE, True)
-                    break
-                if stack[k][0] in MAIN and name not in BLOCK:
-                    break  # an inline end tag doesn't reach out of an article
+            opened = places.get(name)
+            # an inline end tag doesn't reach out of an article
+            if opened and (name in BLOCK or all(not places.get(x) or places[x][-1] <= opened[-1] for x in MAIN)):
+                pop(opened[-1])
             continue
         if name in RAW:
             if not attributes.endswith("/") or name in ("script", "style"):
-                end = _RAW_END[name].search(html, at)
-                at = end.end() if end else length
+                end = _RAW_END[name].search(html, at) if at < last_end and name not in endless else None
+                if end:
+                    at = end.end()
+                elif name in TEXT_RAW:
+                    at = length
+                else:  # an element that nothing ends is only its tag
+                    endless.add(name)
             pieces.append(" ")
             continue
         if name in BLOCK:
             close()
             while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "font", "small"):  # end tags left out
-                stack.pop()
-                kind, soft = stack[-1][1:] if stack else (CANDIDATE, True)
+                pop(len(stack) - 1)
         if name in VOID or attributes.endswith("/"):
             continue
         marked = 0 if name in ("html", "body") else _marked(attributes)
@@ -140,6 +192,7 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
             kind, soft = BOILERPLATE, False
         elif (name == "header" or marked == 1) and kind != CONTENT:
             kind = BOILERPLATE
+        places.setdefault(name, []).append(len(stack))
         stack.append((name, kind, soft))
     close()
     return out
