@@ -130,15 +130,18 @@ def _payload_start(data: bytes, at: int) -> int | None:
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int | None]:
     """The bytes of the gzip member at `at`, and its end; without an end (it is cut off, or its checksum fails), what could be decoded of it."""
-    member = zlib.decompressobj(31)
+    parts: list[bytes] = []
+    member, start = zlib.decompressobj(31), at
     try:
-        plain = member.decompress(memoryview(data)[at:])
+        while start < len(data) and not member.eof:  # in steps: a member copies what it leaves of its last step, not of the segment
+            parts.append(member.decompress(memoryview(data)[start : start + STEP_BYTES]))
+            start += STEP_BYTES
         if member.eof:
-            return plain, len(data) - len(member.unused_data)
+            return b"".join(parts), min(start, len(data)) - len(member.unused_data)
     except zlib.error:
         pass
     start = _payload_start(data, at)
-    parts: list[bytes] = []
+    parts = []
     member = zlib.decompressobj(-15)
     try:
         while start is not None and start < len(data) and not member.eof:

@@ -105,6 +105,23 @@ def test_article_blocks():
     assert html_text.blocks_of("") == [] and html_text.blocks_of("<script>x") == [] and html_text.blocks_of("just text") == [(html_text.CANDIDATE, "just text")]
 
 
+def test_hostile_pages_are_read_once():
+    """Times of pages without ends of tags, quotes and elements grow with their size."""
+    import time
+
+    n = 20_000
+    for page in ("<a " * n, '<a ">" ' * n, "<video>" * n, "<div>" * n + "</p>" * n, "<b>" + "<div>" * n + "</i>" * n, "<" * n, "<b><article>" + "<div>" * n + "</b>" * n, "</video " * n):
+        begun = time.perf_counter()
+        html_text.blocks_of(page + "one<p>two")
+        assert time.perf_counter() - begun < 5, page[:20]
+    texts = lambda page: [t for _, t in html_text.blocks_of(page)]
+    for name in ("video", "object", "select"):
+        assert texts(f"<article><p>one</p><{name}><p>two</p></article>") == ["one", "two"]
+    assert texts("<p>one <a href='x>y'>link</a> <a title=\"it's\">two</a>") == ["one link two"]
+    assert texts('<p>a <b class="x>y</b> c') == ["a y c"] and texts("a <b") == ["a <b"] and texts("a <b <!-- c") == ["a <b"]
+
+
+
 def test_host_suffix_array(spark):
     shared = "<div>Read more about our terms of service here</div>"
     rows = [(i, f"http://h.example/{i}", f"<body>{shared}<p>{i} is unique text {i * i}</p></body>") for i in range(6)]
@@ -196,3 +213,22 @@ def test_top_k_leaves_rows_without_an_id_out(spark):
     rows = [(None, [1.0, 1.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (21, [0.25, 0.0]), (None, None)]
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 5, "vec_id % 20 = 0").collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 20), (0, 2, 21), (20, 1, 0), (20, 2, 21)]
+
+
+def test_members_are_inflated_in_linear_time():
+    """Four times the members take about four times as long, and all of them are found."""
+    import gzip
+    import time
+
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 2000\r\n\r\n" + bytes(range(250)) * 8 + b"\r\n\r\n"
+    member = gzip.compress(record, 0)
+    took = {}
+    for n in (1000, 4000):
+        best = []
+        for _ in range(2):
+            begun = time.perf_counter()
+            found = [kind for kind, *_ in warc.salvage(member * n)]
+            best.append(time.perf_counter() - begun)
+            assert found == ["record"] * n
+        took[n] = min(best)
+    assert took[4000] < 8 * took[1000]
