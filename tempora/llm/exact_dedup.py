@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ROW, numbered, shuffle_partitions, spool, without_ascii_space
+from tempora.llm.common import ROW, columns_of, numbered, shuffle_partitions, spool, without_ascii_space
 from tempora.shipping import shipped
 
 #: A text is hot if it has more copies than HOT_ROWS and than total / (HOT_PARTS * partitions); its pieces have about as many.
@@ -70,7 +70,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of `docs` that exact_groups keeps, one of each group, with all their columns; null and repeated ids are rows as others."""
     rows = numbered(docs, "exact-rows")
     kept = exact_groups(rows, id_col, text_col, row_col=ROW).where("kept").select(F.col("row").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    return rows.join(kept, ROW, "left_semi").select(*columns_of(docs))
 
 
 @shipped

@@ -275,7 +275,10 @@ def labelled(docs: DataFrame, model: Model, text_col: str, pred_col: str, score_
             names, share = (np.concatenate(x) if x else np.zeros(0) for x in (list(zip(*found)) or ((), ())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names.tolist(), pa.string()), pa.array(share, pa.float64())], names=[*batch.schema.names, pred_col, score_col])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(pred_col, StringType()), StructField(score_col, DoubleType())]))
+    # under names of our own, since mapInArrow refuses some
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema), StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
+    return plain.mapInArrow(run, schema).toDF(*docs.columns, pred_col, score_col)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

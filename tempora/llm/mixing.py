@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ROW, numbered, spool
+from tempora.llm.common import ROW, columns_of, numbered, spool
 from tempora.shipping import shipped
 
 #: The weights that sources get in turn.
@@ -168,7 +168,7 @@ def repeat_by_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edge = spool(edge.select(F.col("row").alias("of_row"), (F.col("whole") + F.col("extra")).alias("edge_copies")), "mix-edge")
     few_edges = edge.count() <= BROADCAST_EDGE
 
-    whole = sized(rows, id_col, text_col, source_col, row, F.struct(*[rows[c] for c in docs.columns]).alias("document"))
+    whole = sized(rows, id_col, text_col, source_col, row, F.struct(*columns_of(docs)).alias("document"))
     ranked = drawn(whole, plan, few, seed).join(F.broadcast(edge) if few_edges else edge, F.col("row") == F.col("of_row"), "left")
     copies = ranked.select("document", F.coalesce("edge_copies", plain_copies()).cast("int").alias("copies")).where("copies > 0")
     return copies.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")

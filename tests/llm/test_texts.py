@@ -292,6 +292,40 @@ def test_ngram_join(spark, monkeypatch, k, percent):
     assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in plain_components([(i, t) for i, t, _ in data], k, percent)}
 
 
+def test_near_copies_that_seldom_link(spark, monkeypatch):
+    """800 texts that differ in one word each link only where these words are near one another; hubs connect them with a few pairs a text."""
+    base = [f"w{k}" for k in range(100)]
+    data = [(i, " ".join([*base[: 37 * i % 100], f"own{i}", *base[37 * i % 100 + 1 :]]), "s") for i in range(800)]
+    asked = []
+    known = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda sets, pairs, percent: asked.append(pairs.count()) or known(sets, pairs, percent))
+    got = ngram_join.classes_and_components(table(spark, data), words=4, percent=85).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, 0) for i in range(800)} and sum(asked) <= 20 * 800
+
+
+def test_bitmaps_keep_all_links():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    for _ in range(300):
+        a = np.unique(r.integers(0, 2**63, int(r.integers(1, 400)), dtype=np.uint64))
+        b = np.unique(np.concatenate((a[: int(r.integers(0, len(a) + 1))], r.integers(0, 2**63, int(r.integers(0, 60)), dtype=np.uint64))))
+        if len(b):
+            differ = sum(bin((x ^ y) & (2**64 - 1)).count("1") for x, y in zip(ngram_join.bitmap(a), ngram_join.bitmap(b)))
+            assert differ <= len(np.setxor1d(a, b))
+
+
+def test_hubs_that_find_nothing_leave_all_pairs(spark, monkeypatch):
+    """Links are the same when no round of hubs is run, and when there are many."""
+    data = rows(repeat=False) + [(60 + j, " ".join([*words(9, 100)[:j], f"z{j}", *words(9, 100)[j + 1 :]]), "s") for j in range(0, 90, 3)]
+    want = plain_components([(i, t) for i, t, _ in data], 4, 85)
+    for least in (0, 10**9):
+        monkeypatch.setattr(ngram_join, "LEAST_YIELD", least)
+        monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 3 if least == 0 else 8)
+        got = ngram_join.classes_and_components(table(spark, data), words=4, percent=85).collect()
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.classes_and_components(table(spark, rows()).limit(0)).count() == 0
     odd = ngram_join.classes_and_components(table(spark, [(1, None, "s"), (None, "a b c d e", "s"), (3, "a b c d e", "s"), (3, "a b c d e", "s")])).collect()
@@ -376,6 +410,18 @@ def test_stages_tell_rows_apart(spark):
     assert stages["pack"](spark, docs, "").agg(F.sum("length")).first()[0] == sum(len(packing.Encoder(TOKENIZER.path("byte_bpe_50k.json"))(t)) // 4 + 1 for _, t, _ in data)
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    docs = table(spark, [(k, " ".join(words(20 + k, 60)), "ab"[k % 2]) for k in range(8)])
+    docs = docs.withColumn("a.b", F.lit(1)).withColumn("back`tick", F.lit("x")).withColumn("size", F.lit(None).cast("int")).withColumn("document", F.lit(2.0))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns and got.count(), name
+        assert {(r["a.b"], r["back`tick"], r["size"], r["document"]) for r in got.collect()} == {(1, "x", None, 2.0)}, name
+    assert dict(corpus_pipeline.STAGES)["pack"](spark, docs, "").count()
+
+
 def test_viterbi_of_two_halves():
     """Two neighbouring runs of other languages pay one change; a third language isn't taken for both."""
     import numpy as np
