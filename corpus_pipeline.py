@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.llm import exact_dedup, language, mixing, ngram_join, packing
-from tempora.llm.common import release, spool
+from tempora.llm.common import columns_of, release, spool
 from tempora.shipping import shipped
 from tempora.tables import discard_all_but_last, mark
 
@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     found = language.labelled(docs, language.learn(docs), "text", PREDICTED, SHARE)
     kept = found.where((F.col(PREDICTED) != language.UNDETERMINED) & (F.col(SHARE) >= LEAST_SHARE))
-    return kept.withColumn("lang", F.coalesce("lang", PREDICTED)).select(*docs.columns)
+    return kept.withColumn("lang", F.coalesce("lang", PREDICTED)).select(*columns_of(docs))
 
 
 @shipped
