@@ -18,15 +18,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import planned_bytes
+from tempora.llm.common import ROW, numbered
 from tempora.shipping import shipped
 
 CAPACITY = 2048
 END_ID = 1
 #: Cost of a piece: LINEAR * length + QUADRATIC * length ** 2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Input bytes that a group of remainders stands for; bytes of pieces that a task gives on at a time.
-GROUP_BYTES, BATCH_BYTES = 4 << 20, 8 << 20
+#: Bytes of text (and of a row beside its text) that a group of remainders stands for; bytes of pieces that a task gives on at a time.
+GROUP_BYTES, ROW_BYTES, BATCH_BYTES = 4 << 20, 64, 8 << 20
 #: Words whose ids a worker remembers; then it forgets all and starts anew.
 CACHE_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
@@ -130,16 +130,18 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of each row of `docs`.
 
     A null text is empty and still has its end id; every id of a row lies in exactly one piece. Rows that repeat an id
-    are packed as separate rows. Documents longer than `capacity` fill sequences of their own as far as they go. The
-    memory of a task is bounded by a group's remainders, at most `capacity` ids for each of its documents. Other columns
-    are ignored; an empty table gives an empty result. The number of groups follows from Catalyst's estimate of the
-    input's size, not from the number of partitions, so a rerun over the same files gives the same rows.
+    are packed as separate rows. Documents longer than `capacity` fill sequences of their own as far as they go. Rows are
+    dealt to groups by their number, so no id, text or source makes a group large, and there are as many groups as the
+    bytes of all texts need: the memory of a task is bounded by a group's remainders, at most `capacity` ids for each of
+    its documents. Other columns are ignored; an empty table gives an empty result. A rerun over the same files gives the
+    same rows, however many partitions there are; rows written in another order may be packed otherwise.
     """
+    sized = F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(ROW_BYTES)
+    held = docs.agg(F.coalesce(F.sum(sized.cast("long")), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(held / group_bytes))
     # a null id travels as a mark: pandas would turn a column with nulls into floats
     chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    groups = max(1, math.ceil(planned_bytes(chosen) / group_bytes))
-    # groups by a hash of text and id: a third of all rows under one id still spreads if their texts differ
-    keyed = chosen.withColumn("group", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    keyed = numbered(chosen, "packed").withColumn("group", F.pmod(F.xxhash64(ROW), F.lit(groups)))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer, ranks), np.array([END_ID], dtype="<u4").tobytes()

@@ -144,6 +144,60 @@ def test_packing(spark):
         assert r["doc_tokens"] == len(ids) // 4 and r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])])
 
 
+def test_equal_rows_spread_over_groups(spark, tmp_path):
+    """Rows of one id and text, which compress to nearly nothing, are packed in as many groups as their bytes need, the same in a rerun."""
+    text = " ".join(words(9, 200))
+    docs = spark.range(0, 3000, 1, 4).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    size, step = len(text.encode()) + packing.ROW_BYTES, 64 << 10
+    got = packing.pack(docs, TOKENIZER.path("byte_bpe_50k.json"), group_bytes=step).collect()
+    ids = len(packing.Encoder(TOKENIZER.path("byte_bpe_50k.json"))(text)) // 4 + 1
+    assert sum(r["length"] for r in got) == 3000 * ids and sum(r["start"] == 0 for r in got) == 3000
+    filled = {}
+    for r in got:
+        filled.setdefault(r["sequence_id"] >> 32, []).append(r["length"])
+    groups = -(-3000 * size // step)
+    assert len(filled) == groups and max(map(sum, filled.values())) < 3 * 3000 * ids / groups
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        again = packing.pack(docs, TOKENIZER.path("byte_bpe_50k.json"), group_bytes=step).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_packing_pads_little_and_balances_cost(spark):
+    """One group: no more sequences than its ids need, and costs of full ones nearer to each other than when packed in order of ids."""
+    data = [(i, " ".join(words(i, 20 + (i * 37) % 700)), "s") for i in range(500)]
+    got = packing.pack(table(spark, data), TOKENIZER.path("byte_bpe_50k.json"), TOKENIZER.path("byte_bpe_50k.tiktoken")).collect()
+    used, cost = {}, {}
+    for r in got:
+        used[r["sequence_id"]] = used.get(r["sequence_id"], 0) + r["length"]
+        if r["length"] < packing.CAPACITY:
+            cost[r["sequence_id"]] = cost.get(r["sequence_id"], 0) + packing.LINEAR * r["length"] + packing.QUADRATIC * r["length"] ** 2
+    assert len(used) == -(-sum(used.values()) // packing.CAPACITY)
+    # by chance alone, in the order of ids, costs differ more
+    naive, fill, total = [], 0, 0.0
+    for n in sorted((r["doc_id"], r["doc_tokens"]) for r in got if r["start"] == 0):
+        if fill + n[1] > packing.CAPACITY:
+            naive.append(total)
+            fill, total = 0, 0.0
+        fill, total = fill + n[1], total + packing.LINEAR * n[1] + packing.QUADRATIC * n[1] ** 2
+    spread = lambda x: max(x) - min(x)
+    full = [c for k, c in cost.items() if used[k] == packing.CAPACITY]
+    assert spread(full) < spread(naive)
+
+
+def test_packing_of_nothing(spark):
+    docs = table(spark, [(1, "a", "s")])
+    assert packing.pack(docs.limit(0), TOKENIZER.path("byte_bpe_50k.json")).count() == 0
+    odd = spark.createDataFrame([(None, None, 1), (None, "a b", 2), (3, None, 3)], "doc_id long, text string, `group` int")
+    got = packing.pack(odd, TOKENIZER.path("byte_bpe_50k.json")).collect()
+    assert sorted((r["doc_id"] is None, r["length"]) for r in got) == [(False, 1), (True, 1), (True, 3)]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_assign_wastes_less_than_a_sequence(seed):
     r = random.Random(seed)
