@@ -1,11 +1,13 @@
 """Main text of web pages: structure first, a suffix array per host for what structure doesn't tell.
 
 Each page is parsed into text blocks. Blocks in an article (or main) element are content; blocks in menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are boilerplate; what else a page has is a candidate. The
-candidates and the boilerplate of a host's pages, as word tokens one page behind another, go into a suffix array; runs
-of tokens that several dissimilar pages share mark tokens. A page with an article is its content blocks. Any other page
-is its candidates without the blocks that are marked almost wholly and without long marked runs; what only near copies
-of a page share, and phrases or sentences in blocks of their own words, stay.
+footers, sidebars, notices, adverts, forms and reader comments are boilerplate; what else a page has is a candidate. A
+block of an article whose class, id or role names boilerplate beside words of its own ("share-price") is doubtful. The
+candidates, the doubtful blocks and the boilerplate of a host's pages, as word tokens one page behind another, go into a
+suffix array; runs of tokens that several dissimilar pages share mark tokens. A page with an article is its content
+blocks and those doubtful ones that aren't marked almost wholly. Any other page is its candidates without the blocks
+that are marked almost wholly and without long marked runs; what only near copies of a page share, and phrases or
+sentences in blocks of their own words, stay.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from tempora.shipping import shipped
 LEAST_TOKENS, LEAST_PAGES = 6, 3
 #: Shared runs are boilerplate where they cover at least this share of a block, or so many tokens of it in a row.
 BLOCK_SHARE, LONG_TOKENS = 0.8, 32
-#: Pages without an article whose candidates have this similarity in shingles of so many words are near copies: they count as one page.
+#: Pages whose articles, or candidates where there is none, have this similarity in shingles of so many words are near copies: they count as one page.
 NEAR_PERCENT, NEAR_WORDS = 80, 5
 #: Pages of a host that are searched together, about.
 GROUP_PAGES = 1000
@@ -47,33 +49,41 @@ BLOCK = frozenset(
 #: Words in class, id and role that mark boilerplate; of the soft ones an article inside is still content.
 HARD_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus discussion replies respond cookie cookies consent gdpr notice banner newsletter subscribe signup popup modal related recommended share sharing social breadcrumb breadcrumbs pagination widget navigation complementary contentinfo search".split())
 SOFT_WORDS = frozenset("sidebar menu nav navbar footer header masthead topbar toolbar login".split())
+#: Words that say what kind of box a name stands for, not what is in it: beside a hard word they don't make a name doubtful.
+BOX_WORDS = frozenset("area bar block body bottom box btn button buttons card col column container content entry footer form grid group header holder icon icons inner inline item items js label left link links list main mobile module outer overlay panel right row section slot small large space text thread title top unit wrap wrapper zone".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][^\s/>]*))", re.S)
 _QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _MARK = re.compile(r"[>\"']")
 _MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_WORD = re.compile(r"[a-zA-Z]+")
+#: Words of a name; a capital letter behind a small one begins another.
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 _HIDDEN = re.compile(r"\shidden(?=[\s=/]|\Z)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
-CONTENT, CANDIDATE, BOILERPLATE = 0, 1, 2
+CONTENT, CANDIDATE, BOILERPLATE, DOUBTFUL = 0, 1, 2, 3
+#: What class, id and role say of an element.
+PLAIN, SOFT, UNSURE, HARD = 0, 1, 2, 3
 
 
 def _marked(attributes: str) -> int:
-    """2 for hard, 1 for soft boilerplate words in class, id or role, else 0."""
-    found = 0
+    """What class, id and role say: HARD if some name is of hard words and words for boxes, UNSURE if it has other words
+    too ("share-price") or is the one word "discussion", SOFT for soft words, else PLAIN. Hidden elements are HARD."""
+    found = PLAIN
     if "=" in attributes:
         for m in _MARKS.finditer(attributes):
-            for word in _WORD.findall(m[1] or m[2] or m[3] or ""):
-                word = word.lower()
-                if word in HARD_WORDS:
-                    return 2
-                if word in SOFT_WORDS:
-                    found = 1
+            for name in (m[1] or m[2] or m[3] or "").split():
+                parts = [x.lower() for x in _WORD.findall(name)]
+                if not HARD_WORDS.isdisjoint(parts):
+                    if parts != ["discussion"] and all(x in HARD_WORDS or x in SOFT_WORDS or x in BOX_WORDS for x in parts):
+                        return HARD
+                    found = UNSURE
+                elif found == PLAIN and not SOFT_WORDS.isdisjoint(parts):
+                    found = SOFT
         if _HIDDEN.search(attributes):
-            return 2
+            return HARD
     elif _HIDDEN.search(" " + attributes):
-        return 2
+        return HARD
     return found
 
 
@@ -184,13 +194,15 @@ def blocks_of(html: str) -> list[tuple[int, str]]:
                 pop(len(stack) - 1)
         if name in VOID or attributes.endswith("/"):
             continue
-        marked = 0 if name in ("html", "body") else _marked(attributes)
-        if name in MAIN and marked < 2:
+        marked = PLAIN if name in ("html", "body") else _marked(attributes)
+        if name in MAIN and marked < HARD:
             if kind == CANDIDATE or kind == BOILERPLATE and soft:
                 kind, soft = CONTENT, True
-        elif name in HARD_SKIP or marked == 2:
+        elif name in HARD_SKIP or marked == HARD:
             kind, soft = BOILERPLATE, False
-        elif (name == "header" or marked == 1) and kind != CONTENT:
+        elif marked == UNSURE and kind == CONTENT:
+            kind = DOUBTFUL
+        elif (name == "header" or marked == SOFT) and kind == CANDIDATE:
             kind = BOILERPLATE
         places.setdefault(name, []).append(len(stack))
         stack.append((name, kind, soft))
@@ -344,31 +356,52 @@ def _kept(words: list[str], covered: np.ndarray) -> list[str]:
 
 
 def main_text(page: list[tuple[int, str]], mask: np.ndarray) -> str:
-    """Text of a page without an article from its blocks and the mask of their words."""
+    """Text of an open page from its blocks and the mask of the words of those that aren't content.
+
+    With an article: content blocks, and doubtful blocks that aren't covered almost wholly. Else: what is left of candidates.
+    """
+    article = has_article(page)
     at, runs = 0, []
     for kind, text in page:
+        if kind == CONTENT:
+            runs.append(text)
+            continue
         words = text.split(" ")
         covered = mask[at : at + len(words)]
         at += len(words)
-        if kind == CANDIDATE:
+        if kind == DOUBTFUL:
+            if covered.sum() < BLOCK_SHARE * len(words):
+                runs.append(text)
+        elif kind == CANDIDATE and not article:
             unique = _kept(words, covered)
             if unique:
                 runs.append(" ".join(unique))
-    # a page whose every candidate other pages share (a mirror, say) keeps them
-    return "\n".join(runs or [text for kind, text in page if kind == CANDIDATE])
+    # a page whose every block other pages share (a mirror, say) keeps them
+    return "\n".join(runs or [text for kind, text in page if kind == (DOUBTFUL if article else CANDIDATE)])
+
+
+def has_article(page: list[tuple[int, str]]) -> bool:
+    return any(kind in (CONTENT, DOUBTFUL) for kind, _ in page)
+
+
+def is_open(page: list[tuple[int, str]]) -> bool:
+    """Whether the suffix array has to decide: doubtful blocks, or candidates without an article."""
+    kinds = {kind for kind, _ in page}
+    return DOUBTFUL in kinds or CANDIDATE in kinds and CONTENT not in kinds
 
 
 def _words(page: list[tuple[int, str]]) -> list[str]:
-    return [word for _, text in page for word in text.split(" ")]
+    return [word for kind, text in page if kind != CONTENT for word in text.split(" ")]
 
 
 def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every row of `pages` (page_id, url, html).
 
-    A null html has an empty text. A page with an article is done when it is parsed. The blocks outside articles are
-    dealt by host, and those of a large host by row into groups of about `group_pages` pages: a group's suffix array finds
-    its runs, and the pages that hold a run are counted over all groups of the host, so groups bound memory and don't
-    decide. Near copies among the pages without an article, and equal pages with one, count as one page. Null and odd urls share an empty host name. Repeated rows give equal rows; other columns are ignored; an empty
+    A null html has an empty text. A page with an article without doubtful blocks is done when it is parsed. The blocks
+    that aren't content are dealt by host, and those of a large host by row into groups of about `group_pages` pages: a
+    group's suffix array finds its runs, and the pages that hold a run are counted over all groups of the host, so groups
+    bound memory and don't decide. Near copies among the pages that aren't done, and equal pages that are, count as one
+    page. Null and odd urls share an empty host name. Repeated rows give equal rows; other columns are ignored; an empty
     table gives an empty result. A page is parsed in one piece.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -378,9 +411,10 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         for batch in batches:
             found = [blocks_of(x) if x else [] for x in batch["html"]]
             batch["text"] = ["\n".join(text for kind, text in page if kind == CONTENT) for page in found]
-            batch["open"] = [any(kind == CANDIDATE for kind, _ in page) and all(kind != CONTENT for kind, _ in page) for page in found]
-            batch["own"] = ["\n".join(text for kind, text in page if kind == CANDIDATE) if is_open else "" for page, is_open in zip(found, batch["open"])]
-            batch["blocks"] = [json.dumps([x for x in page if x[0] != CONTENT], ensure_ascii=False) for page in found]
+            batch["open"] = [is_open(page) for page in found]
+            # what near copies are told by: the article, or all candidates
+            batch["own"] = ["\n".join(text for kind, text in page if kind in ((CONTENT, DOUBTFUL) if has_article(page) else (CANDIDATE,))) if is_open(page) else "" for page in found]
+            batch["blocks"] = [json.dumps([x for x in page if x[0] != CONTENT or is_open(page)], ensure_ascii=False) for page in found]
             yield batch[["host", "page_id", "url", "text", "open", "own", "blocks"]]
 
     parsed = rows.mapInPandas(parse, "host string, page_id long, url string, text string, open boolean, own string, blocks string")
@@ -409,8 +443,9 @@ def extract(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
 
     counted = dealt.select("host", "part", "class", "open", "blocks").groupBy("host", "part").applyInPandas(sharers, "host string, part long, run long, classes array<long>, wanted boolean")
     counted = spool(counted, "runs")
-    distinct = F.size(F.array_distinct(F.flatten(F.collect_list("classes"))))
-    shared = counted.groupBy("host", "run").agg(distinct.alias("n"), F.max("wanted").alias("w")).where(F.col("w") & (F.col("n") >= LEAST_PAGES)).select("host", "run")
+    # each group tells at most LEAST_PAGES classes of a run; distinct ones are counted as rows, none are gathered
+    told = counted.select("host", "run", "wanted", F.explode("classes").alias("class")).groupBy("host", "run", "class").agg(F.max("wanted").alias("w"))
+    shared = told.groupBy("host", "run").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w")).where(F.col("w") & (F.col("n") >= LEAST_PAGES)).select("host", "run")
     back = counted.where("wanted").select("host", "part", "run").join(shared, ["host", "run"])
     chosen = dealt.where("open").select("host", "part", "page_id", "url", "blocks").groupBy("host", "part").cogroup(back.groupBy("host", "part"))
     return done.unionByName(chosen.applyInPandas(choose, "page_id long, url string, text string").select(*out))

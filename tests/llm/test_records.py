@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,6 +136,27 @@ def test_host_suffix_array(spark):
     assert html_text.extract(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_names_that_mark_boilerplate():
+    marked = {x: html_text._marked(f' class="{x}"') for x in ("share-price", "promotionRace", "discussion", "ad", "share-links", "comment-list", "shareButtons", "story", "main-nav", "story share", "cookie_notice top")}
+    assert marked == {"share-price": 2, "promotionRace": 2, "discussion": 2, "ad": 3, "share-links": 3, "comment-list": 3, "shareButtons": 3, "story": 0, "main-nav": 1, "story share": 3, "cookie_notice top": 3}
+    blocks = html_text.blocks_of('<article><p>Intro</p><div class="share-price"><p>Up <b>two</b></p></div><section class="discussion"><header>Views</header></section><div class="ad">Buy</div><p>End</p></article>')
+    assert blocks == [(0, "Intro"), (3, "Up two"), (3, "Views"), (2, "Buy"), (0, "End")]
+
+
+def test_doubtful_blocks_go_where_pages_share_them(spark):
+    """In articles, what a name alone doesn't tell the suffix array does: shared blocks go, own ones stay, and content is never cut."""
+    notice, quote = "tell your friends and family about this story today", " ".join(f"q{k}" for k in range(40))
+    own = [" ".join(f"w{i}x{k}" for k in range(12)) for i in range(5)]
+    html = lambda i: f'<body><article><p>{own[i]}</p><p>{quote}</p><div class="share-this-story">{notice}</div><div class="share-price">{i} rose {i * i} points in the day {own[i]}</div></article><p>outside</p></body>'
+    rows = [(i, f"http://h.example/{i}", html(i)) for i in range(5)] + [(9, "http://single.example/9", html(1))]
+    want = {i: f"{own[i]}\n{quote}\n{i} rose {i * i} points in the day {own[i]}" for i in range(5)}
+    want[9] = f"{own[1]}\n{quote}\n{notice}\n1 rose 1 points in the day {own[1]}"  # no other page of its host
+    for size in (2, 1000):
+        assert {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows), size).collect()} == want
+    page = html_text.blocks_of(html(2))
+    assert html_text.main_text(page, np.zeros(len(html_text._words(page)), dtype=bool)) != want[2]  # it is the marks that decide
+
+
 def test_groups_of_a_host_do_not_decide(spark):
     """Three of 60 pages share a block; groups of five pages seldom hold more than one of them."""
     notice = "<div>all rights are kept by the owners of this site</div>"
