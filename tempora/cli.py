@@ -53,11 +53,13 @@ def _crawl(spark, a) -> dict:
     from tempora.sources import clients, pages, sinks
 
     pause, timeout = a.delay, a.timeout
-    promos = pages.crawl(spark, a.topic, clients.page_fetcher(pause, timeout), a.since, a.until, a.max_pages or None).cache()
+    listings: list[tuple[str, str]] = []
+    promos = pages.crawl(spark, a.topic, clients.page_fetcher(pause, timeout), a.since, a.until, a.max_pages or None, listings).cache()
     manifest = pages.download(promos, f"{a.output}/pages", lambda: clients.page_fetcher(pause, timeout), a.overwrite).cache()
     sinks.jsonl(manifest.drop("error"), f"{a.output}/crawl_manifest", ["page_number", "filename"], one_file=True)
-    sinks.jsonl(manifest.where("status = 'failed'").select("url", "error"), f"{a.output}/crawl_failures", ["url"], one_file=True)
-    counts = pages.crawl_counts(promos).first().asDict() | pages.download_counts(manifest).first().asDict()
+    failed = spark.createDataFrame(listings, "url string, error string").unionByName(manifest.where("status = 'failed'").select("url", "error"))
+    sinks.jsonl(failed, f"{a.output}/crawl_failures", ["url"], one_file=True)
+    counts = pages.crawl_counts(promos).first().asDict() | pages.download_counts(manifest).first().asDict() | {"failed_listings": len(listings)}
     Path(a.output, "crawl_summary.json").write_text(json.dumps({"topic": a.topic, "since": a.since, "until": a.until} | counts, indent=2) + "\n", encoding="utf-8")
     return counts
 

@@ -253,3 +253,39 @@ def node_style(nodes: DataFrame) -> DataFrame:
 
 def edge_style(edges: DataFrame) -> DataFrame:
     return edges.withColumn("width", 1.5 + F.least("weight", F.lit(6)))
+
+
+# fixed values: colours and strokes of the pictures
+RELATION_COLOURS = {"ATTACKED": "#d9472f", "THREATENED": "#ff8f1f", "NEGOTIATED_WITH": "#1f9d7a", "SUPPORTED": "#5f52d9", "SANCTIONED": "#232946", "BLOCKADED": "#b9165f"}
+EVENT_COLOURS = {"AttackEvent": "#d9472f", "ThreatEvent": "#ff8f1f", "NegotiationEvent": "#1f9d7a", "SupportEvent": "#5f52d9", "SanctionEvent": "#232946", "BlockadeEvent": "#b9165f"}
+TYPE_COLOURS = {"NationState": "#1d3557", "NonStateActor": "#6d597a", "PoliticalLeader": "#d4a373", "StrategicLocation": "#2a9d8f", "MilitaryAsset": "#c1121f"}
+DASHES = {"THREATENED": "8 8", "NEGOTIATED_WITH": "4 10", "SUPPORTED": "2 8", "SANCTIONED": "12 6", "BLOCKADED": "14 10 4 10"}
+STROKES = {"ATTACKED": 3.5, "THREATENED": 3.0, "NEGOTIATED_WITH": 3.0, "SUPPORTED": 3.0, "SANCTIONED": 3.0, "BLOCKADED": 4.0}
+OTHER_NODE, OTHER_EDGE, OTHER_STROKE = "#333", "#444", 3.0
+POSITIONS = {"geocoded": "geocoded", "centroid": "country centroid", "derived": "derived from connected node"}
+
+
+def _by(values: dict, key: str, other) -> Column:
+    """The value of a small table for the column `key`, else `other`."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.coalesce(key, F.lit(""))), F.lit(other))
+
+
+def map_node_style(nodes: DataFrame) -> DataFrame:
+    """Nodes that have a place, with the circle and the words that a map shows for them.
+
+    Nodes whose place is derived are small and pale, those with review flags are large.
+    """
+    derived, flagged = F.col("map_position_source").eqNullSafe("derived"), F.size(safe("review_flags")) > 0
+    circle = F.struct(
+        F.when(derived, 6).when(flagged, 10).otherwise(7).alias("radius"), F.when(derived, 1.0).otherwise(1.5).alias("stroke"), F.when(derived, 0.58).otherwise(0.88).alias("opacity"),
+        _by(TYPE_COLOURS, "type", OTHER_NODE).alias("fill"), _by(POSITIONS, "map_position_source", "unknown").alias("position"),
+    )
+    return nodes.where("map_latitude IS NOT NULL AND map_longitude IS NOT NULL").withColumn("circle", circle)
+
+
+def map_edge_style(edges: DataFrame, selected: str | None = None) -> DataFrame:
+    """Edges with the line that a map draws; the one with the id `selected` is wider and stronger."""
+    chosen = F.col("id").eqNullSafe(F.lit(selected)) if selected is not None else F.lit(False)
+    stroke = _by(STROKES, "type", OTHER_STROKE) + F.when(chosen, 2.0).otherwise(0.0)
+    line = F.struct(_by(RELATION_COLOURS, "type", OTHER_EDGE).alias("colour"), stroke.alias("stroke"), F.when(chosen, 0.95).otherwise(0.72).alias("opacity"), _by(DASHES, "type", None).alias("dashes"))
+    return edges.withColumn("line", line)

@@ -92,6 +92,29 @@ def picture_sizes(spark, d):
     return views.node_style(nodes).select("id", F.col("radius").cast("double").alias("size")).unionByName(views.edge_style(edges).select("id", F.col("width").cast("double").alias("size")))
 
 
+_PLACED = "CASE article_count % 4 WHEN 0 THEN 'geocoded' WHEN 1 THEN 'derived' WHEN 2 THEN 'centroid' END"
+
+
+@query(f"""WITH {_GRAPH_SQL}, W AS (SELECT s || '|' || type || '|' || t AS id, type FROM N GROUP BY s, t, type), P AS (SELECT *, {_PLACED} AS placed FROM G)
+SELECT id, CASE WHEN placed = 'derived' THEN 6.0 WHEN article_count % 3 = 0 THEN 10.0 ELSE 7.0 END::DOUBLE AS size, CASE WHEN placed = 'derived' THEN 0.58 ELSE 0.88 END::DOUBLE AS opacity,
+  CASE type WHEN 'NationState' THEN '#1d3557' WHEN 'NonStateActor' THEN '#6d597a' WHEN 'PoliticalLeader' THEN '#d4a373' WHEN 'StrategicLocation' THEN '#2a9d8f' WHEN 'MilitaryAsset' THEN '#c1121f' ELSE '#333' END AS colour,
+  CASE placed WHEN 'geocoded' THEN 'geocoded' WHEN 'centroid' THEN 'country centroid' WHEN 'derived' THEN 'derived from connected node' ELSE 'unknown' END AS detail FROM P WHERE article_count % 5 <> 4
+UNION ALL SELECT id, (CASE type WHEN 'ATTACKED' THEN 3.5 WHEN 'BLOCKADED' THEN 4 ELSE 3 END + CASE WHEN id = (SELECT min(id) FROM W) THEN 2 ELSE 0 END)::DOUBLE, CASE WHEN id = (SELECT min(id) FROM W) THEN 0.95 ELSE 0.72 END::DOUBLE,
+  CASE type WHEN 'ATTACKED' THEN '#d9472f' WHEN 'THREATENED' THEN '#ff8f1f' WHEN 'NEGOTIATED_WITH' THEN '#1f9d7a' WHEN 'SUPPORTED' THEN '#5f52d9' WHEN 'SANCTIONED' THEN '#232946' WHEN 'BLOCKADED' THEN '#b9165f' ELSE '#444' END,
+  CASE type WHEN 'THREATENED' THEN '8 8' WHEN 'NEGOTIATED_WITH' THEN '4 10' WHEN 'SUPPORTED' THEN '2 8' WHEN 'SANCTIONED' THEN '12 6' WHEN 'BLOCKADED' THEN '14 10 4 10' END FROM W""")
+def map_styles(spark, d):
+    """Circles of nodes by where their place comes from and their flags, lines of edges by type, the first edge selected."""
+    nodes, edges = _graph(spark, d)
+    n = F.col("article_count")
+    placed = F.when(n % 4 == 0, "geocoded").when(n % 4 == 1, "derived").when(n % 4 == 2, "centroid")
+    flags = F.array_repeat(F.struct(F.lit("c").alias("code"), F.lit("m").alias("message")), F.when(n % 3 == 0, 1).otherwise(0))
+    at = F.when(n % 5 != 4, F.lit(1.0))
+    nodes = views.map_node_style(nodes.withColumns({"map_position_source": placed, "review_flags": flags, "map_latitude": at, "map_longitude": at}))
+    lines = views.map_edge_style(edges, edges.agg(F.min("id")).first()[0])
+    shown = nodes.select("id", F.col("circle.radius").cast("double").alias("size"), F.col("circle.opacity").cast("double").alias("opacity"), F.col("circle.fill").alias("colour"), F.col("circle.position").alias("detail"))
+    return shown.unionByName(lines.select("id", F.col("line.stroke").cast("double").alias("size"), F.col("line.opacity").cast("double").alias("opacity"), F.col("line.colour").alias("colour"), F.col("line.dashes").alias("detail")))
+
+
 def _entity(name, kind):
     return F.from_json(F.to_json(F.struct(name.alias("name"), kind.alias("type"))), schemas.ENTITY)
 

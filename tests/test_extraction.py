@@ -229,6 +229,31 @@ def test_crawl(spark):
     assert tuple(pages.crawl_counts(promos).first()) == (3, 1, 1, 1)
 
 
+def test_crawl_is_strict_about_days_and_soft_about_listings(spark):
+    def listing(total, *stamps):
+        return page({"simple-promo-grid?p": {"data": {"page": {"index": 1, "total": total}, "promos": [{"url": f"/news/articles/a{k}", "type": "article", "lastPublished": x} for k, x in enumerate(stamps)]}}})
+
+    def fetch(url):
+        if "page=2" in url:
+            raise OSError("gone")
+        return listing(3, "2026-04-10T23:00:00-05:00", "2026-04-11T00:00:00Z")
+
+    failures = []
+    promos = pages.crawl(spark, "https://x/topic", fetch, since="2026-04-01", until="2026-04-10", failures=failures)
+    assert [r["article_id"] for r in promos.where("wanted").collect()] == ["a0"] and promos.count() == 2
+    assert [(("page=2" in u), e) for u, e in failures] == [(True, "gone")]
+    with pytest.raises(OSError):
+        pages.crawl(spark, "https://x/topic", fetch)
+    for day in ("2026-4-1", "soon", "2026-02-30"):
+        with pytest.raises(ValueError):
+            pages.crawl(spark, "https://x/topic", fetch, since=day)
+    for stamp in ("yesterday", "2026-02-30T00:00:00Z", "10 April 2026"):
+        with pytest.raises(Exception, match="Invalid time stamp"):
+            pages.crawl(spark, "https://x/topic", lambda url: listing(1, stamp), until="2026-12-31").collect()
+    nothing = []
+    assert pages.crawl(spark, "https://x/topic", lambda url: "no page", failures=nothing).count() == 0 and len(nothing) == 1
+
+
 def test_download(spark, tmp_path):
     store = str(tmp_path / "pages")
     promos = spark.createDataFrame([("h", f"u{k}", "article", "2026-04-10", 1, f"a{k}", f"f{k}.html", k < 3) for k in range(4)], "headline string, url string, type string, published_at string, page_number int, article_id string, filename string, wanted boolean")
