@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from tempora.functions.arrays import safe
 from tempora.operators.matching import THRESHOLD, features, greedy, similarity
-from tempora.tables import ranked, spool
+from tempora import tables
+from tempora.tables import ranked
 
 #: Pairs of events of an article that is matched inside a row.
 MOST_PAIRS = 10_000
@@ -33,6 +34,11 @@ WEIGHTS = {"event_type": 0.30, "event_date": 0.18, "location": 0.12, "participan
 _SLACK = 1e-9
 
 
+def spool(df: DataFrame, name: str) -> DataFrame:
+    """A spooled table that joins by a shuffle: files of equal features compress so well that Spark would broadcast millions of rows."""
+    return tables.spool(df, name).hint("merge")
+
+
 def key_sets(threshold: float) -> list[tuple[str, ...]]:
     """The smallest sets of features one of which two events must share to reach the threshold; an empty set if none need be."""
     found: list[tuple[str, ...]] = []
@@ -73,7 +79,7 @@ def _keys(classes: DataFrame, threshold: float) -> DataFrame:
     out = each[0]
     for more in each[1:]:
         out = out.unionByName(more)
-    return out
+    return out.hint("merge")
 
 
 def similar_classes(gold: DataFrame, predicted: DataFrame, threshold: float) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 ROW = "_tempora_row"
 _FILE, _INDEX, _NAME, _ORDER = "_tempora_file", "_tempora_index", "_tempora_name", "_tempora_order"
 _PART, _BEFORE = "_tempora_part", "_tempora_before"
+#: Rows of a table that is broadcast.
+BROADCAST_ROWS = 100_000
 _written: list[str] = []
 
 
@@ -35,6 +37,11 @@ def spool(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked(small: DataFrame) -> DataFrame:
+    """A spooled table as the smaller side of a join: broadcast if its rows are counted to be few, else joined by a shuffle, whatever the size of its files."""
+    return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("merge")
+
+
 def mark() -> int:
     """Stands for the tables spooled so far."""
     return len(_written)
@@ -84,4 +91,4 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str = "plac
     earlier = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn(_BEFORE, F.coalesce(F.sum(_BEFORE).over(earlier), F.lit(0)))
     inside = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*order))
-    return parted.join(counts, [*keys, _PART]).withColumn(name, F.col(_BEFORE) + inside).select(*rows.columns, name)
+    return parted.join(checked(spool(counts, f"{name}-counts")), [*keys, _PART]).withColumn(name, F.col(_BEFORE) + inside).select(*rows.columns, name)

@@ -85,3 +85,16 @@ def test_events_of_records(spark):
     flat = assignment.match(*assignment.last_events(gold, pred))
     nested = matching.match_articles(matching.paired_records(gold, pred)).select(F.col("g.rec_ord").alias("pair"), F.explode("matches").alias("m"))
     assert sorted((r["pair"], r["i"], r["j"]) for r in flat.collect()) == sorted((r["pair"], r["m"]["gold_index"], r["m"]["pred_index"]) for r in nested.collect()) == [(0, 0, 1), (0, 1, 0), (1, 0, 1)]
+
+
+def test_no_table_of_events_is_broadcast(spark):
+    """Files of equal features are far smaller than their rows, so their size doesn't tell what fits the driver."""
+    who = F.array(F.struct(F.lit("actor").alias("name"), F.lit("NonStateActor").alias("type"), F.lit("target").alias("role")))
+    e = F.struct(F.lit("AttackEvent").alias("event_type"), F.lit("2026-01-01").alias("event_date"), F.lit("place").alias("location"), who.alias("participants"), F.array().cast("array<struct<source:string,target:string,type:string>>").alias("relations"))
+    side = lambda place: spark.range(400).select((F.col("id") % 100).alias("pair"), (F.col("id") / 100).cast("int").alias(place), e.alias("f"))
+    found = assignment.similar_events(side("i"), side("j"))
+    assert found.count() == 1600
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    classes = side("i").withColumnRenamed("i", "class")
+    pairs = assignment._keys(classes, 0.45).join(assignment._keys(classes, 0.45), ["pair", "key"])
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
