@@ -13,6 +13,8 @@ from tempora import ontology
 
 #: Runs of white space: Java's Unicode class lacks the four information separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
+#: What norm_name changes: space at an end, in runs or other than a blank, and quotes at an end.
+_UNTIDY = r"""(?U)^[\s"']|[\s"']$|[\s&&[^ ]]|[\x1c-\x1f]|  """
 
 
 def _col(x: Column | str) -> Column:
@@ -42,8 +44,9 @@ def norm_date(x: Column | str) -> Column:
 
 
 def norm_name(x: Column | str) -> Column:
-    """norm_space without quotes at both ends."""
-    return norm_space(F.regexp_replace(strip(x), "^[\"']+|[\"']+$", ""))
+    """norm_space without quotes at both ends; most names have nothing to change, which one search finds."""
+    x = _col(x)
+    return F.when(~F.coalesce(x, F.lit(" ")).rlike(_UNTIDY), x).otherwise(norm_space(F.regexp_replace(strip(x), "^[\"']+|[\"']+$", "")))
 
 
 def alias_key(x: Column | str) -> Column:

@@ -262,9 +262,10 @@ def endpoint_resolution(spark, d):
     named = F.array_distinct(F.flatten(F.transform("r", lambda r: F.array(r["source"], r["target"]))))
     index = F.map_from_entries(F.transform(named, lambda n: F.struct(text.fold(n), F.struct(n.alias("name"), F.lit("NationState").alias("type")))))
     nested = nested.withColumn("index", index).withColumn("known", F.create_map().cast("map<string,struct<name:string,type:string>>"))
-    kept, flags = clean.clean_relations(F.col("r"), F.col("index"), F.col("known"))
-    done = nested.select(kept.alias("kept"), F.filter("r", lambda r: r["source"] == r["target"]).alias("loops"), flags.alias("flags")).where("size(loops) = size(flags)")
-    sides = done.select(F.explode(F.concat(F.transform("kept", lambda r: F.struct(r["type"].alias("type"), F.lit(1).alias("k"), F.lit(0).alias("l"))), F.transform("loops", lambda r: F.struct(r["type"].alias("type"), F.lit(0).alias("k"), F.lit(1).alias("l"))))).alias("x"))
+    done = nested.select(clean.cleaned_relations(F.col("r"), F.col("index"), F.col("known")).alias("x"), F.filter("r", lambda r: r["source"] == r["target"]).alias("loops"))
+    # orders are told apart by their flags behind the explode, so that no filter computes them again
+    done = done.select("x.kept", F.when(F.size("loops") == F.size("x.flags"), F.col("loops")).alias("loops"))
+    sides = done.select(F.explode(F.when(F.col("loops").isNotNull(), F.concat(F.transform("kept", lambda r: F.struct(r["type"].alias("type"), F.lit(1).alias("k"), F.lit(0).alias("l"))), F.transform("loops", lambda r: F.struct(r["type"].alias("type"), F.lit(0).alias("k"), F.lit(1).alias("l")))))).alias("x"))
     return sides.groupBy("x.type").agg(F.sum("x.k").alias("kept"), F.sum("x.l").alias("loops"))
 
 
@@ -652,10 +653,11 @@ def stream_relations(spark, d):
     from tempora.tables import shared_dir
 
     none, path = F.lit(None).cast("string"), f"{shared_dir(spark)}/links-{uuid.uuid4().hex}"
+    files = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     named = entity_view(spark, d).where("type = 'NationState'").select("rec_ord", "i", F.lit(True).alias("mention"), "name", none.alias("source"), none.alias("target"), F.col("type").alias("kind"), "article_id", "day")
     said = relation_view(spark, d).select("rec_ord", "i", F.lit(False).alias("mention"), none.alias("name"), "source", "target", F.col("type").alias("kind"), "article_id", "day")
-    named.unionByName(said).select(F.col("rec_ord").cast("long").alias("rec_ord"), F.col("i").cast("int").alias("i"), "mention", "name", "source", "target", "kind", "article_id", "day").repartitionByRange(4, "rec_ord").write.parquet(f"{path}/rows")
-    found = links.accepted(spark, f"{path}/rows", path, files_per_trigger=2)
+    named.unionByName(said).select(F.col("rec_ord").cast("long").alias("rec_ord"), F.col("i").cast("int").alias("i"), "mention", "name", "source", "target", "kind", "article_id", "day").repartitionByRange(files, "rec_ord").write.parquet(f"{path}/rows")
+    found = links.accepted(spark, f"{path}/rows", path, files_per_trigger=-(-files // 2))
     return found.groupBy(F.col("edge_id").alias("id")).agg(F.count(F.lit(1)).alias("weight"), F.min("day").alias("first_seen"))
 
 

@@ -2,109 +2,90 @@
 
 As in the batch plan, an end has to be an entity of the same or an earlier record, and a name's first mention gives its
 node. Rows are mentions and relations of records, which may come in any order; where a record comes after later ones, a
-node is named by the first mention seen so far. Each end is resolved by one stateful query keyed by the end's name: state
-has the first mention and the relations that wait for one. The first query writes relations with a known source, the
-second one reads these as a stream and adds the target. What still waits at the end are the skipped relations.
+node is named by the first mention seen so far. What still waits at the end are the skipped relations.
 
-Batches are written to a folder named by their number and overwrite it, so a batch that is run again after a restart
-leaves each row once.
+Each batch is joins over its rows. What it needs of the batches before lies in folders beside the output: first mentions
+that a batch has brought or changed, and the relations that it left waiting. First mentions only get earlier, so a batch
+frees those waiting relations that its changes make acceptable and that were not so before; nothing is ever removed.
+
+Every folder is named by the number of its batch, which reads lower numbers only and overwrites its own, so a batch that
+is run again after a restart leaves each row once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tempora.functions.text import edge_id, fold, node_id
 
 #: Rows of records: a mention has name and kind; a relation has source, target and kind.
 ROWS = "rec_ord long, i int, mention boolean, name string, source string, target string, kind string, article_id string, day string"
-_RELATION = "rec_ord long, i int, source string, target string, kind string, article_id string, day string, source_id string"
-_FOUND = f"{_RELATION}, end_name string, end_kind string"
-_FIRST = "rec_ord long, i int, name string, kind string"
-_emitted = Row(*[c.split()[0] for c in _FOUND.split(", ")])
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class Resolver(StatefulProcessor):
-    """Emits a name's relations when a mention not later than they is known."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", _FIRST)
-        self.waiting = handle.getListState("waiting", _RELATION)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        before = self.first.get() if self.first.exists() else None
-        first = tuple(before) if before is not None else None
-        relations = []
-        for r in rows:
-            if not r.mention:
-                relations.append((r.rec_ord, r.i, r.source, r.target, r.kind, r.article_id, r.day, r.source_id))
-            elif first is None or (r.rec_ord, r.i) < first[:2]:
-                first = (r.rec_ord, r.i, r.name, r.kind)
-        earlier = first is not None and (before is None or first != tuple(before))
-        if earlier:
-            self.first.update(first)
-            if self.waiting.exists():  # may go on now
-                relations = [tuple(w) for w in self.waiting.get()] + relations
-                self.waiting.clear()
-        held = []
-        for r in relations:
-            if first is not None and first[0] <= r[0]:
-                yield _emitted(*r, first[2], first[3])
-            else:
-                held.append(r)
-        if held:
-            self.waiting.appendList(held)
-
-    def close(self) -> None:
-        pass
-
-
-def _resolved(rows: DataFrame, end: str) -> DataFrame:
-    """Relations of `rows` (ROWS and source_id) whose `end` is known, with its node's id as column `{end}_id`."""
-    key = F.when(F.col("mention"), fold("name")).otherwise(fold(end))
-    found = rows.withColumn("key", key).where("key IS NOT NULL").groupBy("key").transformWithState(Resolver(), _FOUND, "Append", "None")
-    return found.withColumn(f"{end}_id", node_id("end_name", F.col("end_kind"))).drop("end_name", "end_kind")
+_SAID = ("rec_ord", "i", "source", "target", "kind", "article_id", "day")
+_RELATION = "rec_ord long, i int, source string, target string, kind string, article_id string, day string"
+_WAITING = f"{_RELATION}, s_key string, t_key string"
+_FIRST = "key string, first struct<rec_ord: long, i: int, name: string, kind: string>"
+_OF_BATCH = "batch int"
+
+
+def _before(spark: SparkSession, path: str, schema: str, number: int) -> DataFrame:
+    """Rows that batches before `number` have left."""
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, {_OF_BATCH}").parquet(path).where(F.col("batch") < number).drop("batch")
+
+
+def _earliest(mentions: DataFrame) -> DataFrame:
+    """key, first: the first of the mentions of each key."""
+    return mentions.groupBy("key").agg(F.min("first").alias("first"))
+
+
+def _with_ends(relations: DataFrame, known: DataFrame) -> DataFrame:
+    """`relations` with the first mentions of their ends as `s` and `t`, null where there is none that is not later."""
+    for end in ("s", "t"):
+        ends = known.select(F.col("key").alias(f"{end}_key"), F.col("first").alias(end))
+        relations = relations.join(ends, f"{end}_key", "left").withColumn(end, F.when(F.col(f"{end}.rec_ord") <= F.col("rec_ord"), F.col(end)))
+    return relations
 
 
 def _write(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Run what is there, each batch into its folder."""
+    """Run what is there, each batch into its folders of `path`."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number:09d}")
+        spark, own = batch.sparkSession, f"batch={number:09d}"
+        put = lambda found, name: found.write.mode("overwrite").parquet(f"{path}/{name}/{own}")
+        known = _earliest(_before(spark, f"{path}/firsts", _FIRST, number))
+        said = batch.where("mention").select(fold("name").alias("key"), F.struct("rec_ord", "i", "name", "kind").alias("first")).where("key IS NOT NULL")
+        news = _earliest(said).join(known.withColumnRenamed("first", "old"), "key", "left").where("old IS NULL OR first < old").select("key", "first")
+        put(news, "firsts")
+        news = spark.read.schema(_FIRST).parquet(f"{path}/firsts/{own}")
+        now = _earliest(known.unionByName(news))
+
+        relations = batch.where("NOT mention").select(*_SAID, fold("source").alias("s_key"), fold("target").alias("t_key")).where("s_key IS NOT NULL AND t_key IS NOT NULL")
+        fresh, whole = _with_ends(relations, now), F.col("s").isNotNull() & F.col("t").isNotNull()
+        put(fresh.where(~whole).select(*_SAID, "s_key", "t_key"), "waiting")
+        found = fresh.where(whole)
+        if number and news.head(1):
+            changed = news.select("key")
+            held = _before(spark, f"{path}/waiting", _WAITING, number)
+            by_source, by_target = (changed.select(F.col("key").alias(f"{x}_key"), F.lit(True).alias(f"{x}_new")) for x in ("s", "t"))
+            held = held.join(by_source, "s_key", "left").join(by_target, "t_key", "left").where("s_new OR t_new").drop("s_new", "t_new")
+            were = _with_ends(held, known).select("*", whole.alias("were")).drop("s", "t")
+            found = found.unionByName(_with_ends(were.where("NOT were").drop("were"), now).where(whole))
+        ids = found.select(*_SAID, *[node_id(f"{x}.name", F.col(f"{x}.kind")).alias(c) for x, c in (("s", "source_id"), ("t", "target_id"))])
+        put(ids, "accepted")
 
     rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
 
 
-def _read(spark: SparkSession, path: str, schema: str, files_per_trigger: int) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(path)
-
-
 def accepted(spark: SparkSession, records: str, output: str, files_per_trigger: int = 100) -> DataFrame:
     """Accepted relations (with source_id, target_id, edge_id) of all rows (ROWS) in the folder `records` so far.
 
     State and progress are kept in `output`: called again when more files have come, or after a run that was broken
-    off, it goes on where it was. State is as large as the names and the relations that wait.
+    off, it goes on where it was. State is the names and the relations that have waited.
     """
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, PROVIDER)
-    try:
-        return _accepted(spark, records, output, files_per_trigger)
-    finally:
-        spark.conf.set(_STORE, before)
-
-
-def _accepted(spark: SparkSession, records: str, output: str, files_per_trigger: int) -> DataFrame:
-    rows = _read(spark, records, ROWS, files_per_trigger)
+    rows = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files_per_trigger).option("recursiveFileLookup", True).parquet(records)
     whole = F.expr("mention OR (source <> '' AND target <> '' AND kind <> '')")
-    rows = rows.where(whole).withColumn("source_id", F.lit(None).cast("string"))
-    _write(_resolved(rows, "source"), f"{output}/sources", f"{output}/progress-sources")
-    relations = _read(spark, f"{output}/sources", _RELATION, files_per_trigger).withColumns({"mention": F.lit(False), "name": F.lit(None).cast("string")})
-    _write(_resolved(relations.unionByName(rows.where("mention")), "target"), f"{output}/accepted", f"{output}/progress-targets")
-    done = spark.read.schema(f"{_RELATION}, target_id string").option("recursiveFileLookup", True).parquet(f"{output}/accepted")
+    _write(rows.where(whole), output, f"{output}/progress-sources")
+    done = spark.read.schema(f"{_RELATION}, source_id string, target_id string").option("recursiveFileLookup", True).parquet(f"{output}/accepted")
     return done.withColumn("edge_id", edge_id("source_id", "target_id", "kind"))

@@ -70,3 +70,11 @@ def test_a_late_mention_frees_what_waits(spark, tmp_path):
     rows.where("rec_ord = 0").write.mode("append").parquet(path)
     got = links.accepted(spark, path, out).collect()
     assert [(r["rec_ord"], r["edge_id"]) for r in got] == [(1, "NationState:a|ATTACKED|NationState:b")]
+
+
+def test_relations_of_few_names_pass_no_python_worker(spark, tmp_path, monkeypatch):
+    """Names that almost all relations share are no state of one task: batches are joins, without rows in Python."""
+    found = frame(spark, [{"article_id": "a", "entities": [entity("A", "NationState"), entity("B", "NationState")], "relations": [relation("A", "B", "ATTACKED")] * 3}])
+    rows_of(found).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(type(spark.range(1).groupBy("id")), "transformWithState", None)
+    assert links.accepted(spark, f"{tmp_path}/in", f"{tmp_path}/out").count() == 3
