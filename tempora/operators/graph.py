@@ -61,8 +61,13 @@ def edges_of(relations: DataFrame) -> DataFrame:
     return out.select("id", "source", "target", "type", "weight", "article_ids", F.size("article_ids").cast("long").alias("article_count"), "dates", "first_seen", "last_seen", ordered(F.col("e")).alias("evidences"))
 
 
-def edge_counts(relations: DataFrame) -> DataFrame:
-    """Edges without lists: weight counts relations, repeated ones too; counted by article first, so that no article is kept."""
+def edge_counts(relations: DataFrame, parts: int | None = None) -> DataFrame:
+    """Edges without lists: weight counts relations, repeated ones too; counted by article first, so that no article is kept.
+
+    `parts` are partitions for the count by article, which hardly shrinks the rows: its tasks are as small as these.
+    """
+    if parts:
+        relations = relations.select("edge_id", "source_id", "target_id", "type", "article_id", "day").repartition(parts, "edge_id", "article_id")
     edge = [F.col("edge_id").alias("id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), "type"]
     per_article = relations.groupBy(*edge, "article_id").agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("low"), F.max("day").alias("high"))
     return per_article.groupBy("id", "source", "target", "type").agg(F.sum("n").alias("weight"), F.count("article_id").alias("article_count"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"))
@@ -123,6 +128,23 @@ def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collis
     )
 
 
+def node_counts(found: DataFrame, names: DataFrame, relations: DataFrame, parts: int | None = None) -> DataFrame:
+    """Nodes of nodes_of (merged) without lists: articles are counted as distinct rows, so that no node's articles are gathered in a row."""
+    ids = names.groupBy("id").agg(F.min_by("name", "born").alias("name"), F.min_by("type", "born").alias("type"))
+    seen = article_counts(found.select("key", "article_id", "day").join(names.select("key", "id"), "key"), "id", parts)
+    counts = relation_counts(ends_of(relations))
+    return ids.join(seen, "id").join(counts, "id", "left").select("id", "name", "type", "article_count", F.coalesce("relation_count", F.lit(0)).cast("long").alias("relation_count"), "first_seen", "last_seen")
+
+
+def article_counts(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """`key`, article_count, first_seen, last_seen of rows (key, article_id, day); `parts` as in edge_counts."""
+    rows = rows.select(key, "article_id", "day")
+    if parts:
+        rows = rows.repartition(parts, key, "article_id")
+    once = rows.groupBy(key, "article_id").agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    return once.groupBy(key).agg(F.count("article_id").alias("article_count"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"))
+
+
 def graph(records: DataFrame, on_collision: str = "merge") -> dict[str, DataFrame]:
     """nodes, edges, accepted and skipped relations, and metadata of cleaned records (with rec_ord)."""
     found = mentions(records)

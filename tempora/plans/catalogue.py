@@ -14,7 +14,7 @@ from tempora.functions import arrays, coords, dates, text
 from tempora.operators import adjudicate, assignment, candidates, clean, diffs, errors, geocode, graph, matching, relations, scoring, views
 from tempora.plans import extract
 from tempora.shipping import shipped
-from tempora.tables import ROW, numbered, ranked, spool
+from tempora.tables import ROW, numbered, parts, ranked, spool
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def _day(column: str):
     return F.date_format(column, "yyyy-MM-dd")
 
 
+def _parts(spark: SparkSession, d: str) -> int:
+    """Partitions for the order lines, whose number files tell."""
+    return parts(spark, table(spark, d, "lineitem").count())
+
+
 R_SQL = """
 R AS (
   SELECT l_orderkey AS rec_ord, l_linenumber AS i, 'order:' || CAST(l_orderkey AS VARCHAR) AS article_id, strftime(o_orderdate, '%Y-%m-%d') AS day, cn.n_name AS source, sn.n_name AS target,
@@ -60,7 +65,8 @@ def relation_view(spark: SparkSession, d: str) -> DataFrame:
     suppliers = table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("target"))
     orders = table(spark, d, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", "source")
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).where("source <> target")
+    n = _parts(spark, d)
+    rows = lines.repartition(n, "l_orderkey").join(orders.repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).where("source <> target")
     kind = F.when(F.col("l_returnflag") == "A", "ATTACKED").when(F.col("l_returnflag") == "N", "NEGOTIATED_WITH").otherwise("SUPPORTED")
     return rows.select(F.col("l_orderkey").alias("rec_ord"), F.col("l_linenumber").alias("i"), F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("article_id"), _day("o_orderdate").alias("day"), "source", "target", kind.alias("type"))
 
@@ -75,7 +81,7 @@ def accepted(rows: DataFrame) -> DataFrame:
 @query(f"WITH {R_SQL} SELECT s || '|' || type || '|' || t AS id, s AS source, t AS target, type, count(*) AS weight, count(DISTINCT article_id) AS article_count, min(day) AS first_seen, max(day) AS last_seen FROM N GROUP BY s, t, type")
 def edge_weights(spark, d):
     """Edges with weight, articles and first and last day."""
-    return graph.edge_counts(accepted(relation_view(spark, d)))
+    return graph.edge_counts(accepted(relation_view(spark, d)), _parts(spark, d))
 
 
 @query(f"""WITH {R_SQL} SELECT s || '|' || type || '|' || t AS id, row_number() OVER e AS place, rec_ord, article_id, day, count(*) OVER (PARTITION BY s, type, t) AS weight,
@@ -83,7 +89,7 @@ min(day) OVER (PARTITION BY s, type, t) AS first_seen, max(day) OVER (PARTITION
 def edge_evidence_timeline(spark, d):
     """Every relation with its place in its edge, beside the edge's counts."""
     rows = accepted(relation_view(spark, d))
-    edges = spool(graph.edge_counts(rows), "edges").select("id", "weight", "first_seen", "last_seen")
+    edges = spool(graph.edge_counts(rows, _parts(spark, d)), "edges").select("id", "weight", "first_seen", "last_seen")
     return graph.edge_evidence(rows).join(edges, "id").select("id", "place", "rec_ord", "article_id", F.col("published_at").alias("day"), "weight", "first_seen", "last_seen")
 
 
@@ -109,7 +115,8 @@ def entity_view(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", _day("o_orderdate").alias("day"))
     nations = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("rec_ord"), F.lit(0).alias("i"), "day", F.col("n_name").alias("name"), F.lit("NationState").alias("type"))
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey").join(table(spark, d, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    actors = lines.join(orders.select("o_orderkey", "day"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("rec_ord"), F.col("l_linenumber").alias("i"), "day", F.col("s_name").alias("name"), F.lit("NonStateActor").alias("type"))
+    n = _parts(spark, d)
+    actors = lines.repartition(n, "l_orderkey").join(orders.select("o_orderkey", "day").repartition(n, "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("l_orderkey").alias("rec_ord"), F.col("l_linenumber").alias("i"), "day", F.col("s_name").alias("name"), F.lit("NonStateActor").alias("type"))
     rows = nations.unionByName(actors)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("latitude", "double"), ("longitude", "double"), ("geocode_source", "string"), ("geocode_display_name", "string"), ("aliases", "array<string>"), ("review_flags", schemas.FLAGS))]
     return rows.select("rec_ord", "i", F.concat(F.lit("order:"), F.col("rec_ord").cast("string")).alias("article_id"), "day", "name", "type", *none, text.fold("name").alias("key"))
@@ -122,7 +129,7 @@ _SLUG = "trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-')"
 def node_registry(spark, d):
     found = entity_view(spark, d)
     names = graph.registry(found)
-    seen = found.groupBy("key").agg(F.min("day").alias("first_seen"), F.max("day").alias("last_seen"), F.count_distinct("article_id").alias("article_count"))
+    seen = graph.article_counts(found, "key", _parts(spark, d))
     return names.join(seen, "key").select("id", "name", "type", "first_seen", "last_seen", "article_count")
 
 
@@ -135,7 +142,7 @@ def node_relation_counts(spark, d):
 def graph_metadata(spark, d):
     """Relations, edges and timeline by type, of edges and their days."""
     rows = accepted(relation_view(spark, d))
-    edges = graph.edge_counts(rows).groupBy("type").agg(F.sum("weight").alias("relations"), F.count(F.lit(1)).alias("edges"), F.min("first_seen").alias("min_date"), F.max("last_seen").alias("max_date"))
+    edges = graph.edge_counts(rows, _parts(spark, d)).groupBy("type").agg(F.sum("weight").alias("relations"), F.count(F.lit(1)).alias("edges"), F.min("first_seen").alias("min_date"), F.max("last_seen").alias("max_date"))
     days = graph.edge_days(rows).select("type", "day").distinct().groupBy("type").agg(F.count(F.lit(1)).alias("days"))
     return edges.join(days, "type")
 

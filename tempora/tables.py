@@ -15,6 +15,8 @@ _FILE, _INDEX, _NAME, _ORDER = "_tempora_file", "_tempora_index", "_tempora_name
 _PART, _BEFORE = "_tempora_part", "_tempora_before"
 #: Rows of a table that is broadcast.
 BROADCAST_ROWS = 100_000
+#: Rows of a partition, on average, where partitions follow from the rows.
+PART_ROWS = 500_000
 _written: list[str] = []
 
 
@@ -42,6 +44,11 @@ def checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small.hint("merge")
 
 
+def parts(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of so many rows: as many as the session has, or more, so that a task has PART_ROWS at most."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
 def mark() -> int:
     """Stands for the tables spooled so far."""
     return len(_written)

@@ -118,3 +118,17 @@ def test_commands(spark, tmp_path):
 def test_timeline_query_gathers_no_array(spark, small):
     plan = catalogue.QUERIES["edge_evidence_timeline"](spark, small)._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "collect_set" not in plan
+
+
+def test_counted_nodes_are_the_nodes_without_lists(spark):
+    """Articles are counted in as many partitions as asked for; two names of one id are one node."""
+    from tempora.operators import graph
+
+    rows = [{"article_id": f"a{k % 7}", "published_at": f"2026-04-{k % 5 + 10}", "entities": [entity(x, "NationState") for x in ("A", "a!", f"N {k % 3}")], "relations": [relation("A", f"N {k % 3}", "ATTACKED")]} for k in range(20)]
+    found = graph.mentions(frame(spark, rows, schemas.EXTRACTION))
+    names = graph.registry(found)
+    relations = graph.relation_rows(frame(spark, rows, schemas.EXTRACTION), names)[0]
+    columns = ["id", "name", "type", "article_count", "relation_count", "first_seen", "last_seen"]
+    want = sorted(map(tuple, graph.nodes_of(found, names, relations).select(columns).collect()))
+    assert sorted(map(tuple, graph.node_counts(found, names, relations, 9).select(columns).collect())) == want and len(want) == 4
+    assert sorted(map(tuple, graph.edge_counts(relations, 9).collect())) == sorted(map(tuple, graph.edge_counts(relations).collect()))
