@@ -28,6 +28,7 @@ def _bucket(ident: Column | str, buckets: int) -> Column:
 
 def write(rows: DataFrame, path: str, order: list[str], buckets: int = BUCKETS, file_rows: int = FILE_ROWS) -> None:
     """Write a table by its column `id`; an id of more than `file_rows` rows is written in pieces, by as many tasks."""
+    rows = spool(rows, "store-rows")  # counted and written, made once
     # ids with so many rows are few
     hot = rows.groupBy("id").count().where(F.col("count") > file_rows).select(F.col("id").alias("_hot"), F.ceil(F.col("count") / file_rows).alias("_pieces"))
     spread = rows.join(spool(hot, "hot-ids"), F.col("id") == F.col("_hot"), "left").withColumn(_BUCKET, _bucket("id", buckets))
@@ -38,6 +39,7 @@ def write(rows: DataFrame, path: str, order: list[str], buckets: int = BUCKETS,
 
 def write_graph(nodes: DataFrame, relations: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Nodes, edges with their days and evidence, and events (rows of the payload), each a table of the store."""
+    relations = spool(relations, "store-relations")
     tables = {"nodes": nodes, "edges": graph.edge_counts(relations), "days": graph.edge_days(relations), "evidence": graph.edge_evidence(relations), "events": events}
     for name, rows in tables.items():
         write(rows, f"{path}/{name}", ORDER[name], buckets)
