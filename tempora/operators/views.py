@@ -161,6 +161,8 @@ def map_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     for _ in range(PASSES):
         out = spool(out, "map-nodes")
         whole = F.col("map_latitude").isNotNull() & F.col("map_longitude").isNotNull()
+        if not out.where(~whole).head(1):  # the neighbours are not joined with nothing
+            break
         known = out.where(whole).select("id", F.col("map_latitude").alias("lat"), F.col("map_longitude").alias("lon"))
         reached = spool(_reached(both, out.where(~whole).select("id"), known.select("id")), "reached")
         if not reached.head(1):

@@ -71,3 +71,12 @@ def test_a_chain_without_a_place(spark, monkeypatch):
     got = {r["id"] for r in views.map_nodes(*frames(spark, nodes, edges)).collect() if r["map_latitude"] is not None}
     assert got == plain_places(nodes, edges).keys() == {"n196", "n197", "n198", "n199"}
     assert steps.count("undecided") <= 2 * views.PASSES
+
+
+def test_no_pass_follows_when_all_nodes_are_placed(spark, monkeypatch):
+    """The passes after the one that places the last node would join all neighbours with nothing."""
+    passes, reached = [], views._reached
+    monkeypatch.setattr(views, "_reached", lambda *a: passes.append(1) or reached(*a))
+    nodes = spark.createDataFrame([("a", 1.0, 2.0), ("b", None, None)], "id string, latitude double, longitude double")
+    edges = spark.createDataFrame([("e", "a", "b")], "id string, source string, target string")
+    assert views.map_nodes(nodes, edges).where("map_latitude IS NULL").count() == 0 and len(passes) == 1
