@@ -41,6 +41,7 @@ from tempora.llm.common import ROW, columns_of, numbered, planned_bytes, release
 from tempora.llm.components import components
 from tempora.llm.shingles import sets_of
 from tempora.shipping import shipped
+from tempora.tables import BROADCAST_ROWS
 
 #: Input bytes whose sent shingles one bucket holds, about.
 BUCKET_BYTES = 16 << 20
@@ -330,6 +331,8 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
     # the first shingle that two sets share has to leave room for their overlap in both
     fits = F.expr(f"100L * least(n, m) >= {percent}L * greatest(n, m) AND place + {need('n', 'm')} <= n AND other_place + {need('n', 'm')} <= m")
     apart = F.expr("NOT (low = high AND low = other_low AND low = other_high)")
+    # a shuffle of few rows starts as many tasks as one of many
+    near = lambda rows, by: F.broadcast(rows) if by.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
     place, tested, last = None, None, False
     for turn in range(STAR_ROUNDS + 2):
         last = last or turn > STAR_ROUNDS
@@ -337,11 +340,11 @@ def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
         slot = lambda component: F.pmod(F.xxhash64(F.lit(-turn), component), F.lit(slots))  # noqa: B023, E731
         placed = members.withColumn("at", F.col("cls"))
         if place is not None:
-            placed = members.join(place, F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", "bits", "inside", F.coalesce("component", "cls").alias("at"))
+            placed = members.join(near(place, place), F.col("cls") == F.col("node"), "left").select("cls", "grp", "n", "bits", "inside", F.coalesce("component", "cls").alias("at"))
         one = F.min(F.struct(F.xxhash64(F.lit(turn), "cls").alias("h"), F.col("cls").alias("hub"), F.col("at").alias("hub_at"), F.col("n").alias("m"), F.col("bits").alias("other_bits")))
         state = placed.groupBy("grp").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.max("inside").alias("inside"), one.alias("one")).select("grp", "low", "high", "inside", "one.hub", "one.hub_at", "one.m", "one.other_bits")
         state = spool(state, "groups", "none")
-        open_runs = runs.join(state.select("grp", "low", "high"), "grp")
+        open_runs = runs.join(near(state.select("grp", "low", "high"), state), "grp")
         mixed = open_runs.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
         open_runs = open_runs.join(mixed, "token")
         unsettled = state.where("low < high AND inside").select("grp")

@@ -490,3 +490,21 @@ def test_too_many_languages(spark, monkeypatch):
     with pytest.raises(ValueError):
         language.learn(df)
     assert len(language.learn(df.where("doc_id < 2")).languages) == 2
+
+
+def test_few_edges_are_one_partition(spark, monkeypatch):
+    """Few edges of a session with many partitions take one task a step, and the shuffled form gives the same."""
+    spool, files = components.spool, []
+
+    def counted(*args):
+        out = spool(*args)
+        files.append(len([f for f in out.inputFiles() if "part-" in f]))
+        return out
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 40), (40, 60), (70, 70), (None, 1)], "a long, b long").repartition(5)
+    want = {i: 0 for i in range(21)} | {40: 40, 50: 40, 60: 40, 70: 70}
+    monkeypatch.setattr(components, "spool", counted)
+    assert {r["node"]: r["component"] for r in components.components(edges).collect()} == want
+    assert len(files) > 2 and set(files[1:]) == {1}
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 3)
+    assert {r["node"]: r["component"] for r in components.components(edges).collect()} == want
