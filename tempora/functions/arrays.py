@@ -36,6 +36,12 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(left, right)) / F.greatest(both, F.lit(1)))
 
 
+def set_jaccard(left: Column, right: Column) -> Column:
+    """jaccard() of arrays that repeat no element, with one comparison of the two."""
+    total = F.size(left) + F.size(right)
+    return F.when(total == 0, F.lit(1.0)).otherwise(let(F.size(F.array_intersect(left, right)), lambda n: n / F.greatest(total - n, F.lit(1))))
+
+
 def ordered(array: Column) -> Column:
     """Payloads of an array of struct<ord, v> in order."""
     return F.transform(F.array_sort(array), lambda x: x["v"])

@@ -126,7 +126,7 @@ def deferred(gold: DataFrame, predicted: DataFrame, threshold: float = THRESHOLD
 def _inside_rows(gold: DataFrame, predicted: DataFrame, threshold: float) -> DataFrame:
     listed = lambda rows, place, name: rows.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(F.col(place).alias("at"), "f"))).alias(name))
     both = listed(gold, "i", "g").join(listed(predicted, "j", "p"), "pair")
-    scores = F.transform("g", lambda a: F.transform("p", lambda b: similarity(a["f"], b["f"])))
+    scores = F.transform("g", lambda a: F.transform("p", lambda b: similarity(a["f"], b["f"], threshold)))
     matched = both.select("pair", "g", "p", scores.alias("scores")).select("pair", "g", "p", F.explode(greedy(F.col("scores"), threshold)).alias("m"))
     return matched.select("pair", F.get("g", F.col("m.gold_index"))["at"].alias("i"), F.get("p", F.col("m.pred_index"))["at"].alias("j"), "m.similarity")
 

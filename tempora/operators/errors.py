@@ -40,9 +40,10 @@ def unmatched(matched: DataFrame) -> DataFrame:
     return matched.withColumn("missed", rest("g.events", "gold_index")).withColumn("extra", rest("p.events", "pred_index"))
 
 
-def matched_articles(gold: DataFrame, predictions: DataFrame, threshold: float = m.THRESHOLD) -> DataFrame:
-    """Matched articles with their unmatched events, kept as a table, since several tables follow from it."""
-    return spool(unmatched(spool(m.match_articles(m.paired_records(gold, predictions), threshold), "matches")), "matched")
+def matched_articles(gold: DataFrame, predictions: DataFrame, threshold: float = m.THRESHOLD, scores: bool = False) -> DataFrame:
+    """Matched articles with their unmatched events, kept as a table, since several tables follow from it; with `scores`, those of all pairs of events, too."""
+    matched = m.match_articles(m.paired_records(gold, predictions), threshold)
+    return spool(unmatched(spool(matched if scores else matched.drop("scores"), "matches")), "matched")
 
 
 def pair_structs() -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.functions.arrays import jaccard, let, safe
+from tempora.functions.arrays import let, safe, set_jaccard
 from tempora.functions.text import norm, norm_date
 
 THRESHOLD = 0.45
+#: More than sums of weights are rounded by.
+_SLACK = 1e-9
 
 
 def entity_key(x: Column) -> Column:
@@ -53,12 +55,16 @@ def features(e: Column) -> Column:
     )
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Of two events' features; the terms are summed in this order, since thresholds are inclusive."""
+def similarity(a: Column, b: Column, threshold: float | None = None) -> Column:
+    """Of two events' features; the terms are summed in this order, since thresholds are inclusive.
+
+    With a threshold, 0 for events that cannot reach it whatever their participants and relations, which aren't compared.
+    """
     one = lambda same: F.when(same, F.lit(1.0)).otherwise(F.lit(0.0))
     out = F.lit(0.30) * one(a["event_type"].eqNullSafe(b["event_type"])) + F.lit(0.18) * one(a["event_date"] == b["event_date"])
     out = out + F.lit(0.12) * one(a["location"] == b["location"])
-    return out + F.lit(0.20) * jaccard(a["participants"], b["participants"]) + F.lit(0.20) * jaccard(a["relations"], b["relations"])
+    whole = out + F.lit(0.20) * set_jaccard(a["participants"], b["participants"]) + F.lit(0.20) * set_jaccard(a["relations"], b["relations"])
+    return whole if threshold is None else F.when(out >= threshold - 0.40 - _SLACK, whole).otherwise(F.lit(0.0))
 
 
 def greedy(scores: Column, threshold: float = THRESHOLD) -> Column:
@@ -70,11 +76,11 @@ def greedy(scores: Column, threshold: float = THRESHOLD) -> Column:
     row = "struct<gold_index:int,pred_index:int,similarity:double>"
 
     def step(acc, x):
-        used = F.transform(acc, lambda m: m["pred_index"])
         options = F.transform(x["s"], lambda s, j: F.struct((-s).alias("less"), j.alias("j")))
-        options = F.filter(options, lambda o: (-o["less"] >= threshold) & (-o["less"] > 0.0) & ~F.array_contains(used, o["j"]))
-        best = F.array_min(options)
-        return F.when(best.isNull(), acc).otherwise(F.concat(acc, F.array(F.struct(x["i"].alias("gold_index"), best["j"].alias("pred_index"), (-best["less"]).alias("similarity")).cast(row))))
+        near = F.filter(options, lambda o: (-o["less"] >= threshold) & (-o["less"] > 0.0))
+        free = let(F.transform(acc, lambda m: m["pred_index"]), lambda used: F.filter(near, lambda o: ~F.array_contains(used, o["j"])))
+        add = lambda best: F.concat(acc, F.array(F.struct(x["i"].alias("gold_index"), best["j"].alias("pred_index"), (-best["less"]).alias("similarity")).cast(row)))
+        return let(F.array_min(free), lambda best: F.when(best.isNull(), acc).otherwise(add(best)))
 
     indexed = F.transform(scores, lambda s, i: F.struct(i.alias("i"), s.alias("s")))
     return F.aggregate(indexed, F.array().cast(f"array<{row}>"), step)
@@ -88,8 +94,11 @@ def paired_records(gold: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def match_articles(pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`pairs` with scores (array by gold of arrays by prediction) and matches; an article's events are arrays of one row."""
+    """`pairs` with scores (array by gold of arrays by prediction) and matches; an article's events are arrays of one row.
+
+    Matches don't follow from `scores` but from those that matter to the threshold, so a plan that reads only matches
+    doesn't compute the others.
+    """
     both = F.struct(F.transform(safe("g.events"), features).alias("g"), F.transform(safe("p.events"), features).alias("p"))
-    scores = let(both, lambda s: F.transform(s["g"], lambda a: F.transform(s["p"], lambda b: similarity(a, b))))
-    out = pairs.withColumn("_m", let(scores, lambda s: F.struct(s.alias("scores"), greedy(s, threshold).alias("matches"))))
-    return out.select("g", "p", "_m.scores", "_m.matches")
+    scores = lambda least: let(both, lambda s: F.transform(s["g"], lambda a: F.transform(s["p"], lambda b: similarity(a, b, least))))
+    return pairs.select("g", "p", scores(None).alias("scores"), greedy(scores(threshold), threshold).alias("matches"))

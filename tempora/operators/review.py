@@ -21,7 +21,7 @@ def _first(*columns: Column) -> Column:
 
 def with_articles(gold: DataFrame, predictions: DataFrame, articles: DataFrame | None = None, threshold: float = m.THRESHOLD) -> DataFrame:
     """Matched articles with the column `a`, the article itself."""
-    matched = matched_articles(gold, predictions, threshold)
+    matched = matched_articles(gold, predictions, threshold, scores=True)
     if articles is None:
         articles = gold.sparkSession.createDataFrame([], f"{schemas.ARTICLE}, rec_ord long")
     last = articles.where("article_id IS NOT NULL").groupBy("article_id").agg(F.max_by(F.struct(*articles.columns), "rec_ord").alias("a"))

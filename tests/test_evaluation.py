@@ -149,3 +149,18 @@ def test_candidates(spark):
     assert candidates.finalize(rows).count() == 1 and candidates.finalize(rows, True).count() == 2
     articles = frame(spark, [{"article_id": "a", "text": "body"}], schemas.ARTICLE)
     assert candidates.packets(candidates.candidates(records), articles).where("article_id = 'a'").first()["text"] == "body"
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.1, 0.4, 0.45, 0.48, 0.9, 1.0])
+def test_matches_without_hopeless_scores(spark, threshold):
+    """Pairs that cannot reach the threshold aren't compared whole; the matches are those of all scores, and tables of errors keep none."""
+    nobody = {"participants": [], "relations": []}
+    far = attack() | nobody | {"location": "Paris", "event_date": "2020-01-01", "event_type": "SupportEvent"}
+    lone = attack() | {"event_date": "2021-02-03", "relations": []}
+    gold, pred = both(spark, [gold_row([attack(), far, lone, attack() | {"location": "Paris"}])], [gold_row([far, lone, attack(), attack() | nobody | {"location": "Rome"}])])
+    pairs = matching.match_articles(matching.paired_records(gold, pred), threshold).first()
+    assert [tuple(x) for x in pairs["matches"]] == plain_greedy(pairs["scores"], threshold)
+    limited = matching.match_articles(matching.paired_records(gold, pred), threshold).select("matches").first()
+    assert limited["matches"] == pairs["matches"]
+    kept = errors.matched_articles(gold, pred, threshold)
+    assert "scores" not in kept.columns and kept.first()["matches"] == pairs["matches"]
