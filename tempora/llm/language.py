@@ -10,11 +10,12 @@ language was seen. It has a fixed size and travels with the task.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -143,35 +144,51 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.create_map(*[F.lit(v) for r in totals for v in (r["lang"], min(1.0, rows / r["count"]))])
     draw = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[np.ndarray]] = {}
         for batch in batches:
-            for lang, texts in batch.groupby("lang")["text"]:
-                for _, piece in _pieces(texts.tolist()):
-                    found = counts_of(piece)
+            for part in _slices(batch, 1):
+                by_lang: dict[str, list[str]] = {}
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    by_lang.setdefault(lang, []).append(text)
+                for lang, texts in by_lang.items():
+                    found = counts_of(texts)
                     totals[lang] = [a + b for a, b in zip(totals[lang], found)] if lang in totals else list(found)
-        if totals:
-            yield pd.DataFrame([(lang, *(x.astype("<i8").tobytes() for x in found)) for lang, found in totals.items()], columns=["lang", "grams", "scripts"])
+        for lang, found in totals.items():
+            yield pa.RecordBatch.from_pylist([{"lang": lang} | {name: x.astype("<i8").tobytes() for name, x in zip(("grams", "scripts"), found)}])
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         summed = [sum(np.frombuffer(x, dtype="<i8") for x in part[c]).astype("<i8").tobytes() for c in ("grams", "scripts")]
         return pd.DataFrame([(part["lang"].iloc[0], *summed)], columns=["lang", "grams", "scripts"])
 
     schema = "lang string, grams binary, scripts binary"
-    counted = labelled.where(draw < share[F.col("lang")]).select("lang", "text").mapInPandas(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
+    counted = labelled.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
     return fitted({r["lang"]: np.frombuffer(r["grams"], dtype="<i8") for r in counted}, {r["lang"]: np.frombuffer(r["scripts"], dtype="<i8") for r in counted})
 
 
-def _pieces(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, list[str]]]:
-    """(place of the first, texts) of so many texts one behind another that they have about `most` code points; a longer text comes alone."""
-    first, held = 0, 0
-    for k, text in enumerate(texts):
-        if held and held + len(text) > most:
-            yield first, texts[first:k]
-            first, held = k, 0
-        held += len(text)
-    if first < len(texts):
-        yield first, texts[first:]
+def _cuts(sizes: Iterable[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """(first, end) of so many texts one behind another that they have about `most` code points; a longer text comes alone."""
+    first, end, held = 0, 0, 0
+    for size in sizes:
+        if held and held + size > most:
+            yield first, end
+            first, held = end, 0
+        held += size
+        end += 1
+    if first < end:
+        yield first, end
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """(place of the first, texts) of the cuts of `texts`."""
+    for first, end in _cuts(map(len, texts)):
+        yield first, texts[first:end]
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The rows of `batch` by the cuts of its texts in column `at`: no more of them than a cut has become Python's strings at a time."""
+    for first, end in _cuts(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()):
+        yield batch.slice(first, end - first)
 
 
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
@@ -271,9 +288,9 @@ def labelled(docs: DataFrame, model: Model, text_col: str, pred_col: str, score_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_predicted(shared.value, texts) for _, texts in _pieces([x or "" for x in batch.column(at).to_pylist()])]
-            names, share = (np.concatenate(x) if x else np.zeros(0) for x in (list(zip(*found)) or ((), ())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names.tolist(), pa.string()), pa.array(share, pa.float64())], names=[*batch.schema.names, pred_col, score_col])
+            for part in _slices(batch, at):
+                names, share = _predicted(shared.value, [x or "" for x in part.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names.tolist(), pa.string()), pa.array(share, pa.float64())], names=[*part.schema.names, pred_col, score_col])
 
     # under names of our own, since mapInArrow refuses some
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))

@@ -27,7 +27,7 @@ END_ID = 1
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Bytes of text (and of a row beside its text) that a group of remainders stands for; bytes of pieces that a task gives on at a time.
 GROUP_BYTES, ROW_BYTES, BATCH_BYTES = 4 << 20, 64, 8 << 20
-#: Words whose ids a worker remembers; then it forgets all and starts anew.
+#: Words whose ids a task remembers; then it forgets all and starts anew.
 CACHE_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
 #: Fixed value: how this public vocabulary's pre-tokenizer divides a text.
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
                     rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
+        encode.words.clear()  # workers wait for other tasks, of other stages too, and none is to hold what only this one needs
 
     def fill(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "no_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)

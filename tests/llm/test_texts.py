@@ -144,6 +144,39 @@ def test_packing(spark):
         assert r["doc_tokens"] == len(ids) // 4 and r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])])
 
 
+def test_tasks_of_packing_leave_no_words(spark):
+    """Python workers wait for tasks of other stages: they no longer hold the words of the texts that they have packed."""
+    path = TOKENIZER.path("byte_bpe_50k.json")
+    assert packing.pack(table(spark, rows()), path).count()
+
+    def held(batches):
+        for batch in batches:
+            found = packing._encoders.get(path)
+            batch["n"] = -1 if found is None else len(found.words)
+            yield batch[["n"]]
+
+    assert spark.range(0, 64, 1, 16).mapInPandas(held, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_languages_are_labelled_in_bounded_pieces(spark, monkeypatch):
+    """However many texts a batch brings, few of them at a time are Python's strings; all rows and columns come out, in order."""
+    import pyarrow as pa
+
+    data = [(k, None if k % 50 == 7 else " ".join(words(k, 900)) if k else "long " * 600_000, k % 3) for k in range(1000)]
+    docs, taken = spark.createDataFrame([], "doc_id long, text string, text_key int"), []
+    frame = type(docs)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, take=frame.mapInArrow: taken.append(f) or take(self, f, schema))
+    model = language.fitted(*({x: c[k] for x, c in (("en", language.counts_of(["long w"])), ("de", language.counts_of(["kurz"])))} for k in (0, 1)))
+    language.labelled(docs, model, "text", "found", "share")
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*data)], names=["c0", "c1", "c2"])
+    got = list(taken[0](iter([batch, batch.slice(0, 0)])))
+    sizes = [(b.num_rows, sum(len(x or "") for x in b.column(1).to_pylist())) for b in got]
+    assert len(got) > 2 and all(size <= 2_000_000 or n == 1 for n, size in sizes)
+    found = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert [r[:3] for r in found] == data
+    assert [r[3:] for r in found if r[1] is None] == [("und", 0.0)] * 20 and all(r[3] == "en" for r in found if r[1])
+
+
 def test_equal_rows_spread_over_groups(spark, tmp_path):
     """Rows of one id and text, which compress to nearly nothing, are packed in as many groups as their bytes need, the same in a rerun."""
     text = " ".join(words(9, 200))
