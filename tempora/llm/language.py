@@ -10,16 +10,16 @@ language was seen. It has a fixed size and travels with the task.
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from tempora.llm.common import cuts, frugal, slices, small_batches
 from tempora.shipping import shipped
 
 #: Rows to learn from for each language (about so many, by a hash of their id), each with its whole text: the bound of the model's sample.
@@ -135,6 +135,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Texts are counted where they are; the driver gets counts of fixed size for each language. More than MOST_LANGUAGES
     labels are an error; no label is left out.
     """
+    small_batches(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
     if len(totals) > MOST_LANGUAGES:
@@ -147,7 +148,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list[np.ndarray]] = {}
         for batch in batches:
-            for part in _slices(batch, 1):
+            for part in slices(batch, 1):
                 by_lang: dict[str, list[str]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     by_lang.setdefault(lang, []).append(text)
@@ -162,35 +163,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return pd.DataFrame([(part["lang"].iloc[0], *summed)], columns=["lang", "grams", "scripts"])
 
     schema = "lang string, grams binary, scripts binary"
-    counted = labelled.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(count, schema).groupBy("lang").applyInPandas(add, schema).collect()
+    counted = labelled.where(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(frugal(count), schema).groupBy("lang").applyInPandas(add, schema).collect()
     return fitted({r["lang"]: np.frombuffer(r["grams"], dtype="<i8") for r in counted}, {r["lang"]: np.frombuffer(r["scripts"], dtype="<i8") for r in counted})
 
 
-def _cuts(sizes: Iterable[int], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
-    """(first, end) of so many texts one behind another that they have about `most` code points; a longer text comes alone."""
-    first, end, held = 0, 0, 0
-    for size in sizes:
-        if held and held + size > most:
-            yield first, end
-            first, held = end, 0
-        held += size
-        end += 1
-    if first < end:
-        yield first, end
-
-
 def _pieces(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """(place of the first, texts) of the cuts of `texts`."""
-    for first, end in _cuts(map(len, texts)):
+    for first, end in cuts(map(len, texts)):
         yield first, texts[first:end]
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """The rows of `batch` by the cuts of its texts in column `at`: no more of them than a cut has become Python's strings at a time."""
-    for first, end in _cuts(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()):
-        yield batch.slice(first, end - first)
-
-
 def viterbi(scores: np.ndarray, sizes: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The label of each word: texts of `sizes` words one behind another, a change of label inside a text costs `penalty`.
 
@@ -283,19 +265,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def labelled(docs: DataFrame, model: Model, text_col: str, pred_col: str, score_col: str) -> DataFrame:
     """`docs` with all its columns and, in columns of these names, what `identify` gives; no row is moved."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** TABLE_BITS by at most MOST_LANGUAGES
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _slices(batch, at):
+            for part in slices(batch, at):
                 names, share = _predicted(shared.value, [x or "" for x in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names.tolist(), pa.string()), pa.array(share, pa.float64())], names=[*part.schema.names, pred_col, score_col])
 
     # under names of our own, since mapInArrow refuses some
     plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
     schema = StructType([*(StructField(f.name, f.dataType) for f in plain.schema), StructField(pred_col, StringType()), StructField(score_col, DoubleType())])
-    return plain.mapInArrow(run, schema).toDF(*docs.columns, pred_col, score_col)
+    return plain.mapInArrow(frugal(run), schema).toDF(*docs.columns, pred_col, score_col)
 
 
 def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,6 +287,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def _applied(docs: DataFrame, model: Model, id_col: str, text_col: str, spans: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** TABLE_BITS by at most MOST_LANGUAGES
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -328,7 +312,7 @@ def _applied(docs: DataFrame, model: Model, id_col: str, text_col: str, spans: b
     schema = "doc_id long, start long, end long, lang string" if spans else "doc_id long, lang_pred string, score double"
     # a null id travels as a mark: pandas would turn a column with nulls into floats
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
-    found = rows.mapInPandas(run, f"{schema}, no_id boolean")
+    found = rows.mapInPandas(frugal(run), f"{schema}, no_id boolean")
     return found.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 

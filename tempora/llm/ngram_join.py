@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ROW, columns_of, numbered, planned_bytes, release, shuffle_partitions, spool
+from tempora.llm.common import ROW, columns_of, frugal, numbered, planned_bytes, release, shuffle_partitions, small_batches, spool
 from tempora.llm.components import components
 from tempora.llm.shingles import sets_of
 from tempora.shipping import shipped
@@ -183,7 +183,7 @@ def _scanned(texts: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
         if prefixes:
             yield from deal(prefixes, list(classes))
 
-    return texts.select("doc_id", "text_key", "text").mapInArrow(run, _SCANNED)
+    return texts.select("doc_id", "text_key", "text").mapInArrow(frugal(run), _SCANNED)
 
 
 def _open_classes(scanned: DataFrame, classes: DataFrame, percent: int, buckets: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, bucke
             yield flushed()
 
     picked = texts.join(F.broadcast(chosen) if few else chosen, "text_key", "left_semi").select("text")
-    flushes = spool(picked.mapInArrow(gather, "flush long, classes binary, sizes binary, tokens binary"), "open-sets", "none")
+    flushes = spool(picked.mapInArrow(frugal(gather), "flush long, classes binary, sizes binary, tokens binary"), "open-sets", "none")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -281,7 +281,7 @@ def _candidates(texts: DataFrame, chosen: DataFrame, k: int, percent: int, bucke
                 rows.append((flush, cls, n, before, int.from_bytes(group, "little", signed=True), prefix.view(np.int64), bitmap(found), found.tobytes()))
         return pd.DataFrame(rows, columns=["flush", "cls", "n", "before", "grp", "tokens", "bits", "members"])
 
-    pieces = flushes.select("flush", "tokens").mapInPandas(count, "bucket int, flush long, data binary")
+    pieces = flushes.select("flush", "tokens").mapInPandas(frugal(count), "bucket int, flush long, data binary")
     replies = pieces.groupBy("bucket").applyInPandas(tally, "flush long, data binary")
     ordered = flushes.groupBy("flush").cogroup(replies.groupBy("flush")).applyInPandas(order, "flush long, cls long, n int, before int, grp long, tokens array<long>, bits array<long>, members binary")
     ordered = spool(ordered, "candidates", "none")
@@ -312,7 +312,7 @@ def _verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     small = F.broadcast if pairs.count() <= BROADCAST_IDS else lambda x: x
     left = sets.join(small(pairs.select("a").distinct()), F.col("cls") == F.col("a")).select("a", F.col("members").alias("x"))
     right = sets.join(small(pairs), F.col("cls") == F.col("b")).select("a", "b", F.col("members").alias("y"))
-    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(similar, "a long, b long")
+    return right.join(left, "a").select("a", "b", "x", "y").mapInArrow(frugal(similar), "a long, b long")
 
 
 def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
@@ -398,6 +398,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     and class and component are the smallest id of theirs; they are null if only rows without an id are in them. Other
     columns are ignored; an empty table gives an empty result. Shingles and sets are compared by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("text_key"), text.alias("text"))
     buckets = max(shuffle_partitions(docs.sparkSession), math.ceil(planned_bytes(texts) / BUCKET_BYTES))

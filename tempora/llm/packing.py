@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tempora.llm.common import ROW, numbered
+from tempora.llm.common import ROW, frugal, numbered, slices, small_batches
 from tempora.shipping import shipped
 
 CAPACITY = 2048
@@ -26,7 +27,7 @@ END_ID = 1
 #: Cost of a piece: LINEAR * length + QUADRATIC * length ** 2.
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 #: Bytes of text (and of a row beside its text) that a group of remainders stands for; bytes of pieces that a task gives on at a time.
-GROUP_BYTES, ROW_BYTES, BATCH_BYTES = 4 << 20, 64, 8 << 20
+GROUP_BYTES, ROW_BYTES, BATCH_BYTES = 4 << 20, 64, 2 << 20
 #: Words whose ids a task remembers; then it forgets all and starts anew.
 CACHE_WORDS = 400_000
 SPECIAL = "<|endoftext|>"
@@ -136,6 +137,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     its documents. Other columns are ignored; an empty table gives an empty result. A rerun over the same files gives the
     same rows, however many partitions there are; rows written in another order may be packed otherwise.
     """
+    small_batches(docs.sparkSession)
     sized = F.coalesce(F.octet_length(text_col), F.lit(0)) + F.lit(ROW_BYTES)
     held = docs.agg(F.coalesce(F.sum(sized.cast("long")), F.lit(0))).first()[0]
     groups = max(1, math.ceil(held / group_bytes))
@@ -143,27 +145,35 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
     chosen = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNull().alias("no_id"), F.col(text_col).alias("text"))
     keyed = numbered(chosen, "packed").withColumn("group", F.pmod(F.xxhash64(ROW), F.lit(groups)))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("group", pa.int64()), ("doc_id", pa.int64()), ("no_id", pa.bool_()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, ranks), np.array([END_ID], dtype="<u4").tobytes()
-        columns = ["group", "doc_id", "no_id", "doc_tokens", "start", "length", "ids_crc32", "ids"]
-        for batch in batches:
-            rows, held = [], 0
-            for group, doc_id, no_id, text in zip(batch["group"], batch["doc_id"], batch["no_id"], batch["text"]):
-                ids = encode(text or "") + end
-                n, step = len(ids) // 4, capacity * 4
-                for at in range(0, len(ids) - step + 1, step):
-                    rows.append((group, doc_id, no_id, n, at // 4, capacity, zlib.crc32(ids[at : at + step]), None))
-                if n % capacity:
-                    rest = ids[n // capacity * step :]
-                    rows.append((group, doc_id, no_id, n, n // capacity * capacity, n % capacity, zlib.crc32(rest), rest))
-                    held += len(rest)
-                held += 64 * (1 + n // capacity)
-                if held >= BATCH_BYTES:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows, held = [], 0
+        encode.words.clear()  # a task that failed has left its own
+        rows, held = [], 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+        try:
+            for part in (x for batch in batches for x in slices(batch, 3)):
+                for group, doc_id, no_id, text in zip(*(c.to_pylist() for c in part.columns)):
+                    ids = encode(text or "") + end
+                    n, step = len(ids) // 4, capacity * 4
+                    for at in range(0, len(ids) - step + 1, step):
+                        rows.append((group, doc_id, no_id, n, at // 4, capacity, zlib.crc32(ids[at : at + step]), None))
+                    if n % capacity:
+                        rest = ids[n // capacity * step :]
+                        rows.append((group, doc_id, no_id, n, n // capacity * capacity, n % capacity, zlib.crc32(rest), rest))
+                        held += len(rest)
+                    held += 64 * (1 + n // capacity)
+                    if held >= BATCH_BYTES:
+                        yield made()
+                        rows, held = [], 0
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
-        encode.words.clear()  # workers wait for other tasks, of other stages too, and none is to hold what only this one needs
+                yield made()
+        finally:
+            encode.words.clear()  # workers wait for other tasks, of other stages too, and none is to hold what only this one needs
 
     def fill(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "doc_id", "no_id", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
@@ -185,7 +195,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, id_col: str
         made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"], dtype=object)
         return made.astype({"doc_id": "Int64"} | {c: "int64" for c in made.columns[1:]})
 
-    pieces = keyed.select("group", "doc_id", "no_id", "text").mapInPandas(cut, "group long, doc_id long, no_id boolean, doc_tokens long, start long, length long, ids_crc32 long, ids binary")
+    pieces = keyed.select("group", "doc_id", "no_id", "text").mapInArrow(frugal(cut), "group long, doc_id long, no_id boolean, doc_tokens long, start long, length long, ids_crc32 long, ids binary")
     return pieces.groupBy("group").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

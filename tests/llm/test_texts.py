@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tempora.llm import components, exact_dedup, language, mixing, ngram_join, packing, shingles, substrings
+from tempora.llm import common, components, exact_dedup, language, mixing, ngram_join, packing, shingles, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -158,6 +158,60 @@ def test_tasks_of_packing_leave_no_words(spark):
     assert spark.range(0, 64, 1, 16).mapInPandas(held, "n long").agg(F.max("n")).first()[0] == 0
 
 
+def test_texts_are_packed_in_bounded_pieces(spark, monkeypatch):
+    """However many texts a batch brings, few of them at a time are Python's strings; what a task gives on is small, and all ids are in it."""
+    import pyarrow as pa
+
+    data = [(0, k, False, None if k % 50 == 7 else " ".join(words(k, 900)) if k else "long " * 600_000) for k in range(1000)]
+    taken, pieces = [], []
+    frame = type(table(spark, []))
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema, take=frame.mapInArrow: taken.append(f) or take(self, f, schema))
+    monkeypatch.setattr(packing, "slices", lambda batch, at, cut=packing.slices: (pieces.append(x) or x for x in cut(batch, at)))
+    path = TOKENIZER.path("byte_bpe_50k.json")
+    packing.pack(table(spark, []), path)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*data)], names=["group", "doc_id", "no_id", "text"])
+    got = list(taken[0](iter([batch, batch.slice(0, 0)])))
+    assert len(pieces) > 2 and all(x.num_rows == 1 or sum(len(t or "") for t in x.column(3).to_pylist()) <= 2_000_000 for x in pieces)
+    assert len(got) > 2 and all(x.nbytes < 2 * packing.BATCH_BYTES for x in got)
+    found = [r for x in got for r in x.to_pylist()]
+    e = packing.Encoder(path)
+    for k in (0, 1, 7, 999):
+        ids = e(data[k][3] or "") + packing.END_ID.to_bytes(4, "little")
+        own = [r for r in found if r["doc_id"] == k]
+        assert [r["start"] for r in own] == list(range(0, len(ids) // 4, packing.CAPACITY))
+        assert all(r["ids_crc32"] == zlib.crc32(ids[4 * r["start"] : 4 * (r["start"] + r["length"])]) for r in own)
+    assert len({r["doc_id"] for r in found}) == 1000
+
+
+def test_python_workers_get_small_batches(spark, monkeypatch):
+    """Batches are bounded by bytes, unless the session has its own bound; what a task has freed is given back at its start and its end, also where it isn't read to its end."""
+    name, large = "spark.sql.execution.arrow.maxBytesPerBatch", spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    most = lambda: large.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+    spark.conf.unset(name)
+    try:
+        common.small_batches(spark)
+        assert most() < 2 * common.ARROW_BYTES
+        spark.conf.set(name, "12000000")
+        common.small_batches(spark)
+        assert spark.conf.get(name) == "12000000"
+    finally:
+        spark.conf.unset(name)
+    calls = []
+    monkeypatch.setattr(common, "give_back", lambda: calls.append(1))
+    assert list(common.frugal(lambda xs: (x + 1 for x in xs))(iter([1, 2]))) == [2, 3] and len(calls) == 2
+    some = common.frugal(lambda xs: (x + 1 for x in xs))(iter([1, 2]))
+    assert next(some) == 2
+    some.close()
+    assert len(calls) == 4
+
+
 def test_languages_are_labelled_in_bounded_pieces(spark, monkeypatch):
     """However many texts a batch brings, few of them at a time are Python's strings; all rows and columns come out, in order."""
     import pyarrow as pa
