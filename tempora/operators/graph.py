@@ -14,7 +14,10 @@ from tempora.functions.coords import reviewed
 from tempora.functions.dates import event_date, iso_date
 from tempora.functions.lookup import at, with_lookup
 from tempora.functions.text import edge_id, event_id, fold, node_id
-from tempora.tables import ranked
+from tempora.tables import checked, ranked, spool
+
+#: What a node has from the first mention that states it.
+STATED = ["latitude", "longitude", "geocode_source", "geocode_display_name"]
 
 
 def mentions(records: DataFrame) -> DataFrame:
@@ -97,6 +100,11 @@ def relation_counts(ends: DataFrame) -> DataFrame:
     return ends.select("id", "edge_id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("relation_count"))
 
 
+def _firsts() -> list[Column]:
+    """First non-null of each stated column on its own; an order of null is never the least."""
+    return [F.min(F.when(F.col(c).isNotNull(), F.struct("rec_ord", "i", F.col(c).alias("v"))))["v"].alias(c) for c in STATED]
+
+
 def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collision: str = "merge") -> DataFrame:
     """Nodes by id.
 
@@ -110,11 +118,8 @@ def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collis
     rows = found.drop("name", "type").join(names.select("key", "id"), "key").join(ids, "id")
     if on_collision == "reset":
         rows = rows.where(ord_ >= F.col("reborn"))
-    stated = ["latitude", "longitude", "geocode_source", "geocode_display_name"]
-    # first non-null of each column on its own; an order of null is never the least
-    firsts = [F.min(F.when(F.col(c).isNotNull(), F.struct("rec_ord", "i", F.col(c).alias("v"))))["v"].alias(c) for c in stated]
     out = rows.groupBy("id", "name", "type").agg(
-        *firsts, F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(safe("aliases"), lambda a: (a != "")))))).alias("aliases"),
+        *_firsts(), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(safe("aliases"), lambda a: (a != "")))))).alias("aliases"),
         F.array_sort(F.collect_set("article_id")).alias("article_ids"), F.min("day").alias("first_seen"), F.max("day").alias("last_seen"),
         F.collect_list(F.when(F.size(safe("review_flags")) > 0, F.struct(ord_.alias("ord"), F.col("review_flags").alias("v")))).alias("flags"),
     )
@@ -123,7 +128,7 @@ def nodes_of(found: DataFrame, names: DataFrame, relations: DataFrame, on_collis
         ends = ends.join(ids.select("id", "reborn"), "id").where(F.col("rec_ord") >= F.col("reborn.rec_ord"))
     out = out.join(relation_counts(ends).withColumnRenamed("relation_count", "n"), "id", "left")
     return out.select(
-        "id", "name", "type", *stated, F.filter("aliases", lambda a: a != F.col("name")).alias("aliases"), "article_ids", F.size("article_ids").cast("long").alias("article_count"),
+        "id", "name", "type", *STATED, F.filter("aliases", lambda a: a != F.col("name")).alias("aliases"), "article_ids", F.size("article_ids").cast("long").alias("article_count"),
         F.coalesce("n", F.lit(0)).cast("long").alias("relation_count"), "first_seen", "last_seen", merge_flags(F.col("flags")).alias("review_flags"),
     )
 
@@ -136,12 +141,44 @@ def node_counts(found: DataFrame, names: DataFrame, relations: DataFrame, parts:
     return ids.join(seen, "id").join(counts, "id", "left").select("id", "name", "type", "article_count", F.coalesce("relation_count", F.lit(0)).cast("long").alias("relation_count"), "first_seen", "last_seen")
 
 
+def node_tables(found: DataFrame, names: DataFrame, relations: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, articles): nodes of nodes_of (merged) but for their articles, which are rows of id and article_id, each once.
+
+    However many mentions a node has, they are not gathered in a row: only its distinct aliases and flags are. `parts`
+    as in edge_counts.
+    """
+    names = spool(names, "node-names")
+    ids = names.groupBy("id").agg(F.min_by("name", "born").alias("name"), F.min_by("type", "born").alias("type"))
+    rows = found.drop("name", "type").join(checked(names.select("key", "id")), "key")
+    once = spool(_once(rows, "id", parts), "node-articles")
+    places = rows.where(" OR ".join(f"{c} IS NOT NULL" for c in STATED)).groupBy("id").agg(*_firsts())
+    aliases = rows.select("id", F.explode("aliases").alias("a")).where("a <> ''").groupBy("id").agg(F.array_sort(F.collect_set("a")).alias("aliases"))
+    flags = rows.select("id", F.struct("rec_ord", "i", "review_flags").alias("ord"), F.posexplode("review_flags").alias("at", "v")).where("v.code IS NOT NULL AND v.message IS NOT NULL")
+    flags = flags.groupBy("id", "v").agg(F.min(F.struct("ord", "at")).alias("ord")).groupBy("id").agg(ordered(F.collect_list(F.struct("ord", "v"))).alias("review_flags"))
+    out = ids.join(_counted(once, "id"), "id").join(relation_counts(ends_of(relations)), "id", "left")
+    for more in (places, aliases, flags):
+        out = out.join(more, "id", "left")
+    nodes = out.select(
+        "id", "name", "type", *STATED, F.filter(safe("aliases"), lambda a: a != F.col("name")).alias("aliases"), "article_count",
+        F.coalesce("relation_count", F.lit(0)).cast("long").alias("relation_count"), "first_seen", "last_seen", safe("review_flags").alias("review_flags"),
+    )
+    return nodes, once.where("article_id IS NOT NULL").select("id", "article_id")
+
+
 def article_counts(rows: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """`key`, article_count, first_seen, last_seen of rows (key, article_id, day); `parts` as in edge_counts."""
+    return _counted(_once(rows, key, parts), key)
+
+
+def _once(rows: DataFrame, key: str, parts: int | None) -> DataFrame:
+    """Each article of a key once, with its first and last day."""
     rows = rows.select(key, "article_id", "day")
     if parts:
         rows = rows.repartition(parts, key, "article_id")
-    once = rows.groupBy(key, "article_id").agg(F.min("day").alias("low"), F.max("day").alias("high"))
+    return rows.groupBy(key, "article_id").agg(F.min("day").alias("low"), F.max("day").alias("high"))
+
+
+def _counted(once: DataFrame, key: str) -> DataFrame:
     return once.groupBy(key).agg(F.count("article_id").alias("article_count"), F.min("low").alias("first_seen"), F.max("high").alias("last_seen"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tempora.operators import graph, views
-from tempora.tables import spool
+from tempora.tables import kept, parts, spool
 
 #: Folders of a table; a store keeps the number that it was written with.
 BUCKETS = 64
@@ -19,7 +19,7 @@ _BUCKET = "bucket"
 #: Rows of one id that one task writes.
 FILE_ROWS = 1_000_000
 #: What tables are sorted by after their id.
-ORDER = {"nodes": [], "edges": [], "days": ["day"], "evidence": ["place"], "events": []}
+ORDER = {"nodes": [], "articles": ["article_id"], "edges": [], "days": ["day"], "evidence": ["place"], "events": []}
 
 
 def _bucket(ident: Column | str, buckets: int) -> Column:
@@ -28,7 +28,7 @@ def _bucket(ident: Column | str, buckets: int) -> Column:
 
 def write(rows: DataFrame, path: str, order: list[str], buckets: int = BUCKETS, file_rows: int = FILE_ROWS) -> None:
     """Write a table by its column `id`; an id of more than `file_rows` rows is written in pieces, by as many tasks."""
-    rows = spool(rows, "store-rows")  # counted and written, made once
+    rows = kept(rows, "store-rows")  # counted and written, made once
     # ids with so many rows are few
     hot = rows.groupBy("id").count().where(F.col("count") > file_rows).select(F.col("id").alias("_hot"), F.ceil(F.col("count") / file_rows).alias("_pieces"))
     spread = rows.join(spool(hot, "hot-ids"), F.col("id") == F.col("_hot"), "left").withColumn(_BUCKET, _bucket("id", buckets))
@@ -37,10 +37,16 @@ def write(rows: DataFrame, path: str, order: list[str], buckets: int = BUCKETS,
     dealt.drop("_piece").write.mode("overwrite").option("maxRecordsPerFile", 4 * file_rows).option("parquet.block.size", 16 << 20).partitionBy(_BUCKET).parquet(path)
 
 
-def write_graph(nodes: DataFrame, relations: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Nodes, edges with their days and evidence, and events (rows of the payload), each a table of the store."""
-    relations = spool(relations, "store-relations")
-    tables = {"nodes": nodes, "edges": graph.edge_counts(relations), "days": graph.edge_days(relations), "evidence": graph.edge_evidence(relations), "events": events}
+def write_graph(nodes: DataFrame, relations: DataFrame, events: DataFrame, path: str, buckets: int = BUCKETS, articles: DataFrame | None = None) -> None:
+    """Nodes with their articles, edges with their days and evidence, and events (rows of the payload), each a table of the store.
+
+    Articles are rows of a node's id and an article_id: those in `articles`, or else those that the nodes list.
+    """
+    relations = kept(relations, "store-relations")
+    if articles is None:
+        nodes = kept(nodes, "store-nodes")
+        articles = nodes.select("id", F.explode("article_ids").alias("article_id"))
+    tables = {"nodes": nodes.drop("article_ids"), "articles": articles, "edges": graph.edge_counts(relations, parts(nodes.sparkSession, relations.count())), "days": graph.edge_days(relations), "evidence": graph.edge_evidence(relations), "events": events}
     for name, rows in tables.items():
         write(rows, f"{path}/{name}", ORDER[name], buckets)
     spark = nodes.sparkSession

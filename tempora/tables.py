@@ -70,6 +70,11 @@ def _is_scan(df: DataFrame) -> bool:
     return node.nodeName() == "LogicalRelation"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table that can be read again and again: itself if it is rows of files, else spooled."""
+    return df if _is_scan(df) else spool(df, name)
+
+
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a column ROW that tells rows apart whatever their ids.
 

@@ -132,3 +132,45 @@ def test_counted_nodes_are_the_nodes_without_lists(spark):
     want = sorted(map(tuple, graph.nodes_of(found, names, relations).select(columns).collect()))
     assert sorted(map(tuple, graph.node_counts(found, names, relations, 9).select(columns).collect())) == want and len(want) == 4
     assert sorted(map(tuple, graph.edge_counts(relations, 9).collect())) == sorted(map(tuple, graph.edge_counts(relations).collect()))
+
+
+def test_nodes_and_their_articles_are_the_nested_nodes(spark):
+    """Two names of one id, aliases and flags that repeat, places of the first mention that has them, and no article."""
+    flag = lambda k: {"code": f"c{k}", "message": "m"}
+    rows = [
+        {"article_id": None if k == 5 else f"a{k % 7}", "published_at": "bad" if k == 3 else f"2026-04-{k % 5 + 10}", "relations": [relation("A", f"N {k % 3}", "ATTACKED"), relation("A", "A", "SUPPORTED")],
+         "entities": [entity("A", "NationState", aliases=["A", "", None, f"b{k % 4}"]), entity("a!", "NationState", latitude=1.0 + k if k > 2 else None, geocode_source=f"g{k}" if k > 4 else None, review_flags=[flag(9 - k % 4), None, {"code": None, "message": "x"}, flag(k % 2)]), entity(f"N {k % 3}", "NationState"), entity("N 0", "NationState", review_flags=[])]}
+        for k in range(20)
+    ] + [{"article_id": None, "published_at": None, "entities": [entity("Lonely", "MilitaryAsset", longitude=2.0)], "relations": []}]
+    records = frame(spark, rows, schemas.EXTRACTION)
+    found = graph.mentions(records)
+    names = graph.registry(found)
+    accepted = graph.relation_rows(records, names)[0]
+    nested = graph.nodes_of(found, names, accepted)
+    for parts in (None, 9):
+        nodes, articles = graph.node_tables(found, names, accepted, parts)
+        assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, nested.drop("article_ids").select(nodes.columns).collect())) and nodes.count() == 5
+        assert sorted(map(tuple, articles.collect())) == sorted((r["id"], a) for r in nested.collect() for a in r["article_ids"])
+    a = nodes.where("id = 'NationState:a'").first()
+    assert a["aliases"] == ["b0", "b1", "b2", "b3"] and a["latitude"] == 4.0 and a["geocode_source"] == "g5" and [f["code"] for f in a["review_flags"]] == ["c9", "c0", "c8", "c1", "c7", "c6"]
+    plans = [x._jdf.queryExecution().toString() for x in (nodes, articles)]
+    assert not any(f"collect_{kind}(article_id" in plan for plan in plans for kind in ("set", "list"))
+
+
+def test_a_store_has_articles_as_rows(spark, store):
+    """Of nodes that list them, too."""
+    assert "article_ids" not in spark.read.parquet(f"{store}/nodes").columns
+    assert graph_store.find(spark, store, "nodes", "NationState:iran").first()["article_count"] == 200
+    assert sorted(r["article_id"] for r in graph_store.find(spark, store, "articles", "NationState:iran").collect()) == sorted(f"a{k}" for k in range(200))
+    assert spark.read.parquet(f"{store}/articles").count() == 400
+
+
+def test_edge_inspector_gathers_no_articles(spark, small, monkeypatch):
+    """The rows that the query's store is made of: no row of a node has its articles, none of which is lost."""
+    kept = {}
+    monkeypatch.setattr(graph_store, "write", lambda rows, path, order, *more, f=graph_store.write: (kept.update({path.rsplit("/", 1)[1]: rows}), f(rows, path, order, *more)))
+    assert catalogue.QUERIES["edge_inspector"](spark, small).count() > 0
+    plan = kept["nodes"]._jdf.queryExecution().toString()
+    assert "article_ids" not in kept["nodes"].columns and "collect_set(article_id" not in plan
+    found = catalogue.entity_view(spark, small)
+    assert kept["articles"].count() == found.select("key", "article_id").distinct().count() == kept["nodes"].agg(F.sum("article_count")).first()[0]
