@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tempora import cli, schemas
+from tempora import cli, schemas, tables
 from tempora.operators import graph
 from tempora.plans import catalogue, pipelines
 from tempora.sources import graph_store
@@ -134,8 +134,8 @@ def test_counted_nodes_are_the_nodes_without_lists(spark):
     assert sorted(map(tuple, graph.edge_counts(relations, 9).collect())) == sorted(map(tuple, graph.edge_counts(relations).collect()))
 
 
-def test_nodes_and_their_articles_are_the_nested_nodes(spark):
-    """Two names of one id, aliases and flags that repeat, places of the first mention that has them, and no article."""
+def test_nodes_and_their_articles_are_the_nested_nodes(spark, monkeypatch):
+    """Two names of one id, aliases and flags that repeat, places of the first mention that has them, and no article; names that are broadcast or not."""
     flag = lambda k: {"code": f"c{k}", "message": "m"}
     rows = [
         {"article_id": None if k == 5 else f"a{k % 7}", "published_at": "bad" if k == 3 else f"2026-04-{k % 5 + 10}", "relations": [relation("A", f"N {k % 3}", "ATTACKED"), relation("A", "A", "SUPPORTED")],
@@ -147,7 +147,8 @@ def test_nodes_and_their_articles_are_the_nested_nodes(spark):
     names = graph.registry(found)
     accepted = graph.relation_rows(records, names)[0]
     nested = graph.nodes_of(found, names, accepted)
-    for parts in (None, 9):
+    for parts, broadcast in ((None, 100_000), (9, 0)):
+        monkeypatch.setattr(tables, "BROADCAST_ROWS", broadcast)
         nodes, articles = graph.node_tables(found, names, accepted, parts)
         assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, nested.drop("article_ids").select(nodes.columns).collect())) and nodes.count() == 5
         assert sorted(map(tuple, articles.collect())) == sorted((r["id"], a) for r in nested.collect() for a in r["article_ids"])
